@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from dataheal.dataset import Dataset
 from dataheal.functions.text import strip
 
 ISO = r"^(\d{4})-(\d{2})-(\d{2})([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?$"
@@ -49,12 +51,11 @@ def _numeric_parts(text: Column) -> tuple[Column, Column, Column]:
     return part(1), part(2), part(3)
 
 
-def parse_date(col: Column) -> Column:
-    """Text to ``timestamp_ntz``; null where it is none of the known spellings.
+def parse_date(text: Column) -> Column:
+    """Trimmed text to ``timestamp_ntz``; null where it is none of the known spellings.
 
     Day-month-year numbers are read day first, or month first where only that is a date.
     """
-    text = strip(col.cast("string"))
     first, second, year = _numeric_parts(text)
     day = F.when(second > 12, second).otherwise(first)
     month = F.when(second > 12, first).otherwise(second)
@@ -77,22 +78,27 @@ def parse_date(col: Column) -> Column:
     )
 
 
-def is_ambiguous(col: Column) -> Column:
+def is_ambiguous(text: Column) -> Column:
     """Would reading day first and reading month first give two different dates?
 
     Holds for every all-number spelling, ISO included, whose day could be a month.
     """
-    text = strip(col.cast("string"))
     first, second, _ = _numeric_parts(text)
-    iso_month = F.regexp_extract(text, ISO, 2).try_cast("int")
-    iso_day = F.regexp_extract(text, ISO, 3).try_cast("int")
+    iso_month, iso_day = F.substring(text, 6, 2), F.substring(text, 9, 2)
     return (
-        F.when(text.rlike(ISO), (iso_day <= 12) & (iso_day != iso_month))
+        F.when(text.rlike(ISO), (iso_day <= "12") & (iso_day != iso_month))
         .when(text.rlike(NUMERIC), (first <= 12) & (second <= 12) & (first != second))
         .otherwise(F.lit(False))
     )
 
 
+def date_cell(ds: Dataset, column: str) -> Column:
+    """The date a cell holds, as ``timestamp_ntz``; text cells are parsed."""
+    if isinstance(ds.dtype(column), T.StringType):
+        return parse_date(strip(F.col(column)))
+    return F.col(column).cast("timestamp_ntz")
+
+
 def format_date(ts: Column, strftime: str) -> Column:
     return F.date_format(ts, spark_pattern(strftime))
 
