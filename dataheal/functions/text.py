@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from dataheal.functions.numbers import round_even
+
 # The characters a Unicode-aware strip removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -86,7 +88,7 @@ def render_compact(col: Column) -> Column:
 
 def percent(rate: Column, decimals: int) -> Column:
     """``0.0271`` as ``'2.7%'``."""
-    return F.format_string(f"%.{decimals}f%%", F.round(rate * 100, decimals))
+    return F.format_string(f"%.{decimals}f%%", round_even(rate * 100, decimals))
 
 
 def words(name: Column) -> Column:

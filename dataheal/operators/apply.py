@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from dataheal.dataset import Dataset
 from dataheal.operators.proposals import APPROVED
 
+DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
 LOWEST, HIGHEST = "lowest_confidence", "highest_confidence"
 
 MANIFEST_COLUMNS = (
@@ -20,12 +21,13 @@ MANIFEST_COLUMNS = (
 def cast_value(text: Column, dtype: T.DataType) -> Column:
     """Proposed text as a value of the column's type; null where it is not one.
 
-    Whole-number columns take the integer part, so ``'50.0'`` becomes 50.
+    Whole-number columns take the integer part, so ``'50.0'`` becomes 50. Date and timestamp
+    columns count as ISO text, so any text fits them and a cleaned one is text.
     """
     if isinstance(dtype, T.IntegralType):
         whole = F.coalesce(text.try_cast("bigint"), _toward_zero(text.try_cast("double")))
         return whole.try_cast(dtype)
-    if isinstance(dtype, T.StringType):
+    if isinstance(dtype, (T.StringType, *DATE_TYPES)):
         return text
     return text.try_cast(dtype)
 
@@ -84,7 +86,8 @@ def apply_proposals(ds: Dataset, proposals: DataFrame, winner: str = LOWEST) ->
 
     def cell(f: T.StructField) -> Column:
         proposed = cast_value(F.element_at(F.col("_changes"), F.lit(f.name)), f.dataType)
-        return F.coalesce(proposed, F.col(f.name)).alias(f.name)
+        kept = ds.text(f.name) if isinstance(f.dataType, DATE_TYPES) else F.col(f.name)
+        return F.coalesce(proposed, kept).alias(f.name)
 
     return ds.df.join(changes, "row_index", "left").select("row_index", *[cell(f) for f in ds.fields])
 

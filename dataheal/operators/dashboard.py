@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dataheal.config import QualityConfig
+from dataheal.functions.numbers import round_even
 from dataheal.functions.text import title_case, words
 from dataheal.operators.score import grade, severity_rank
 
@@ -17,7 +18,7 @@ def overall_score(scores: DataFrame, cfg: QualityConfig) -> DataFrame:
     weighted = F.sum(F.col("score") * F.col("row_count")) / F.nullif(rows, F.lit(0))
     mean = scores.agg(F.coalesce(weighted, F.avg("score")).alias("mean"), F.count("*").alias("dataset_count"))
     return mean.select(
-        F.round("mean", 1).alias("overall_score"),
+        round_even(F.col("mean"), 1).alias("overall_score"),
         grade(F.col("mean"), cfg.overall_green, cfg.overall_amber).alias("grade"),
         "dataset_count",
         F.col("mean").alias("exact_score"),
@@ -36,7 +37,7 @@ def alert_text() -> Column:
     """A sentence for a penalty, from ``kind, severity, column, dataset, rate, reason``."""
     column = title_case(F.replace("column", F.lit("_"), F.lit(" ")))
     dataset = title_case(words(F.col("dataset")))
-    share = F.format_string("%.0f%%", F.round(F.col("rate") * 100, 0))
+    share = F.format_string("%.0f%%", F.rint(F.col("rate") * 100))
     kind = F.col("kind")
     # The sentences of the report.
     return (
@@ -141,7 +142,7 @@ def join_opportunities(reports: DataFrame, cfg: QualityConfig) -> DataFrame:
     ).otherwise(
         F.format_string(
             "%s and %s records can be linked — %.0f%% of keys match",
-            title_case(a), title_case(b), F.round(F.col("match_rate") * 100),
+            title_case(a), title_case(b), F.rint(F.col("match_rate") * 100),
         )
     )
     return (
@@ -152,7 +153,7 @@ def join_opportunities(reports: DataFrame, cfg: QualityConfig) -> DataFrame:
             "dataset_a",
             "dataset_b",
             "join_key",
-            F.round(F.col("match_rate") * 100).cast("int").alias("match_rate"),
+            F.rint(F.col("match_rate") * 100).cast("int").alias("match_rate"),
             insights.alias("insights_count"),
             text.alias("business_summary"),
             F.slice("insight_names", 1, 3).alias("top_insights"),
@@ -166,8 +167,8 @@ def join_opportunities(reports: DataFrame, cfg: QualityConfig) -> DataFrame:
 
 def benchmark_context(overall: DataFrame, cfg: QualityConfig) -> DataFrame:
     mark = cfg.benchmark_score
-    delta = F.round(F.col("exact_score") - mark, 1)
-    points = F.format_string("%.0f", F.round(F.abs(delta), 0))
+    delta = round_even(F.col("exact_score") - mark, 1)
+    points = F.format_string("%.0f", F.rint(F.abs(delta)))
     # The three sentences of the report.
     context = (
         F.when(

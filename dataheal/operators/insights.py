@@ -15,9 +15,11 @@ from pyspark.sql import types as T
 
 from dataheal.config import QualityConfig
 from dataheal.dataset import Dataset
+from dataheal.functions.numbers import exact_sum, round_even
 from dataheal.functions.text import parse_currency
 from dataheal.operators.joins import detect_join_pairs
 from dataheal.operators.profile import union_all
+from dataheal.session import local_frame
 
 
 @dataclass(frozen=True)
@@ -82,7 +84,8 @@ class InsightError(ValueError):
 
 def catalogue(spark) -> DataFrame:
     rows = [(n, i.id, i.name, i.required, i.confidence, i.cross_dataset) for n, i in enumerate(INSIGHTS)]
-    return spark.createDataFrame(
+    return local_frame(
+        spark,
         rows,
         "place int, id string, name string, required array<string>, confidence string, cross_dataset boolean",
     )
@@ -144,10 +147,10 @@ def _measure(ds: Dataset, column: str) -> Column:
 
 def _finish(grouped: DataFrame, insight: Insight) -> DataFrame:
     """``(group, rows, count, sum)`` to the insight's columns and order."""
-    mean = F.col("_sum") / F.nullif(F.col("_count"), F.lit(0))
+    total = F.col("_sum").cast("double")
     made = {
-        "mean": F.round(mean, 2),
-        "sum": F.round(F.coalesce("_sum", F.lit(0.0)), 2),
+        "mean": round_even(total / F.nullif(F.col("_count"), F.lit(0)), 2),
+        "sum": round_even(F.coalesce(total, F.lit(0.0)), 2),
         "count": F.col("_count"),
         "rows": F.col("_rows"),
     }
@@ -165,7 +168,7 @@ def single_insight(ds: Dataset, insight: Insight) -> DataFrame:
         raise InsightError(f"'{ds.name}' lacks a column of {insight.required}")
     value = _measure(ds, measure) if measure else F.lit(None).cast("double")
     grouped = ds.df.select(ds.value(group).alias("_group"), value.alias("_value")).groupBy("_group").agg(
-        F.count("*").alias("_rows"), F.count("_value").alias("_count"), F.sum("_value").alias("_sum")
+        F.count("*").alias("_rows"), F.count("_value").alias("_count"), exact_sum(F.col("_value")).alias("_sum")
     )
     return _finish(grouped, insight)
 
@@ -187,7 +190,7 @@ def joined_insight(a: Dataset, b: Dataset, key: str, insight: Insight) -> DataFr
     value = (
         _measure(value_side, _find(value_side, insight.measure)) if insight.measure else F.lit(None).cast("double")
     ).alias("_value")
-    sums = [F.count("*").alias("_rows"), F.count("_value").alias("_count"), F.sum("_value").alias("_sum")]
+    sums = [F.count("*").alias("_rows"), F.count("_value").alias("_count"), exact_sum(F.col("_value")).alias("_sum")]
     if group_side is value_side:
         grouped = group_side.df.select(key_of(group_side), group, value).groupBy("_key", "_group").agg(*sums)
         weights = other(group_side).df.select(key_of(other(group_side)))
@@ -233,7 +236,8 @@ def join_reports(datasets: dict[str, Dataset], cfg: QualityConfig) -> DataFrame
         for b in names[i + 1 :]:
             found = applicable(datasets[a].columns + datasets[b].columns, cross=True)
             rows.append((i, a, b, [f.id for f in found], [f.name for f in found]))
-    offered = reports.sparkSession.createDataFrame(
+    offered = local_frame(
+        reports.sparkSession,
         rows,
         "pair_order int, dataset_a string, dataset_b string, insight_ids array<string>, insight_names array<string>",
     )
@@ -242,8 +246,10 @@ def join_reports(datasets: dict[str, Dataset], cfg: QualityConfig) -> DataFrame
 
 def single_dataset_insights(datasets: dict[str, Dataset]) -> DataFrame:
     spark = next(iter(datasets.values())).df.sparkSession
-    owned = spark.createDataFrame(
-        [(n, [c.lower() for c in d.columns]) for n, d in datasets.items()], "owner string, columns array<string>"
+    owned = local_frame(
+        spark,
+        [(n, [c.lower() for c in d.columns]) for n, d in datasets.items()],
+        "owner string, columns array<string>",
     )
     return match_insight_rules(owned, cross=False).withColumnRenamed("owner", "dataset")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dataheal.config import QualityConfig
 from dataheal.dataset import Dataset
+from dataheal.functions.numbers import round_even
 from dataheal.operators.profile import distinct_counts, histograms, union_all
 from dataheal.operators.rules import shown
 
@@ -88,7 +89,7 @@ def _key_sides(a: Dataset, b: Dataset, key: str) -> DataFrame:
 
 
 def match_rate(matched: Column, total_a: Column, total_b: Column) -> Column:
-    return F.round(matched / F.greatest(total_a, total_b, F.lit(1)), 3)
+    return round_even(matched / F.greatest(total_a, total_b, F.lit(1)), 3)
 
 
 def join_quality(a: Dataset, b: Dataset, key: str) -> DataFrame:
@@ -129,7 +130,7 @@ def unmatched_keys(a: Dataset, b: Dataset, key: str) -> DataFrame:
 
 
 def match_strength(rate: Column, cfg: QualityConfig) -> Column:
-    pct = F.round(rate * 100)
+    pct = F.floor(rate * 100 + 0.5)
     return (
         F.when(pct >= cfg.strong_match_pct, "Strong")
         .when(pct >= cfg.moderate_match_pct, "Moderate")

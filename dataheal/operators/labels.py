@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from dataheal.config import QualityConfig
 from dataheal.dataset import Dataset
 from dataheal.operators.profile import text_histogram
+from dataheal.session import local_frame
 
 
 def is_date_name(name: str, cfg: QualityConfig) -> bool:
@@ -73,4 +74,4 @@ def ordering_column(ds: Dataset, cfg: QualityConfig) -> str | None:
 
 def find_ordering_column(ds: Dataset, cfg: QualityConfig) -> DataFrame:
     rows = [(ds.name, ordering_column(ds, cfg))]
-    return ds.df.sparkSession.createDataFrame(rows, "dataset string, ordering_column string")
+    return local_frame(ds.df.sparkSession, rows, "dataset string, ordering_column string")

@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 
 from dataheal.config import DATE_PATTERNS, QualityConfig
 from dataheal.dataset import Dataset
+from dataheal.functions.numbers import round_even
 from dataheal.functions.text import percent, render_double, strip
 from dataheal.operators.quantiles import exact_quantiles, search_frame, sketched_brackets
+from dataheal.session import local_frame
 
 
 def _long(aggregated: DataFrame, shared: list[str], per_column: list[Column]) -> DataFrame:
@@ -34,7 +36,7 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
 
 def dataset_schema(ds: Dataset) -> DataFrame:
     rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(ds.fields)]
-    return ds.df.sparkSession.createDataFrame(rows, "ordinal int, name string, dtype_raw string")
+    return local_frame(ds.df.sparkSession, rows, "ordinal int, name string, dtype_raw string")
 
 
 def row_count(ds: Dataset) -> DataFrame:
@@ -81,7 +83,7 @@ def null_counts(ds: Dataset) -> DataFrame:
 
 
 def _rate(count: Column, rows: Column) -> Column:
-    return F.round(count / F.greatest(rows, F.lit(1)), 4)
+    return round_even(count / F.greatest(rows, F.lit(1)), 4)
 
 
 # ── histogram and what is read off it ──────────────────────────────────────
@@ -268,7 +270,7 @@ def _moments(ds: Dataset, measured: list[Row]) -> DataFrame:
     keep = ("ordinal", "name", "row_count", "non_null", "min", "max", "mean", "std")
     schema = "ordinal int, name string, row_count bigint, non_null bigint, min double, max double, mean double, std double"
     rows = [tuple(r[k] for k in keep) for r in measured if r["is_numeric"]]
-    return ds.df.sparkSession.createDataFrame(rows, schema)
+    return local_frame(ds.df.sparkSession, rows, schema)
 
 
 def numeric_stats(ds: Dataset) -> DataFrame:
@@ -368,7 +370,7 @@ def date_format_scan(ds: Dataset, cfg: QualityConfig) -> DataFrame:
     schema = "name string, date_formats_detected array<string>, invalid_date_count bigint"
     columns = date_columns(ds, cfg)
     if not columns:
-        return ds.df.sparkSession.createDataFrame([], schema)
+        return local_frame(ds.df.sparkSession, [], schema)
     text = strip(F.col("value"))
     label = reduce(
         lambda seen, p: seen.when(text.rlike(p[1]), p[0]),
@@ -518,13 +520,10 @@ def profile_columns(ds: Dataset, cfg: QualityConfig) -> DataFrame:
     everything built on a profile costs no further scan.
     """
     measured = measure_columns(ds)
-    summaries = {r["name"]: r.asDict() for r in _summaries(ds, cfg, measured).collect()}
-    fields = T.StructType.fromDDL(_MEASURED).names
-    rows = [{**r.asDict(), **summaries.get(r["name"], {})} for r in measured]
-    local = ds.df.sparkSession.createDataFrame(
-        [tuple(r.get(f) for f in fields) for r in rows], _MEASURED
-    )
-    return describe_columns(local, ds, cfg)
+    as_dict = lambda r: r.asDict(recursive=True)
+    summaries = {r["name"]: as_dict(r) for r in _summaries(ds, cfg, measured).collect()}
+    rows = [{**as_dict(r), **summaries.get(r["name"], {})} for r in measured]
+    return describe_columns(local_frame(ds.df.sparkSession, rows, _MEASURED), ds, cfg)
 
 
 def describe_columns(measured: DataFrame, ds: Dataset, cfg: QualityConfig) -> DataFrame:
@@ -575,9 +574,7 @@ def describe_columns(measured: DataFrame, ds: Dataset, cfg: QualityConfig) -> Da
         F.coalesce(pairs, F.array().cast("array<struct<value:string,count:bigint>>")).alias("top_values"),
         "min",
         "max",
-        F.round("mean", 4).alias("mean"),
-        F.round("median", 4).alias("median"),
-        F.round("std", 4).alias("std"),
+        *[round_even(F.col(c), 4).alias(c) for c in ("mean", "median", "std")],
         "q1",
         "q3",
         "outlier_count",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dataheal.session import local_frame
+
 # Proposal types, source methods and review states.
 CROSS_DATASET_FILL = "cross_dataset_fill"
 INTERPOLATION = "interpolation"
@@ -77,7 +79,7 @@ def build_proposal(
 
 
 def no_proposals(spark) -> DataFrame:
-    return spark.createDataFrame([], PROPOSAL_SCHEMA)
+    return local_frame(spark, [], PROPOSAL_SCHEMA)
 
 
 def session_proposals(proposals: DataFrame, session_id: str) -> DataFrame:

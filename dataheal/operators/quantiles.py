@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
+from dataheal.session import local_frame
+
 PROBABILITIES = {"q1": 0.25, "median": 0.50, "q3": 0.75}
 SKETCH_K = 2_000  # sketch rank error: about 0.25 % of the rows at 99 % confidence
 MARGIN = 0.03  # bracket half-width, twelve times that error
@@ -41,7 +43,7 @@ def search_frame(spark: SparkSession, columns: list[Row]) -> DataFrame:
         for (label, q), near in zip(PROBABILITIES.items(), c["near"]):
             lo, hi = (c["min"], c["max"]) if c["non_null"] <= SMALL else (near["lo"], near["hi"])
             rows.append((c["name"], label, lo, hi, q * (c["non_null"] - 1)))
-    return spark.createDataFrame(rows, "name string, label string, lo double, hi double, rank double")
+    return local_frame(spark, rows, "name string, label string, lo double, hi double, rank double")
 
 
 def _cell() -> Column:
@@ -82,13 +84,13 @@ def exact_quantiles(hist: DataFrame, searches: DataFrame) -> DataFrame:
     ranked = placed.join(F.broadcast(wanted), [*key, "cell"]).withColumn(
         "first", F.col("start") + F.coalesce(F.sum("n").over(run), F.lit(0))
     )
-    value_at = lambda rank: F.max(F.when(_holds(F.col("first"), F.col("n"), rank), F.col("num")))
-    found = ranked.groupBy(*key).agg(
-        F.max("rank").alias("rank"), value_at(low).alias("low"), value_at(high).alias("high")
+    value_at = lambda q, rank: F.max(
+        F.when((F.col("label") == q) & _holds(F.col("first"), F.col("n"), rank), F.col("num"))
     )
-    between = F.col("low") + (F.col("high") - F.col("low")) * (F.col("rank") - low)
-    return (
-        found.withColumn("value", between)
-        .groupBy("name")
-        .agg(*[F.max(F.when(F.col("label") == q, F.col("value"))).alias(q) for q in PROBABILITIES])
+    ends = ranked.groupBy("name").agg(
+        *[value_at(q, low).alias(f"low_{q}") for q in PROBABILITIES],
+        *[value_at(q, high).alias(f"high_{q}") for q in PROBABILITIES],
+        *[F.max(F.when(F.col("label") == q, F.col("rank") - low)).alias(f"part_{q}") for q in PROBABILITIES],
     )
+    between = lambda q: F.col(f"low_{q}") + (F.col(f"high_{q}") - F.col(f"low_{q}")) * F.col(f"part_{q}")
+    return ends.select("name", *[between(q).alias(q) for q in PROBABILITIES])

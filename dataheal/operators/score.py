@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataheal.config import QualityConfig
+from dataheal.functions.numbers import round_even
 from dataheal.functions.text import percent
 
 SEVERITY_ORDER = {"critical": 0, "high": 1, "medium": 2, "low": 3}
@@ -175,7 +176,7 @@ def score_dataset(profile: DataFrame, rows: DataFrame, cfg: QualityConfig) -> Da
         ).alias("critical"),
     )
     points = F.coalesce("points", F.lit(0.0))
-    score = F.greatest(F.lit(0.0), F.round(100.0 - points, 1))
+    score = F.greatest(F.lit(0.0), round_even(100.0 - points, 1))
     issues = F.coalesce("issue_count", F.lit(0))
     fields = F.array_join(F.transform("critical", lambda c: c["column"]), ", ")
     scored = (

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -19,10 +20,14 @@ from dataheal.operators.profile import profile_columns, profile_dataset_row, uni
 from dataheal.operators.proposals import APPROVED, no_proposals, proposals_summary
 from dataheal.operators.rules import find_correction_proposals
 from dataheal.operators.score import critical_field_issues, penalties, score_dataset
-from dataheal.session import materialise
+from dataheal.session import local_frame, materialise
 from dataheal.sources.sinks import save_proposals, write_audit_manifest, write_cleaned
 
 log = logging.getLogger(__name__)
+MAX_PARALLEL = 8
+DATASET_ROW = (
+    "dataset string, row_count bigint, column_count bigint, duplicate_row_count bigint, duplicate_row_pct double"
+)
 
 
 class PipelineError(RuntimeError):
@@ -48,22 +53,36 @@ class SessionProfile:
         return self.columns.filter(F.col("dataset") == name).orderBy("ordinal").collect()
 
 
+def profile_whole(ds: Dataset, cfg: QualityConfig) -> tuple[DataFrame, DataFrame]:
+    """Column profile and dataset row, both held as local frames."""
+    profile = profile_columns(ds, cfg)
+    row = profile_dataset_row(ds, profile)
+    return profile, local_frame(ds.df.sparkSession, row.collect(), DATASET_ROW)
+
+
+def profile_columns_of(datasets: dict[str, Dataset], cfg: QualityConfig) -> DataFrame:
+    """Column profiles of several datasets, their jobs submitted side by side."""
+    with ThreadPoolExecutor(MAX_PARALLEL) as pool:
+        return union_all(list(pool.map(lambda ds: profile_columns(ds, cfg), datasets.values())))
+
+
 def profile_session(datasets: dict[str, Dataset], cfg: QualityConfig, skip_failed: bool = False) -> SessionProfile:
     """Profile and score every dataset; a failure is fatal unless ``skip_failed``."""
     good, columns, rows = {}, [], []
-    for name, ds in datasets.items():
+    # The jobs of different datasets are independent, so they are submitted side by side.
+    with ThreadPoolExecutor(MAX_PARALLEL) as pool:
+        running = {name: pool.submit(profile_whole, ds, cfg) for name, ds in datasets.items()}
+    for name, done in running.items():
         try:
-            profile = profile_columns(ds, cfg)
-            row = profile_dataset_row(ds, profile)
-            held = row.collect()
+            profile, row = done.result()
         except Exception as exc:
             if not skip_failed:
                 raise PipelineError(f"Failed to profile '{name}': {exc}") from exc
             log.warning("skipping '%s': %s", name, exc)
             continue
-        good[name] = ds
+        good[name] = datasets[name]
         columns.append(profile)
-        rows.append(ds.df.sparkSession.createDataFrame(held, row.schema))
+        rows.append(row)
     if not good:
         raise PipelineError("No dataset could be profiled.")
     all_columns, all_rows = union_all(columns), union_all(rows)
@@ -94,7 +113,10 @@ def propose(session: SessionProfile, cfg: QualityConfig, session_id: str) -> Dat
         attempt("fills", lambda: find_cross_dataset_fills(addressed, known, cfg, session_id))
     for name, ds in addressed.items():
         profiled = session.profiled(name)
-        attempt(f"inference on '{name}'", lambda: find_interpolation_proposals(ds, cfg, session_id, profiled))
+        attempt(
+            f"inference on '{name}'",
+            lambda: find_interpolation_proposals(ds, cfg, session_id, profiled),
+        )
         attempt(
             f"corrections on '{name}'",
             lambda: find_correction_proposals(ds, cfg, session_id, profiled=profiled),

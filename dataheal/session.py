@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def build_session(app: str = "dataheal", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,3 +46,19 @@ def materialise(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def local_frame(spark: SparkSession, rows: Iterable, ddl: str) -> DataFrame:
+    """A few rows of metadata as a local relation, which plans know the size of.
+
+    Rows are tuples in column order, or ``Row`` or dict by name.
+    """
+    schema = T.StructType.fromDDL(ddl)
+
+    def named(row) -> dict:
+        if isinstance(row, Row):
+            row = row.asDict(recursive=True)
+        return row if isinstance(row, dict) else dict(zip(schema.names, row))
+
+    table = pa.Table.from_pylist([named(r) for r in rows], schema=to_arrow_schema(schema))
+    return spark.createDataFrame(table, schema=schema)

@@ -12,7 +12,11 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dataheal.session import materialise
+from dataheal.session import local_frame, materialise
+
+# One start per file split is broadcast up to this many splits (about 13 TB of 128 MB splits);
+# beyond, Spark joins by shuffle.
+MAX_BROADCAST_SPLITS = 100_000
 
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
@@ -31,7 +35,7 @@ def with_sorted_positions(df: DataFrame, order_by: list[str], name: str = "row_i
     blocks = sorted((r["_block"], r["n"]) for r in fixed.groupBy("_block").agg(F.count("*").alias("n")).collect())
     ends = list(accumulate(n for _, n in blocks))
     starts = [(block, end - n) for (block, n), end in zip(blocks, ends)]
-    starts_df = df.sparkSession.createDataFrame(starts, "_block int, _start bigint")
+    starts_df = local_frame(df.sparkSession, starts, "_block int, _start bigint")
     offset = F.col("_id") - F.shiftleft(F.col("_block").cast("bigint"), _PARTITION_BITS)
     return (
         fixed.join(F.broadcast(starts_df), "_block")
@@ -55,12 +59,13 @@ def with_file_positions(df: DataFrame, name: str = "row_index") -> DataFrame:
     blocks = tagged.groupBy("_file", "_block").agg(
         F.count("*").alias("_n"), F.min("_id").alias("_first")
     )
-    files = sorted(
-        (r["_file"], r["n"]) for r in blocks.groupBy("_file").agg(F.sum("_n").alias("n")).collect()
-    )
+    sizes = blocks.groupBy("_file").agg(F.sum("_n").alias("n"), F.count("*").alias("splits")).collect()
+    files = sorted((r["_file"], r["n"]) for r in sizes)
     ends = list(accumulate(n for _, n in files))
-    file_starts = df.sparkSession.createDataFrame(
-        [(path, end - n) for (path, n), end in zip(files, ends)], "_file string, _file_start bigint"
+    file_starts = local_frame(
+        df.sparkSession,
+        [(path, end - n) for (path, n), end in zip(files, ends)],
+        "_file string, _file_start bigint",
     )
     before = (
         Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,6 +76,8 @@ def with_file_positions(df: DataFrame, name: str = "row_index") -> DataFrame:
         "_first",
         (F.col("_file_start") + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_start"),
     )
+    if sum(r["splits"] for r in sizes) <= MAX_BROADCAST_SPLITS:
+        starts = F.broadcast(starts)
     return tagged.join(starts, ["_file", "_block"]).select(
         (F.col("_start") + F.col("_id") - F.col("_first")).alias(name), *columns
     )

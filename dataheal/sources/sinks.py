@@ -9,6 +9,7 @@ from dataheal.config import Rules
 from dataheal.dataset import Dataset
 from dataheal.operators.apply import audit_manifest
 from dataheal.operators.proposals import PROPOSAL_SCHEMA, session_proposals
+from dataheal.session import local_frame
 
 MANIFEST_SCHEMA = (
     "session_id string, dataset_name string, file_path string, saved_as string, analyst_rules_json string"
@@ -33,9 +34,12 @@ def stem(name: str) -> str:
 
 
 def write_cleaned(cleaned: DataFrame, folder: str, name: str, fmt: str = "csv") -> str:
-    """One cleaned dataset under ``folder``, without ``row_index``; returns where."""
+    """One cleaned dataset under ``folder``, without ``row_index``; returns where.
+
+    Rows keep their order, within a part file and from one part file to the next.
+    """
     path = f"{folder.rstrip('/')}/{stem(name)}_cleaned"
-    data = cleaned.drop("row_index")
+    data = cleaned.orderBy("row_index").drop("row_index")
     if fmt == "csv":
         write_csv(data, path)
     else:
@@ -71,7 +75,7 @@ def register_session(
         (session_id, f["dataset_name"], f["file_path"], f.get("saved_as", f["file_path"].rsplit("/", 1)[-1]), text)
         for f in files
     ]
-    spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1).write.mode("append").partitionBy("session_id").parquet(path)
+    local_frame(spark, rows, MANIFEST_SCHEMA).write.mode("append").partitionBy("session_id").parquet(path)
 
 
 def session_files(spark: SparkSession, path: str, session_id: str) -> DataFrame:
