@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dataheal.config import QualityConfig
 from dataheal.dataset import Dataset
 from dataheal.functions.dates import date_cell, iso_date, iso_timestamp
 from dataheal.functions.ids import is_missing_id, parse_identifier, render_identifier
-from dataheal.operators.labels import is_identifier_name, ordering_column, row_label, string_columns
+from dataheal.operators.labels import Identifiers, count_identifiers, ordering_column, string_columns
 from dataheal.operators.profile import union_all
 from dataheal.operators.proposals import INTERPOLATION, build_proposal, no_proposals
 from dataheal.sources.positions import with_sorted_positions
@@ -75,13 +75,13 @@ def _annual_pair(
 
 
 def annual_date_inference(
-    ds: Dataset, cfg: QualityConfig, session_id: str = "session", profiled: list[Row] | None = None
+    ds: Dataset, cfg: QualityConfig, session_id: str = "session", identifiers: Identifiers | None = None
 ) -> DataFrame:
     """A missing date of a pair is a year from the other, where most rows run for a year."""
     pairs = [(s, e) for s, e in cfg.annual_pairs if s in ds.textual and e in ds.textual]
     if not pairs:
         return no_proposals(ds.df.sparkSession)
-    label = row_label(ds, cfg, profiled)
+    label = (identifiers or count_identifiers(ds, cfg)).label_cell(ds)
     return union_all([_annual_pair(ds, s, e, cfg, session_id, label) for s, e in pairs])
 
 
@@ -100,22 +100,26 @@ def identifier_parts(ds: Dataset, column: str) -> DataFrame:
     )
 
 
-def _sequence_gaps(ds: Dataset, column: str, ordering: str, label: Column) -> DataFrame:
-    """Rows without an identifier whose neighbours in time are two apart.
-
-    Rows get their position in ``(time, row_index)`` order; each gap then meets the rows just
-    before and after it in an equi-join on the position.
-    """
+def _in_time_order(ds: Dataset, columns: list[str], ordering: str, label: Column) -> DataFrame:
+    """The identifier columns with each row's position in ``(time, row_index)`` order."""
     at = date_cell(ds, ordering)
     ordered = ds.df.select(
         at.isNull().alias("undated"),
         at.alias("at"),
         "row_index",
-        F.when(~is_missing_id(F.col(column)), F.col(column)).alias("identifier"),
         label.alias("row_identifier"),
+        *[F.when(~is_missing_id(F.col(c)), F.col(c)).alias(f"id_{c}") for c in columns],
     )
-    placed = with_sorted_positions(ordered, ["undated", "at", "row_index"], "position")
-    gaps = placed.filter(F.col("identifier").isNull() & F.col("at").isNotNull())
+    return with_sorted_positions(ordered, ["undated", "at", "row_index"], "position")
+
+
+def _sequence_gaps(placed: DataFrame, column: str) -> DataFrame:
+    """Rows without an identifier whose neighbours in time are two apart.
+
+    Each gap meets the rows just before and after it in an equi-join on the position.
+    """
+    identifier = F.col(f"id_{column}")
+    gaps = placed.filter(identifier.isNull() & F.col("at").isNotNull())
     sides = gaps.select(
         F.col("position").alias("gap"),
         "row_index",
@@ -123,7 +127,7 @@ def _sequence_gaps(ds: Dataset, column: str, ordering: str, label: Column) -> Da
         F.col("at").alias("gap_at"),
         F.explode(F.array(F.lit(-1), F.lit(1))).alias("side"),
     ).withColumn("position", F.col("gap") + F.col("side"))
-    known = placed.filter(F.col("identifier").isNotNull()).select("position", "identifier", "at")
+    known = placed.filter(identifier.isNotNull()).select("position", identifier.alias("identifier"), "at")
     # Two neighbours per gap at most, put side by side.
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     return (
@@ -147,23 +151,23 @@ def _sequence_gaps(ds: Dataset, column: str, ordering: str, label: Column) -> Da
 
 
 def sequential_id_inference(
-    ds: Dataset, cfg: QualityConfig, session_id: str = "session", profiled: list[Row] | None = None
+    ds: Dataset, cfg: QualityConfig, session_id: str = "session", identifiers: Identifiers | None = None
 ) -> DataFrame:
     """A single missing identifier between two that are two apart is the one between them."""
     ordering = ordering_column(ds, cfg)
-    if profiled is None:
-        columns = [c for c in string_columns(ds) if is_identifier_name(c, cfg)]
-    else:
-        columns = [r["name"] for r in profiled if r["inferred_type"] == "identifier" and r["null_count"] > 0]
-    if ordering is None or not columns:
+    if ordering is None:
+        return no_proposals(ds.df.sparkSession)
+    identifiers = identifiers or count_identifiers(ds, cfg)
+    columns = [c for c in identifiers.with_nulls if c in string_columns(ds)]
+    if not columns:
         return no_proposals(ds.df.sparkSession)
-    label = row_label(ds, cfg, profiled)
+    placed = _in_time_order(ds, columns, ordering, identifiers.label_cell(ds))
 
     def one(column: str) -> DataFrame:
         next_number = (F.col("p.number") + 1).cast("decimal(38,0)")
         proposed = render_identifier(F.col("p.prefix"), next_number, F.col("p.width"))
         return build_proposal(
-            _sequence_gaps(ds, column, ordering, label),
+            _sequence_gaps(placed, column),
             session_id=session_id,
             proposal_type=INTERPOLATION,
             source_method="sequential_id_inference",
@@ -186,8 +190,9 @@ def sequential_id_inference(
 
 
 def find_interpolation_proposals(
-    ds: Dataset, cfg: QualityConfig, session_id: str = "session", profiled: list[Row] | None = None
+    ds: Dataset, cfg: QualityConfig, session_id: str = "session", identifiers: Identifiers | None = None
 ) -> DataFrame:
-    return annual_date_inference(ds, cfg, session_id, profiled).unionByName(
-        sequential_id_inference(ds, cfg, session_id, profiled)
+    identifiers = identifiers or count_identifiers(ds, cfg)
+    return annual_date_inference(ds, cfg, session_id, identifiers).unionByName(
+        sequential_id_inference(ds, cfg, session_id, identifiers)
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,37 +35,48 @@ def find_row_label_column(profile: DataFrame) -> DataFrame:
     )
 
 
-def row_label_name(candidates: list[tuple[str, float]]) -> str | None:
-    """The null-free identifier with the highest uniqueness; the first on a tie."""
-    best = max(candidates, key=lambda c: c[1], default=None)
-    return best and best[0]
+@dataclass(frozen=True)
+class Identifiers:
+    """What the row-level operators need to know about a dataset's identifier columns."""
+
+    label: str | None
+    with_nulls: tuple[str, ...]
+
+    def label_cell(self, ds: Dataset) -> Column:
+        return ds.text(self.label) if self.label else F.lit(None).cast("string")
+
+
+def _choose(found: list[tuple[str, bool, float]]) -> Identifiers:
+    """From ``(name, has nulls, uniqueness)`` in column order; the first wins a tie."""
+    full = [(name, ratio) for name, nulls, ratio in found if not nulls]
+    best = max(full, key=lambda c: c[1], default=(None, 0.0))
+    return Identifiers(best[0], tuple(name for name, nulls, _ in found if nulls))
+
+
+def profiled_identifiers(profiled: list[Row]) -> Identifiers:
+    """From collected profile rows of one dataset."""
+    rows = [r for r in profiled if r["inferred_type"] == "identifier"]
+    return _choose([(r["name"], r["null_count"] > 0, r["uniqueness_ratio"]) for r in rows])
 
 
-def _label_candidates(ds: Dataset, cfg: QualityConfig) -> list[tuple[str, float]]:
+def count_identifiers(ds: Dataset, cfg: QualityConfig) -> Identifiers:
+    """Counts the identifier columns, where no profile is at hand."""
     names = [c for c in ds.columns if c not in ds.numeric and is_identifier_name(c, cfg)]
     if not names:
-        return []
+        return Identifiers(None, ())
     rows = ds.df.agg(F.count("*").alias("n"))
     counted = text_histogram(ds, names).groupBy("name").agg(
         F.count_if(F.col("n") > 0).alias("unique_count"), F.sum("n").alias("non_null")
     )
-    full = counted.withColumn("rows", rows.scalar()).filter("non_null = rows")
-    ratios = {r["name"]: round(r["unique_count"] / r["rows"], 4) for r in full.collect()}
-    return [(c, ratios[c]) for c in names if c in ratios]
-
-
-def row_label(ds: Dataset, cfg: QualityConfig, profiled: list[Row] | None = None) -> Column:
-    """The label cell of each row; counts the identifier columns if no profile is at hand."""
-    if profiled is None:
-        candidates = _label_candidates(ds, cfg)
-    else:
-        candidates = [
-            (r["name"], r["uniqueness_ratio"])
-            for r in profiled
-            if r["inferred_type"] == "identifier" and r["null_count"] == 0
-        ]
-    name = row_label_name(candidates)
-    return ds.text(name) if name else F.lit(None).cast("string")
+    got = {r["name"]: r for r in counted.withColumn("rows", rows.scalar()).collect()}
+    found = []
+    for c in names:
+        if c not in got:
+            found.append((c, True, 0.0))
+        else:
+            r = got[c]
+            found.append((c, r["non_null"] < r["rows"], round(r["unique_count"] / r["rows"], 4)))
+    return _choose(found)
 
 
 def ordering_column(ds: Dataset, cfg: QualityConfig) -> str | None:

@@ -112,10 +112,10 @@ def number_histograms(ds: Dataset) -> list[DataFrame]:
     return [_value_counts(ds, columns, kind) for kind, columns in _numeric_kinds(ds).items() if columns]
 
 
-def number_histogram(ds: Dataset) -> DataFrame:
-    """``(name, num, n)`` over the numeric columns."""
+def as_numbers(histograms: list[DataFrame]) -> DataFrame:
+    """``(name, num, n)`` from histograms of numeric columns."""
     return union_all(
-        [h.select("name", F.col("value").cast("double").alias("num"), "n") for h in number_histograms(ds)]
+        [h.select("name", F.col("value").cast("double").alias("num"), "n") for h in histograms]
     )
 
 
@@ -174,7 +174,7 @@ def _names(ds: Dataset) -> DataFrame:
     return dataset_schema(ds).select("ordinal", "name")
 
 
-def top_values(ds: Dataset, cfg: QualityConfig) -> DataFrame:
+def top_values(ds: Dataset, cfg: QualityConfig, counted: list[DataFrame] | None = None) -> DataFrame:
     """The ``top_k`` most frequent values per column; ties by value."""
     order = Window.partitionBy("name").orderBy(F.desc("n"), F.asc("value"))
 
@@ -185,7 +185,7 @@ def top_values(ds: Dataset, cfg: QualityConfig) -> DataFrame:
         shown = render_double(F.col("value")) if number else F.col("value").cast("string")
         return top.select("name", "rank", shown.alias("value"), F.col("n").alias("count"))
 
-    return union_all([ranked(h) for h in histograms(ds)])
+    return union_all([ranked(h) for h in (histograms(ds) if counted is None else counted)])
 
 
 def casing_groups(hist: DataFrame) -> DataFrame:
@@ -261,9 +261,9 @@ def measure_columns(ds: Dataset) -> list[Row]:
     return wide.join(F.broadcast(_column_sketches(ds)), "name", "left").collect()
 
 
-def _quantiles(ds: Dataset, measured: list[Row]) -> DataFrame:
+def _quantiles(numeric_hist: DataFrame, measured: list[Row]) -> DataFrame:
     numbers = [r for r in measured if r["is_numeric"]]
-    return exact_quantiles(number_histogram(ds), search_frame(ds.df.sparkSession, numbers))
+    return exact_quantiles(numeric_hist, search_frame(numeric_hist.sparkSession, numbers))
 
 
 def _moments(ds: Dataset, measured: list[Row]) -> DataFrame:
@@ -275,7 +275,7 @@ def _moments(ds: Dataset, measured: list[Row]) -> DataFrame:
 
 def numeric_stats(ds: Dataset) -> DataFrame:
     measured = measure_columns(ds)
-    quantiles = F.broadcast(_quantiles(ds, measured))
+    quantiles = F.broadcast(_quantiles(as_numbers(number_histograms(ds)), measured))
     return (
         _moments(ds, measured)
         .join(quantiles, "name", "left")
@@ -315,7 +315,8 @@ def _outlier_counts(numeric_hist: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def iqr_outliers(ds: Dataset) -> DataFrame:
     measured = measure_columns(ds)
-    counts = _outlier_counts(number_histogram(ds), outlier_bounds(_quantiles(ds, measured)))
+    numbers = as_numbers(number_histograms(ds))
+    counts = _outlier_counts(numbers, outlier_bounds(_quantiles(numbers, measured)))
     found = F.coalesce("outlier_count", F.lit(0))
     return (
         _moments(ds, measured)
@@ -333,7 +334,8 @@ def iqr_outliers(ds: Dataset) -> DataFrame:
 def outlier_rows(ds: Dataset, column: str) -> DataFrame:
     """The rows of one column's outliers; the two bounds are constants the scan can use."""
     one = Dataset(ds.name, ds.df.select(*ds.row_order, column), ds.row_order)
-    found = outlier_bounds(_quantiles(one, measure_columns(one))).first()
+    numbers = as_numbers(number_histograms(one))
+    found = outlier_bounds(_quantiles(numbers, measure_columns(one))).first()
     if found is None:
         return ds.df.limit(0)
     col = F.col(column)
@@ -498,16 +500,19 @@ _MEASURED = (
 
 def _summaries(ds: Dataset, cfg: QualityConfig, measured: list[Row]) -> DataFrame:
     """Everything read off the histograms and date samples, one row per column."""
-    counts = [distinct_counts(h).withColumn("mixed", F.lit(None).cast("bigint")) for h in number_histograms(ds)]
-    if len(ds.numeric) < len(ds.columns):
-        counts.append(_casing_counts(text_histogram(ds)))
-    top = top_values(ds, cfg).groupBy("name").agg(
+    numeric = number_histograms(ds)
+    texts = [text_histogram(ds)] if len(ds.numeric) < len(ds.columns) else []
+    counts = [_casing_counts(h) for h in texts]
+    if numeric:
+        numbers = as_numbers(numeric)
+        counts.append(distinct_counts(numbers).withColumn("mixed", F.lit(None).cast("bigint")))
+    top = top_values(ds, cfg, numeric + texts).groupBy("name").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("ranked")
     )
     found = union_all(counts).join(F.broadcast(top), "name", "left")
-    if ds.numeric:
-        bounds = outlier_bounds(_quantiles(ds, measured))
-        found = found.join(F.broadcast(_outlier_counts(number_histogram(ds), bounds)), "name", "left")
+    if numeric:
+        bounds = outlier_bounds(_quantiles(numbers, measured))
+        found = found.join(F.broadcast(_outlier_counts(numbers, bounds)), "name", "left")
     if date_columns(ds, cfg):
         found = found.join(F.broadcast(date_format_scan(ds, cfg)), "name", "left")
     return found
@@ -612,11 +617,12 @@ def critical_flag(ds: Dataset, cfg: QualityConfig) -> DataFrame:
     return _names(ds).select("name", F.col("name").isin(*cfg.critical_fields).alias("is_critical_field"))
 
 
-def profile_dataset_row(ds: Dataset, profile: DataFrame) -> DataFrame:
+def profile_dataset_row(ds: Dataset, profile: DataFrame, duplicates: DataFrame | None = None) -> DataFrame:
     """The one-row dataset profile that goes with a column profile."""
+    duplicates = duplicate_rows(ds) if duplicates is None else duplicates
     shape = profile.agg(
         F.coalesce(F.max("row_count"), F.lit(0)).alias("row_count"), F.count("*").alias("column_count")
     ).withColumn("dataset", F.lit(ds.name))
-    return shape.join(duplicate_rows(ds), "dataset").select(
+    return shape.join(duplicates, "dataset").select(
         "dataset", "row_count", "column_count", "duplicate_row_count", "duplicate_row_pct"
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,7 @@ from dataheal.functions.text import (
     title_case,
     to_number,
 )
-from dataheal.operators.labels import is_date_name, row_label, string_columns
+from dataheal.operators.labels import Identifiers, count_identifiers, is_date_name, string_columns
 from dataheal.operators.profile import text_histogram, union_all
 from dataheal.operators.proposals import DATA_CORRECTION, build_proposal, no_proposals
 
@@ -291,10 +291,10 @@ def find_correction_proposals(
     cfg: QualityConfig,
     session_id: str = "session",
     only: tuple[str, ...] = RULE_NAMES,
-    profiled: list[Row] | None = None,
+    identifiers: Identifiers | None = None,
 ) -> DataFrame:
     """Proposals of the rules named in ``only`` for one dataset."""
-    label = row_label(ds, cfg, profiled)
+    label = (identifiers or count_identifiers(ds, cfg)).label_cell(ds)
     batches = []
     for capped in (True, False):
         rules = [r for r in RULES if r.name in only and r.capped is capped]

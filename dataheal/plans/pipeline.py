@@ -16,7 +16,8 @@ from dataheal.operators.apply import LOWEST, apply_proposals
 from dataheal.operators.fill import find_cross_dataset_fills
 from dataheal.operators.infer import find_interpolation_proposals
 from dataheal.operators.insights import join_reports
-from dataheal.operators.profile import profile_columns, profile_dataset_row, union_all
+from dataheal.operators.labels import profiled_identifiers
+from dataheal.operators.profile import duplicate_rows, profile_columns, profile_dataset_row, union_all
 from dataheal.operators.proposals import APPROVED, no_proposals, proposals_summary
 from dataheal.operators.rules import find_correction_proposals
 from dataheal.operators.score import critical_field_issues, penalties, score_dataset
@@ -25,6 +26,7 @@ from dataheal.sources.sinks import save_proposals, write_audit_manifest, write_c
 
 log = logging.getLogger(__name__)
 MAX_PARALLEL = 8
+DUPLICATES = "dataset string, duplicate_row_count bigint, duplicate_row_pct double"
 DATASET_ROW = (
     "dataset string, row_count bigint, column_count bigint, duplicate_row_count bigint, duplicate_row_pct double"
 )
@@ -55,8 +57,11 @@ class SessionProfile:
 
 def profile_whole(ds: Dataset, cfg: QualityConfig) -> tuple[DataFrame, DataFrame]:
     """Column profile and dataset row, both held as local frames."""
-    profile = profile_columns(ds, cfg)
-    row = profile_dataset_row(ds, profile)
+    with ThreadPoolExecutor(1) as pool:
+        counting = pool.submit(duplicate_rows(ds).collect)
+        profile = profile_columns(ds, cfg)
+    duplicates = local_frame(ds.df.sparkSession, counting.result(), DUPLICATES)
+    row = profile_dataset_row(ds, profile, duplicates)
     return profile, local_frame(ds.df.sparkSession, row.collect(), DATASET_ROW)
 
 
@@ -112,14 +117,14 @@ def propose(session: SessionProfile, cfg: QualityConfig, session_id: str) -> Dat
     if len(addressed) > 1:
         attempt("fills", lambda: find_cross_dataset_fills(addressed, known, cfg, session_id))
     for name, ds in addressed.items():
-        profiled = session.profiled(name)
+        identifiers = profiled_identifiers(session.profiled(name))
         attempt(
             f"inference on '{name}'",
-            lambda: find_interpolation_proposals(ds, cfg, session_id, profiled),
+            lambda: find_interpolation_proposals(ds, cfg, session_id, identifiers),
         )
         attempt(
             f"corrections on '{name}'",
-            lambda: find_correction_proposals(ds, cfg, session_id, profiled=profiled),
+            lambda: find_correction_proposals(ds, cfg, session_id, identifiers=identifiers),
         )
     return union_all(batches) if batches else no_proposals(spark)
 

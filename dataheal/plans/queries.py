@@ -129,6 +129,7 @@ def _decision(id_, decision: str, hour: int):
 def made_proposals(spark: SparkSession, sf: str) -> DataFrame:
     """Fills, inference and corrections for the policies, written once as a proposals table."""
     policies, quotes = views.policies(spark, sf), views.quotes(spark, sf)
+    identifiers = labels.count_identifiers(policies, CFG)
     fills = fill.cross_dataset_fill(
         policies, quotes, "policy_number", ["ncd", "product_type"], CFG.fill_confidence_primary, SESSION_ID
     )
@@ -136,8 +137,8 @@ def made_proposals(spark: SparkSession, sf: str) -> DataFrame:
         profile.union_all(
             [
                 fills,
-                infer.find_interpolation_proposals(policies, CFG, SESSION_ID),
-                rules.find_correction_proposals(policies, CFG, SESSION_ID),
+                infer.find_interpolation_proposals(policies, CFG, SESSION_ID, identifiers),
+                rules.find_correction_proposals(policies, CFG, SESSION_ID, identifiers=identifiers),
             ]
         )
     )
