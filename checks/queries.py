@@ -55,10 +55,10 @@ def profiling() -> dict[str, str]:
     prof = lambda query: with_(V.profile_ctes("policies"), query)
     on_policies = lambda query: with_(V.view_ctes("policies"), query)
     stats = lambda c, table: (
-        f"SELECT '{c}' AS name, round_even(CAST(min({c}) AS DOUBLE), 4) AS min, round_even(CAST(max({c}) AS DOUBLE), 4) AS max, "
-        f"round_even(avg({c}), 4) AS mean, round_even(quantile_cont({c}, 0.5), 4) AS median, round_even(stddev_samp({c}), 4) AS std"
+        f"SELECT '{c}' AS name, CAST(printf('%.4f', CAST(CAST(min({c}) AS DOUBLE) AS DOUBLE)) AS DOUBLE) AS min, CAST(printf('%.4f', CAST(CAST(max({c}) AS DOUBLE) AS DOUBLE)) AS DOUBLE) AS max, "
+        f"CAST(printf('%.4f', CAST(avg({c}) AS DOUBLE)) AS DOUBLE) AS mean, CAST(printf('%.4f', CAST(quantile_cont({c}, 0.5) AS DOUBLE)) AS DOUBLE) AS median, CAST(printf('%.4f', CAST(stddev_samp({c}) AS DOUBLE)) AS DOUBLE) AS std"
         + (
-            f", round_even(quantile_cont({c}, 0.25), 4) AS q1, round_even(quantile_cont({c}, 0.75), 4) AS q3 FROM {table}"
+            f", CAST(printf('%.4f', CAST(quantile_cont({c}, 0.25) AS DOUBLE)) AS DOUBLE) AS q1, CAST(printf('%.4f', CAST(quantile_cont({c}, 0.75) AS DOUBLE)) AS DOUBLE) AS q3 FROM {table}"
         )
     )
     bounds = (
@@ -75,7 +75,7 @@ def profiling() -> dict[str, str]:
     return {
         "null_profile": on_policies(
             union(
-                f"SELECT '{c}' AS name, count(*) - count({c}) AS null_count, round_even((count(*) - count({c})) / count(*), 4) "
+                f"SELECT '{c}' AS name, count(*) - count({c}) AS null_count, CAST(printf('%.4f', CAST((count(*) - count({c})) / count(*) AS DOUBLE)) AS DOUBLE) "
                 f"AS null_pct FROM policies"
                 for c in policies
             )
@@ -84,7 +84,7 @@ def profiling() -> dict[str, str]:
             union(f"SELECT '{c}' AS name, count(*) - count({c}) AS null_count FROM policies" for c in policies)
         ),
         "distinct_profile": union(
-            f"SELECT '{c}' AS name, count(DISTINCT {c}) AS unique_count, round_even(count(DISTINCT {c}) / count(*), 4) "
+            f"SELECT '{c}' AS name, count(DISTINCT {c}) AS unique_count, CAST(printf('%.4f', CAST(count(DISTINCT {c}) / count(*) AS DOUBLE)) AS DOUBLE) "
             "AS uniqueness_ratio FROM lineitem"
             for c in LINEITEM
         ),
@@ -92,9 +92,9 @@ def profiling() -> dict[str, str]:
         "numeric_stats": union(stats(c, "lineitem") for c in LINEITEM_NUMERIC),
         "basic_stats": f"SELECT name, min, max, mean, median, std FROM ({stats('o_totalprice', 'orders')})",
         "iqr_outliers": union(
-            f"SELECT '{c}' AS name, round_even(lower, 4) AS lower, round_even(upper, 4) AS upper, "
+            f"SELECT '{c}' AS name, CAST(printf('%.4f', CAST(lower AS DOUBLE)) AS DOUBLE) AS lower, CAST(printf('%.4f', CAST(upper AS DOUBLE)) AS DOUBLE) AS upper, "
             f"(SELECT count(*) FROM events WHERE {c} < lower OR {c} > upper) AS outlier_count, "
-            f"round_even((SELECT count(*) FROM events WHERE {c} < lower OR {c} > upper) / (SELECT count(*) FROM events), 4) "
+            f"CAST(printf('%.4f', CAST((SELECT count(*) FROM events WHERE {c} < lower OR {c} > upper) / (SELECT count(*) FROM events) AS DOUBLE)) AS DOUBLE) "
             f"AS outlier_pct FROM ({bounds.format(c)})"
             for c in events
         ),
@@ -123,7 +123,7 @@ def profiling() -> dict[str, str]:
             f"SELECT dataset, duplicate_row_count, duplicate_row_pct FROM ({V.dataset_rows('policies_dup')})",
         ),
         "duplicate_rows_wide": (
-            "SELECT 'lineitem' AS dataset, a.n - b.n AS duplicate_row_count, round_even((a.n - b.n) / a.n, 4) AS duplicate_row_pct "
+            "SELECT 'lineitem' AS dataset, a.n - b.n AS duplicate_row_count, CAST(printf('%.4f', CAST((a.n - b.n) / a.n AS DOUBLE)) AS DOUBLE) AS duplicate_row_pct "
             "FROM (SELECT count(*) AS n FROM lineitem) a, (SELECT count(*) AS n FROM (SELECT DISTINCT l_suppkey, l_quantity, "
             "l_discount, l_returnflag FROM lineitem)) b"
         ),
@@ -162,7 +162,7 @@ def profiling() -> dict[str, str]:
 
 def scoring() -> dict[str, str]:
     scored = lambda query: with_(S.score_ctes(*S.SCORED), query)
-    overall = f"SELECT round_even(mean, 1) AS overall_score, {S.OVERALL_GRADE} AS grade, dataset_count FROM ({S.OVERALL})"
+    overall = f"SELECT CAST(printf('%.1f', CAST(mean AS DOUBLE)) AS DOUBLE) AS overall_score, {S.OVERALL_GRADE} AS grade, dataset_count FROM ({S.OVERALL})"
     counted = "count(*) FILTER (WHERE grade = '{0}') AS {1}"
     rag = ", ".join(counted.format(g, g.lower()) for g in ("Green", "Amber", "Red"))
     order = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
@@ -172,7 +172,7 @@ def scoring() -> dict[str, str]:
             "SELECT name, null_pct, CAST(CASE WHEN null_pct > 0.5 THEN 10 WHEN null_pct > 0.2 THEN 5 WHEN null_pct > 0.05 THEN 2 END "
             "AS INTEGER) AS points FROM prof",
         ),
-        "penalties": scored("SELECT dataset, \"column\", kind, points_deducted, severity, reason, round_even(rate, 6) AS rate FROM penalty"),
+        "penalties": scored("SELECT dataset, \"column\", kind, points_deducted, severity, reason, CAST(printf('%.6f', CAST(rate AS DOUBLE)) AS DOUBLE) AS rate FROM penalty"),
         "critical_field_issues": scored(
             "SELECT dataset, name AS field, null_count, null_pct, 'Critical field ''' || name || ''' has ' || null_count || "
             "' null value(s) — heavy penalty applied.' AS detail FROM prof WHERE is_critical_field AND null_count > 0"
@@ -184,7 +184,7 @@ def scoring() -> dict[str, str]:
             f"SELECT dataset, \"column\", severity, CAST({order} AS INTEGER) AS severity_rank, reason FROM penalty"
         ),
         "session_average_score": scored(
-            "SELECT round_even(avg(score), 4) AS average_score, CASE WHEN avg(score) >= 75 THEN 'Green' WHEN avg(score) >= 50 THEN 'Amber' "
+            "SELECT CAST(printf('%.4f', CAST(avg(score) AS DOUBLE)) AS DOUBLE) AS average_score, CASE WHEN avg(score) >= 75 THEN 'Green' WHEN avg(score) >= 50 THEN 'Amber' "
             "ELSE 'Red' END AS grade, CAST(sum(issue_count) AS BIGINT) AS issue_count FROM score"
         ),
         "overall_score": scored(overall),
@@ -194,12 +194,12 @@ def scoring() -> dict[str, str]:
             S.alert_ctes(*S.SCORED), "SELECT severity, dataset, \"column\", alert_text, points_impact FROM top_alerts"
         ),
         "benchmark_context": scored(
-            f"SELECT round_even(mean, 1) AS current_score, 75 AS benchmark_score, round_even(mean - 75, 1) AS delta, {S.BENCHMARK} AS context "
+            f"SELECT CAST(printf('%.1f', CAST(mean AS DOUBLE)) AS DOUBLE) AS current_score, 75 AS benchmark_score, CAST(printf('%.1f', CAST(mean - 75 AS DOUBLE)) AS DOUBLE) AS delta, {S.BENCHMARK} AS context "
             f"FROM ({S.OVERALL})"
         ),
         "dashboard": with_(
             {**S.alert_ctes(*V.SESSION), **{k: v for k, v in join_ctes().items() if k not in V.SESSION}},
-            f"SELECT round_even(mean, 1) AS overall_score, {S.OVERALL_GRADE} AS grade, dataset_count, "
+            f"SELECT CAST(printf('%.1f', CAST(mean AS DOUBLE)) AS DOUBLE) AS overall_score, {S.OVERALL_GRADE} AS grade, dataset_count, "
             + ", ".join(f"(SELECT count(*) FROM score WHERE grade = '{g}') AS {g.lower()}" for g in ("Green", "Amber", "Red"))
             + ", (SELECT count(*) FROM score) AS total, (SELECT string_agg(alert_text, ' | ' ORDER BY urgency, points_impact DESC, "
             "place, ordinal) FROM top_alerts) AS critical_alerts, (SELECT string_agg(business_summary, ' | ' ORDER BY value DESC) "
@@ -263,7 +263,7 @@ def inference() -> dict[str, str]:
     made = lambda sql: with_(P.rule_ctes(), f"SELECT {P.COLUMNS} FROM ({sql})")
     return {
         "annual_term_evidence": with_(
-            P.rule_ctes(), "SELECT both_present, annual_rows, round_even(annual_ratio, 6) AS annual_ratio FROM evidence"
+            P.rule_ctes(), "SELECT both_present, annual_rows, CAST(printf('%.6f', CAST(annual_ratio AS DOUBLE)) AS DOUBLE) AS annual_ratio FROM evidence"
         ),
         "annual_date_inference": made(P.ANNUAL),
         "parse_identifier": (
@@ -400,7 +400,7 @@ def _quality(a: str, b: str, key: str) -> str:
 
 
 _RATED = (
-    "SELECT *, round_even(matched_keys / greatest(total_keys_a, total_keys_b, 1), 3) AS match_rate, "
+    "SELECT *, CAST(printf('%.3f', CAST(matched_keys / greatest(total_keys_a, total_keys_b, 1) AS DOUBLE)) AS DOUBLE) AS match_rate, "
     "CASE WHEN total_keys_a >= total_keys_b THEN dataset_a ELSE dataset_b END AS base_dataset FROM ({0})"
 )
 # In session order; every pair's best key is the policy number, a known key name.
@@ -437,10 +437,10 @@ def join_ctes() -> dict[str, str]:
         "quality": _RATED.format(union(_quality(a, b, "policy_number") for a, b in PAIRS)),
         "offer": f"SELECT * FROM (VALUES {', '.join(offers)}) t(place, dataset_a, dataset_b, insights, examples)",
         "opportunity": (
-            "SELECT q.dataset_a, q.dataset_b, q.join_key, CAST(round_even(q.match_rate * 100, 0) AS INTEGER) AS match_rate, "
+            "SELECT q.dataset_a, q.dataset_b, q.join_key, CAST(CAST(printf('%.0f', CAST(q.match_rate * 100 AS DOUBLE)) AS DOUBLE) AS INTEGER) AS match_rate, "
             "o.insights AS insights_count, CASE WHEN o.insights > 0 THEN 'Combining ' || q.dataset_a || ' and ' || q.dataset_b || "
             "' data enables ' || o.examples ELSE upper(q.dataset_a[1]) || q.dataset_a[2:] || ' and ' || upper(q.dataset_b[1]) || "
-            "q.dataset_b[2:] || ' records can be linked — ' || printf('%.0f%%', round_even(q.match_rate * 100, 0)) || ' of keys match' END "
+            "q.dataset_b[2:] || ' records can be linked — ' || printf('%.0f%%', CAST(printf('%.0f', CAST(q.match_rate * 100 AS DOUBLE)) AS DOUBLE)) || ' of keys match' END "
             "AS business_summary, q.match_rate * 0.6 + o.insights / (SELECT greatest(max(insights), 1) FROM offer) * 0.4 AS value "
             "FROM quality q JOIN offer o ON q.dataset_a = o.dataset_a AND q.dataset_b = o.dataset_b "
             "ORDER BY value DESC, o.place LIMIT 3"
@@ -484,7 +484,7 @@ def joins() -> dict[str, str]:
                 f"SELECT '{a}' AS dataset_a, '{b}' AS dataset_b, '{c}' AS \"column\", {str(known).upper()} AS is_known_key, "
                 f"{unique(a, c)} AS u_a, {unique(b, c)} AS u_b"
             )
-    known_first = "SELECT dataset_a, dataset_b, \"column\", is_known_key, round_even(u_a, 6) AS uniqueness_a, round_even(u_b, 6) AS uniqueness_b"
+    known_first = "SELECT dataset_a, dataset_b, \"column\", is_known_key, CAST(printf('%.6f', CAST(u_a AS DOUBLE)) AS DOUBLE) AS uniqueness_a, CAST(printf('%.6f', CAST(u_b AS DOUBLE)) AS DOUBLE) AS uniqueness_b"
     single = union(
         f"SELECT '{v}' AS dataset, '{i}' AS id" for v in V.SESSION for i in _offered(V.COLUMNS[v], False)
     )
@@ -498,7 +498,7 @@ def joins() -> dict[str, str]:
         "uniqueness_ratio": with_(
             V.view_ctes("policies"),
             union(
-                f"SELECT 'policies' AS dataset, '{c}' AS name, round_even(count(DISTINCT {c}) / count(*), 6) AS uniqueness FROM policies"
+                f"SELECT 'policies' AS dataset, '{c}' AS name, CAST(printf('%.6f', CAST(count(DISTINCT {c}) / count(*) AS DOUBLE)) AS DOUBLE) AS uniqueness FROM policies"
                 for c in V.COLUMNS["policies"]
             ),
         ),

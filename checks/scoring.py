@@ -62,7 +62,7 @@ def score_ctes(*views: str) -> dict[str, str]:
         "rows": dataset_rows(*views),
         "penalty": " UNION ALL ".join([duplicate, *per_column]),
         "scored": (
-            "SELECT r.dataset, r.row_count, greatest(0.0, round_even(100.0 - coalesce(sum(p.points_deducted), 0), 1)) AS score, "
+            "SELECT r.dataset, r.row_count, greatest(0.0, CAST(printf('%.1f', CAST(100.0 - coalesce(sum(p.points_deducted), 0) AS DOUBLE)) AS DOUBLE)) AS score, "
             "count(p.kind) AS issue_count, string_agg(CASE WHEN p.kind = 'critical_null' THEN p.\"column\" END, ', ' "
             "ORDER BY p.ordinal) AS fields FROM rows r LEFT JOIN penalty p ON p.dataset = r.dataset GROUP BY 1, 2"
         ),
@@ -89,7 +89,7 @@ def _label(sql: str) -> str:
 
 def alert_text() -> str:
     column, dataset = _label('"column"'), _label("dataset")
-    share = "printf('%.0f%%', round_even(rate * 100, 0))"
+    share = "printf('%.0f%%', rate * 100)"
     return (
         f"CASE kind WHEN 'critical_field' THEN {column} || ' has ' || {share} || ' missing values in ' || {dataset} || "
         "' — this is a critical insurance field' "
@@ -132,10 +132,10 @@ OVERALL = (
 )
 OVERALL_GRADE = "CASE WHEN mean >= 75 THEN 'Green' WHEN mean >= 50 THEN 'Amber' ELSE 'Red' END"
 BENCHMARK = (
-    "CASE WHEN round_even(mean - 75, 1) >= 5 THEN 'Your data quality is ' || printf('%.0f', round_even(abs(round_even(mean - 75, 1)), 0)) || "
+    "CASE WHEN CAST(printf('%.1f', CAST(mean - 75 AS DOUBLE)) AS DOUBLE) >= 5 THEN 'Your data quality is ' || printf('%.0f', CAST(printf('%.0f', CAST(abs(CAST(printf('%.1f', CAST(mean - 75 AS DOUBLE)) AS DOUBLE)) AS DOUBLE)) AS DOUBLE)) || "
     "' points above the industry benchmark of 75/100 — maintain focus on critical field completeness to stay ahead.' "
-    "WHEN round_even(mean - 75, 1) >= 0 THEN 'Your data quality is close to the industry benchmark of 75/100. Addressing the "
+    "WHEN CAST(printf('%.1f', CAST(mean - 75 AS DOUBLE)) AS DOUBLE) >= 0 THEN 'Your data quality is close to the industry benchmark of 75/100. Addressing the "
     "critical alerts above could push you into the Green tier.' "
-    "ELSE 'Your data quality is ' || printf('%.0f', round_even(abs(round_even(mean - 75, 1)), 0)) || ' points below the industry "
+    "ELSE 'Your data quality is ' || printf('%.0f', CAST(printf('%.0f', CAST(abs(CAST(printf('%.1f', CAST(mean - 75 AS DOUBLE)) AS DOUBLE)) AS DOUBLE)) AS DOUBLE)) || ' points below the industry "
     "benchmark of 75/100. Focus on fixing missing values in critical insurance fields to improve reliability scores.' END"
 )

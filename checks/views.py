@@ -49,6 +49,11 @@ def view_ctes(*names: str) -> dict[str, str]:
     return {n: VIEWS[n] for n in sorted(wanted, key=list(VIEWS).index)}
 
 
+def rounded(sql: str, digits: int) -> str:
+    """The decimal nearest to the stored double, as ``printf`` writes it."""
+    return f"CAST(printf('%.{digits}f', CAST({sql} AS DOUBLE)) AS DOUBLE)"
+
+
 def text(column: str) -> str:
     return f"CAST({column} AS VARCHAR)"
 
@@ -111,8 +116,8 @@ def _measured(view: str, ordinal: int, column: str) -> str:
         f"SELECT '{view}' AS dataset, {ordinal} AS ordinal, '{column}' AS name, '{TYPES.get(column, 'string')}' AS dtype_raw, "
         f"{'TRUE' if number else 'FALSE'} AS is_numeric, count(*) AS row_count, count(*) - count({column}) AS null_count, "
         f"count(DISTINCT {column}) AS unique_count, {stat(f'min({column})')} AS min, {stat(f'max({column})')} AS max, "
-        f"{stat(f'round_even(avg({column}), 4)')} AS mean, {stat(f'round_even(quantile_cont({column}, 0.5), 4)')} AS median, "
-        f"{stat(f'round_even(stddev_samp({column}), 4)')} AS std, {stat(f'quantile_cont({column}, 0.25)')} AS q1, "
+        f"{stat(rounded(f'avg({column})', 4))} AS mean, {stat(rounded(f'quantile_cont({column}, 0.5)', 4))} AS median, "
+        f"{stat(rounded(f'stddev_samp({column})', 4))} AS std, {stat(f'quantile_cont({column}, 0.25)')} AS q1, "
         f"{stat(f'quantile_cont({column}, 0.75)')} AS q3, "
         f"{outliers(view, column) if number else null('BIGINT')} AS outlier_count, "
         f"{null('BIGINT') if number else casing(view, column)} AS casing_inconsistency_count, "
@@ -136,7 +141,7 @@ def _kind() -> str:
 
 
 def percent(rate: str, decimals: int) -> str:
-    return f"printf('%.{decimals}f%%', round_even(CAST({rate} AS DOUBLE) * 100, {decimals}))"
+    return f"printf('%.{decimals}f%%', CAST({rate} AS DOUBLE) * 100)"
 
 
 def _issues() -> list[str]:
@@ -163,7 +168,7 @@ def profile_ctes(*views: str) -> dict[str, str]:
     measured = " UNION ALL ".join(
         _measured(v, i, c) for v in views for i, c in enumerate(COLUMNS[v])
     )
-    rate = lambda n: f"round_even({n} / greatest(row_count, 1), 4)"
+    rate = lambda n: f"CAST(printf('%.4f', CAST({n} / greatest(row_count, 1) AS DOUBLE)) AS DOUBLE)"
     return {
         **view_ctes(*views),
         "measured": measured,
@@ -192,7 +197,7 @@ def dataset_rows(*views: str) -> str:
             f"(SELECT count(*) FROM {v}) - (SELECT count(*) FROM (SELECT DISTINCT {cols} FROM {v})) AS duplicate_row_count"
         )
     return (
-        "SELECT *, round_even(duplicate_row_count / greatest(row_count, 1), 4) AS duplicate_row_pct FROM ("
+        "SELECT *, CAST(printf('%.4f', CAST(duplicate_row_count / greatest(row_count, 1) AS DOUBLE)) AS DOUBLE) AS duplicate_row_pct FROM ("
         + " UNION ALL ".join(parts)
         + ")"
     )

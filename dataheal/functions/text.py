@@ -61,12 +61,16 @@ def parse_currency(col: Column) -> Column:
 def render_double(col: Column) -> Column:
     """A double as text the way a CSV writer shows it: shortest digits, at least one decimal,
     an exponent only from 1e16 up and below 1e-4."""
-    shown = col.cast("string")
+    text = col.cast("string")
+    # Java may print a 17th digit where 16 already give the number back.
+    sixteen = F.format_string("%.15e", col)
+    shorter = (F.length(text) >= 18) & (sixteen.try_cast("double") == col)
+    shown = F.when(shorter, sixteen).otherwise(text)
     size = F.abs(col)
-    plain = F.regexp_replace(col.try_cast("decimal(38,21)").cast("string"), "0+$", "")
+    plain = F.regexp_replace(shown.try_cast("decimal(38,21)").cast("string"), "0+$", "")
     plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    mantissa = F.regexp_replace(F.regexp_extract(shown, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
-    power = F.regexp_extract(shown, r"E(-?\d+)$", 1).try_cast("int")
+    mantissa = F.regexp_replace(F.regexp_extract(shown, r"^(-?[0-9.]+)[eE]", 1), r"\.?0*$", "")
+    power = F.regexp_extract(shown, r"[eE]([+-]?\d+)$", 1).try_cast("int")
     digits = F.abs(power).cast("string")
     scientific = F.concat(
         mantissa,
@@ -74,7 +78,7 @@ def render_double(col: Column) -> Column:
         F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits),
     )
     return (
-        F.when(~shown.contains("E"), shown)
+        F.when(~shown.rlike("[eE]"), shown)
         .when((size >= 1e16) | (size < 1e-4), scientific)
         .otherwise(plain)
     )

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from dataheal.config import QualityConfig
 from dataheal.dataset import Dataset
-from dataheal.functions.numbers import exact_sum, round_even
+from dataheal.functions.numbers import exact_sum, round_scaled
 from dataheal.functions.text import parse_currency
 from dataheal.operators.joins import detect_join_pairs
 from dataheal.operators.profile import union_all
@@ -149,8 +149,8 @@ def _finish(grouped: DataFrame, insight: Insight) -> DataFrame:
     """``(group, rows, count, sum)`` to the insight's columns and order."""
     total = F.col("_sum").cast("double")
     made = {
-        "mean": round_even(total / F.nullif(F.col("_count"), F.lit(0)), 2),
-        "sum": round_even(F.coalesce(total, F.lit(0.0)), 2),
+        "mean": round_scaled(total / F.nullif(F.col("_count"), F.lit(0)), 2),
+        "sum": round_scaled(F.coalesce(total, F.lit(0.0)), 2),
         "count": F.col("_count"),
         "rows": F.col("_rows"),
     }
