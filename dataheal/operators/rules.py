@@ -247,13 +247,29 @@ def candidates(ds: Dataset, cfg: QualityConfig, rules: list[Rule], label: Column
     )
 
 
+# Up to here Spark cuts a ranked window to its first rows before the shuffle (WindowGroupLimit).
+GROUP_LIMIT = 1_000
+SLICES = 256
+
+
+def _first_rows(found: DataFrame, by: list[str], cap: int) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy("row_index")
+    return found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).drop("_rank")
+
+
 def cap_per_column(found: DataFrame, cap: int | None) -> DataFrame:
-    """The first ``cap`` candidates of each rule and column in row order; ``None`` keeps all."""
+    """The first ``cap`` candidates of each rule and column in row order; ``None`` keeps all.
+
+    A cap too large for the early cut is first applied to slices of each group, so that no
+    task ranks a whole column.
+    """
     if cap is None:
         return found
-    order = Window.partitionBy("rule", "column_name").orderBy("row_index")
-    # Each partition passes on at most ``cap`` rows per rule and column (WindowGroupLimit).
-    return found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).drop("_rank")
+    by = ["rule", "column_name"]
+    if cap > GROUP_LIMIT:
+        sliced = found.withColumn("_slice", F.pmod(F.xxhash64("row_index"), F.lit(SLICES)))
+        found = _first_rows(sliced, [*by, "_slice"], cap).drop("_slice")
+    return _first_rows(found, by, cap)
 
 
 def _worded(found: DataFrame, rules: list[Rule], ds: Dataset, cfg: QualityConfig, session_id: str) -> DataFrame:
