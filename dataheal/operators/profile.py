@@ -433,6 +433,7 @@ def inferred_type(cfg: QualityConfig) -> Column:
 
 
 def _issue_texts(cfg: QualityConfig) -> Column:
+    # The issue texts of the report.
     (over_half, _), (high, _), (elevated, _) = cfg.null_tiers
     pct, nulls, critical = F.col("null_pct"), F.col("null_count"), F.col("is_critical_field")
     kind = F.col("inferred_type")

@@ -47,8 +47,16 @@ def search_frame(spark: SparkSession, columns: list[Row]) -> DataFrame:
 
 
 def _cell() -> Column:
-    """Equal-width cell of ``num`` in ``[lo, hi]``; 0 where all its values are equal."""
-    return F.coalesce(F.expr(f"width_bucket(num, lo, hi, {CELLS})"), F.lit(0).cast("bigint"))
+    """Equal-width cell of ``num`` in ``[lo, hi]``, one cell below it and one above.
+
+    A bracket of equal ends is a single cell.
+    """
+    inside = F.coalesce(F.expr(f"width_bucket(num, lo, hi, {CELLS})"), F.lit(0).cast("bigint"))
+    return (
+        F.when(F.col("num") < F.col("lo"), F.lit(-1))
+        .when(F.col("num") > F.col("hi"), F.lit(CELLS + 2))
+        .otherwise(inside)
+    )
 
 
 def _holds(start: Column, size: Column, rank: Column) -> Column:
@@ -63,13 +71,10 @@ def exact_quantiles(hist: DataFrame, searches: DataFrame) -> DataFrame:
     low, high = F.floor("rank"), F.ceil("rank")
     key = ["name", "label"]
 
-    # Values above a bracket are dropped; those below only count, as cell -1.
+    # Values outside a bracket only count. Were a rank ever to fall there, that cell would be
+    # ranked, so the result is exact whatever the bracket.
     search = F.broadcast(searches)
-    placed = (
-        hist.join(search, "name")
-        .filter(F.col("num") <= F.col("hi"))
-        .withColumn("cell", F.when(F.col("num") < F.col("lo"), F.lit(-1)).otherwise(_cell()))
-    )
+    placed = hist.join(search, "name").withColumn("cell", _cell())
     sizes = placed.groupBy(*key, "cell").agg(F.sum("n").alias("size"))
     before = Window.partitionBy(*key).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     wanted = (

@@ -41,6 +41,7 @@ def _penalty(kind: str, points: Column, severity: Column | str, reason: Column,
 
 
 def _column_penalties(cfg: QualityConfig) -> list[Column]:
+    # The reason texts of the report.
     kind, nulls, pct = F.col("inferred_type"), F.col("null_count"), F.col("null_pct")
     critical = F.col("is_critical_field")
     named = lambda text, *args: F.format_string(f"Column '%s': {text}", F.col("name"), *args)

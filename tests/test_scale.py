@@ -48,6 +48,18 @@ def test_wide_cells_of_one_value(spark, monkeypatch):
     assert [row["q1"], row["median"], row["q3"]] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])))
 
 
+def test_a_missed_bracket_is_still_exact(spark):
+    """Brackets that hold no quantile at all: the ranks fall in the cells around them."""
+    values = [float(x * x % 9973) for x in range(8_000)]
+    hist = frame(spark, [("v", v, 1) for v in values], "name string, num double, n bigint")
+    for lo, hi in ((-9.0, -5.0), (1e6, 2e6), (9_000.0, 9_001.0)):
+        wrong = [
+            {"name": "v", "non_null": 8_000, "min": 0.0, "max": 9_972.0, "near": [{"lo": lo, "hi": hi}] * 3}
+        ]
+        row = quantiles.exact_quantiles(hist, quantiles.search_frame(spark, wrong)).first()
+        assert [row["q1"], row["median"], row["q3"]] == pytest.approx(list(np.quantile(values, [0.25, 0.5, 0.75])))
+
+
 def test_sorted_positions_with_a_hot_key(spark):
     rnd = random.Random(3)
     rows = [(1 if rnd.random() < 0.4 else rnd.randrange(1000), i) for i in range(5_000)]
