@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -18,6 +17,7 @@ def build_session(app: str = "dataheal", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master:
         builder = builder.master(master)
@@ -27,16 +27,12 @@ def build_session(app: str = "dataheal", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; only a local run without one gets its own."""
+    """Use the folder named in ``spark.checkpoint.dir``; without one, a folder in the warehouse,
+    which all executors share as well."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="dataheal-checkpoint-")
-    context.setCheckpointDir(named)
+    if context.getCheckpointDir() is None:
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_dataheal")
 
 
 def materialise(df: DataFrame) -> DataFrame:
