@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dataheal.llm import quality
+from dataheal.llm import language, quality
 
 
 def queries() -> dict:
-    return {"op6_quality_rules": quality.query}
+    return {"op6_quality_rules": quality.query, "op10_language_id": language.query}
 
 
 def oracle_sql() -> dict:
