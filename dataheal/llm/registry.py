@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from dataheal.llm import language, quality
+from dataheal.llm import language, quality, secrets
 
 
 def queries() -> dict:
-    return {"op6_quality_rules": quality.query, "op10_language_id": language.query}
+    return {"op6_quality_rules": quality.query, "op10_language_id": language.query, "op2_secret_scan": secrets.query}
 
 
 def oracle_sql() -> dict:
