@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from dataheal.llm import language, quality, secrets
+from dataheal.llm import html, language, quality, secrets, tokencounts
 
 
 def queries() -> dict:
-    return {"op6_quality_rules": quality.query, "op10_language_id": language.query, "op2_secret_scan": secrets.query}
+    return {
+        "op1_html_extraction": html.query,
+        "op2_secret_scan": secrets.query,
+        "op6_quality_rules": quality.query,
+        "op7_token_counts": tokencounts.query,
+        "op10_language_id": language.query,
+    }
 
 
 def oracle_sql() -> dict:
