@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataheal.llm import html, language, quality, secrets, tokencounts
+from dataheal.llm import decontaminate, html, language, licenses, quality, secrets, tokencounts
 
 
 def queries() -> dict:
@@ -11,9 +11,14 @@ def queries() -> dict:
         "op2_secret_scan": secrets.query,
         "op6_quality_rules": quality.query,
         "op7_token_counts": tokencounts.query,
+        "op8_license_scan": licenses.query,
+        "op9_decontamination": decontaminate.query,
         "op10_language_id": language.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op8_license_scan": licenses.sql(),
+        "op9_decontamination": decontaminate.sql(),
+    }
