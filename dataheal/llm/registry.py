@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataheal.llm import decontaminate, html, language, licenses, quality, secrets, tokencounts
+from dataheal.llm import decontaminate, html, jaccard, language, licenses, quality, secrets, tokencounts
 
 
 def queries() -> dict:
     return {
         "op1_html_extraction": html.query,
         "op2_secret_scan": secrets.query,
+        "op3_ngram_join": jaccard.query,
         "op6_quality_rules": quality.query,
         "op7_token_counts": tokencounts.query,
         "op8_license_scan": licenses.query,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op3_ngram_join": jaccard.sql(),
         "op8_license_scan": licenses.sql(),
         "op9_decontamination": decontaminate.sql(),
     }
