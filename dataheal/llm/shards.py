@@ -3,9 +3,10 @@
 From the bytes in the old shards and equal capacities of the new ones, a minimum-cost flow decides
 how many bytes go from each old shard to each new one so that the fewest bytes move. Old shards are
 cut into blocks by a hash of the id, blocks into runs of documents; each document goes where the
-flow sends the byte at which it starts. Only shards whose content changes are rewritten.
+flow sends its middle byte. Only shards whose content changes are rewritten.
 
-The law is ``bytes``: shards differ from equal sizes by one document at each of their few cuts.
+The law is ``bytes``: shards differ from equal sizes by one document at each of their few cuts. An
+old shard begins with its large documents, longest first, so cuts fall among small ones.
 Running sums are taken within blocks of about ``BLOCK_ROWS`` rows and then over the small table of
 block sums, so neither an old shard with a third of all rows nor a new one is one task's work.
 
@@ -28,6 +29,8 @@ from dataheal.session import local_frame, materialise
 BLOCK_ROWS = 20_000
 #: Bytes that a document takes besides its text.
 OVERHEAD = 8
+#: A document is large if it takes more than this share of a new shard; so few can be.
+LARGE = 0.001
 
 
 def min_cost_flow(supply: list[int], capacity: list[int]) -> dict[tuple[int, int], int]:
@@ -107,13 +110,15 @@ def assign(rows: DataFrame, n_new: int) -> DataFrame:
     spark = rows.sparkSession
     plan = local_frame(spark, cuts, "old int, shard int, first long, last long")
     blocks = local_frame(spark, [(i, max(1, -(-n // BLOCK_ROWS))) for i, (n, _) in sorted(seen.items())], "old int, blocks int")
-    mixed = F.xxhash64("id", "digest", "size")
-    dealt = rows.join(F.broadcast(blocks), "old").withColumn("mixed", mixed).withColumn("block", F.pmod("mixed", "blocks").cast("int"))
+    large = F.col("size") > F.lit(LARGE * sum(supply) / n_new)
+    hashed = F.xxhash64("id", "digest", "size")
+    dealt = rows.join(F.broadcast(blocks), "old").withColumns(
+        {"mixed": F.when(large, -F.col("size")).otherwise(hashed), "block": F.when(large, -1).otherwise(F.pmod(hashed, "blocks")).cast("int")})
     order = W.partitionBy("old", "block").orderBy("mixed", "id", "digest", "size")
     inner = dealt.withColumn("inner", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     sums = rows_before(dealt.groupBy("old", "block").agg(F.sum("size").alias("amount")), ["old"], ["block"], "before")
-    placed = inner.join(sums, ["old", "block"]).withColumn("at", F.col("before") + F.col("inner"))
-    cut = placed.join(F.broadcast(plan), "old").where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("last")))
+    placed = inner.join(sums, ["old", "block"]).withColumn("middle", F.col("before") + F.col("inner") + F.expr("size div 2"))
+    cut = placed.join(F.broadcast(plan), "old").where((F.col("middle") >= F.col("first")) & (F.col("middle") < F.col("last")))
     # written once: slots number the rows of the very same assignment
     cut = materialise(cut.select("id", "size", "digest", "old", "shard", "block", "mixed"))
     counts = rows_before(cut.groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("amount")), ["shard"], ["old", "block"], "earlier")
