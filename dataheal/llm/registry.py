@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataheal.llm import decontaminate, html, jaccard, language, licenses, quality, secrets, shards, tokencounts
+from dataheal.llm import decontaminate, html, jaccard, language, licenses, packing, quality, secrets, shards, tokencounts
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_html_extraction": html.query,
         "op2_secret_scan": secrets.query,
         "op3_ngram_join": jaccard.query,
+        "op4_packing": packing.query,
         "op5_sharding": shards.query,
         "op6_quality_rules": quality.query,
         "op7_token_counts": tokencounts.query,
