@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -83,6 +83,12 @@ def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
+def without(df: DataFrame, found: DataFrame, condition: Column) -> DataFrame:
+    """The rows of ``df`` that match none of ``found``, which is written already: a broadcast if it is short, else a shuffle."""
+    few = found.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(found) if few else found, condition, "left_anti")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph (a, b); component: its smallest node.
 

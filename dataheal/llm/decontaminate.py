@@ -82,9 +82,8 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without an overlap with ``items``, all columns as they are."""
-    found = overlaps(docs, items, doc_id, text).select("doc_id", "key").distinct()
-    hashed = F.xxhash64(docs[text])
-    return docs.join(found, docs[doc_id].eqNullSafe(found["doc_id"]) & (hashed == found["key"]), "left_anti")
+    found = materialise(overlaps(docs, items, doc_id, text).select("doc_id", "key").distinct())
+    return common.without(docs, found, native.holds(docs, found, doc_id, text))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

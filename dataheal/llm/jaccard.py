@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dataheal.llm import common
+from dataheal.llm import common, native
 from dataheal.session import materialise
 
 WIDTH, PERCENT = 5, 75
@@ -260,8 +260,8 @@ def hot_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataFr
     return found.union(close.where(similar(percent)).select("a", "b")).union(more)
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document: 100 * intersection >= percent * union links two."""
+def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, key, n, least_id, group): ``key`` hashes the text, ``group`` is a class of the component (null without n-grams), ``least_id`` its smallest id."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     by_doc, levels = measure(docs, width)
     classes = materialise(by_doc.where("n > 0").groupBy("cls", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least_id")))
@@ -287,9 +287,27 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int
     least = home.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = classes.select("cls", "least_id").join(
         home.select(F.col("node").alias("cls"), "component").join(least, "component"), "cls", "left").select(
-        "cls", F.coalesce("component_id", "least_id").alias("component_id"))
-    out = by_doc.join(of_class, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "cls", F.coalesce("component", "cls").alias("group"), F.coalesce("component_id", "least_id").alias("least_id"))
+    return by_doc.join(of_class, "cls", "left").select("doc_id", "key", "n", "least_id", "group")
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document: 100 * intersection >= percent * union links two."""
+    return groups(docs, doc_id, text, width, percent).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("group").isNotNull(), F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` of each component, that with the smallest id (null last); rows without n-grams all stay."""
+    found = materialise(groups(docs, doc_id, text))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    first = found.where("group is not null").groupBy("group").agg(F.min(order).alias("first"))
+    marked = found.join(first, "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")))
+    gone = materialise(marked.where(~F.col("stays")).select("doc_id", "key").distinct())
+    repeated = materialise(marked.where("stays").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"))
+    left = common.without(docs, gone, native.holds(docs, gone, doc_id, text))
+    again = docs.join(repeated, native.holds(docs, repeated, doc_id, text), "left_semi").dropDuplicates([doc_id, text])
+    return common.without(left, repeated, native.holds(left, repeated, doc_id, text)).union(again)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

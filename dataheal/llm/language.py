@@ -87,14 +87,14 @@ class Filters:
                 out[i] = np.count_nonzero(mask & table.dtype.type(1 << (i - 64 * w)))
         return np.maximum(0, (out - len(found) * self.wrong) / (1 - self.wrong))
 
-    def predict(self, text: str) -> tuple[str, float, float]:
-        """Language, its share of all languages' counts, and the share of n-grams that it contains."""
+    def predict(self, text: str) -> tuple[str, float, float, int]:
+        """Language, its share of all languages' counts, the share of n-grams that it contains, and their number."""
         if not self.languages or not LETTER.search(text):
-            return UNKNOWN, 0.0, 0.0
+            return UNKNOWN, 0.0, 0.0, 0
         found = grams(text)
         n = self.counts(found)
         best = int(n.argmax())
-        return self.languages[best], float(n[best] / n.sum()) if n.sum() else 0.0, float(n[best] / max(1, len(found)))
+        return self.languages[best], float(n[best] / n.sum()) if n.sum() else 0.0, float(n[best] / max(1, len(found))), len(found)
 
 
 def slot(found: np.ndarray, seed: int, size: int) -> np.ndarray:
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, filters: Filters, doc_id: str = "doc_id", text: st
     def make(part: pa.RecordBatch) -> dict:
         model = Filters(*sent.value)
         rows = [model.predict(t) for t in common.texts(part.column("text"))]
-        lang, score, known = zip(*rows)
+        lang, score, known, _ = zip(*rows)
         return {"doc_id": part.column("doc_id"), "lang_pred": lang, "score": score, "known": known}
 
     return common.map_rows(
@@ -152,6 +152,27 @@ def identify(docs: DataFrame, filters: Filters, doc_id: str = "doc_id", text: st
         "doc_id long, lang_pred string, score double, known double", "text", make)
 
 
+def keep(docs: DataFrame, filters: Filters, text: str = "text", least: float = 0.05, evidence: int = 100) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language, all columns as they are.
+
+    Left out are texts without a letter, and texts with ``evidence`` n-grams or more of which no language
+    knows the share ``least``.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slots, filters.wrong))
+
+    @F.pandas_udf("boolean")
+    def known(column):
+        model = Filters(*sent.value)
+
+        def one(t):
+            lang, _, share, n = model.predict(t or "")
+            return lang != UNKNOWN and (share >= least or n < evidence)
+
+        return column.map(one)
+
+    return docs.where(known(docs[text]))
+
+
 def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
 

@@ -41,6 +41,11 @@ def keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("key"), F.col(text).alias("text"))
 
 
+def holds(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> Column:
+    """Whether a row of ``docs`` is one that ``found`` (doc_id, key) names."""
+    return docs[doc_id].eqNullSafe(found["doc_id"]) & (F.xxhash64(docs[text]) == found["key"])
+
+
 def same(a: DataFrame, b: DataFrame, *cols: str) -> Column:
     """Equality of the columns, null equal to null."""
     out = F.lit(True)

@@ -37,8 +37,8 @@ LENGTH, LOT = 2048, 4096
 ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 3, 2, 4, 6
 #: Bins that are less full than this are dealt again.
 FULL = 0.98
-#: Most words whose ids a worker keeps.
-HELD = 1_000_000
+#: Most words whose ids a worker keeps; later words are tokenized when they come.
+HELD = 1_500_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -56,19 +56,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.ids: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids by word, of ``words`` at least."""
         new = [w for w in words if w not in self.ids]
-        if len(self.ids) + len(new) > HELD:
-            self.ids.clear()
-            new = list(words)
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        self.ids.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
+        known = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
+        if len(self.ids) + len(new) > HELD:
+            return {w: known[w] if w in known else self.ids[w] for w in words}
+        self.ids.update(known)
+        return self.ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # letters differ in case only, except in the names of special tokens
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self.learn({w for words in split for w in words})
-        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
+        ids = self.learn({w for words in split for w in words})
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
 
 
 def encoder(path: str) -> Encoder:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from dataheal.llm import decontaminate, html, jaccard, language, licenses, packing, quality, secrets, shards, tokencounts
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_license_scan": licenses.query,
         "op9_decontamination": decontaminate.query,
         "op10_language_id": language.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
