@@ -3,7 +3,8 @@
 Every run of ``K`` words of a document is hashed and joined to the runs of the license templates.
 A hit votes for a diagonal, the document position less the template position: an unchanged
 copy puts all its votes on one. Neighbouring diagonals (words added or left out) are merged and the
-span is verified by the share of the template's runs that it holds.
+span is verified by the share of the template's runs that it holds. Licenses differ by a word or a
+number, so of verified spans that overlap only those with the most runs stay.
 
 The templates are a fixed list, so they are broadcast; hits are aggregated as 64-bit masks of
 template positions before and after the only shuffle. The documents themselves stay in place.
@@ -69,15 +70,21 @@ def spans(docs: DataFrame) -> DataFrame:
     hits = runs.join(F.broadcast(templates(docs.sparkSession)), "hash")
     place = ["doc_id", "key", "template", "label", "base", "runs"]
     votes = hits.groupBy(*place, (F.col("pos") - F.col("at")).alias("diagonal")).agg(
-        F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+        F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     along = W.partitionBy(*place).orderBy("diagonal")
     # a base phrase stands unchanged, so its diagonals are never merged
     apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(along) > BAND)
     merged = votes.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(along))
-    found = merged.groupBy(*place, "span").agg(F.min("diagonal").alias("start"), F.bit_or("mask").alias("mask"))
-    share = F.bit_count("mask") / F.col("runs")
-    return found.withColumn("share", share).where(F.col("share") >= F.when(F.col("base"), 1.0).otherwise(SHARE)).select(
-        "doc_id", "key", "label", "base", "start", "share")
+    found = merged.groupBy(*place, "span").agg(
+        F.min("diagonal").alias("start"), F.bit_count(F.bit_or("mask")).alias("held"), F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"))
+    good = found.withColumn("share", F.col("held") / F.col("runs")).where(F.col("share") >= F.when(F.col("base"), 1.0).otherwise(SHARE))
+    # base places and notices compete among themselves only; a base place never gives way
+    text = W.partitionBy("doc_id", "key", "base").orderBy("first", "last", "template")
+    so_far = F.max("last").over(text.rowsBetween(W.unboundedPreceding, -1))
+    heap = good.withColumn("new", F.coalesce(F.col("first") > so_far, F.lit(True)).cast("int")).withColumn(
+        "heap", F.sum("new").over(text.rowsBetween(W.unboundedPreceding, 0)))
+    best = F.max("held").over(W.partitionBy("doc_id", "key", "base", "heap"))
+    return heap.withColumn("best", best).where("base or held = best").select("doc_id", "key", "label", "base", "start", "share")
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,12 +119,15 @@ def sql() -> str:
     tg AS (SELECT i, label, base, len(w) - {K - 1} AS runs, "at", {run('w', '"at"')} AS g
            FROM (SELECT *, unnest(range(len(w) - {K - 1})) AS "at" FROM t)),
     dg AS (SELECT r, pos, {run('w', 'pos')} AS g FROM (SELECT *, unnest(range(len(w) - {K - 1})) AS pos FROM docs)),
-    votes AS (SELECT r, i, label, base, runs, pos - "at" AS d, list("at") AS ats FROM dg JOIN tg USING (g) GROUP BY ALL),
+    votes AS (SELECT r, i, label, base, runs, pos - "at" AS d, list("at") AS ats, min(pos) AS p0, max(pos) AS p1 FROM dg JOIN tg USING (g) GROUP BY ALL),
     gaps AS (SELECT *, d - lag(d) OVER (PARTITION BY r, i ORDER BY d) AS gap FROM votes),
     parts AS (SELECT *, sum(CASE WHEN base OR gap IS NULL OR gap > {BAND} THEN 1 ELSE 0 END) OVER (PARTITION BY r, i ORDER BY d) AS part FROM gaps),
-    found AS (SELECT r, i, label, base, min(d) AS start, len(list_distinct(flatten(list(ats)))) / any_value(runs) AS share
+    found AS (SELECT r, i, label, base, min(d) AS start, len(list_distinct(flatten(list(ats)))) AS held, any_value(runs) AS runs, min(p0) AS p0, max(p1) + {K - 1} AS p1
               FROM parts GROUP BY r, i, label, base, part),
-    good AS (SELECT * FROM found WHERE share >= CASE WHEN base THEN 1.0 ELSE {SHARE} END),
+    fine AS (SELECT *, held / runs AS share FROM found WHERE held / runs >= CASE WHEN base THEN 1.0 ELSE {SHARE} END),
+    edges AS (SELECT *, CASE WHEN p0 <= max(p1) OVER (PARTITION BY r, base ORDER BY p0, p1, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM fine),
+    heaps AS (SELECT *, sum(new) OVER (PARTITION BY r, base ORDER BY p0, p1, i ROWS UNBOUNDED PRECEDING) AS heap FROM edges),
+    good AS (SELECT * FROM (SELECT *, max(held) OVER (PARTITION BY r, base, heap) AS best FROM heaps) WHERE base OR held = best),
     by_doc AS (SELECT r, count(*) FILTER (WHERE base) AS n_base, min(start) FILTER (WHERE base) AS first_word,
                       max(start) FILTER (WHERE base) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS base_labels,
                       string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM good GROUP BY r)

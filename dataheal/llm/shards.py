@@ -5,8 +5,9 @@ how many bytes go from each old shard to each new one so that the fewest bytes m
 cut into blocks by a hash of the id, blocks into runs of documents; each document goes where the
 flow sends its middle byte. Only shards whose content changes are rewritten.
 
-The law is ``bytes``: shards differ from equal sizes by one document at each of their few cuts. An
-old shard begins with its large documents, longest first, so cuts fall among small ones.
+The law is ``bytes``. Large documents, of which there can only be few, are placed first: longest
+first, each where the flow has most room left for its old shard. The flow of the small ones then
+fills all new shards to one level, so sizes differ by a small document at each of a shard's cuts.
 Running sums are taken within blocks of about ``BLOCK_ROWS`` rows and then over the small table of
 block sums, so neither an old shard with a third of all rows nor a new one is one task's work.
 
@@ -17,7 +18,8 @@ with none.
 
 from __future__ import annotations
 
-from collections import deque
+import heapq
+from collections import Counter, deque
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -94,36 +96,87 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD
 
 
+def place_large(sizes: list[tuple[int, int, int]], flow: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int]]:
+    """Runs (old, size, shard, first, last) of the equally long large documents (old, size, number) of each old shard."""
+    room: dict[int, list[tuple[int, int]]] = {}
+    for (i, j), units in flow.items():
+        heapq.heappush(room.setdefault(i, []), (-units, j))
+    runs = []
+    for i, size, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
+        to = Counter()
+        for _ in range(n):
+            left, j = room[i][0]
+            heapq.heapreplace(room[i], (left + size, j))
+            to[j] += 1
+        at = 0
+        for j in sorted(to, key=lambda j: (j != i, j)):
+            runs.append((i, size, j, at, at + to[j]))
+            at += to[j]
+    return runs
+
+
+def levelled(held: list[int], more: int) -> list[int]:
+    """How much of ``more`` each shard takes so that all reach one level, as far as what they hold allows."""
+    order = sorted(range(len(held)), key=lambda j: held[j])
+    for n in range(len(held), 0, -1):
+        level, rest = divmod(more + sum(held[j] for j in order[:n]), n)
+        if level >= held[order[n - 1]]:
+            out = [0] * len(held)
+            for k, j in enumerate(order[:n]):
+                out[j] = level + (k < rest) - held[j]
+            return out
+    return [0] * len(held)
+
+
 def assign(rows: DataFrame, n_new: int) -> DataFrame:
     """``rows`` (id, size, digest, old) with ``shard`` and ``slot``; old shards are 0 to their number - 1."""
-    seen = {r["old"]: (r["n"], r["bytes"]) for r in rows.groupBy("old").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()}
-    n_old = max(seen, default=-1) + 1
-    supply = [seen.get(i, (0, 0))[1] for i in range(n_old)]
-    flow = min_cost_flow(supply, capacities(sum(supply), n_new))
-    # an old shard is laid out as the bytes that stay, then those for each new shard in turn
+    spark = rows.sparkSession
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    large = F.col("size") > LARGE * total / n_new
+    # at most n_new / LARGE different sizes are large, and as many old shards as there are
+    by_size = rows.groupBy("old", F.when(large, F.col("size")).alias("size")).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).collect()
+    n_old = max((r["old"] for r in by_size), default=-1) + 1
+    supply, small, counts = [0] * n_old, [0] * n_old, [0] * n_old
+    for r in by_size:
+        supply[r["old"]] += r["bytes"]
+        if r["size"] is None:
+            small[r["old"]], counts[r["old"]] = r["bytes"], r["n"]
+    runs = place_large([(r["old"], r["size"], r["n"]) for r in by_size if r["size"] is not None], min_cost_flow(supply, capacities(total, n_new)))
+    held = [0] * n_new
+    for _, size, j, first, last in runs:
+        held[j] += size * (last - first)
+    flow = min_cost_flow(small, levelled(held, sum(small)))
+    # the small documents of an old shard: the bytes that stay, then those for each new shard in turn
     cuts = []
     for i in range(n_old):
         at = 0
         for j in sorted((j for (k, j) in flow if k == i), key=lambda j: (j != i, j)):
             cuts.append((i, j, at, at + flow[i, j]))
             at += flow[i, j]
-    spark = rows.sparkSession
+    mixed = rows.withColumn("mixed", F.xxhash64("id", "digest", "size"))
+    key = ("mixed", "id", "digest", "size")
+
+    of_runs = local_frame(spark, runs, "old int, size long, shard int, first long, last long")
+    k = F.row_number().over(W.partitionBy("old", "size").orderBy(*key)) - 1
+    big = mixed.where(large).withColumn("k", k).join(F.broadcast(of_runs), ["old", "size"]).where(
+        (F.col("k") >= F.col("first")) & (F.col("k") < F.col("last"))).withColumn("block", F.lit(-1))
+
     plan = local_frame(spark, cuts, "old int, shard int, first long, last long")
-    blocks = local_frame(spark, [(i, max(1, -(-n // BLOCK_ROWS))) for i, (n, _) in sorted(seen.items())], "old int, blocks int")
-    large = F.col("size") > F.lit(LARGE * sum(supply) / n_new)
-    hashed = F.xxhash64("id", "digest", "size")
-    dealt = rows.join(F.broadcast(blocks), "old").withColumns(
-        {"mixed": F.when(large, -F.col("size")).otherwise(hashed), "block": F.when(large, -1).otherwise(F.pmod(hashed, "blocks")).cast("int")})
-    order = W.partitionBy("old", "block").orderBy("mixed", "id", "digest", "size")
+    blocks = local_frame(spark, [(i, max(1, -(-n // BLOCK_ROWS))) for i, n in enumerate(counts)], "old int, blocks int")
+    dealt = mixed.where(~large).join(F.broadcast(blocks), "old").withColumn("block", F.pmod("mixed", "blocks").cast("int"))
+    order = W.partitionBy("old", "block").orderBy(*key)
     inner = dealt.withColumn("inner", F.sum("size").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     sums = rows_before(dealt.groupBy("old", "block").agg(F.sum("size").alias("amount")), ["old"], ["block"], "before")
-    placed = inner.join(sums, ["old", "block"]).withColumn("middle", F.col("before") + F.col("inner") + F.expr("size div 2"))
-    cut = placed.join(F.broadcast(plan), "old").where((F.col("middle") >= F.col("first")) & (F.col("middle") < F.col("last")))
+    middle = F.col("before") + F.col("inner") + F.expr("size div 2")
+    cut = inner.join(sums, ["old", "block"]).withColumn("middle", middle).join(F.broadcast(plan), "old").where(
+        (F.col("middle") >= F.col("first")) & (F.col("middle") < F.col("last")))
+
+    cols = ("id", "size", "digest", "old", "shard", "block", "mixed")
     # written once: slots number the rows of the very same assignment
-    cut = materialise(cut.select("id", "size", "digest", "old", "shard", "block", "mixed"))
-    counts = rows_before(cut.groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("amount")), ["shard"], ["old", "block"], "earlier")
-    rank = F.row_number().over(W.partitionBy("shard", "old", "block").orderBy("mixed", "id", "digest", "size")) - 1
-    return cut.withColumn("rank", rank).join(counts, ["shard", "old", "block"]).withColumn("slot", F.col("earlier") + F.col("rank"))
+    placed = materialise(big.select(*cols).union(cut.select(*cols)))
+    before = rows_before(placed.groupBy("shard", "old", "block").agg(F.count(F.lit(1)).alias("amount")), ["shard"], ["old", "block"], "earlier")
+    rank = F.row_number().over(W.partitionBy("shard", "old", "block").orderBy(*key)) - 1
+    return placed.withColumn("rank", rank).join(before, ["shard", "old", "block"]).withColumn("slot", F.col("earlier") + F.col("rank"))
 
 
 def rows_before(sums: DataFrame, of: list[str], order: list[str], name: str) -> DataFrame:
