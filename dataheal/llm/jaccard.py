@@ -11,10 +11,12 @@ classes whose sizes allow a link. Counts are added up over the blocks, pairs tha
 threshold from their sizes and count are discarded, and the rest is verified on the whole sets.
 
 An n-gram that stays common in prefixes (near copies by the thousand) is not multiplied out. Its
-classes are linked to one leader first. What that leaves in different components is compared by
-leaders: Jaccard distance is a metric, so members of two stars can only be linked if the distance
-of their leaders allows it, and only then members are compared. No link between different texts
-is lost, and a group of copies costs as many rows as it has members.
+classes are linked to the most typical one first, then what is left to the most typical of that.
+What stays in different components is compared by leaders: Jaccard distance is a metric, so members
+of two stars can only be linked if the distance of their leaders allows it, and only then members
+are compared. No link between different texts is lost, and a group of copies costs as many rows as
+it has members. Before whole sets are fetched, a bitmap of each set (one bit by n-gram) bounds the
+overlap of a pair from above: differing bits are n-grams that only one of them has.
 
 Defined results: null and empty texts have no n-gram and are linked with nothing, so are their own
 component; a text with fewer words than the width has its whole sequence as one n-gram; repeated
@@ -24,6 +26,7 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +42,9 @@ from dataheal.session import materialise
 WIDTH, PERCENT = 5, 75
 SLOTS, SLICE = 1 << 21, 1 << 13
 #: An n-gram in more classes than this is not multiplied out; prefix n-grams by block of the product.
-COMMON, BLOCK = 64, 500_000
+COMMON, BLOCK = 64, 1_000_000
+#: 64-bit words of the bitmap of a set.
+BITMAP = 16
 #: Slices of the count table that one task adds up at most.
 FAN_IN = 256
 
@@ -58,6 +63,12 @@ def class_of(grams: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(grams.tobytes()))))if len(grams) else 0
 
 
+def bitmap(grams: np.ndarray) -> np.ndarray:
+    bits = np.zeros(64 * BITMAP, np.uint8)
+    bits[((grams >> np.uint64(20)) % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     """n-grams that a set of n must share with any set linked to it."""
     return -(-percent * n // 100)
@@ -69,33 +80,31 @@ def needed(docs: DataFrame) -> DataFrame:
 
 def measure(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, key, cls, n) by document, and the level of every slot: 0, or higher the more common its n-grams are."""
-    schema = T.StructType.fromDDL("doc_id long, key long, cls long, n long, part int, slice int, counts binary")
+    schema = T.StructType.fromDDL("doc_id long, key long, cls long, n long, bits array<long>, part int, slice int, counts binary")
     arrow = common.to_arrow_schema(schema)
 
+    def batch(rows: int, **cols) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(rows, f.type) for f in arrow], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         counts = np.zeros(SLOTS, np.uint32)
         for b in common.chunks(batches, "text"):
             sets = [shingles(t, width) for t in common.utf8(b.column("text"))]
-            every = np.concatenate(sets)
-            slots, times = np.unique((every >> np.uint64(40)).astype(np.int64) % SLOTS, return_counts=True)
+            slots, times = np.unique((np.concatenate(sets) >> np.uint64(40)).astype(np.int64) % SLOTS, return_counts=True)
             counts[slots] += times.astype(np.uint32)
-            n = b.num_rows
-            cols = [b.column("doc_id"), b.column("key"), pa.array([class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*cols, pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=arrow)
-        task, n = TaskContext.get().partitionId(), SLOTS // SLICE
-        filled = [(i, counts[i * SLICE : (i + 1) * SLICE].tobytes()) for i in range(n) if counts[i * SLICE : (i + 1) * SLICE].any()]
-        longs = pa.nulls(len(filled), pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [longs, longs, longs, longs, pa.array([task] * len(filled), pa.int32()), pa.array([i for i, _ in filled], pa.int32()), pa.array([c for _, c in filled], pa.binary())], schema=arrow)
+            yield batch(b.num_rows, doc_id=b.column("doc_id"), key=b.column("key"), cls=[class_of(x) for x in sets], n=[len(x) for x in sets], bits=[bitmap(x) for x in sets])
+        task = TaskContext.get().partitionId()
+        filled = [(i, packed(counts[i * SLICE : (i + 1) * SLICE])) for i in range(SLOTS // SLICE) if counts[i * SLICE : (i + 1) * SLICE].any()]
+        yield batch(len(filled), part=[task] * len(filled), slice=[i for i, _ in filled], counts=[c for _, c in filled])
 
     both = materialise(needed(docs).mapInArrow(run, schema))
     tasks = both.rdd.getNumPartitions()
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in table.column("counts").to_pylist())
-        row = {"part": [0], "slice": [table.column("slice")[0].as_py()], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]}
+        total = sum(unpacked(c).astype(np.uint64) for c in table.column("counts").to_pylist())
+        row = {"part": [0], "slice": [table.column("slice")[0].as_py()], "counts": [packed(np.minimum(total, 2**32 - 1).astype(np.uint32))]}
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(row.items(), (pa.int32(), pa.int32(), pa.binary()))})
 
     slices = both.where("counts is not null").select(F.expr(f"part % {-(-tasks // FAN_IN)}").alias("part"), "slice", "counts")
@@ -103,10 +112,18 @@ def measure(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
         slices = slices.groupBy(*keys).applyInArrow(add, "part int, slice int, counts binary")
     counts = np.zeros(SLOTS, np.uint32)
     for r in slices.collect():
-        counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.uint32)
+        counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = unpacked(r["counts"])
     usual = COMMON + 2 * counts.mean()
     levels = np.where(counts > usual, np.log2(np.maximum(1, counts / usual)) + 1, 0).astype(np.uint8)
-    return both.where("counts is null").select("doc_id", "key", "cls", "n"), levels
+    return both.where("counts is null").select("doc_id", "key", "cls", "n", "bits"), levels
+
+
+def packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(counts), np.uint32)
 
 
 def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,15 +135,19 @@ def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndar
 
 
 def incidence(docs: DataFrame, levels: np.ndarray, n_blocks: int, width: int, percent: int) -> DataFrame:
-    """Prefix n-grams by column block: packed (gram, cls, n) in ``entries``; common ones, block -1, one row each in gram, cls, n."""
+    """Prefix n-grams by column block: packed runs of one class each (``cls``, ``n``, ``size`` of the run) and their ``grams``.
+
+    A block holds all classes of its n-grams, which 48 bits tell apart within it. Common n-grams come as
+    rows of ``common`` (gram, cls, n, share of common n-grams in millionths), dealt out evenly.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(levels)
-    schema = T.StructType.fromDDL("block int, entries binary, gram long, cls long, n long")
+    schema = T.StructType.fromDDL("block int, cls binary, n binary, size binary, grams binary, common binary")
     arrow = common.to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a class is written once by each task
         for b in common.chunks(batches, "text"):
-            held, usual = [], []
+            held, often = [np.empty((0, 3), np.int64)], [np.empty((0, 4), np.int64)]
             for text in common.utf8(b.column("text")):
                 grams = shingles(text, width)
                 cls = class_of(grams)
@@ -134,53 +155,71 @@ def incidence(docs: DataFrame, levels: np.ndarray, n_blocks: int, width: int, pe
                     continue
                 seen.add(cls)
                 first, level = prefix(grams, sent.value, percent)
-                rows = np.empty((len(first), 3), np.int64)
+                rows = np.empty((len(first), 4), np.int64)
                 rows[:, 0], rows[:, 1], rows[:, 2] = first.view(np.int64), cls, len(grams)
-                held.append(rows)
-                usual.append(level == 0)
-            if not held:
-                continue
-            rows, usual = np.concatenate(held), np.concatenate(usual)
-            plain, rest = rows[usual], rows[~usual]
-            block = (plain[:, 0].view(np.uint64) % np.uint64(n_blocks)).astype(np.int64)
-            order = np.argsort(block, kind="stable")
-            found, starts = np.unique(block[order], return_index=True)
-            packed = [x.tobytes() for x in np.split(plain[order], starts[1:])] if len(found) else []
-            none = pa.nulls(len(found), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary()), none, none, none], schema=arrow)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([-1] * len(rest), pa.int32()), pa.nulls(len(rest), pa.binary()), *(pa.array(rest[:, k], pa.int64()) for k in range(3))], schema=arrow)
+                held.append(rows[level == 0, :3])
+                if level.any():
+                    rows[:, 3] = 1_000_000 * np.count_nonzero(sent.value[(grams >> np.uint64(40)).astype(np.int64) % SLOTS]) // len(grams)
+                    often.append(rows[level > 0])
+            rows, rest = np.concatenate(held), np.concatenate(often)
+            block = (rows[:, 0].view(np.uint64) % np.uint64(n_blocks)).astype(np.int64)
+            order = np.lexsort((rows[:, 1], block))
+            rows, block = rows[order], block[order]
+            at = ((rest[:, 0] ^ rest[:, 1]).view(np.uint64) % np.uint64(n_blocks)).astype(np.int64)
+            out = {f.name: [] for f in arrow}
+            for k in np.unique(np.concatenate([block, at])).tolist():
+                a, z = np.searchsorted(block, [k, k + 1])
+                part = rows[a:z]
+                runs = np.flatnonzero(np.concatenate([[True], part[1:, 1] != part[:-1, 1]])) if len(part) else np.empty(0, np.int64)
+                six = np.ascontiguousarray((part[:, 0].view(np.uint64) >> np.uint64(16)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+                for name, value in (
+                    ("cls", part[runs, 1]), ("n", part[runs, 2].astype(np.int32)), ("size", np.diff(np.concatenate([runs, [len(part)]])).astype(np.int32)),
+                    ("grams", np.ascontiguousarray(six)), ("common", rest[at == k])):
+                    out[name].append(value.tobytes())
+                out["block"].append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
 
     return needed(docs).mapInArrow(run, schema)
 
 
+PRODUCT = "a long, b long, na long, nb long, overlap long, gram long, share long"
+
+
 def product(percent: int):
-    """Pairs of classes in one column block with their overlap there, and the n-grams in too many classes (b null)."""
-    names = ("a", "b", "na", "nb", "overlap")
+    """Pairs of classes in one column block with their overlap there; common n-grams as (a, na, gram, share) with b null."""
+    arrow = common.to_arrow_schema(T.StructType.fromDDL(PRODUCT))
 
-    def table(rows: np.ndarray, null_b: bool = False) -> dict:
-        cols = dict(zip(names, rows.T))
-        return {k: pa.nulls(len(rows), pa.int64()) if null_b and k == "b" else pa.array(v, pa.int64()) for k, v in cols.items()}
+    def table(rows: np.ndarray, names: str) -> pa.Table:
+        cols = dict(zip(names.split(), rows.T))
+        return pa.table([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(len(rows), f.type) for f in arrow], schema=arrow)
 
     def run(block: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 3) for x in block.column("entries").to_pylist()])
+        read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in block.column(name).to_pylist()])
+        sizes = read("size", np.int32)
+        grams = np.zeros((int(sizes.sum()), 8), np.uint8)
+        grams[:, :6] = read("grams", np.uint8).reshape(-1, 6)
+        rows = np.stack([grams.view("<i8")[:, 0], np.repeat(read("cls", np.int64), sizes), np.repeat(read("n", np.int32).astype(np.int64), sizes)], 1)
+        hot = [read("common", np.int64).reshape(-1, 4)[:, [1, 2, 0, 3]]]
+        pairs = [np.empty((0, 5), np.int64)]
         rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
-        rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]
-        starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
-        sizes = np.diff(np.concatenate([starts, [len(rows)]]))
-        pairs, hot = [np.empty((0, 5), np.int64)], [np.empty((0, 5), np.int64)]
-        for size in np.unique(sizes[sizes > 1]).tolist():
-            at = starts[sizes == size]
-            if size > COMMON:
-                many = rows[(at[:, None] + np.arange(size)).ravel()]
-                hot.append(np.stack([many[:, 1], many[:, 1], many[:, 2], many[:, 0], many[:, 0]], 1))
-                continue
-            i, j = np.triu_indices(size, 1)
-            for part in np.array_split(at, -(-len(at) * len(i) // 1_000_000)):
-                a, b = rows[(part[:, None] + i).ravel()], rows[(part[:, None] + j).ravel()]
-                ok = 100 * a[:, 2] >= percent * b[:, 2]
-                pairs.append(summed(np.stack([a[ok, 1], b[ok, 1], a[ok, 2], b[ok, 2], np.ones(int(ok.sum()), np.int64)], 1)))
-        return pa.concat_tables([pa.table(table(summed(np.concatenate(pairs)))), pa.table(table(np.concatenate(hot), True))])
+        if len(rows):
+            rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]
+            starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
+            sizes = np.diff(np.concatenate([starts, [len(rows)]]))
+            number = block.column("block")[0].as_py()
+            for size in np.unique(sizes[sizes > 1]).tolist():
+                at = starts[sizes == size]
+                if size > COMMON:
+                    many = rows[(at[:, None] + np.arange(size)).ravel()]
+                    name = (many[:, 0] << 16) ^ number
+                    hot.append(np.stack([many[:, 1], many[:, 2], name, np.zeros(len(many), np.int64)], 1))
+                    continue
+                i, j = np.triu_indices(size, 1)
+                for part in np.array_split(at, -(-len(at) * len(i) // 1_000_000)):
+                    a, b = rows[(part[:, None] + i).ravel()], rows[(part[:, None] + j).ravel()]
+                    ok = 100 * a[:, 2] >= percent * b[:, 2]
+                    pairs.append(summed(np.stack([a[ok, 1], b[ok, 1], a[ok, 2], b[ok, 2], np.ones(int(ok.sum()), np.int64)], 1)))
+        return pa.concat_tables([table(summed(np.concatenate(pairs)), "a b na nb overlap"), table(np.concatenate(hot), "a na gram share")])
 
     return run
 
@@ -202,12 +241,16 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
     keys = classes.join(ends, "cls", "left_semi").select("key")
     chosen = common.among(needed(docs), materialise(keys), "key")
 
-    def make(b: pa.RecordBatch) -> dict:
-        sets = [shingles(t, width) for t in common.utf8(b.column("text"))]
-        return {"cls": [class_of(s) for s in sets], "grams": [s.tobytes() for s in sets]}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a text are left out before the shuffle
+        for b in common.chunks(batches, "text"):
+            sets = {class_of(x): x.tobytes() for x in (shingles(t, width) for t in common.utf8(b.column("text")))}
+            new = [c for c in sets if c not in seen]
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array([sets[c] for c in new], pa.binary())], schema=common.to_arrow_schema(of_class))
 
-    # one text stands for its class; the others of the class are dropped before the shuffle
-    sets = materialise(common.map_rows(chosen.dropDuplicates(["key"]), "cls long, grams binary", "text", make).dropDuplicates(["cls"]))
+    of_class = T.StructType.fromDDL("cls long, grams binary")
+    sets = chosen.mapInArrow(run, of_class).dropDuplicates(["cls"])
     left, right = sets.select(F.col("cls").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("gb"))
     schema = T.StructType.fromDDL("a long, b long, na long, nb long, both long")
 
@@ -225,38 +268,61 @@ def similar(percent: int):
     return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
 
 
+def may_link(a: str, b: str, percent: int, apart=0.0):
+    """Whether classes a and b (structs with n and bits) can have a distance of 1 - percent / 100 + ``apart`` at most.
+
+    From their sizes, and from the bits that differ: each is an n-gram that only one of them has.
+    """
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    least = percent / 100 - apart
+    differ = F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (F.least(n, m) >= least * F.greatest(n, m) - 1e-6) & ((1 + least) * (n + m - differ) >= 2 * least * (n + m) - 1e-6)
+
+
 def hot_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that complete the components over the classes of common n-grams; ``hot`` is (gram, cls, n)."""
-    near = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
-    leaders = hot.groupBy("gram").agg(F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n")).alias("l"))
-    stars = hot.join(leaders, "gram").where((F.col("cls") != F.col("l.cls")) & near(F.col("n"), F.col("l.n"))).select(
-        F.col("cls").alias("a"), F.col("l.cls").alias("b")).distinct()
-    spokes = materialise(verified(docs, classes, materialise(stars), width).where(similar(percent)))
+    """Links (a, b) that complete the components over the classes of common n-grams; ``hot`` is (gram, share, c) with c (cls, n, bits)."""
     far = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    centre = spokes.groupBy(F.col("a").alias("cls")).agg(F.min(F.struct(far.alias("far"), F.col("b").alias("centre"))).alias("s"))
-    found = links.union(spokes.select("a", "b"))
-    home = common.components(found)
-    placed = hot.join(centre, "cls", "left").join(home.select(F.col("node").alias("cls"), "component"), "cls", "left").select(
-        "gram", "cls", "n", F.coalesce("s.centre", "cls").alias("centre"), F.coalesce("s.far", F.lit(0.0)).alias("far"),
-        F.coalesce("component", "cls").alias("component"))
+    found, spokes = links, None
+
+    def placed_in(links: DataFrame) -> DataFrame:
+        home = common.components(links)
+        return hot.join(home, hot["c.cls"] == home["node"], "left").select("gram", "share", "c", F.coalesce("component", "c.cls").alias("component"))
+
+    def leaders(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("gram").agg(F.max(F.struct("share", "c", "component")).alias("l")).select("gram", F.col("l.c").alias("l"), F.col("l.component").alias("of"), F.col("l.share").alias("typical"))
+
+    for round_ in range(2):
+        rows = placed_in(found)
+        for _ in range(round_):  # what the first leaders have not won
+            rows = rows.join(leaders(rows), "gram").where("component <> of").select("gram", "share", "c", "component")
+        rows = materialise(rows)
+        stars = rows.join(leaders(rows), "gram").where((F.col("component") != F.col("of")) & may_link("c", "l", percent))
+        stars = materialise(stars.groupBy(F.col("c.cls").alias("a"), F.col("l.cls").alias("b")).agg(F.max("typical").alias("typical")))
+        won = materialise(verified(docs, classes, stars, width).where(similar(percent)).join(stars, ["a", "b"]).select("a", "b", "typical", far.alias("far")))
+        spokes = won if spokes is None else spokes.union(won)
+        found = materialise(found.union(won.select("a", "b")))
+
+    centre = spokes.groupBy(F.col("a").alias("member")).agg(F.max(F.struct("typical", F.col("b").alias("cls"), "far")).alias("s"))
+    placed = placed_in(found)
+    placed = placed.join(centre, placed["c.cls"] == centre["member"], "left").select(
+        "gram", "c", "component", F.coalesce("s.cls", "c.cls").alias("centre"), F.coalesce("s.far", F.lit(0.0)).alias("far"))
     apart = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
     placed = materialise(placed.join(apart, "gram", "left_semi"))
-    reach = placed.groupBy("centre").agg(F.max("far").alias("reach"), F.min("n").alias("least"), F.max("n").alias("most"))
-    by_gram = placed.select("gram", "centre", "component").distinct().join(reach, "centre")
-    left, right = ([F.col(c).alias(c + s) if c != "gram" else F.col(c) for c in by_gram.columns] for s in "12")
-    centres = by_gram.select(*left).join(by_gram.select(*right), "gram").where(
-        (F.col("centre1") < F.col("centre2")) & (F.col("component1") != F.col("component2"))
-        & (100 * F.col("most1") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least1")))
-    centres = materialise(centres.select(F.col("centre1").alias("a"), F.col("centre2").alias("b"), "reach1", "reach2").distinct())
-    measured = verified(docs, classes, centres, width).withColumn("apart", far)
-    close = materialise(centres.join(measured, ["a", "b"]).where(F.col("apart") <= 1 - percent / 100 + F.col("reach1") + F.col("reach2") + 1e-9))
-    left, right = ([F.col(c).alias(c + s) if c != "gram" else F.col(c) for c in placed.columns] for s in "12")
-    wide = close.where("reach1 + reach2 > 0").select(F.col("a").alias("centre1"), F.col("b").alias("centre2"), "apart")
-    members = wide.join(placed.select(*left), "centre1").join(placed.select(*right), ["gram", "centre2"]).where(
-        (F.col("component1") != F.col("component2")) & near(F.col("n1"), F.col("n2"))
-        & (F.col("apart") <= 1 - percent / 100 + F.col("far1") + F.col("far2") + 1e-9))
-    pairs = members.select(F.col("cls1").alias("a"), F.col("cls2").alias("b")).distinct()
-    more = verified(docs, classes, materialise(pairs), width).where(similar(percent)).select("a", "b")
+    known = classes.select(F.col("cls").alias("centre"), F.struct("cls", "n", "bits").alias("c"))
+    reach = placed.groupBy("centre").agg(F.max("far").alias("reach"))
+    by_gram = placed.select("gram", "centre", "component").distinct().join(reach, "centre").join(known, "centre").drop("centre")
+    left, right = by_gram.select("gram", F.struct("c", "component", "reach").alias("x")), by_gram.select("gram", F.struct("c", "component", "reach").alias("y"))
+    both = F.col("x.reach") + F.col("y.reach")
+    centres = left.join(right, "gram").where(
+        (F.col("x.c.cls") < F.col("y.c.cls")) & (F.col("x.component") != F.col("y.component")) & may_link("x.c", "y.c", percent, both))
+    centres = materialise(centres.select(F.col("x.c.cls").alias("a"), F.col("y.c.cls").alias("b"), both.alias("reach")).distinct())
+    measured = verified(docs, classes, centres, width).select("a", "b", "na", "nb", "both", far.alias("apart"))
+    close = materialise(centres.join(measured, ["a", "b"]).where(F.col("apart") <= 1 - percent / 100 + F.col("reach") + 1e-9))
+    x, y = (placed.select("gram", F.col("centre").alias(c), F.struct("c", "component", "far").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    members = close.where("reach > 0").select("a", "b", "apart").join(x, "a").join(y, ["gram", "b"]).where(
+        (F.col("x.component") != F.col("y.component")) & (F.col("apart") <= 1 - percent / 100 + F.col("x.far") + F.col("y.far") + 1e-9) & may_link("x.c", "y.c", percent))
+    pairs = materialise(members.select(F.col("x.c.cls").alias("a"), F.col("y.c.cls").alias("b")).distinct())
+    more = verified(docs, classes, pairs, width).where(similar(percent)).select("a", "b")
     return found.union(close.where(similar(percent)).select("a", "b")).union(more)
 
 
@@ -264,24 +330,23 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     """(doc_id, key, n, least_id, group): ``key`` hashes the text, ``group`` is a class of the component (null without n-grams), ``least_id`` its smallest id."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     by_doc, levels = measure(docs, width)
-    classes = materialise(by_doc.where("n > 0").groupBy("cls", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least_id")))
+    classes = materialise(by_doc.where("n > 0").groupBy("cls", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least_id"), F.first("bits").alias("bits")))
     total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
-    n_blocks = max(1, -(-int(total) // BLOCK))
-    matrix = materialise(incidence(docs, levels, n_blocks, width, percent))
-    multiplied = materialise(matrix.where("block >= 0").groupBy("block").applyInArrow(product(percent), "a long, b long, na long, nb long, overlap long"))
-    # an n-gram that no slot of the table shows as common: its row is (cls, null, n, gram, gram)
-    hot = matrix.where("block = -1").select("gram", "cls", "n").union(
-        multiplied.where("b is null").select(F.col("nb").alias("gram"), F.col("a").alias("cls"), F.col("na").alias("n"))).distinct()
+    matrix = incidence(docs, levels, max(1, -(-int(total) // BLOCK)), width, percent)
+    multiplied = materialise(matrix.groupBy("block").applyInArrow(product(percent), PRODUCT))
+    hot = multiplied.where("b is null").groupBy("gram", F.col("a").alias("cls")).agg(F.max("share").alias("share"))
     hot = materialise(hot.join(hot.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "gram", "left_semi"))
+    # what a pair's common n-grams can add to its overlap at most
+    warm = hot.groupBy("cls").agg(F.count(F.lit(1)).alias("more"))
     pairs = multiplied.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-    warm = hot.select("cls").distinct()
+    of = classes.select("cls", "n", "bits").join(warm, "cls", "left").select("cls", F.struct("cls", "n", "bits", F.coalesce("more", F.lit(0)).alias("more")).alias("c"))
+    ends = pairs.join(of.select(F.col("cls").alias("a"), F.col("c").alias("x")), "a").join(of.select(F.col("cls").alias("b"), F.col("c").alias("y")), "b")
     rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    enough = (100 + percent) * (F.col("overlap") + F.greatest(rest("na"), rest("nb"))) >= percent * (F.col("na") + F.col("nb"))
-    marked = pairs.join(warm.select(F.col("cls").alias("a"), F.lit(True).alias("wa")), "a", "left").join(
-        warm.select(F.col("cls").alias("b"), F.lit(True).alias("wb")), "b", "left")
-    # the count of a pair with common n-grams in both prefixes is not whole, so their bound does not hold
-    kept = materialise(marked.where(enough | (F.col("wa") & F.col("wb"))).select("a", "b"))
+    most = F.col("overlap") + F.least("x.more", "y.more") + F.greatest(rest("na"), rest("nb"))
+    enough = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
+    kept = materialise(ends.where(enough & may_link("x", "y", percent)).select("a", "b"))
     links = materialise(verified(docs, classes, kept, width).where(similar(percent)).select("a", "b"))
+    hot = materialise(hot.join(of, "cls").select("gram", "share", "c"))
     links = hot_links(docs, classes, hot, links, width, percent)
     home = materialise(common.components(links).join(classes.select(F.col("cls").alias("node"), "least_id"), "node"))
     least = home.groupBy("component").agg(F.min("least_id").alias("component_id"))
