@@ -146,19 +146,16 @@ def rules_sql(*names: str) -> str:
     return " UNION ALL ".join(sql for n in names for sql in RULES[n])
 
 
-CAPPED = [n for n in RULES if n not in ("ncd_ceiling", "expiry_before_inception")]
+MADE = [n for n in RULES if n != "ncd_ceiling"]  # no ceiling by default
+CLAIM_DATES = (
+    "SELECT 'data_correction' AS proposal_type, CAST(0.87 AS DOUBLE) AS confidence FROM claims "
+    f"WHERE claim_date IS NOT NULL AND ({unambiguous('claim_date')})"
+)
 
 
 def correction_ctes() -> dict[str, str]:
-    """``corrections`` as made by default: 100 per rule and column, expiry order uncapped."""
-    return {
-        **rule_ctes(),
-        "every": rules_sql(*CAPPED),
-        "corrections": (
-            "SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY seq, column_name ORDER BY row_index) AS rn "
-            f"FROM every) WHERE rn <= 100 UNION ALL {rules_sql('expiry_before_inception')}"
-        ),
-    }
+    """``corrections`` as made by default: every candidate of every rule."""
+    return {**rule_ctes(), "corrections": rules_sql(*MADE)}
 
 
 def proposal_ctes() -> dict[str, str]:

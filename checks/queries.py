@@ -28,8 +28,6 @@ def sources() -> dict[str, str]:
         "SELECT row_index, policy_number, customer_id, inception_date, expiry_date, premium, {ncd} AS ncd, postcode, "
         "product_type, status, CAST(created_at AS VARCHAR) AS created_at FROM policies"
     )
-    names = ", ".join(f"({i}, '{c}')" for i, c in enumerate(LINEITEM))
-    typed = ", ".join(f"({i}, '{c}', '{t}')" for i, (c, t) in enumerate(LINEITEM.items()))
     return {
         **views,
         "row_index": with_(
@@ -39,14 +37,16 @@ def sources() -> dict[str, str]:
         ),
         "scan_csv": with_(V.view_ctes("policies"), scanned.format(ncd="CAST(ncd AS DOUBLE)")),
         "scan_raw_strings": with_(V.view_ctes("policies"), scanned.format(ncd="CAST(ncd AS VARCHAR)")),
-        "dataset_schema": f"SELECT * FROM (VALUES {typed}) t(ordinal, name, dtype_raw)",
         "dataset_metadata": (
             "SELECT 'spark' AS engine_used, 'lineitem.parquet' AS file_name, count(*) AS row_count, "
             f"{len(LINEITEM)} AS column_count, '{','.join(LINEITEM)}' AS columns, "
             f"'{','.join(f'{c}:{t}' for c, t in LINEITEM.items())}' AS \"schema\" FROM lineitem"
         ),
         "row_count": "SELECT 'lineitem' AS dataset, count(*) AS row_count FROM lineitem",
-        "column_names": f"SELECT * FROM (VALUES {names}) t(ordinal, name)",
+        "session_manifest": " UNION ALL ".join(
+            f"SELECT 'benchmark' AS session_id, '{t}' AS dataset_name, '{t}.parquet' AS file_path, '{t}.parquet' AS saved_as, "
+            f"'{CFG.rules.to_json()}' AS analyst_rules_json, count(*) AS row_count FROM {t}" for t in ("orders", "lineitem", "customer")
+        ),
     }
 
 
@@ -89,6 +89,10 @@ def profiling() -> dict[str, str]:
             for c in LINEITEM
         ),
         "top_values": f"SELECT * FROM ({union(top(c) for c in LINEITEM)}) WHERE rank <= {CFG.top_k}",
+        "distinct_profile_approx": union(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS exact, TRUE AS near FROM lineitem" for c in LINEITEM),
+        "numeric_stats_null": union(
+            [*(stats(c, "events") for c in events), "SELECT 'empty', NULL, NULL, NULL, NULL, NULL, NULL, NULL"]
+        ),
         "numeric_stats": union(stats(c, "lineitem") for c in LINEITEM_NUMERIC),
         "basic_stats": f"SELECT name, min, max, mean, median, std FROM ({stats('o_totalprice', 'orders')})",
         "iqr_outliers": union(
@@ -117,7 +121,6 @@ def profiling() -> dict[str, str]:
         ),
         "classify_column": prof("SELECT name, inferred_type FROM prof"),
         "high_cardinality_flag": prof("SELECT name, uniqueness_ratio, is_high_cardinality FROM prof"),
-        "critical_flag": prof("SELECT name, is_critical_field FROM prof"),
         "duplicate_rows": with_(
             V.view_ctes("policies_dup"),
             f"SELECT dataset, duplicate_row_count, duplicate_row_pct FROM ({V.dataset_rows('policies_dup')})",
@@ -290,9 +293,11 @@ def rules() -> dict[str, str]:
             P.rule_ctes(), "SELECT upper_n AS upper, title_n AS title, lower_n AS lower, style FROM style"
         ),
         "parse_currency": with_(V.view_ctes("policies"), f"SELECT row_index, premium, {P._AMOUNT} AS amount FROM policies"),
-        "cap_per_column": with_(
-            P.correction_ctes(),
-            "SELECT column_name, source_method, count(*) AS kept, max(row_index) AS last_row FROM corrections GROUP BY 1, 2",
+        "resolve_rules": with_(
+            P.rule_ctes(),
+            "SELECT proposed_value, count(*) AS n FROM (SELECT CASE WHEN TRY_CAST(premium AS DOUBLE) < 1000 THEN '1000.0' "
+            "WHEN TRY_CAST(premium AS DOUBLE) > 400000 THEN '400000.0' END AS proposed_value FROM policies "
+            f"WHERE NOT {P._MARKED}) WHERE proposed_value IS NOT NULL GROUP BY 1",
         ),
         "find_correction_proposals": with_(P.correction_ctes(), f"SELECT {P.COLUMNS} FROM corrections"),
     }
@@ -324,11 +329,25 @@ def review() -> dict[str, str]:
     quote_cells = ", ".join(
         f"{text('d.' + c)} AS {c}" for c in V.COLUMNS["quotes"]
     )
+    filled = lambda sql: f"CASE WHEN proposal_type = 'cross_dataset_fill' THEN {sql} END"
     position = "CASE WHEN d.row_index = t.row_index THEN 'target' WHEN d.row_index < t.row_index THEN 'above' ELSE 'below' END"
     return {
         "proposals_summary": on(
             f"SELECT proposal_type, {_BANDS} FROM proposals GROUP BY 1 UNION ALL SELECT 'all', {_BANDS} FROM proposals"
         ),
+        "build_proposal": on(
+            f"SELECT {P.COLUMNS}, seq, 'benchmark' AS session_id, 'pending' AS status, {filled("'quotes'")} AS source_dataset, "
+            f"{filled('column_name')} AS source_column, {filled("'policy_number'")} AS join_key, {filled('row_identifier')} AS join_value, "
+            "CAST(64 AS INTEGER) AS id_length FROM proposals"
+        ),
+        "export_session": on(
+            "SELECT 'policies' AS part, count(*) AS row_count FROM policies UNION ALL "
+            "SELECT 'audit_manifest', count(*) FROM proposals"
+        ),
+        "run_pipeline": with_(
+            {**V.view_ctes("policies", "quotes", "claims"), **P.proposal_ctes(), "every": f"SELECT proposal_type, confidence FROM proposals UNION ALL {P.CLAIM_DATES}"},
+            f"SELECT proposal_type, {_BANDS} FROM every GROUP BY 1 UNION ALL SELECT 'all', {_BANDS} FROM every",
+        ),
         "session_proposals": on(f"SELECT {P.COLUMNS} FROM proposals"),
         "get_proposals": on(f"SELECT {P.COLUMNS} FROM proposals"),
         "filter_proposals": on(
@@ -527,7 +546,6 @@ def joins() -> dict[str, str]:
             "SELECT dataset_a, dataset_b, match_rate, CASE WHEN floor(match_rate * 100 + 0.5) >= 85 THEN 'Strong' WHEN "
             "floor(match_rate * 100 + 0.5) >= 65 THEN 'Moderate' ELSE 'Weak' END AS strength FROM quality"
         ),
-        "match_insight_rules": with_(V.view_ctes(*V.SESSION), f"SELECT * FROM ({single})"),
         "analyse_joins": on(
             f"{cross} UNION ALL SELECT 'single', dataset, NULL, NULL, NULL, id FROM ({single})"
         ),

@@ -59,10 +59,12 @@ def text(column: str) -> str:
 
 
 def sample(view: str, column: str) -> str:
-    return (
-        f"SELECT {text(column)} AS value FROM {view} WHERE {column} IS NOT NULL "
-        f"ORDER BY {', '.join(ORDER[view])} LIMIT {CFG.sample_size}"
-    )
+    """The first 50 values, which is what a value sample shows."""
+    return f"{values(view, column)} ORDER BY {', '.join(ORDER[view])} LIMIT 50"
+
+
+def values(view: str, column: str) -> str:
+    return f"SELECT {text(column)} AS value FROM {view} WHERE {column} IS NOT NULL"
 
 
 def label(value: str) -> str:
@@ -84,19 +86,19 @@ def casing(view: str, column: str) -> str:
 def formats(view: str, column: str) -> str:
     return (
         f"(SELECT coalesce(string_agg(label, ', ' ORDER BY label), '') FROM (SELECT DISTINCT {label('trim(value)')} "
-        f"AS label FROM ({sample(view, column)})) WHERE label IS NOT NULL)"
+        f"AS label FROM ({values(view, column)})) WHERE label IS NOT NULL)"
     )
 
 
 def format_count(view: str, column: str) -> str:
     return (
-        f"(SELECT count(DISTINCT {label('trim(value)')}) FROM ({sample(view, column)}))"
+        f"(SELECT count(DISTINCT {label('trim(value)')}) FROM ({values(view, column)}))"
     )
 
 
 def invalid_dates(view: str, column: str) -> str:
     return (
-        f"(SELECT count(*) FROM ({sample(view, column)}) WHERE {label('trim(value)')} IS NULL AND trim(value) <> '')"
+        f"(SELECT count(*) FROM ({values(view, column)}) WHERE {label('trim(value)')} IS NULL AND trim(value) <> '')"
     )
 
 

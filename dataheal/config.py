@@ -81,7 +81,6 @@ class QualityConfig:
     high_cardinality_ratio: float = 0.85
     null_tokens: tuple[str, ...] = NULL_TOKENS
     top_k: int = 5
-    sample_size: int = 50
 
     # Score deductions. Tiers are (rate to exceed, points), highest first.
     null_tiers: tuple[tuple[float, int], ...] = ((0.50, 10), (0.20, 5), (0.05, 2))
@@ -131,7 +130,6 @@ class QualityConfig:
     ncd_columns: tuple[str, ...] = (
         "ncd", "ncd_years", "ncb", "ncb_years", "no_claims_discount", "no_claims_bonus",
     )
-    proposals_per_column: int | None = 100
     rules: Rules = field(default_factory=Rules)
 
     # Join discovery.

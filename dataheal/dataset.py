@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 @dataclass(frozen=True)
 class Dataset:
     """``df`` plus the columns that fix its row order; those are not data and never profiled.
@@ -38,12 +42,16 @@ class Dataset:
         kinds = (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
         return [f.name for f in self.fields if isinstance(f.dataType, kinds)]
 
+    def col(self, column: str) -> Column:
+        """The column of exactly this name, dots and quotes included."""
+        return quoted(column)
+
     def dtype(self, column: str) -> T.DataType:
         return self.df.schema[column].dataType
 
     def value(self, column: str) -> Column:
         """The cell, with NaN as null and one spelling of zero."""
-        col = F.col(column)
+        col = quoted(column)
         if isinstance(self.dtype(column), (T.DoubleType, T.FloatType)):
             return F.when(col == 0, F.lit(0.0)).when(~F.isnan(col), col)
         return col
@@ -53,4 +61,4 @@ class Dataset:
 
     def clean(self, columns: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
         chosen = self.columns if columns is None else columns
-        return self.df.select(*keep, *[self.value(c).alias(c) for c in chosen])
+        return self.df.select(*[quoted(c) for c in keep], *[self.value(c).alias(c) for c in chosen])

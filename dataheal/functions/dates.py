@@ -95,8 +95,8 @@ def is_ambiguous(text: Column) -> Column:
 def date_cell(ds: Dataset, column: str) -> Column:
     """The date a cell holds, as ``timestamp_ntz``; text cells are parsed."""
     if isinstance(ds.dtype(column), T.StringType):
-        return parse_date(strip(F.col(column)))
-    return F.col(column).cast("timestamp_ntz")
+        return parse_date(strip(ds.col(column)))
+    return ds.col(column).cast("timestamp_ntz")
 
 
 def format_date(ts: Column, strftime: str) -> Column:

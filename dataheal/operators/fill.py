@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dataheal.config import QualityConfig
-from dataheal.dataset import Dataset
+from dataheal.dataset import Dataset, quoted
 from dataheal.functions.text import render_compact
 from dataheal.operators.profile import union_all
 from dataheal.operators.proposals import CROSS_DATASET_FILL, build_proposal, no_proposals
@@ -91,18 +91,18 @@ def dedup_lookup(source: Dataset, key: str, columns: list[str]) -> DataFrame:
 
     Combined before the shuffle, so a key that fills a third of the table is no hot spot.
     """
-    order = F.struct(*source.row_order)
+    order = F.struct(*[source.col(c) for c in source.row_order])
     firsts = [
         F.min_by(source.value(c), F.when(source.value(c).isNotNull(), order)).alias(c) for c in columns
     ]
-    return source.df.filter(F.col(key).isNotNull()).groupBy(source.value(key).alias(key)).agg(*firsts)
+    return source.df.filter(source.col(key).isNotNull()).groupBy(source.value(key).alias(key)).agg(*firsts)
 
 
 def _proposed(source: Dataset, column: str):
     """A looked-up value as text; whole floats without ``.0``."""
     if isinstance(source.dtype(column), (T.DoubleType, T.FloatType)):
-        return render_compact(F.col(f"lookup.{column}").cast("double"))
-    return F.col(f"lookup.{column}").cast("string")
+        return render_compact(F.col(f"lookup.`{column}`").cast("double"))
+    return F.col(f"lookup.`{column}`").cast("string")
 
 
 def cross_dataset_fill(
@@ -120,7 +120,7 @@ def cross_dataset_fill(
     any_null = F.lit(False)
     for c in columns:
         any_null = any_null | is_null(c)
-    gaps = target.df.filter(F.col(key).isNotNull() & any_null).select(
+    gaps = target.df.filter(target.col(key).isNotNull() & any_null).select(
         "row_index",
         target.value(key).alias("_target_key"),
         *[is_null(c).alias(f"_gap_{c}") for c in columns],
@@ -131,7 +131,7 @@ def cross_dataset_fill(
     matched = gaps.join(lookup, left == right if same_kind else left.cast("string") == right.cast("string"))
     cells = [
         F.when(
-            F.col(f"_gap_{c}") & F.col(f"lookup.{c}").isNotNull(),
+            quoted(f"_gap_{c}") & F.col(f"lookup.`{c}`").isNotNull(),
             F.struct(F.lit(c).alias("column"), _proposed(source, c).alias("proposed")),
         )
         for c in columns

@@ -93,7 +93,7 @@ def identifier_parts(ds: Dataset, column: str) -> DataFrame:
     parsed = parse_identifier(ds.text(column))
     return ds.df.select(
         *ds.row_order,
-        F.col(column).alias("value"),
+        ds.col(column).alias("value"),
         parsed["prefix"].alias("prefix"),
         parsed["number"].cast("bigint").alias("number"),
         parsed["width"].alias("width"),
@@ -108,7 +108,7 @@ def _in_time_order(ds: Dataset, columns: list[str], ordering: str, label: Column
         at.alias("at"),
         "row_index",
         label.alias("row_identifier"),
-        *[F.when(~is_missing_id(F.col(c)), F.col(c)).alias(f"id_{c}") for c in columns],
+        *[F.when(~is_missing_id(ds.col(c)), ds.col(c)).alias(f"id_{c}") for c in columns],
     )
     return with_sorted_positions(ordered, ["undated", "at", "row_index"], "position")
 
@@ -118,7 +118,7 @@ def _sequence_gaps(placed: DataFrame, column: str) -> DataFrame:
 
     Each gap meets the rows just before and after it in an equi-join on the position.
     """
-    identifier = F.col(f"id_{column}")
+    identifier = F.col(f"`id_{column}`")
     gaps = placed.filter(identifier.isNull() & F.col("at").isNotNull())
     sides = gaps.select(
         F.col("position").alias("gap"),

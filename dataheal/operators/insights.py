@@ -121,16 +121,18 @@ def applicable(columns: list[str], cross: bool) -> list[Insight]:
 
 
 def insight_join(a: Dataset, b: Dataset, key: str, nullsafe: bool = False) -> DataFrame:
-    """Inner join on ``key``; a name on both sides keeps A's column, B's gets ``_joined``.
+    """Inner join on ``key``; a name on both sides, whatever its case, keeps A's column, B's gets ``_joined``.
 
     Null keys match only with ``nullsafe``.
     """
+    held = {c.lower() for c in a.columns}
     right = b.df.select(
-        F.col(key).alias("_right_key"),
-        *[F.col(c).alias(f"{c}_joined" if c in a.columns else c) for c in b.columns if c != key],
+        b.col(key).alias("_right_key"),
+        *[b.col(c).alias(f"{c}_joined" if c.lower() in held else c) for c in b.columns if c != key],
     )
-    left = a.df.select(*a.columns)
-    match = left[key].eqNullSafe(right["_right_key"]) if nullsafe else left[key] == right["_right_key"]
+    left = a.df.select(*[a.col(c) for c in a.columns])
+    of_left = left[f"`{key}`"]
+    match = of_left.eqNullSafe(right["_right_key"]) if nullsafe else of_left == right["_right_key"]
     return left.join(right, match).drop("_right_key")
 
 
@@ -142,7 +144,7 @@ def _measure(ds: Dataset, column: str) -> Column:
     """The measure as a number; money text is read as an amount."""
     if isinstance(ds.dtype(column), T.NumericType):
         return ds.value(column).cast("double")
-    return parse_currency(F.col(column))
+    return parse_currency(ds.col(column))
 
 
 def _finish(grouped: DataFrame, insight: Insight) -> DataFrame:

@@ -65,12 +65,12 @@ def dataset_metadata(ds: Dataset, path: str = "") -> DataFrame:
 
 def null_profile(ds: Dataset) -> DataFrame:
     counted = ds.clean().agg(
-        F.count("*").alias("row_count"), *[F.count(F.col(c)).alias(c) for c in ds.columns]
+        F.count("*").alias("row_count"), *[F.count(ds.col(c)).alias(f"n{i}") for i, c in enumerate(ds.columns)]
     )
     long = _long(
         counted,
         ["row_count"],
-        [F.struct(F.lit(c).alias("name"), F.col(c).alias("non_null")) for c in ds.columns],
+        [F.struct(F.lit(c).alias("name"), F.col(f"n{i}").alias("non_null")) for i, c in enumerate(ds.columns)],
     )
     nulls = F.col("row_count") - F.col("non_null")
     return long.select(
@@ -90,10 +90,10 @@ def _rate(count: Column, rows: Column) -> Column:
 
 
 def _value_counts(ds: Dataset, columns: list[str], kind: str) -> DataFrame:
-    cells = ds.df.select(*[ds.value(c).cast(kind).alias(c) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("name"), ds.value(c).cast(kind).alias("value")) for c in columns])
     return (
-        cells.unpivot([], columns, "name", "value")
-        .filter(F.col("value").isNotNull() & F.col("name").isNotNull())
+        ds.df.select(F.inline(cells))
+        .filter(F.col("value").isNotNull())
         .groupBy("name", "value")
         .agg(F.count("*").alias("n"))
     )
@@ -104,7 +104,10 @@ def _numeric_kinds(ds: Dataset) -> dict[str, list[str]]:
     integral = [c for c in ds.numeric if isinstance(ds.dtype(c), T.IntegralType)]
     decimal = [c for c in ds.numeric if isinstance(ds.dtype(c), T.DecimalType)]
     fractional = [c for c in ds.numeric if c not in integral + decimal]
-    return {"bigint": integral, "double": fractional, "decimal(38,18)": decimal}
+    kinds = {"bigint": integral, "double": fractional}
+    for c in decimal:
+        kinds.setdefault(ds.dtype(c).simpleString(), []).append(c)
+    return kinds
 
 
 def number_histograms(ds: Dataset) -> list[DataFrame]:
@@ -158,12 +161,12 @@ def distinct_profile_approx(ds: Dataset, error: float = 0.02) -> DataFrame:
     """As :func:`distinct_profile` from one scan and no shuffle of values, within ``error``."""
     counted = ds.clean().agg(
         F.count("*").alias("row_count"),
-        *[F.approx_count_distinct(F.col(c), error).alias(c) for c in ds.columns],
+        *[F.approx_count_distinct(ds.col(c), error).alias(f"n{i}") for i, c in enumerate(ds.columns)],
     )
     long = _long(
         counted,
         ["row_count"],
-        [F.struct(F.lit(c).alias("name"), F.col(c).alias("unique_count")) for c in ds.columns],
+        [F.struct(F.lit(c).alias("name"), F.col(f"n{i}").alias("unique_count")) for i, c in enumerate(ds.columns)],
     )
     return long.select(
         "name", "unique_count", _rate(F.col("unique_count"), F.col("row_count")).alias("uniqueness_ratio")
@@ -223,10 +226,10 @@ def column_aggregates(ds: Dataset) -> DataFrame:
     aggregates = [F.count("*").alias("row_count")]
     rows = []
     for i, f in enumerate(ds.fields):
-        aggregates.append(F.count(F.col(f.name)).alias(f"n{i}"))
+        aggregates.append(F.count(ds.col(f.name)).alias(f"n{i}"))
         number = f.name in ds.numeric
         if number:
-            col = F.col(f.name).cast("double")
+            col = ds.col(f.name).cast("double")
             stats = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
             aggregates += [agg(col).alias(f"{key}{i}") for key, agg in stats.items()]
         got = lambda key: (F.col(f"{key}{i}") if number else F.lit(None).cast("double")).alias(key)
@@ -249,8 +252,8 @@ def _column_sketches(ds: Dataset) -> DataFrame:
     Apart from the wide aggregate, which so stays in generated code.
     """
     cells = ds.clean(ds.numeric)
-    near = cells.agg(*[sketched_brackets(F.col(c).cast("double")).alias(c) for c in ds.numeric])
-    return _long(near, [], [F.struct(F.lit(c).alias("name"), F.col(c).alias("near")) for c in ds.numeric])
+    near = cells.agg(*[sketched_brackets(ds.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(ds.numeric)])
+    return _long(near, [], [F.struct(F.lit(c).alias("name"), F.col(f"s{i}").alias("near")) for i, c in enumerate(ds.numeric)])
 
 
 def measure_columns(ds: Dataset) -> list[Row]:
@@ -286,7 +289,7 @@ def numeric_stats(ds: Dataset) -> DataFrame:
 def basic_stats(ds: Dataset, column: str) -> DataFrame:
     if column not in ds.numeric:
         raise ValueError(f"Column '{column}' is not numeric.")
-    one = Dataset(ds.name, ds.df.select(*ds.row_order, column), ds.row_order)
+    one = Dataset(ds.name, ds.df.select(*[ds.col(c) for c in (*ds.row_order, column)]), ds.row_order)
     return numeric_stats(one).select("name", "min", "max", "mean", "median", "std")
 
 
@@ -333,84 +336,93 @@ def iqr_outliers(ds: Dataset) -> DataFrame:
 
 def outlier_rows(ds: Dataset, column: str) -> DataFrame:
     """The rows of one column's outliers; the two bounds are constants the scan can use."""
-    one = Dataset(ds.name, ds.df.select(*ds.row_order, column), ds.row_order)
+    one = Dataset(ds.name, ds.df.select(*[ds.col(c) for c in (*ds.row_order, column)]), ds.row_order)
     numbers = as_numbers(number_histograms(one))
     found = outlier_bounds(_quantiles(numbers, measure_columns(one))).first()
     if found is None:
         return ds.df.limit(0)
-    col = F.col(column)
+    col = ds.col(column)
     return ds.df.filter((col < found["lower"]) | (col > found["upper"]))
 
 
-# ── date samples ───────────────────────────────────────────────────────────
+# ── samples and dates ──────────────────────────────────────────────────────
 
 
-def value_sample(ds: Dataset, cfg: QualityConfig, columns: list[str] | None = None) -> DataFrame:
-    """The first ``sample_size`` non-null values of each text column in row order.
+def value_sample(ds: Dataset, columns: list[str] | None = None, size: int = 50) -> DataFrame:
+    """The first ``size`` non-null values of each text column in row order.
 
-    One top-N per column: each task keeps at most ``sample_size`` rows.
+    One read for all columns; each task keeps ``size`` rows of a column at most (WindowGroupLimit).
     """
-    order = [F.col(c) for c in ds.row_order]
-    return union_all(
-        [
-            ds.df.select(*ds.row_order, F.lit(c).alias("name"), ds.text(c).alias("value"))
-            .filter(F.col("value").isNotNull())
-            .orderBy(*order)
-            .limit(cfg.sample_size)
-            .select("name", "value")
-            for c in (ds.textual if columns is None else columns)
-        ]
-    )
+    chosen = ds.textual if columns is None else columns
+    schema = "name string, value string"
+    if not chosen:
+        return local_frame(ds.df.sparkSession, [], schema)
+    order = [ds.col(c) for c in ds.row_order]
+    cells = ds.df.select(
+        F.struct(*order).alias("at"),
+        F.inline(F.array(*[F.struct(F.lit(c).alias("name"), ds.text(c).alias("value")) for c in chosen])),
+    ).filter(F.col("value").isNotNull())
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("at"))
+    return cells.withColumn("rank", rank).filter(F.col("rank") <= size).select("name", "value")
 
 
 def date_columns(ds: Dataset, cfg: QualityConfig) -> list[str]:
     return [c for c in ds.textual if any(k in c.lower() for k in cfg.date_keywords)]
 
 
-def date_format_scan(ds: Dataset, cfg: QualityConfig) -> DataFrame:
-    """Per date column: formats in the sample and how many values match none of them."""
-    schema = "name string, date_formats_detected array<string>, invalid_date_count bigint"
-    columns = date_columns(ds, cfg)
-    if not columns:
-        return local_frame(ds.df.sparkSession, [], schema)
+def date_formats(hist: DataFrame) -> DataFrame:
+    """Per column of a text histogram: the formats of all its values, and how many rows match none."""
     text = strip(F.col("value"))
     label = reduce(
         lambda seen, p: seen.when(text.rlike(p[1]), p[0]),
         DATE_PATTERNS[1:],
         F.when(text.rlike(DATE_PATTERNS[0][1]), DATE_PATTERNS[0][0]),
     )
+    none = F.when(F.col("label").isNull() & (F.col("text") != ""), F.col("n")).otherwise(0)
     return (
-        value_sample(ds, cfg, columns)
-        .select("name", text.alias("text"), label.alias("label"))
+        hist.select("name", "n", text.alias("text"), label.alias("label"))
         .groupBy("name")
         .agg(
             F.sort_array(F.collect_set("label")).alias("date_formats_detected"),
-            F.count_if(F.col("label").isNull() & (F.col("text") != "")).alias("invalid_date_count"),
+            F.sum(none).alias("invalid_date_count"),
         )
     )
 
 
+def date_format_scan(ds: Dataset, cfg: QualityConfig) -> DataFrame:
+    """Per date column: formats of its values and how many rows match none of them."""
+    columns = date_columns(ds, cfg)
+    if not columns:
+        schema = "name string, date_formats_detected array<string>, invalid_date_count bigint"
+        return local_frame(ds.df.sparkSession, [], schema)
+    return date_formats(text_histogram(ds, columns))
+
+
 # ── rows ───────────────────────────────────────────────────────────────────
 
 
+def _comparable(col: Column, kind: T.DataType) -> Column:
+    """A map as its sorted entries, which can be grouped; other values as they are."""
+    if isinstance(kind, T.MapType):
+        return F.when(col.isNotNull(), F.array_sort(F.map_entries(col)))
+    return col
+
+
 def duplicate_rows(ds: Dataset) -> DataFrame:
     """Rows beyond the first of each group of equal rows; nulls are equal.
 
-    Rows are first counted by a 64-bit hash, so only that hash is shuffled for the bulk of the
-    table; whole rows move only for hashes seen twice, and are then compared exactly.
+    One read and one shuffle: equal rows are counted within each task first, so a row that fills
+    a third of the table moves once by task.
     """
-    rows = ds.clean()
-    hashed = rows.withColumn("_hash", F.xxhash64(*ds.columns))
-    repeated = hashed.groupBy("_hash").agg(F.count("*").alias("n")).filter("n > 1").select("_hash")
-    groups = (
-        hashed.join(repeated, "_hash", "left_semi").groupBy(*ds.columns).agg(F.count("*").alias("_n"))
-    )
-    extra = groups.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_row_count"))
-    total = ds.df.agg(F.count("*").alias("n"))
-    return extra.select(
+    rows = ds.df.select(*[_comparable(ds.value(f.name), f.dataType).alias(f"c{i}") for i, f in enumerate(ds.fields)])
+    groups = rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
+    counted = groups.agg(
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_row_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")
+    )
+    return counted.select(
         F.lit(ds.name).alias("dataset"),
         "duplicate_row_count",
-        _rate(F.col("duplicate_row_count"), total.scalar()).alias("duplicate_row_pct"),
+        _rate(F.col("duplicate_row_count"), F.col("rows")).alias("duplicate_row_pct"),
     )
 
 
@@ -514,8 +526,10 @@ def _summaries(ds: Dataset, cfg: QualityConfig, measured: list[Row]) -> DataFram
     if numeric:
         bounds = outlier_bounds(_quantiles(numbers, measured))
         found = found.join(F.broadcast(_outlier_counts(numbers, bounds)), "name", "left")
-    if date_columns(ds, cfg):
-        found = found.join(F.broadcast(date_format_scan(ds, cfg)), "name", "left")
+    dates = date_columns(ds, cfg)
+    if dates:
+        of_dates = texts[0].filter(F.col("name").isin(*dates))
+        found = found.join(F.broadcast(date_formats(of_dates)), "name", "left")
     return found
 
 

@@ -17,17 +17,15 @@ from dataheal.session import local_frame
 PROBABILITIES = {"q1": 0.25, "median": 0.50, "q3": 0.75}
 SKETCH_K = 2_000  # sketch rank error: about 0.25 % of the rows at 99 % confidence
 MARGIN = 0.03  # bracket half-width, twelve times that error
-SMALL = 2_000  # up to here the bracket is the whole column
 CELLS = 1_024
 
 
 def sketched_brackets(col: Column) -> Column:
-    """Aggregate: ``array<struct<lo, hi>>``, one value range around each quantile."""
+    """Aggregate: ``array<struct<lo, hi>>``, one value range around each quantile; null without values."""
     sketch = F.kll_sketch_agg_double(col, SKETCH_K)
     at = lambda rank: F.kll_sketch_get_quantile_double(sketch, F.lit(rank))
-    return F.array(
-        *[F.struct(at(q - MARGIN).alias("lo"), at(q + MARGIN).alias("hi")) for q in PROBABILITIES.values()]
-    )
+    ranges = [F.struct(at(q - MARGIN).alias("lo"), at(q + MARGIN).alias("hi")) for q in PROBABILITIES.values()]
+    return F.when(F.count(col) > 0, F.array(*ranges))
 
 
 def search_frame(spark: SparkSession, columns: list[Row]) -> DataFrame:
@@ -41,8 +39,7 @@ def search_frame(spark: SparkSession, columns: list[Row]) -> DataFrame:
         if not c["non_null"]:
             continue
         for (label, q), near in zip(PROBABILITIES.items(), c["near"]):
-            lo, hi = (c["min"], c["max"]) if c["non_null"] <= SMALL else (near["lo"], near["hi"])
-            rows.append((c["name"], label, lo, hi, q * (c["non_null"] - 1)))
+            rows.append((c["name"], label, near["lo"], near["hi"], q * (c["non_null"] - 1)))
     return local_frame(spark, rows, "name string, label string, lo double, hi double, rank double")
 
 

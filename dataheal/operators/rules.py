@@ -2,7 +2,7 @@
 
 Every rule is row-local: it looks at one cell (or a date pair) and yields a candidate or null.
 The candidates of all rules and columns of a row come out of one projection, so a dataset is
-scanned once for all of them; explanations are worded only for the candidates that are kept.
+scanned once for all of them, and every candidate becomes a proposal.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,7 @@ from dataheal.functions.text import (
     to_number,
 )
 from dataheal.operators.labels import Identifiers, count_identifiers, is_date_name, string_columns
-from dataheal.operators.profile import text_histogram, union_all
+from dataheal.operators.profile import text_histogram
 from dataheal.operators.proposals import DATA_CORRECTION, build_proposal, no_proposals
 
 
@@ -57,7 +57,7 @@ def _named(ds: Dataset, names: tuple[str, ...]) -> list[str]:
 
 def _postcode_uppercase(ds: Dataset, cfg: QualityConfig) -> list[Candidate]:
     columns = [c for c in _named(ds, cfg.postcode_columns) if c in string_columns(ds)]
-    return [Candidate(c, F.col(c), F.upper(strip(F.col(c)))) for c in columns]
+    return [Candidate(c, ds.col(c), F.upper(strip(ds.col(c)))) for c in columns]
 
 
 def _whitespace_trim(ds: Dataset, cfg: QualityConfig) -> list[Candidate]:
@@ -65,7 +65,7 @@ def _whitespace_trim(ds: Dataset, cfg: QualityConfig) -> list[Candidate]:
     columns = [
         c for c in string_columns(ds) if c.lower() not in skipped and not is_date_name(c, cfg)
     ]
-    return [Candidate(c, F.col(c), F.nullif(strip(F.col(c)), F.lit(""))) for c in columns]
+    return [Candidate(c, ds.col(c), F.nullif(strip(ds.col(c)), F.lit(""))) for c in columns]
 
 
 def majority_casing(ds: Dataset, column: str) -> DataFrame:
@@ -94,7 +94,7 @@ def majority_casing(ds: Dataset, column: str) -> DataFrame:
 def _product_casing(ds: Dataset, cfg: QualityConfig) -> list[Candidate]:
     def one(c: str) -> Candidate:
         style = majority_casing(ds, c).select("style").scalar()
-        return Candidate(c, F.col(c), apply_casing(strip(F.col(c)), style), style)
+        return Candidate(c, ds.col(c), apply_casing(strip(ds.col(c)), style), style)
 
     return [one(c) for c in _named(ds, cfg.product_columns) if c in string_columns(ds)]
 
@@ -110,7 +110,7 @@ def _date_standardise(ds: Dataset, cfg: QualityConfig) -> list[Candidate]:
 
 def _currency_clean(ds: Dataset, cfg: QualityConfig) -> list[Candidate]:
     def one(c: str) -> Candidate:
-        text = strip(F.col(c))
+        text = strip(ds.col(c))
         return Candidate(c, text, F.when(is_marked_money(text), render_double(parse_currency(text))))
 
     return [one(c) for c in _named(ds, cfg.currency_columns) if c in string_columns(ds)]
@@ -172,7 +172,6 @@ class Rule:
     # Wording from ``column_name, original_value, proposed_value, note``.
     wording: str
     arguments: tuple[str, ...]
-    capped: bool = True
 
 
 RULES = (
@@ -217,7 +216,6 @@ RULES = (
         "expiry_before_inception", "business_rule", 0.80, _expiry_before_inception,
         "'%s' %s lies before the start date %s, which is proposed in its place.",
         ("column_name", "original_value", "proposed_value"),
-        capped=False,
     ),
 )
 RULE_NAMES = tuple(r.name for r in RULES)
@@ -247,31 +245,6 @@ def candidates(ds: Dataset, cfg: QualityConfig, rules: list[Rule], label: Column
     )
 
 
-# Up to here Spark cuts a ranked window to its first rows before the shuffle (WindowGroupLimit).
-GROUP_LIMIT = 1_000
-SLICES = 256
-
-
-def _first_rows(found: DataFrame, by: list[str], cap: int) -> DataFrame:
-    order = Window.partitionBy(*by).orderBy("row_index")
-    return found.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).drop("_rank")
-
-
-def cap_per_column(found: DataFrame, cap: int | None) -> DataFrame:
-    """The first ``cap`` candidates of each rule and column in row order; ``None`` keeps all.
-
-    A cap too large for the early cut is first applied to slices of each group, so that no
-    task ranks a whole column.
-    """
-    if cap is None:
-        return found
-    by = ["rule", "column_name"]
-    if cap > GROUP_LIMIT:
-        sliced = found.withColumn("_slice", F.pmod(F.xxhash64("row_index"), F.lit(SLICES)))
-        found = _first_rows(sliced, [*by, "_slice"], cap).drop("_slice")
-    return _first_rows(found, by, cap)
-
-
 def _worded(found: DataFrame, rules: list[Rule], ds: Dataset, cfg: QualityConfig, session_id: str) -> DataFrame:
     """Candidates as proposal records; one projection words every rule."""
     date_label = format_label(cfg.rules.date_format).replace("%", "%%")
@@ -311,11 +284,6 @@ def find_correction_proposals(
 ) -> DataFrame:
     """Proposals of the rules named in ``only`` for one dataset."""
     label = (identifiers or count_identifiers(ds, cfg)).label_cell(ds)
-    batches = []
-    for capped in (True, False):
-        rules = [r for r in RULES if r.name in only and r.capped is capped]
-        found = candidates(ds, cfg, rules, label)
-        if found is not None:
-            kept = cap_per_column(found, cfg.proposals_per_column if capped else None)
-            batches.append(_worded(kept, rules, ds, cfg, session_id))
-    return union_all(batches) if batches else no_proposals(ds.df.sparkSession)
+    rules = [r for r in RULES if r.name in only]
+    found = candidates(ds, cfg, rules, label)
+    return no_proposals(ds.df.sparkSession) if found is None else _worded(found, rules, ds, cfg, session_id)

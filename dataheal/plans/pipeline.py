@@ -22,6 +22,7 @@ from dataheal.operators.proposals import APPROVED, no_proposals, proposals_summa
 from dataheal.operators.rules import find_correction_proposals
 from dataheal.operators.score import critical_field_issues, penalties, score_dataset
 from dataheal.session import local_frame, materialise
+from dataheal.sources.positions import with_sorted_positions
 from dataheal.sources.sinks import save_proposals, write_audit_manifest, write_cleaned
 
 log = logging.getLogger(__name__)
@@ -101,22 +102,31 @@ def profile_session(datasets: dict[str, Dataset], cfg: QualityConfig, skip_faile
     )
 
 
+def addressed(ds: Dataset) -> Dataset:
+    """The dataset with its rows numbered in its row order, for operators that address rows."""
+    if ds.row_order == ("row_index",):
+        return ds
+    return Dataset(ds.name, with_sorted_positions(ds.df, list(ds.row_order)).drop(*ds.row_order))
+
+
 def propose(session: SessionProfile, cfg: QualityConfig, session_id: str) -> DataFrame:
-    """Every proposal for the datasets whose rows can be addressed; a failing step is left out."""
-    addressed = {n: d for n, d in session.datasets.items() if d.row_order == ("row_index",)}
-    spark = session.columns.sparkSession
+    """Every proposal for every dataset.
+
+    Each generator's proposals are written when they are made, so one that fails, while it is
+    planned or while it runs, is left out and takes no other with it.
+    """
+    datasets = {n: addressed(d) for n, d in session.datasets.items()}
     batches = []
 
     def attempt(what: str, make) -> None:
         try:
-            batches.append(make())
+            batches.append(materialise(make()))
         except Exception as exc:
             log.warning("%s left out: %s", what, exc)
 
-    known = session.columns.filter(F.col("dataset").isin(*addressed))
-    if len(addressed) > 1:
-        attempt("fills", lambda: find_cross_dataset_fills(addressed, known, cfg, session_id))
-    for name, ds in addressed.items():
+    if len(datasets) > 1:
+        attempt("fills", lambda: find_cross_dataset_fills(datasets, session.columns, cfg, session_id))
+    for name, ds in datasets.items():
         identifiers = profiled_identifiers(session.profiled(name))
         attempt(
             f"inference on '{name}'",
@@ -126,7 +136,7 @@ def propose(session: SessionProfile, cfg: QualityConfig, session_id: str) -> Dat
             f"corrections on '{name}'",
             lambda: find_correction_proposals(ds, cfg, session_id, identifiers=identifiers),
         )
-    return union_all(batches) if batches else no_proposals(spark)
+    return union_all(batches) if batches else no_proposals(session.columns.sparkSession)
 
 
 @dataclass(frozen=True)
@@ -165,7 +175,7 @@ def build_dashboard(datasets: dict[str, Dataset], cfg: QualityConfig) -> DataFra
     """The executive roll-up; datasets that cannot be profiled are left out, joins are optional."""
     session = profile_session(datasets, cfg, skip_failed=True)
     try:
-        reports = join_reports(session.datasets, cfg)
+        reports = materialise(join_reports(session.datasets, cfg))
     except Exception as exc:
         log.warning("join discovery left out: %s", exc)
         reports = None
@@ -184,15 +194,15 @@ def export_session(
 ) -> dict[str, str]:
     """Write each dataset with approved proposals, cleaned, and the manifest of all proposals."""
     if not datasets:
-        raise ExportError("The session has no datasets.")
+        raise ExportError("No dataset was given to export.")
     counted = proposals.groupBy("dataset_name").agg(
         F.count_if(F.col("status") == APPROVED).alias("approved")
     ).collect()
     if not counted:
-        raise ExportError("No proposals have been generated for this session.")
+        raise ExportError("There are no proposals to export.")
     touched = {r["dataset_name"] for r in counted if r["approved"]}
     if not touched:
-        raise ExportError("No proposals have been approved yet.")
+        raise ExportError("None of the proposals is approved, so nothing would change.")
     written = {
         name: write_cleaned(apply_proposals(ds, proposals, winner), folder, name, fmt)
         for name, ds in datasets.items()

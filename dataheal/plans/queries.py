@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +23,6 @@ from dataheal.sources.positions import with_sorted_positions
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = QualityConfig()
-UNCAPPED = replace(CFG, proposals_per_column=None)
 SESSION_ID = "benchmark"
 # What a proposal says; its id, wording and timestamps are left out of the comparison.
 SAID = (
@@ -94,7 +92,10 @@ def session_manifest(spark: SparkSession, sf: str) -> DataFrame:
             for f in files
         ]
     )
-    return rows.join(found, "dataset_name")
+    file_name = lambda c: F.element_at(F.split(c, "/"), -1).alias(c)
+    return rows.join(found, "dataset_name").select(
+        "session_id", "dataset_name", file_name("file_path"), file_name("saved_as"), "analyst_rules_json", "row_count"
+    )
 
 
 def row_index(spark: SparkSession, sf: str) -> DataFrame:
@@ -222,6 +223,20 @@ def profile_dataset(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def distinct_profile_approx(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the approximate count of each column is within 5 % of the exact one."""
+    ds = _lineitem(spark, sf)
+    exact = profile.distinct_profile(ds).select("name", F.col("unique_count").alias("exact"))
+    near = F.abs(F.col("unique_count") - F.col("exact")) <= 0.05 * F.col("exact")
+    return profile.distinct_profile_approx(ds).join(exact, "name").select("name", "exact", near.alias("near"))
+
+
+def numeric_stats_null(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of a table one of whose numeric columns has no value."""
+    events = _events(spark, sf)
+    return _rounded(profile.numeric_stats(Dataset("events", events.df.withColumn("empty", F.lit(None).cast("double")))))
+
+
 def profile_dataset_row(spark: SparkSession, sf: str) -> DataFrame:
     ds = views.policies_dup(spark, sf)
     return profile.profile_dataset_row(ds, profile.profile_columns(ds, CFG))
@@ -256,10 +271,6 @@ def join_quality_orders_customer(spark: SparkSession, sf: str) -> DataFrame:
     return joins.join_quality(side("orders", "o_custkey"), side("customer", "c_custkey"), "custkey")
 
 
-def match_insight_rules(spark: SparkSession, sf: str) -> DataFrame:
-    return insights.single_dataset_insights(views.session(spark, sf)).select("dataset", "id")
-
-
 def join_candidates(spark: SparkSession, sf: str) -> DataFrame:
     session = views.session(spark, sf)
     return _rounded(joins.join_candidates(joins.session_uniqueness(session), list(session), CFG), 6)
@@ -297,7 +308,7 @@ def session_dashboard(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def run_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    return pipeline.run_pipeline(views.session(spark, sf), CFG, SESSION_ID).summary
+    return pipeline.run_pipeline(_addressed_session(spark, sf), CFG, SESSION_ID).summary
 
 
 # ── registry ───────────────────────────────────────────────────────────────
@@ -305,19 +316,12 @@ def run_pipeline(spark: SparkSession, sf: str) -> DataFrame:
 
 def _rule(name: str, **changes) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        cfg = UNCAPPED.with_rules(changes)
+        cfg = CFG.with_rules(changes)
         return rules.find_correction_proposals(views.policies(spark, sf), cfg, SESSION_ID, only=(name,)).select(*SAID)
 
     return run
 
 
-def cap_per_column(spark: SparkSession, sf: str) -> DataFrame:
-    capped = rules.find_correction_proposals(views.policies(spark, sf), CFG, SESSION_ID)
-    return capped.groupBy("column_name", "source_method").agg(
-        F.count("*").alias("kept"), F.max("row_index").alias("last_row")
-    )
-
-
 def decision_errors(spark: SparkSession, sf: str) -> DataFrame:
     made = made_proposals(spark, sf)
     return review.decision_errors(made, approved_by_row(made)).groupBy("error", "decision").agg(F.count("*").alias("n"))
@@ -337,6 +341,10 @@ def source_context(spark: SparkSession, sf: str) -> DataFrame:
     return context.source_context(fills, quotes, "policy_number").drop("proposal_id")
 
 
+def _addressed_session(spark: SparkSession, sf: str) -> dict[str, Dataset]:
+    return {**views.session(spark, sf), "claims": views.positioned_claims(spark, sf)}
+
+
 def _fills(made: DataFrame) -> DataFrame:
     return made.select(
         "dataset_name", "row_index", "row_identifier", "column_name", "proposed_value", "confidence",
@@ -345,14 +353,14 @@ def _fills(made: DataFrame) -> DataFrame:
 
 
 def find_cross_dataset_fills(spark: SparkSession, sf: str) -> DataFrame:
-    session = {n: d for n, d in views.session(spark, sf).items() if n != "claims"}
+    session = _addressed_session(spark, sf)
     profiles = pipeline.profile_columns_of(session, CFG)
     return _fills(fill.find_cross_dataset_fills(session, profiles, CFG, SESSION_ID))
 
 
 def resolve_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Effect of overridden rules: policies outside the overridden premium bounds."""
-    cfg = UNCAPPED.with_rules({"minimum_premium": 1000, "max_premium": 400000})
+    cfg = CFG.with_rules({"minimum_premium": 1000, "max_premium": 400000})
     made = rules.find_correction_proposals(views.policies(spark, sf), cfg, SESSION_ID, only=("premium_threshold",))
     return made.groupBy("proposed_value").agg(F.count("*").alias("n"))
 
@@ -374,10 +382,8 @@ def all_queries() -> dict[str, Query]:
         "row_index": row_index,
         "scan_csv": scan_csv,
         "scan_raw_strings": scan_raw_strings,
-        "dataset_schema": on_lineitem(profile.dataset_schema),
         "dataset_metadata": dataset_metadata,
         "row_count": on_lineitem(profile.row_count),
-        "column_names": on_lineitem(profile.column_names),
         "session_manifest": session_manifest,
         "write_cleaned": write_cleaned,
         "write_audit_manifest": write_audit_manifest,
@@ -386,20 +392,20 @@ def all_queries() -> dict[str, Query]:
         "null_profile": on_policies(profile.null_profile),
         "null_counts": on_policies(profile.null_counts),
         "distinct_profile": on_lineitem(profile.distinct_profile),
-        "distinct_profile_approx": on_lineitem(profile.distinct_profile_approx),
+        "distinct_profile_approx": distinct_profile_approx,
         "top_values": on_lineitem(profile.top_values, CFG),
         "numeric_stats": lambda spark, sf: _rounded(profile.numeric_stats(_lineitem(spark, sf))),
+        "numeric_stats_null": numeric_stats_null,
         "basic_stats": lambda spark, sf: _rounded(
             profile.basic_stats(views.generic(spark, sf, "orders", "o_orderkey"), "o_totalprice")
         ),
         "iqr_outliers": lambda spark, sf: _rounded(profile.iqr_outliers(_events(spark, sf))),
         "outlier_rows": lambda spark, sf: profile.outlier_rows(_events(spark, sf), "value").drop("row_index"),
         "casing_inconsistency": on_policies(profile.casing_inconsistency),
-        "value_sample": on_policies(profile.value_sample, CFG),
+        "value_sample": on_policies(profile.value_sample),
         "date_format_scan": date_format_scan,
         "classify_column": on_profile(profile.classify_column),
         "high_cardinality_flag": on_profile(profile.high_cardinality_flag),
-        "critical_flag": on_policies(profile.critical_flag, CFG),
         "duplicate_rows": lambda spark, sf: profile.duplicate_rows(views.policies_dup(spark, sf)),
         "duplicate_rows_wide": duplicate_rows_wide,
         "column_issues": lambda spark, sf: profile.column_issues(_policy_profile(spark, sf)).drop("issue_order"),
@@ -444,7 +450,6 @@ def all_queries() -> dict[str, Query]:
         "parse_identifier": lambda spark, sf: infer.identifier_parts(
             Dataset("customer", views.table(spark, sf, "customer"), ("c_custkey",)), "c_name"
         ).drop("value"),
-        "find_ordering_column": on_policies(labels.find_ordering_column, CFG),
         "find_row_label_column": lambda spark, sf: labels.find_row_label_column(_session_profiles(spark, sf)),
         "sequential_id_inference": lambda spark, sf: infer.sequential_id_inference(
             views.policies(spark, sf), CFG, SESSION_ID
@@ -460,13 +465,17 @@ def all_queries() -> dict[str, Query]:
         "parse_currency": lambda spark, sf: views.policies(spark, sf).df.select(
             "row_index", "premium", parse_currency(F.col("premium")).alias("amount")
         ),
-        "cap_per_column": cap_per_column,
         "resolve_rules": resolve_rules,
         "find_correction_proposals": lambda spark, sf: rules.find_correction_proposals(
             views.policies(spark, sf), CFG, SESSION_ID
         ).select(*SAID),
         # proposals, review, application
-        "build_proposal": on_made(lambda p: p.drop("created_at")),
+        "build_proposal": on_made(
+            lambda p: p.select(
+                *SAID, "seq", "session_id", "status", "source_dataset", "source_column", "join_key", "join_value",
+                F.length("id").alias("id_length"),
+            )
+        ),
         "proposals_summary": on_made(record.proposals_summary),
         "session_proposals": on_made(lambda p: record.session_proposals(p, SESSION_ID).select(*SAID)),
         "filter_proposals": lambda spark, sf: record.filter_proposals(
@@ -499,7 +508,6 @@ def all_queries() -> dict[str, Query]:
         "match_strength": lambda spark, sf: _reports(spark, sf).select(
             "dataset_a", "dataset_b", "match_rate", joins.match_strength(F.col("match_rate"), CFG).alias("strength")
         ),
-        "match_insight_rules": match_insight_rules,
         "analyse_joins": lambda spark, sf: insights.analyse_joins(views.session(spark, sf), CFG),
         "insight_join": lambda spark, sf: insights.insight_join(
             views.policies(spark, sf), views.claims(spark, sf), "policy_number"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -45,6 +46,14 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def write_once(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and go on from there, column by column."""
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_frame(spark: SparkSession, rows: Iterable, ddl: str) -> DataFrame:
     """A few rows of metadata as a local relation, which plans know the size of.
 

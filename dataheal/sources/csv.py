@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataheal.config import QualityConfig
-from dataheal.dataset import Dataset
+from dataheal.dataset import Dataset, quoted
 from dataheal.functions.text import PLAIN_NUMBER
+from dataheal.session import write_once
 from dataheal.sources.positions import with_file_positions
 
+POSITION = "__position"
 WHOLE_NUMBER = r"^[+-]?\d+$"
 BOOLEAN = ("True", "False", "TRUE", "FALSE", "true", "false")
 
@@ -25,17 +27,24 @@ def _read(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     )
 
 
+def _positioned(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
+    """``row_index`` and the cells as text; a data column of that name becomes ``row_index_1``."""
+    texts = _read(spark, path, multiline)
+    return with_file_positions(texts, POSITION).select(
+        F.col(POSITION).alias("row_index"),
+        *[quoted(c).alias("row_index_1" if c.lower() == "row_index" else c) for c in texts.columns],
+    )
+
+
 def scan_raw_strings(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Every cell as it stands; only an empty cell or the text ``nan`` is null."""
-    positioned = with_file_positions(_read(spark, path, multiline))
-    cells = [
-        F.when(~F.col(c).isin("", "nan"), F.col(c)).alias(c) for c in positioned.columns if c != "row_index"
-    ]
+    positioned = _positioned(spark, path, multiline)
+    cells = [F.when(~quoted(c).isin("", "nan"), quoted(c)).alias(c) for c in positioned.columns[1:]]
     return positioned.select("row_index", *cells)
 
 
 def _without_null_tokens(column: str, cfg: QualityConfig) -> Column:
-    return F.when(~F.col(column).isin(*cfg.null_tokens), F.col(column)).alias(column)
+    return F.when(~quoted(column).isin(*cfg.null_tokens), quoted(column)).alias(column)
 
 
 def _inferred_kinds(texts: DataFrame) -> dict[str, str]:
@@ -53,7 +62,7 @@ def _inferred_kinds(texts: DataFrame) -> dict[str, str]:
     counts = texts.agg(
         F.count("*").alias("rows"),
         *[
-            F.count_if(test(F.col(c))).alias(f"{kind}{i}")
+            F.count_if(test(quoted(c))).alias(f"{kind}{i}")
             for i, c in enumerate(texts.columns)
             for kind, test in tests.items()
         ],
@@ -74,14 +83,17 @@ def _inferred_kinds(texts: DataFrame) -> dict[str, str]:
 
 
 def scan_csv(spark: SparkSession, path: str, cfg: QualityConfig, multiline: bool = False) -> DataFrame:
-    """``row_index`` and the typed columns of a CSV file or folder."""
-    positioned = with_file_positions(_read(spark, path, multiline))
-    names = [c for c in positioned.columns if c != "row_index"]
-    texts = positioned.select("row_index", *[_without_null_tokens(c, cfg) for c in names])
-    raw = _read(spark, path, multiline).select(*[_without_null_tokens(c, cfg) for c in names])
-    kinds = _inferred_kinds(raw)
-    return texts.select("row_index", *[F.col(c).try_cast(kinds[c]).alias(c) for c in names])
+    """``row_index`` and the typed columns of a CSV file or folder.
+
+    The file is parsed once: its cells are written as text, typed when they are read back.
+    """
+    positioned = _positioned(spark, path, multiline)
+    names = positioned.columns[1:]
+    texts = write_once(positioned.select("row_index", *[_without_null_tokens(c, cfg) for c in names]))
+    kinds = _inferred_kinds(texts.drop("row_index"))
+    return texts.select("row_index", *[quoted(c).try_cast(kinds[c]).alias(c) for c in names])
 
 
 def csv_dataset(spark: SparkSession, name: str, path: str, cfg: QualityConfig, multiline: bool = False) -> Dataset:
-    return Dataset(name, scan_csv(spark, path, cfg, multiline))
+    """The file as a dataset: its typed rows are written once, so no later step reads the CSV."""
+    return Dataset(name, write_once(scan_csv(spark, path, cfg, multiline)))

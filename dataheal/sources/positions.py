@@ -1,8 +1,8 @@
 """Dense row positions without a single-task window.
 
 ``with_file_positions`` numbers rows in file order, ``with_sorted_positions`` in the order of
-given columns. Both add per-block offsets to block starts; only the block starts (one number
-per file split or shuffle partition) are ever summed in one place.
+given columns. Both add per-block offsets to block starts; only one number per shuffle
+partition ever reaches the driver.
 """
 
 from __future__ import annotations
@@ -12,72 +12,62 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dataheal.dataset import quoted
 from dataheal.session import local_frame, materialise
 
-# One start per file split is broadcast up to this many splits (about 13 TB of 128 MB splits);
-# beyond, Spark joins by shuffle.
-MAX_BROADCAST_SPLITS = 100_000
-
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
+# Names of helper columns, which no data column has.
+ID, FILE, BLOCK, START, SIZE, FIRST = (f"__position_{k}" for k in ("id", "file", "block", "start", "size", "first"))
+
+
+def _starts(counted: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(block, sum of the sizes before it), blocks in order."""
+    ordered = sorted(counted)
+    ends = accumulate(n for _, n in ordered)
+    return [(block, end - n) for (block, n), end in zip(ordered, ends)]
 
 
 def with_sorted_positions(df: DataFrame, order_by: list[str], name: str = "row_index") -> DataFrame:
-    """Add the 0-based rank of each row in the total order of ``order_by``."""
-    ranged = (
-        df.repartitionByRange(*order_by)
-        .sortWithinPartitions(*order_by)
-        .withColumn("_id", F.monotonically_increasing_id())
-    )
+    """Add the 0-based rank of each row in the total order of ``order_by``, then of the whole row.
+
+    Equal rows are interchangeable. The row breaks ties, so rows that share the leading values
+    are dealt to several tasks and their ranks do not depend on where they were read.
+    """
+    keys = [quoted(c) for c in order_by]
+    tie = F.xxhash64(*[quoted(c) for c in df.columns])
+    ranged = df.repartitionByRange(*keys, tie).sortWithinPartitions(*keys, tie).withColumn(ID, F.monotonically_increasing_id())
     # A rerun of the range shuffle could draw other bounds, so the ids are fixed first.
-    fixed = materialise(ranged).withColumn(
-        "_block", F.shiftright("_id", _PARTITION_BITS).cast("int")
-    )
-    blocks = sorted((r["_block"], r["n"]) for r in fixed.groupBy("_block").agg(F.count("*").alias("n")).collect())
-    ends = list(accumulate(n for _, n in blocks))
-    starts = [(block, end - n) for (block, n), end in zip(blocks, ends)]
-    starts_df = local_frame(df.sparkSession, starts, "_block int, _start bigint")
-    offset = F.col("_id") - F.shiftleft(F.col("_block").cast("bigint"), _PARTITION_BITS)
-    return (
-        fixed.join(F.broadcast(starts_df), "_block")
-        .withColumn(name, F.col("_start") + offset)
-        .drop("_id", "_block", "_start")
-    )
+    fixed = materialise(ranged).withColumn(BLOCK, F.shiftright(ID, _PARTITION_BITS).cast("int"))
+    counted = [(r[BLOCK], r["n"]) for r in fixed.groupBy(BLOCK).agg(F.count("*").alias("n")).collect()]
+    starts = local_frame(df.sparkSession, _starts(counted), f"{BLOCK} int, {START} bigint")
+    offset = F.col(ID) - F.shiftleft(F.col(BLOCK).cast("bigint"), _PARTITION_BITS)
+    return fixed.join(F.broadcast(starts), BLOCK).withColumn(name, F.col(START) + offset).drop(ID, BLOCK, START)
+
+
+def _sums_before(df: DataFrame, order_by: list[str], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` over all rows before each row in the order of ``order_by``."""
+    fixed = materialise(df.repartitionByRange(*order_by).withColumn(ID, F.spark_partition_id()))
+    counted = [(r[ID], r["n"]) for r in fixed.groupBy(ID).agg(F.sum(value).alias("n")).collect()]
+    starts = local_frame(df.sparkSession, _starts(counted), f"{ID} int, {START} bigint")
+    before = Window.partitionBy(ID).orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col(START) + F.coalesce(F.sum(value).over(before), F.lit(0))
+    return fixed.join(F.broadcast(starts), ID).withColumn(name, total).drop(ID, START)
 
 
 def with_file_positions(df: DataFrame, name: str = "row_index") -> DataFrame:
     """Add the 0-based position of each row of a file scan: files by path, rows as they stand.
 
-    File splits are planned the same way each time, so nothing has to be materialised.
+    File splits are planned the same way each time, so rows need not be materialised.
     """
-    columns = df.columns
+    columns = [quoted(c) for c in df.columns]
     tagged = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    blocks = tagged.groupBy("_file", "_block").agg(
-        F.count("*").alias("_n"), F.min("_id").alias("_first")
-    )
-    sizes = blocks.groupBy("_file").agg(F.sum("_n").alias("n"), F.count("*").alias("splits")).collect()
-    files = sorted((r["_file"], r["n"]) for r in sizes)
-    ends = list(accumulate(n for _, n in files))
-    file_starts = local_frame(
-        df.sparkSession,
-        [(path, end - n) for (path, n), end in zip(files, ends)],
-        "_file string, _file_start bigint",
-    )
-    before = (
-        Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = blocks.join(file_starts, "_file").select(
-        "_file",
-        "_block",
-        "_first",
-        (F.col("_file_start") + F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_start"),
+        *columns,
+        F.col("_metadata.file_path").alias(FILE),
+        F.col("_metadata.file_block_start").alias(BLOCK),
+        F.monotonically_increasing_id().alias(ID),
     )
-    if sum(r["splits"] for r in sizes) <= MAX_BROADCAST_SPLITS:
-        starts = F.broadcast(starts)
-    return tagged.join(starts, ["_file", "_block"]).select(
-        (F.col("_start") + F.col("_id") - F.col("_first")).alias(name), *columns
+    blocks = tagged.groupBy(FILE, BLOCK).agg(F.count("*").alias(SIZE), F.min(ID).alias(FIRST))
+    starts = _sums_before(blocks, [FILE, BLOCK], SIZE, "__position_before").drop(SIZE)
+    return tagged.join(starts, [FILE, BLOCK]).select(
+        (F.col("__position_before") + F.col(ID) - F.col(FIRST)).alias(name), *columns
     )

@@ -157,17 +157,6 @@ def test_sequence_needs_single_gaps_in_time_order(spark):
     ]
 
 
-@pytest.mark.parametrize("cap", [None, 3, 1200])
-def test_cap_keeps_the_first_rows(spark, cap):
-    rows = [(i, "trim" if i % 3 else "case", f"c{i % 2}") for i in range(5_000)]
-    found = frame(spark, rows, "row_index bigint, rule string, column_name string")
-    kept = {}
-    for i, rule, column in rows:
-        kept.setdefault((rule, column), []).append(i)
-    expected = sorted(i for group in kept.values() for i in group[:cap])
-    assert sorted(r["row_index"] for r in rules.cap_per_column(found, cap).collect()) == expected
-
-
 def test_plans_avoid_single_task_shapes(spark):
     """No cross product, and the top-k windows are cut down before their shuffle."""
     rows = [(i, f"v{i % 9}", float(i)) for i in range(500)]
