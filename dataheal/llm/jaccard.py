@@ -43,7 +43,7 @@ WIDTH, PERCENT = 5, 75
 SLOTS, SLICE = 1 << 21, 1 << 13
 #: An n-gram in more classes than this is not multiplied out; prefix n-grams by block of the product.
 COMMON, BLOCK = 64, 1_000_000
-#: 64-bit words of the bitmap of a set.
+#: 64-bit words of the bitmap of a set, at least; long sets have more, always a power of two.
 BITMAP = 16
 #: Slices of the count table that one task adds up at most.
 FAN_IN = 256
@@ -64,11 +64,19 @@ def class_of(grams: np.ndarray) -> int:
 
 
 def bitmap(grams: np.ndarray) -> np.ndarray:
-    bits = np.zeros(64 * BITMAP, np.uint8)
-    bits[((grams >> np.uint64(20)) % np.uint64(64 * BITMAP)).astype(np.int64)] = 1
+    """One bit for each n-gram, in 1.5 to 3 bits an n-gram; half the words is the other half or-ed onto it."""
+    words = max(BITMAP, 1 << int(np.ceil(np.log2(max(1, 1.5 * len(grams) / 64)))))
+    bits = np.zeros(64 * words, np.uint8)
+    bits[((grams >> np.uint64(20)) % np.uint64(64 * words)).astype(np.int64)] = 1
     return np.packbits(bits).view(np.int64)
 
 
+def folded(bits, words):
+    """A bitmap in ``words`` words, which are as many or fewer."""
+    up = lambda i: F.aggregate(F.sequence(i, F.size(bits) - 1, words), F.lit(0).cast("long"), lambda s, k: s.bitwiseOR(bits[k]))
+    return F.when(F.size(bits) == words, bits).otherwise(F.transform(F.sequence(F.lit(0), words - 1), up))
+
+
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     """n-grams that a set of n must share with any set linked to it."""
     return -(-percent * n // 100)
@@ -275,7 +283,9 @@ def may_link(a: str, b: str, percent: int, apart=0.0):
     """
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     least = percent / 100 - apart
-    differ = F.aggregate(F.zip_with(f"{a}.bits", f"{b}.bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    x, y = F.col(f"{a}.bits"), F.col(f"{b}.bits")
+    words = F.least(F.size(x), F.size(y))
+    differ = F.aggregate(F.zip_with(folded(x, words), folded(y, words), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, d: s + d)
     return (F.least(n, m) >= least * F.greatest(n, m) - 1e-6) & ((1 + least) * (n + m - differ) >= 2 * least * (n + m) - 1e-6)
 
 

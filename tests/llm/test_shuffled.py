@@ -273,3 +273,16 @@ def test_pipeline(spark, tmp_path, documents):
     assert "9f86d081884c7d65" not in left.where("doc_id = 10").first()["text"]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted({r["doc_id"] for r in packed.collect()}, key=repr) == kept[3]
+
+
+def test_bitmaps_never_screen_a_link(spark):
+    """Sets of all sizes whose similarity is just enough stay, unrelated ones of like size go."""
+    r, rows = np.random.default_rng(2), []
+    for n in (1, 3, 40, 500, 700, 800, 3000, 20000):
+        a = r.integers(0, 2**63, n, dtype=np.uint64)
+        for b, linked in ((np.concatenate([a[: n - n // 8], r.integers(0, 2**63, n // 8, dtype=np.uint64)]), True), (a[: n - n // 4], True), (r.integers(0, 2**63, n, dtype=np.uint64), False)):
+            rows.append((linked, (len(a), jaccard.bitmap(a).tolist()), (len(b), jaccard.bitmap(b).tolist())))
+    df = spark.createDataFrame(rows, "linked boolean, x struct<n:long,bits:array<long>>, y struct<n:long,bits:array<long>>")
+    got = [tuple(x) for x in df.select("linked", "x.n", jaccard.may_link("x", "y", 75)).collect()]
+    assert all(passed for linked, _, passed in got if linked)
+    assert not any(passed for linked, n, passed in got if not linked and n >= 40)
