@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from dataheal.session import materialise
 
 #: Most bytes of text that one step of a Python operator holds as Python objects.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 #: Most rows of a broadcast list of identifiers; longer lists are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 

@@ -42,7 +42,7 @@ from dataheal.session import materialise
 WIDTH, PERCENT = 5, 75
 SLOTS, SLICE = 1 << 21, 1 << 13
 #: An n-gram in more classes than this is not multiplied out; prefix n-grams by block of the product.
-COMMON, BLOCK = 64, 1_000_000
+COMMON, BLOCK = 64, 400_000
 #: 64-bit words of the bitmap of a set, at least; long sets have more, always a power of two.
 BITMAP = 16
 #: Slices of the count table that one task adds up at most.
@@ -223,7 +223,7 @@ def product(percent: int):
                     hot.append(np.stack([many[:, 1], many[:, 2], name, np.zeros(len(many), np.int64)], 1))
                     continue
                 i, j = np.triu_indices(size, 1)
-                for part in np.array_split(at, -(-len(at) * len(i) // 1_000_000)):
+                for part in np.array_split(at, -(-len(at) * len(i) // 250_000)):
                     a, b = rows[(part[:, None] + i).ravel()], rows[(part[:, None] + j).ravel()]
                     ok = 100 * a[:, 2] >= percent * b[:, 2]
                     pairs.append(summed(np.stack([a[ok, 1], b[ok, 1], a[ok, 2], b[ok, 2], np.ones(int(ok.sum()), np.int64)], 1)))

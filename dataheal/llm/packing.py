@@ -38,7 +38,7 @@ ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 3, 2, 4, 6
 #: Bins that are less full than this are dealt again.
 FULL = 0.98
 #: Most words whose ids a worker keeps; later words are tokenized when they come.
-HELD = 1_500_000
+HELD = 600_000
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
