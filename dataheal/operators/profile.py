@@ -1,9 +1,10 @@
 """Column and dataset profiling.
 
-Whatever the number of columns, the table is read for one wide aggregate, one set of quantile
-sketches and one histogram ``(column, value, count)``. Distinct counts, top values, casing variants, exact
-quantiles and outlier counts are all read off the histogram, whose shuffle the plans share; a
-value that fills a third of the table is counted before it is shuffled.
+Whatever the number of columns, the table is read three times: for one wide aggregate with
+quantile sketches, for one histogram ``(column, value, count)``, and for duplicate rows. Distinct counts,
+top values, casing variants, date formats, exact quantiles and outlier counts are all read off the
+histogram, whose shuffle the plans share; a value that fills a third of the table is counted before it is
+shuffled.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataheal.config import DATE_PATTERNS, QualityConfig
 from dataheal.dataset import Dataset
 from dataheal.functions.numbers import round_even
 from dataheal.functions.text import percent, render_double, strip
-from dataheal.operators.quantiles import exact_quantiles, search_frame, sketched_brackets
+from dataheal.operators.quantiles import BRACKETS, exact_quantiles, search_frame, sketched_brackets
 from dataheal.session import local_frame
 
 
@@ -99,20 +100,55 @@ def _value_counts(ds: Dataset, columns: list[str], kind: str) -> DataFrame:
     )
 
 
-def _numeric_kinds(ds: Dataset) -> dict[str, list[str]]:
-    """Numeric columns by the type their values are counted in."""
-    integral = [c for c in ds.numeric if isinstance(ds.dtype(c), T.IntegralType)]
-    decimal = [c for c in ds.numeric if isinstance(ds.dtype(c), T.DecimalType)]
-    fractional = [c for c in ds.numeric if c not in integral + decimal]
-    kinds = {"bigint": integral, "double": fractional}
-    for c in decimal:
-        kinds.setdefault(ds.dtype(c).simpleString(), []).append(c)
-    return kinds
+def _kind(ds: Dataset, column: str) -> str:
+    """How the values of a column are counted: as whole or fractional numbers, else as text."""
+    kind = ds.dtype(column)
+    if isinstance(kind, T.IntegralType):
+        return "whole"
+    return "fraction" if isinstance(kind, (T.DoubleType, T.FloatType)) else "decimal" if isinstance(kind, T.DecimalType) else "text"
+
+
+_COUNTED_AS = {"whole": ("whole", "bigint"), "fraction": ("fraction", "double"), "decimal": ("text", "string"), "text": ("text", "string")}
+
+
+def cell_histogram(ds: Dataset, columns: list[str]) -> DataFrame:
+    """``(name, whole, fraction, text, n, kind)``: every distinct non-null cell and its rows, from one read and one shuffle.
+
+    ``kind`` is an aggregate, so a filter on it stays above the shuffle, which all readers share.
+    """
+
+    def cell(c: str) -> Column:
+        kind = _kind(ds, c)
+        slots = [
+            (ds.value(c) if _COUNTED_AS[kind][0] == slot else F.lit(None)).cast(as_type).alias(slot)
+            for slot, as_type in (("whole", "bigint"), ("fraction", "double"), ("text", "string"))
+        ]
+        return F.struct(F.lit(c).alias("name"), *slots, F.lit(kind).alias("kind"))
+
+    return (
+        ds.df.select(F.inline(F.array(*[cell(c) for c in columns])))
+        .filter(F.col("whole").isNotNull() | F.col("fraction").isNotNull() | F.col("text").isNotNull())
+        .groupBy("name", "whole", "fraction", "text")
+        .agg(F.count("*").alias("n"), F.max("kind").alias("kind"))
+    )
+
+
+def by_kind(ds: Dataset, columns: list[str]) -> dict[str, DataFrame]:
+    """``(name, value, n)`` over the columns, one frame per kind of value that occurs; all read one histogram."""
+    if not columns:
+        return {}
+    hist = cell_histogram(ds, columns)
+    present = {_kind(ds, c) for c in columns}
+    return {
+        kind: hist.filter(F.col("kind") == kind).select("name", F.col(slot).alias("value"), "n")
+        for kind, (slot, _) in _COUNTED_AS.items()
+        if kind in present
+    }
 
 
 def number_histograms(ds: Dataset) -> list[DataFrame]:
     """``(name, value, n)`` over the numeric columns, one frame per kind of number."""
-    return [_value_counts(ds, columns, kind) for kind, columns in _numeric_kinds(ds).items() if columns]
+    return list(by_kind(ds, ds.numeric).values())
 
 
 def as_numbers(histograms: list[DataFrame]) -> DataFrame:
@@ -129,8 +165,7 @@ def text_histogram(ds: Dataset, columns: list[str] | None = None) -> DataFrame:
 
 
 def histograms(ds: Dataset) -> list[DataFrame]:
-    texts = [text_histogram(ds)] if len(ds.numeric) < len(ds.columns) else []
-    return number_histograms(ds) + texts
+    return list(by_kind(ds, ds.columns).values())
 
 
 def histogram(ds: Dataset) -> DataFrame:
@@ -222,7 +257,7 @@ def casing_inconsistency(ds: Dataset) -> DataFrame:
 
 
 def column_aggregates(ds: Dataset) -> DataFrame:
-    """The wide aggregate: counts for all columns, extremes and moments for numbers."""
+    """The wide aggregate: counts for all columns, extremes, moments and quantile brackets for numbers."""
     aggregates = [F.count("*").alias("row_count")]
     rows = []
     for i, f in enumerate(ds.fields):
@@ -232,6 +267,7 @@ def column_aggregates(ds: Dataset) -> DataFrame:
             col = ds.col(f.name).cast("double")
             stats = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp}
             aggregates += [agg(col).alias(f"{key}{i}") for key, agg in stats.items()]
+            aggregates.append(sketched_brackets(col).alias(f"near{i}"))
         got = lambda key: (F.col(f"{key}{i}") if number else F.lit(None).cast("double")).alias(key)
         rows.append(
             F.struct(
@@ -241,27 +277,15 @@ def column_aggregates(ds: Dataset) -> DataFrame:
                 F.lit(number).alias("is_numeric"),
                 F.col(f"n{i}").alias("non_null"),
                 *[got(key) for key in ("min", "max", "mean", "std")],
+                (F.col(f"near{i}") if number else F.lit(None).cast(BRACKETS)).alias("near"),
             )
         )
     return _long(ds.clean().agg(*aggregates), ["row_count"], rows)
 
 
-def _column_sketches(ds: Dataset) -> DataFrame:
-    """``(name, near)``: quantile brackets per numeric column.
-
-    Apart from the wide aggregate, which so stays in generated code.
-    """
-    cells = ds.clean(ds.numeric)
-    near = cells.agg(*[sketched_brackets(ds.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(ds.numeric)])
-    return _long(near, [], [F.struct(F.lit(c).alias("name"), F.col(f"s{i}").alias("near")) for i, c in enumerate(ds.numeric)])
-
-
 def measure_columns(ds: Dataset) -> list[Row]:
-    """Counts, extremes, moments and quantile brackets, collected: one row per column."""
-    wide = column_aggregates(ds)
-    if not ds.numeric:
-        return wide.collect()
-    return wide.join(F.broadcast(_column_sketches(ds)), "name", "left").collect()
+    """Counts, extremes, moments and quantile brackets, collected: one row per column from one read."""
+    return column_aggregates(ds).collect()
 
 
 def _quantiles(numeric_hist: DataFrame, measured: list[Row]) -> DataFrame:
@@ -370,9 +394,13 @@ def date_columns(ds: Dataset, cfg: QualityConfig) -> list[str]:
     return [c for c in ds.textual if any(k in c.lower() for k in cfg.date_keywords)]
 
 
-def date_formats(hist: DataFrame) -> DataFrame:
-    """Per column of a text histogram: the formats of all its values, and how many rows match none."""
-    text = strip(F.col("value"))
+def date_formats(hist: DataFrame, columns: list[str]) -> DataFrame:
+    """Per date column of a text histogram: the formats of all its values, and how many rows match none.
+
+    The other columns of the histogram are passed over here, not by a filter, which would sink
+    below the histogram and read the table once more for it.
+    """
+    text = F.when(F.col("name").isin(*columns), strip(F.col("value")))
     label = reduce(
         lambda seen, p: seen.when(text.rlike(p[1]), p[0]),
         DATE_PATTERNS[1:],
@@ -395,7 +423,7 @@ def date_format_scan(ds: Dataset, cfg: QualityConfig) -> DataFrame:
     if not columns:
         schema = "name string, date_formats_detected array<string>, invalid_date_count bigint"
         return local_frame(ds.df.sparkSession, [], schema)
-    return date_formats(text_histogram(ds, columns))
+    return date_formats(text_histogram(ds, columns), columns)
 
 
 # ── rows ───────────────────────────────────────────────────────────────────
@@ -513,8 +541,9 @@ _MEASURED = (
 
 def _summaries(ds: Dataset, cfg: QualityConfig, measured: list[Row]) -> DataFrame:
     """Everything read off the histograms and date samples, one row per column."""
-    numeric = number_histograms(ds)
-    texts = [text_histogram(ds)] if len(ds.numeric) < len(ds.columns) else []
+    found = by_kind(ds, ds.columns)
+    texts = [h for kind, h in found.items() if kind == "text"]
+    numeric = [h for kind, h in found.items() if kind != "text"]
     counts = [_casing_counts(h) for h in texts]
     if numeric:
         numbers = as_numbers(numeric)
@@ -528,15 +557,14 @@ def _summaries(ds: Dataset, cfg: QualityConfig, measured: list[Row]) -> DataFram
         found = found.join(F.broadcast(_outlier_counts(numbers, bounds)), "name", "left")
     dates = date_columns(ds, cfg)
     if dates:
-        of_dates = texts[0].filter(F.col("name").isin(*dates))
-        found = found.join(F.broadcast(date_formats(of_dates)), "name", "left")
+        found = found.join(F.broadcast(date_formats(texts[0], dates)), "name", "left")
     return found
 
 
 def profile_columns(ds: Dataset, cfg: QualityConfig) -> DataFrame:
     """One row per column with every profile field.
 
-    Runs two jobs and holds their results, a few numbers per column, as a local frame, so that
+    Reads the table twice and holds the results, a few numbers per column, as a local frame, so that
     everything built on a profile costs no further scan.
     """
     measured = measure_columns(ds)

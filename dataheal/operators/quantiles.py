@@ -18,6 +18,7 @@ PROBABILITIES = {"q1": 0.25, "median": 0.50, "q3": 0.75}
 SKETCH_K = 2_000  # sketch rank error: about 0.25 % of the rows at 99 % confidence
 MARGIN = 0.03  # bracket half-width, twelve times that error
 CELLS = 1_024
+BRACKETS = "array<struct<lo:double,hi:double>>"
 
 
 def sketched_brackets(col: Column) -> Column:

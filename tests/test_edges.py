@@ -169,3 +169,21 @@ def test_quantiles_of_a_hot_value(spark):
     got = profile.numeric_stats(data(spark, list(enumerate(values)), "v double")).first()
     want = np.quantile(values, [0.25, 0.5, 0.75])
     assert (got["q1"], got["median"], got["q3"]) == pytest.approx(tuple(want))
+
+
+@pytest.mark.parametrize("n_columns", [5, 50])
+def test_profile_reads_the_table_three_times(spark, tmp_path, n_columns):
+    kinds = ("CAST(id AS INT)", "CAST(id AS DOUBLE)", "CAST(id AS STRING)", "CAST(DATE '2024-01-01' + CAST(id AS INT) AS STRING)", "CAST(id AS DECIMAL(20,2))")
+    names = ("whole", "fraction", "words", "claim_date", "money")
+    cols = [f"{kinds[i % 5]} AS {names[i % 5]}_{i}" for i in range(n_columns)]
+    spark.range(700).selectExpr("id AS row_index", *cols).write.parquet(str(tmp_path / "t"))
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(value):
+        reads.add(1)
+        return value
+
+    df = spark.read.parquet(str(tmp_path / "t"))
+    pipeline.profile_whole(Dataset("d", df.withColumn("words_2", seen("words_2"))), CFG)
+    assert 700 < reads.value <= 3 * 700
