@@ -6,6 +6,7 @@ from checks import proposals as P
 from checks import scoring as S
 from checks import views as V
 from checks.views import text, with_
+from dataheal.operators.insights import BY_ID
 
 CFG = V.CFG
 LINEITEM = {
@@ -205,8 +206,8 @@ def scoring() -> dict[str, str]:
             f"SELECT CAST(printf('%.1f', CAST(mean AS DOUBLE)) AS DOUBLE) AS overall_score, {S.OVERALL_GRADE} AS grade, dataset_count, "
             + ", ".join(f"(SELECT count(*) FROM score WHERE grade = '{g}') AS {g.lower()}" for g in ("Green", "Amber", "Red"))
             + ", (SELECT count(*) FROM score) AS total, (SELECT string_agg(alert_text, ' | ' ORDER BY urgency, points_impact DESC, "
-            "place, ordinal) FROM top_alerts) AS critical_alerts, (SELECT string_agg(business_summary, ' | ' ORDER BY value DESC) "
-            f"FROM opportunity) AS join_opportunities, 75 AS benchmark_score, {S.BENCHMARK} AS context FROM ({S.OVERALL})",
+            "place, ordinal) FROM top_alerts) AS critical_alerts, (SELECT string_agg(concat_ws(':', dataset_a, dataset_b, join_key, business_summary), ' | ' "
+            f"ORDER BY value DESC, place) FROM opportunity) AS join_opportunities, CAST((SELECT count(*) FROM quality) AS BIGINT) AS opportunity_count, 75 AS benchmark_score, {S.BENCHMARK} AS context FROM ({S.OVERALL})",
         ),
     }
 
@@ -450,14 +451,15 @@ def join_ctes() -> dict[str, str]:
     for i, (a, b) in enumerate(PAIRS):
         found = _offered(V.COLUMNS[a] + V.COLUMNS[b], True)
         examples = " and ".join(_NAMES[f] for f in found[:2])
-        offers.append(f"({i}, '{a}', '{b}', {len(found)}, '{examples}')")
+        titles = ", ".join(BY_ID[f].name for f in found[:3])
+        offers.append(f"({i}, '{a}', '{b}', {len(found)}, '{examples}', '{titles}')")
     return {
         **V.view_ctes(*V.SESSION),
         "quality": _RATED.format(union(_quality(a, b, "policy_number") for a, b in PAIRS)),
-        "offer": f"SELECT * FROM (VALUES {', '.join(offers)}) t(place, dataset_a, dataset_b, insights, examples)",
+        "offer": f"SELECT * FROM (VALUES {', '.join(offers)}) t(place, dataset_a, dataset_b, insights, examples, top_insights)",
         "opportunity": (
             "SELECT q.dataset_a, q.dataset_b, q.join_key, CAST(CAST(printf('%.0f', CAST(q.match_rate * 100 AS DOUBLE)) AS DOUBLE) AS INTEGER) AS match_rate, "
-            "o.insights AS insights_count, CASE WHEN o.insights > 0 THEN 'Combining ' || q.dataset_a || ' and ' || q.dataset_b || "
+            "o.insights AS insights_count, o.top_insights, o.place, CASE WHEN o.insights > 0 THEN 'Combining ' || q.dataset_a || ' and ' || q.dataset_b || "
             "' data enables ' || o.examples ELSE upper(q.dataset_a[1]) || q.dataset_a[2:] || ' and ' || upper(q.dataset_b[1]) || "
             "q.dataset_b[2:] || ' records can be linked — ' || printf('%.0f%%', CAST(printf('%.0f', CAST(q.match_rate * 100 AS DOUBLE)) AS DOUBLE)) || ' of keys match' END "
             "AS business_summary, q.match_rate * 0.6 + o.insights / (SELECT greatest(max(insights), 1) FROM offer) * 0.4 AS value "
@@ -576,7 +578,8 @@ def joins() -> dict[str, str]:
             )
         ),
         "join_opportunities": on(
-            "SELECT dataset_a, dataset_b, join_key, match_rate, insights_count, business_summary FROM opportunity"
+            "SELECT dataset_a, dataset_b, join_key, match_rate, insights_count, business_summary, top_insights, "
+            "(SELECT count(*) FROM quality) AS total FROM opportunity"
         ),
     }
 

@@ -146,8 +146,8 @@ class QualityConfig:
     overall_amber: float = 50
     benchmark_score: int = 75
     critical_alert_points: int = 20
-    max_alerts: int = 5
-    max_opportunities: int = 3
+    max_alerts: int | None = 5
+    max_opportunities: int | None = 3
     match_weight: float = 0.6
     insight_weight: float = 0.4
 

@@ -119,7 +119,7 @@ def critical_alerts(
         ranked.withColumn("_rank", F.row_number().over(once))
         .filter("_rank = 1")
         .orderBy(*tie)
-        .limit(cfg.max_alerts)
+        .limit(cfg.max_alerts if cfg.max_alerts is not None else 2**31 - 1)
         .select(
             "severity", "dataset", F.coalesce("column", F.lit("")).alias("column"),
             alert_text().alias("alert_text"), "points_impact", "urgency", "place", "ordinal",
@@ -130,8 +130,17 @@ def critical_alerts(
 # ── opportunities ──────────────────────────────────────────────────────────
 
 
+OPPORTUNITY = (
+    "struct<dataset_a:string,dataset_b:string,join_key:string,match_rate:int,insights_count:int,"
+    "business_summary:string,top_insights:array<string>>"
+)
+
+
 def join_opportunities(reports: DataFrame, cfg: QualityConfig) -> DataFrame:
-    """The most valuable joins: match rate and number of insights, weighted."""
+    """The most valuable joins: match rate and number of insights, weighted; ties by the pair's place.
+
+    ``total`` counts all opportunities, of which ``max_opportunities`` (``None``: all) are shown.
+    """
     insights = F.size("insight_ids")
     most = reports.agg(F.greatest(F.max(F.size("insight_ids")), F.lit(1)))
     value = F.col("match_rate") * cfg.match_weight + insights / most.scalar() * cfg.insight_weight
@@ -145,11 +154,12 @@ def join_opportunities(reports: DataFrame, cfg: QualityConfig) -> DataFrame:
             title_case(a), title_case(b), F.rint(F.col("match_rate") * 100),
         )
     )
+    ranked = reports.withColumn("value", value).orderBy(F.desc("value"), "pair_order", "dataset_a", "dataset_b")
+    if cfg.max_opportunities is not None:
+        ranked = ranked.limit(cfg.max_opportunities)
+    total = reports.agg(F.count("*").alias("n")).scalar()
     return (
-        reports.withColumn("value", value)
-        .orderBy(F.desc("value"), "pair_order", "dataset_a", "dataset_b")
-        .limit(cfg.max_opportunities)
-        .select(
+        ranked.select(
             "dataset_a",
             "dataset_b",
             "join_key",
@@ -158,6 +168,8 @@ def join_opportunities(reports: DataFrame, cfg: QualityConfig) -> DataFrame:
             text.alias("business_summary"),
             F.slice("insight_names", 1, 3).alias("top_insights"),
             "value",
+            "pair_order",
+            total.alias("total"),
         )
     )
 
@@ -227,12 +239,14 @@ def dashboard(
         ).alias("critical_alerts")
     )
     if reports is None:
-        opportunities = F.array().cast("array<string>")
+        opportunities = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast(f"array<{OPPORTUNITY}>").alias("shown"))
     else:
-        best = F.sort_array(
-            F.collect_list(F.struct("value", F.col("business_summary").alias("text"))), asc=False
+        fields = ("dataset_a", "dataset_b", "join_key", "match_rate", "insights_count", "business_summary", "top_insights")
+        best = F.sort_array(F.collect_list(F.struct((-F.col("value")).alias("least"), "pair_order", *fields)))
+        shown = F.transform(best, lambda x: F.struct(*[x[f].alias(f) for f in fields])).cast(f"array<{OPPORTUNITY}>")
+        packed = join_opportunities(reports, cfg).agg(
+            F.struct(F.coalesce(F.max("total"), F.lit(0)).alias("total"), shown.alias("shown")).alias("o")
         )
-        packed = join_opportunities(reports, cfg).agg(F.transform(best, lambda x: x["text"]).alias("t"))
         opportunities = packed.scalar()
     rag = rag_summary(scores)
     context = benchmark_context(overall, cfg)

@@ -35,6 +35,13 @@ class Insight:
     confidence: str
     cross_dataset: bool
 
+    @property
+    def explanation(self) -> str:
+        """What the insight shows and when it can be made."""
+        where = "one row of each dataset joined on their key" if self.cross_dataset else "one dataset"
+        figures = ", ".join(name.replace("_", " ") for name in self.outputs)
+        return f"By {self.group.replace('_', ' ')}: {figures}, from {where}; needs {' and '.join(self.required)}."
+
     @property
     def required(self) -> list[str]:
         return sorted({self.group, *([self.measure] if self.measure else [])})
@@ -83,11 +90,11 @@ class InsightError(ValueError):
 
 
 def catalogue(spark) -> DataFrame:
-    rows = [(n, i.id, i.name, i.required, i.confidence, i.cross_dataset) for n, i in enumerate(INSIGHTS)]
+    rows = [(n, i.id, i.name, i.required, i.confidence, i.cross_dataset, i.explanation) for n, i in enumerate(INSIGHTS)]
     return local_frame(
         spark,
         rows,
-        "place int, id string, name string, required array<string>, confidence string, cross_dataset boolean",
+        "place int, id string, name string, required array<string>, confidence string, cross_dataset boolean, explanation string",
     )
 
 
@@ -104,7 +111,7 @@ def match_insight_rules(columns: DataFrame, cross: bool) -> DataFrame:
     have = columns.select("owner", F.explode(F.array_distinct("columns")).alias("column"))
     met = have.join(F.broadcast(needs), "column")
     return (
-        met.groupBy("owner", "place", "id", "name", "required", "confidence")
+        met.groupBy("owner", "place", "id", "name", "required", "confidence", "explanation")
         .agg(F.count("*").alias("met"))
         .filter(F.col("met") == F.size("required"))
         .drop("met")
@@ -216,11 +223,11 @@ def generate_insight(
 ) -> DataFrame:
     insight = BY_ID.get(insight_id)
     if insight is None:
-        raise InsightError(f"Unknown insight_id '{insight_id}'.")
+        raise InsightError(f"There is no insight '{insight_id}'.")
     if not insight.cross_dataset:
         return single_insight(a, insight)
     if b is None or not key:
-        raise InsightError("Cross-dataset insights require a second dataset and a join key.")
+        raise InsightError("This insight joins two datasets: give the second one and the key.")
     return joined_insight(a, b, key, insight)
 
 

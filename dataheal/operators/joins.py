@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from dataheal.dataset import Dataset
 from dataheal.functions.numbers import round_even
 from dataheal.operators.profile import distinct_counts, histograms, union_all
 from dataheal.operators.rules import shown
+from dataheal.session import local_frame
 
 
 def uniqueness_ratio(ds: Dataset) -> DataFrame:
@@ -29,7 +28,7 @@ def session_uniqueness(datasets: dict[str, Dataset]) -> DataFrame:
     for ds in datasets.values():
         shared = [c for c in ds.columns if names.count(c) > 1]
         if shared:
-            parts.append(uniqueness_ratio(Dataset(ds.name, ds.df.select(*ds.row_order, *shared), ds.row_order)))
+            parts.append(uniqueness_ratio(Dataset(ds.name, ds.df.select(*[ds.col(c) for c in (*ds.row_order, *shared)]), ds.row_order)))
     return union_all(parts)
 
 
@@ -111,11 +110,11 @@ def join_quality(a: Dataset, b: Dataset, key: str) -> DataFrame:
         "total_keys_b",
         (total_a - matched).alias("unmatched_in_a"),
         (total_b - matched).alias("unmatched_in_b"),
-        base_dataset(total_a, total_b, a.name, b.name).alias("base_dataset"),
+        base_dataset(total_a, total_b, F.lit(a.name), F.lit(b.name)).alias("base_dataset"),
     )
 
 
-def base_dataset(total_a: Column, total_b: Column, name_a: str, name_b: str) -> Column:
+def base_dataset(total_a: Column, total_b: Column, name_a: Column, name_b: Column) -> Column:
     """The side with more keys; A on a tie."""
     return F.when(total_a >= total_b, name_a).otherwise(name_b)
 
@@ -138,14 +137,57 @@ def match_strength(rate: Column, cfg: QualityConfig) -> Column:
     )
 
 
+def _key_owners(datasets: dict[str, Dataset], columns: dict[str, list[str]]) -> DataFrame:
+    """``(name, owners, n)``: how many keys of a column occur in exactly these datasets, by place.
+
+    Every dataset is read once for all its key columns; equal keys are combined before the
+    shuffle, and what is left is as long as the combinations of datasets that occur.
+    """
+    sides = []
+    for place, (name, ds) in enumerate(datasets.items()):
+        if columns.get(name):
+            cells = [F.struct(F.lit(c).alias("name"), shown(ds, c).alias("key")) for c in columns[name]]
+            keys = ds.df.select(F.inline(F.array(*cells))).filter(F.col("key").isNotNull())
+            sides.append(keys.withColumn("place", F.lit(place)))
+    owned = union_all(sides).groupBy("name", "key").agg(F.array_sort(F.collect_set("place")).alias("owners"))
+    return owned.groupBy("name", "owners").agg(F.count("*").alias("n"))
+
+
 def detect_join_pairs(datasets: dict[str, Dataset], cfg: QualityConfig) -> DataFrame | None:
-    """Join quality of every pair that has a usable key; the loop runs over pairs."""
+    """Join quality of every pair that has a usable key; reads grow with the datasets, not with the pairs."""
     order = list(datasets)
-    keys = {
-        (r["dataset_a"], r["dataset_b"]): r["join_key"]
-        for r in best_join_keys(session_uniqueness(datasets), order, cfg).collect()
-    }
-    reports = [
-        join_quality(datasets[a], datasets[b], keys[a, b]) for a, b in combinations(order, 2) if (a, b) in keys
-    ]
-    return union_all(reports) if reports else None
+    chosen = best_join_keys(session_uniqueness(datasets), order, cfg).collect()
+    if not chosen:
+        return None
+    columns: dict[str, list[str]] = {}
+    for r in chosen:
+        for name in (r["dataset_a"], r["dataset_b"]):
+            if r["join_key"] not in columns.setdefault(name, []):
+                columns[name].append(r["join_key"])
+    rows = [(r["dataset_a"], r["dataset_b"], r["join_key"], order.index(r["dataset_a"]), order.index(r["dataset_b"])) for r in chosen]
+    pairs = local_frame(
+        next(iter(datasets.values())).df.sparkSession, rows,
+        "dataset_a string, dataset_b string, join_key string, place_a int, place_b int",
+    )
+    owners = _key_owners(datasets, columns)
+    held = owners.join(F.broadcast(pairs), owners["name"] == pairs["join_key"])
+    in_a, in_b = F.array_contains("owners", F.col("place_a")), F.array_contains("owners", F.col("place_b"))
+    total = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0))
+    counted = held.groupBy("dataset_a", "dataset_b", "join_key").agg(
+        total(in_a & in_b).alias("matched_keys"), total(in_a).alias("total_keys_a"), total(in_b).alias("total_keys_b")
+    )
+    # a pair neither of whose sides has a key still is one
+    full = pairs.select("dataset_a", "dataset_b", "join_key").join(counted, ["dataset_a", "dataset_b", "join_key"], "left").fillna(0)
+    matched, total_a, total_b = F.col("matched_keys"), F.col("total_keys_a"), F.col("total_keys_b")
+    return full.select(
+        "dataset_a",
+        "dataset_b",
+        "join_key",
+        match_rate(matched, total_a, total_b).alias("match_rate"),
+        "matched_keys",
+        "total_keys_a",
+        "total_keys_b",
+        (total_a - matched).alias("unmatched_in_a"),
+        (total_b - matched).alias("unmatched_in_b"),
+        base_dataset(total_a, total_b, F.col("dataset_a"), F.col("dataset_b")).alias("base_dataset"),
+    )

@@ -294,7 +294,9 @@ def _insight(insight_id: str) -> Query:
 
 def join_opportunities(spark: SparkSession, sf: str) -> DataFrame:
     reports = insights.join_reports(views.session(spark, sf), CFG)
-    return dashboard.join_opportunities(reports, CFG).drop("top_insights", "value")
+    return dashboard.join_opportunities(reports, CFG).drop("value", "pair_order").withColumn(
+        "top_insights", F.array_join("top_insights", ", ")
+    )
 
 
 def session_dashboard(spark: SparkSession, sf: str) -> DataFrame:
@@ -302,7 +304,10 @@ def session_dashboard(spark: SparkSession, sf: str) -> DataFrame:
     return made.withColumns(
         {
             "critical_alerts": F.array_join(F.transform("critical_alerts", lambda a: a["alert_text"]), " | "),
-            "join_opportunities": F.array_join("join_opportunities", " | "),
+            "join_opportunities": F.array_join(
+                F.transform("join_opportunities.shown", lambda o: F.concat_ws(":", o["dataset_a"], o["dataset_b"], o["join_key"], o["business_summary"])), " | "
+            ),
+            "opportunity_count": F.col("join_opportunities.total"),
         }
     )
 
