@@ -375,6 +375,7 @@ def review() -> dict[str, str]:
         "bulk_review_cleaning": on(
             f"SELECT {P.COLUMNS}, CASE WHEN {_STANDARD} THEN 'approved' ELSE 'pending' END AS status FROM proposals"
         ),
+        "bulk_review_result": on(f"SELECT 'approved' AS decision, {P.COLUMNS} FROM proposals WHERE {_STANDARD}"),
         "cast_value": on(
             "SELECT row_index, column_name, proposed_value, CASE WHEN column_name = 'ncd' THEN "
             "CAST(CAST(proposed_value AS DOUBLE) AS INTEGER) END AS as_integer, CASE WHEN column_name = 'premium' THEN "

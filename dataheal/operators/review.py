@@ -52,12 +52,11 @@ def decision_errors(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
         F.when(~valid, "invalid").when(F.col("status").isNull(), "not_found").when(now.isNotNull(), "conflict")
     )
     message = (
-        F.when(error == "invalid", F.format_string("Invalid decision: '%s'", F.col("decision")))
-        .when(error == "not_found", F.format_string("Proposal '%s' not found.", F.col("id")))
+        F.when(error == "invalid", F.format_string("'%s' is neither approval nor rejection.", F.col("decision")))
+        .when(error == "not_found", F.format_string("There is no proposal '%s'.", F.col("id")))
         .otherwise(
             F.format_string(
-                "Proposal has already been reviewed (current status: '%s'). "
-                "Only pending proposals can be approved or rejected.",
+                "An earlier review left this proposal '%s'; a decision needs a pending one.",
                 now,
             )
         )
@@ -73,7 +72,7 @@ def decision_errors(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
 def bulk_review_cleaning(proposals: DataFrame, decision: str, session_id: str | None = None) -> DataFrame:
     """Decide every pending formatting proposal of a session at once."""
     if decision not in (APPROVED, REJECTED):
-        raise ValueError(f"Invalid decision: {decision!r}")
+        raise ValueError(f"A review approves or rejects; {decision!r} does neither.")
     takes = (F.col("status") == PENDING) & is_standard_cleaning()
     if session_id is not None:
         takes = takes & (F.col("session_id") == session_id)
@@ -89,7 +88,7 @@ def bulk_review_cleaning(proposals: DataFrame, decision: str, session_id: str |
 def bulk_review_result(proposals: DataFrame, decision: str, session_id: str | None = None) -> DataFrame:
     """The ids a bulk review changes."""
     if decision not in (APPROVED, REJECTED):
-        raise ValueError(f"Invalid decision: {decision!r}")
+        raise ValueError(f"A review approves or rejects; {decision!r} does neither.")
     takes = (F.col("status") == PENDING) & is_standard_cleaning()
     if session_id is not None:
         takes = takes & (F.col("session_id") == session_id)

@@ -494,6 +494,9 @@ def all_queries() -> dict[str, Query]:
         "bulk_review_cleaning": on_made(
             lambda p: review.bulk_review_cleaning(p, record.APPROVED, SESSION_ID).select(*SAID, "status")
         ),
+        "bulk_review_result": on_made(
+            lambda p: review.bulk_review_result(p, record.APPROVED, SESSION_ID).join(p.select("id", *SAID), "id").drop("id")
+        ),
         "cast_value": cast_value,
         "apply_proposals": lambda spark, sf: applying.apply_proposals(
             views.policies(spark, sf), made_proposals(spark, sf).withColumn("status", F.lit(record.APPROVED))
