@@ -42,7 +42,7 @@ from dataheal.session import materialise
 WIDTH, PERCENT = 5, 75
 SLOTS, SLICE = 1 << 21, 1 << 13
 #: An n-gram in more classes than this is not multiplied out; prefix n-grams by block of the product.
-COMMON, BLOCK = 64, 400_000
+COMMON, BLOCK = 24, 400_000
 #: 64-bit words of the bitmap of a set, at least; long sets have more, always a power of two.
 BITMAP = 16
 #: Slices of the count table that one task adds up at most.
@@ -289,8 +289,15 @@ def may_link(a: str, b: str, percent: int, apart=0.0):
     return (F.least(n, m) >= least * F.greatest(n, m) - 1e-6) & ((1 + least) * (n + m - differ) >= 2 * least * (n + m) - 1e-6)
 
 
+def screened(pairs: DataFrame, classes: DataFrame, percent: int, apart=0.0) -> DataFrame:
+    """The ``pairs`` (a, b, ...) that may be linked, by their whole bitmaps."""
+    x = classes.select(F.col("cls").alias("a"), F.struct("n", "bits").alias("x"))
+    y = classes.select(F.col("cls").alias("b"), F.struct("n", "bits").alias("y"))
+    return pairs.join(x, "a").join(y, "b").where(may_link("x", "y", percent, apart)).drop("x", "y")
+
+
 def hot_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that complete the components over the classes of common n-grams; ``hot`` is (gram, share, c) with c (cls, n, bits)."""
+    """Links (a, b) that complete the components over the classes of common n-grams; ``hot`` is (gram, share, c) with c (cls, n, folded bits)."""
     far = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     found, spokes = links, None
 
@@ -307,7 +314,8 @@ def hot_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataFr
             rows = rows.join(leaders(rows), "gram").where("component <> of").select("gram", "share", "c", "component")
         rows = materialise(rows)
         stars = rows.join(leaders(rows), "gram").where((F.col("component") != F.col("of")) & may_link("c", "l", percent))
-        stars = materialise(stars.groupBy(F.col("c.cls").alias("a"), F.col("l.cls").alias("b")).agg(F.max("typical").alias("typical")))
+        stars = stars.groupBy(F.col("c.cls").alias("a"), F.col("l.cls").alias("b")).agg(F.max("typical").alias("typical"))
+        stars = materialise(screened(stars, classes, percent))
         won = materialise(verified(docs, classes, stars, width).where(similar(percent)).join(stars, ["a", "b"]).select("a", "b", "typical", far.alias("far")))
         spokes = won if spokes is None else spokes.union(won)
         found = materialise(found.union(won.select("a", "b")))
@@ -318,20 +326,24 @@ def hot_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataFr
         "gram", "c", "component", F.coalesce("s.cls", "c.cls").alias("centre"), F.coalesce("s.far", F.lit(0.0)).alias("far"))
     apart = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
     placed = materialise(placed.join(apart, "gram", "left_semi"))
-    known = classes.select(F.col("cls").alias("centre"), F.struct("cls", "n", "bits").alias("c"))
-    reach = placed.groupBy("centre").agg(F.max("far").alias("reach"))
+    known = classes.select(F.col("cls").alias("centre"), F.struct("cls", "n", folded(F.col("bits"), F.lit(BITMAP)).alias("bits")).alias("c"))
+    reach = placed.groupBy("centre").agg(F.max("far").alias("reach"), F.array_sort(F.collect_set("gram")).alias("grams"))
     by_gram = placed.select("gram", "centre", "component").distinct().join(reach, "centre").join(known, "centre").drop("centre")
-    left, right = by_gram.select("gram", F.struct("c", "component", "reach").alias("x")), by_gram.select("gram", F.struct("c", "component", "reach").alias("y"))
+    left, right = by_gram.select("gram", F.struct("c", "component", "reach", "grams").alias("x")), by_gram.select("gram", F.struct("c", "component", "reach", "grams").alias("y"))
+    # a pair is found at each n-gram that its leaders share, and kept at the first
+    first = F.array_min(F.array_intersect("x.grams", "y.grams")) == F.col("gram")
     both = F.col("x.reach") + F.col("y.reach")
     centres = left.join(right, "gram").where(
-        (F.col("x.c.cls") < F.col("y.c.cls")) & (F.col("x.component") != F.col("y.component")) & may_link("x.c", "y.c", percent, both))
-    centres = materialise(centres.select(F.col("x.c.cls").alias("a"), F.col("y.c.cls").alias("b"), both.alias("reach")).distinct())
+        (F.col("x.c.cls") < F.col("y.c.cls")) & (F.col("x.component") != F.col("y.component")) & may_link("x.c", "y.c", percent, both) & first)
+    centres = centres.select(F.col("x.c.cls").alias("a"), F.col("y.c.cls").alias("b"), both.alias("reach")).distinct()
+    centres = materialise(screened(centres, classes, percent, F.col("reach")))
     measured = verified(docs, classes, centres, width).select("a", "b", "na", "nb", "both", far.alias("apart"))
     close = materialise(centres.join(measured, ["a", "b"]).where(F.col("apart") <= 1 - percent / 100 + F.col("reach") + 1e-9))
     x, y = (placed.select("gram", F.col("centre").alias(c), F.struct("c", "component", "far").alias(s)) for c, s in (("a", "x"), ("b", "y")))
     members = close.where("reach > 0").select("a", "b", "apart").join(x, "a").join(y, ["gram", "b"]).where(
         (F.col("x.component") != F.col("y.component")) & (F.col("apart") <= 1 - percent / 100 + F.col("x.far") + F.col("y.far") + 1e-9) & may_link("x.c", "y.c", percent))
-    pairs = materialise(members.select(F.col("x.c.cls").alias("a"), F.col("y.c.cls").alias("b")).distinct())
+    pairs = members.select(F.col("x.c.cls").alias("a"), F.col("y.c.cls").alias("b")).distinct()
+    pairs = materialise(screened(pairs, classes, percent))
     more = verified(docs, classes, pairs, width).where(similar(percent)).select("a", "b")
     return found.union(close.where(similar(percent)).select("a", "b")).union(more)
 
@@ -356,7 +368,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     enough = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
     kept = materialise(ends.where(enough & may_link("x", "y", percent)).select("a", "b"))
     links = materialise(verified(docs, classes, kept, width).where(similar(percent)).select("a", "b"))
-    hot = materialise(hot.join(of, "cls").select("gram", "share", "c"))
+    slim = classes.select("cls", F.struct("cls", "n", folded(F.col("bits"), F.lit(BITMAP)).alias("bits")).alias("c"))
+    hot = materialise(hot.join(slim, "cls").select("gram", "share", "c"))
     links = hot_links(docs, classes, hot, links, width, percent)
     home = materialise(common.components(links).join(classes.select(F.col("cls").alias("node"), "least_id"), "node"))
     least = home.groupBy("component").agg(F.min("least_id").alias("component_id"))
