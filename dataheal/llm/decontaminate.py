@@ -3,8 +3,12 @@
 A seed is a mask over neighbouring words that ignores some places, so a copy with a word
 exchanged there still has the same hash. The hashes of all documents are joined to those of the
 benchmark; a hit aligns a document with an item, and the aligned words around it are compared: an
-overlap holds if ``window`` aligned words in a row agree in the share ``least`` at least (all words
-of a shorter item).
+overlap holds if ``window`` aligned words in a row, or all words of a shorter item, agree in the share
+``least`` at least (above 0).
+
+No overlap is without a hit: the masks of a width hold, wherever its differing words stand, at some
+place of agreeing words only (``masks``). Each item is seeded with the masks of its own width, and the
+documents with those of the widths that the benchmark has.
 
 The benchmark is broadcast only if its seeds are few (``BROADCAST_SEEDS``), else both sides are
 shuffled. Only documents with a hit are read again for the comparison.
@@ -15,24 +19,46 @@ reported once each; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataheal.llm import common, native
 from dataheal.session import materialise
 
-#: Places of a seed that count: 1; that may differ: 0.
+#: The seeds of ``sql``; places of a seed that count: 1; that may differ: 0.
 MASKS = ("11101011", "1101100111", "1110010111")
+#: Masks by width and agreeing words: each way of so many words to agree holds one of them at some place.
+COVERS = {
+    (4, 3): ("111", "1011", "1101"),
+    (5, 4): ("1111", "11101", "11011", "10111"),
+    (6, 5): ("11011", "101101"),
+    (7, 6): ("1011101", "111101", "110111"),
+    (8, 6): ("100111", "11101", "11000011"),
+    (9, 7): ("101111", "1110011", "11001011", "11010101"),
+    (10, 8): ("111011", "11010011", "1110000011"),
+    (11, 9): ("110111", "1110001001"),
+    (12, 9): ("111011", "110100011", "1000010111", "10110000101"),
+    (13, 10): ("110111", "1101000011", "11000100101"),
+}
 WINDOW, LEAST = 13, 0.75
 BROADCAST_SEEDS = 1_000_000
 
 
-def seeds(split: DataFrame, *keep: str) -> DataFrame:
-    """(keep..., pos, hash) for every mask at every place of ``words``."""
-    places = [[i for i, c in enumerate(m) if c == "1"] for m in MASKS]
+def masks(width: int, least: float = LEAST) -> tuple[str, ...]:
+    """Masks that every overlap of ``width`` words hits: searched ones, else the run that no spread of differing words avoids."""
+    agree = max(1, math.ceil(width * least))
+    return COVERS.get((width, agree), ("1" * math.ceil(agree / (width - agree + 1)),))
+
+
+def seeds(split: DataFrame, of: list[str], *keep: str) -> DataFrame:
+    """(keep..., mask, pos, hash) for every mask of ``of`` at every place of ``words``."""
+    places = [[i for i, c in enumerate(m) if c == "1"] for m in of]
     each = [F.coalesce(native.grams("words", p), F.array().cast("array<bigint>")) for p in places]
-    of = split.select(*keep, F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), e.alias("hashes")) for i, e in enumerate(each)])).alias("m"))
-    return of.select(*keep, F.col("m.mask").alias("mask"), F.posexplode("m.hashes").alias("pos", "hash"))
+    rows = split.select(*keep, F.explode(F.array(*[F.struct(F.lit(i).alias("mask"), e.alias("hashes")) for i, e in enumerate(each)])).alias("m"))
+    return rows.select(*keep, F.col("m.mask").alias("mask"), F.posexplode("m.hashes").alias("pos", "hash"))
 
 
 def compare(doc: str, item: str, diagonal: str, window: int, least: float) -> Column:
@@ -56,10 +82,16 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     """
     docs = native.keyed(docs, doc_id, text)
     bench = items.select(F.col(item_id).alias("item_id"), native.words(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
-    item_seeds = seeds(bench.withColumnRenamed("item_words", "words"), "item_id").select("item_id", "mask", "hash", F.col("pos").alias("item_pos")).distinct()
+    sized = bench.select("item_id", F.col("item_words").alias("words"), F.least(F.lit(window), F.size("item_words")).alias("width"))
+    by_width = {r["width"]: masks(r["width"], least) for r in sized.select("width").distinct().collect()}
+    used = sorted({m for ms in by_width.values() for m in ms})
+    if not used:
+        used, by_width = ["1"], {1: ("1",)}
+    own = reduce(Column.__or__, [(F.col("width") == w) & F.col("mask").isin([used.index(m) for m in ms]) for w, ms in by_width.items()])
+    item_seeds = seeds(sized, used, "item_id", "width").where(own).select("item_id", "mask", "hash", F.col("pos").alias("item_pos")).distinct()
     few = item_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     split = docs.select("doc_id", "key", native.words(F.col("text")).alias("words"))
-    hits = seeds(split, "doc_id", "key").join(F.broadcast(item_seeds) if few else item_seeds, ["hash", "mask"])
+    hits = seeds(split, used, "doc_id", "key").join(F.broadcast(item_seeds) if few else item_seeds, ["hash", "mask"])
     # written once: the long text scan must not run again for the comparison
     aligned = materialise(hits.groupBy("doc_id", "key", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("hits")))
     keys = aligned.select("key").distinct()

@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -154,6 +155,46 @@ def test_substitutions_are_found(spark, benchmark):
     assert found == set(range(60))
 
 
+@pytest.mark.parametrize("width", range(1, 14))
+def test_masks_hit_every_overlap(width):
+    agree = -(-3 * width // 4)
+    places = [{at + i for i, c in enumerate(m) if c == "1"} for m in decontaminate.masks(width) for at in range(width - len(m) + 1)]
+    for kept in combinations(range(width), agree):
+        assert any(p <= set(kept) for p in places), kept
+
+
+def best_alignment(doc: list[str], item: list[str]) -> tuple | None:
+    """(first_word, agree, width) of the rule itself, over all alignments."""
+    width, found = min(13, len(item)), []
+    for diagonal in range(-len(item) + 1, len(doc)):
+        same = [0 <= diagonal + i < len(doc) and doc[diagonal + i] == w for i, w in enumerate(item)]
+        agree, start = max((sum(same[s : s + width]), -s) for s in range(len(item) - width + 1))
+        if 4 * agree >= 3 * width:
+            found.append((agree, -max(0, diagonal - start)))
+    return (-max(found)[1], max(found)[0], width) if found else None
+
+
+def test_overlaps_against_all_alignments(spark):
+    """Copies of items of 1 to 16 words with as many words exchanged as the rule allows, and one more."""
+    r, docs, items = random.Random(4), {}, {}
+    for n in range(1, 17):
+        items[n] = [f"i{n}w{k}" for k in range(n)]
+        width = min(13, n)
+        for over in (0, 1):
+            for _ in range(6):
+                copy = list(items[n])
+                start = r.randrange(n - width + 1)
+                for k in r.sample(range(start, start + width), min(width, width - -(-3 * width // 4) + over)):
+                    copy[k] = "other"
+                docs[len(docs)] = [*prose(len(docs), r.randrange(4)).split(), *copy, *prose(len(docs), r.randrange(4)).split()]
+    docs[len(docs)] = items[16][:10]
+    want = {(d, i, *b) for d, doc in docs.items() for i, item in items.items() if (b := best_alignment(doc, item))}
+    frame = lambda x, name: spark.createDataFrame([(k, " ".join(v)) for k, v in x.items()], f"{name} long, text string")
+    got = decontaminate.overlaps(frame(docs, "doc_id"), frame(items, "item_id"))
+    assert {(x["doc_id"], x["item_id"], x["first_word"], x["agree"], x["width"]) for x in got.collect()} == want
+    assert {i for _, i, *_ in want} == set(items)
+
+
 # --- sharding
 
 def test_flow_moves_the_fewest_bytes():
