@@ -17,7 +17,8 @@ from dataheal.session import ensure_checkpoint_dir
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach."""
-    return language.keep(docs, language.learn(docs.select(F.col("doc_id").alias("id"), "text", "lang")))
+    labelled = docs.select(F.col("doc_id").alias("id"), "text", "lang")
+    return language.keep(docs, language.learn(labelled), by_language=language.thresholds(labelled))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

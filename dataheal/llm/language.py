@@ -34,6 +34,8 @@ LETTER = re.compile(r"[^\W\d_]")
 #: Everything in ASCII that is no letter becomes white space.
 TO_SPACE = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 UNKNOWN = "und"
+#: Half the width of a text's interval, in standard deviations.
+DEVIATIONS = 3.0
 
 
 def grams(text: str) -> np.ndarray:
@@ -152,13 +154,44 @@ def identify(docs: DataFrame, filters: Filters, doc_id: str = "doc_id", text: st
         "doc_id long, lang_pred string, score double, known double", "text", make)
 
 
-def keep(docs: DataFrame, filters: Filters, text: str = "text", least: float = 0.05, evidence: int = 100) -> DataFrame:
+def upper(share: float, n: int) -> float:
+    """Upper bound of a text's share from ``n`` n-grams (Wilson's interval); a byte lies in ``sum(ORDERS)`` of them, which are no evidence of their own."""
+    m = n / sum(ORDERS)
+    return (share + DEVIATIONS**2 / (2 * m) + DEVIATIONS * np.sqrt(share * (1 - share) / m + DEVIATIONS**2 / (4 * m * m))) / (1 + DEVIATIONS**2 / m)
+
+
+def thresholds(labelled: DataFrame, sample_rows: int = 1000, quantile: float = 0.001, telling: int = 800, prior: int = 10) -> dict[str, float]:
+    """By language, the share of known n-grams that all but ``quantile`` of the labelled documents (id, text, lang) reach.
+
+    Half of the documents are scored by filters learned from the other half; those with ``telling`` n-grams
+    or more count. Of few documents the lowest says little about the quantile: ``n`` of them give
+    n / (n + ``prior``) of it. Languages without such a document are left out.
+    """
+    labelled = labelled.where("text is not null and lang is not null and id is not null")
+    held = F.pmod(F.xxhash64("id", F.lit("held")), F.lit(2)) == 0
+    filters = learn(labelled.where(~held), sample_rows)
+    sent = labelled.sparkSession.sparkContext.broadcast((filters.languages, filters.slots, filters.wrong))
+
+    def make(part: pa.RecordBatch) -> dict:
+        model = Filters(*sent.value)
+        lang, _, known, n = zip(*[model.predict(t) for t in common.texts(part.column("text"))])
+        return {"lang": lang, "known": known, "n": n}
+
+    scored = common.map_rows(labelled.where(held).select("text"), "lang string, known double, n long", "text", make)
+    rows = scored.where(F.col("n") >= telling).groupBy("lang").agg(
+        F.percentile_approx("known", quantile, 100_000).alias("share"), F.count(F.lit(1)).alias("n")).collect()
+    return {r["lang"]: r["share"] * r["n"] / (r["n"] + prior) for r in rows}
+
+
+def keep(docs: DataFrame, filters: Filters, text: str = "text", least: float = 0.05, by_language: dict[str, float] | None = None) -> DataFrame:
     """The rows of ``docs`` whose text is in a learned language, all columns as they are.
 
-    Left out are texts without a letter, and texts with ``evidence`` n-grams or more of which no language
-    knows the share ``least``.
+    Left out are texts without a letter, and texts whose share of n-grams in the best language is, by the
+    ``upper`` bound of its interval, below that language's of ``by_language`` (see ``thresholds``; ``least``
+    if it has none).
     """
     sent = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slots, filters.wrong))
+    bounds = by_language or {}
 
     @F.pandas_udf("boolean")
     def known(column):
@@ -166,7 +199,7 @@ def keep(docs: DataFrame, filters: Filters, text: str = "text", least: float = 0
 
         def one(t):
             lang, _, share, n = model.predict(t or "")
-            return lang != UNKNOWN and (share >= least or n < evidence)
+            return lang != UNKNOWN and (not n or bool(upper(share, n) >= bounds.get(lang, least)))
 
         return column.map(one)
 

@@ -260,3 +260,29 @@ def test_awkward_languages(documents, nothing):
     kept = language.keep(documents, filters)
     assert kept.columns == documents.columns and not {1, 2, 3, 16} & {r["doc_id"] for r in kept.collect()}
     assert kept.count() == len(texts()) - 4
+
+
+def test_foreign_texts_are_left_out(spark):
+    """Texts of languages nobody taught go, long or short; few of the taught ones do."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = random.Random(9)
+    italian = "La casa era vecchia e nessuno ci abitava da anni, ma ogni sera qualcuno accendeva una luce alla finestra della cucina. "
+    foreign = {
+        -1: italian + "I ragazzi del paese raccontavano che fosse il fantasma del mugnaio, gli anziani invece scuotevano la testa senza parlare. " * 3,
+        -2: "Stary dom stał pusty od wielu lat, ale każdego wieczoru ktoś zapalał światło w oknie kuchni, a dzieci mówiły o duchu młynarza. " * 3,
+        -3: "Vanha talo oli ollut tyhjillään vuosia, mutta joka ilta joku sytytti valon keittiön ikkunaan, ja lapset puhuivat myllärin haamusta. " * 3,
+        -4: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(900)),
+        -5: "Быстрая лиса прыгает.",
+    }
+    more = spark.createDataFrame([(i, t, None, "x", len(t)) for i, t in foreign.items()], docs.schema)
+    kept = {x["doc_id"] for x in corpus_pipeline.language_id(spark, docs.union(more), "").select("doc_id").collect()}
+    assert not kept & set(foreign)
+    taught = {x["doc_id"] for x in docs.where("text rlike '[A-Za-z]'").select("doc_id").collect()}
+    assert len(taught - kept) <= 0.005 * len(taught)
+
+
+def test_upper_bound_narrows():
+    bounds = [language.upper(0.2, n) for n in (1, 10, 100, 1000, 100_000)]
+    assert bounds == sorted(bounds, reverse=True) and bounds[0] > 0.9 and bounds[-1] < 0.22 and language.upper(1.0, 5) == pytest.approx(1)
