@@ -300,9 +300,9 @@ def field_spans(text: str, field: Field) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """Base spans, and all: the field's spans that overlap a base one add nothing and are left out."""
+    """Base spans, and all: the field's spans that lie within a base one add nothing and are left out."""
     base = sorted(base_spans(text))
-    more = [s for s in field_spans(text, field) if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+    more = [s for s in field_spans(text, field) if not any(b[0] <= s[0] and s[2] <= b[2] for b in base)]
     return base, sorted(base + more)
 
 

@@ -146,6 +146,28 @@ def test_redact(documents):
             assert tuple(a) == tuple(b)
 
 
+def test_secrets_that_reach_beyond_a_base_span(spark):
+    """Keys of several lines after an assignment, and tokens that go on after a base pattern, are redacted whole."""
+    r, field = random.Random(6), secrets.trained()
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    lines = ["".join(r.choice(chars) for _ in range(64)) for _ in range(4)]
+    cases = [
+        ("the secret=" + "\n".join(lines) + "\nand more words", lines),
+        ("the api_key: " + " ".join(lines[:3]) + " and more words", lines[:3]),
+        (f"the token = {lines[0][:20]}~{lines[1][:20]} and more words", [lines[1][:20]]),
+        (f"the key Zq{lines[0][:9]}0123456789abcdef{lines[1][:9]}Q and more words", [lines[1][:9]]),
+    ]
+    for text, parts in cases:
+        base, spans = secrets.all_spans(text, field)
+        assert base and set(base) <= set(spans)
+        for p in parts:
+            assert any(a <= text.index(p) and text.index(p) + len(p) <= b for a, _, b in spans), (text, spans)
+    docs = spark.createDataFrame([(i, t, len(t)) for i, (t, _) in enumerate(cases)], "doc_id long, text string, n_chars int")
+    for row in secrets.redact(docs).collect():
+        assert not any(p in row["text"] for p in cases[row["doc_id"]][1]) and row["text"].endswith(" and more words".replace(" ", "\n" if not row["doc_id"] else " ", 1))
+        assert row["n_chars"] == len(row["text"])
+
+
 # --- quality
 
 def test_counts_against_plain_python(documents):
