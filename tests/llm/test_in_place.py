@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -250,6 +251,50 @@ def test_token_counts(documents, nothing):
     assert got == sorted(want, key=repr) and tokencounts.count(nothing, path).count() == 0
 
 
+def parts_by_hand(word: str) -> list[str]:
+    """Letter runs, single digits, runs of other characters and short English endings."""
+    kind = lambda c: {"L": "L", "N": "N"}.get(unicodedata.category(c)[0], "_" if c.isspace() else "M")
+    out, at = [], 0
+    while at < len(word):
+        ending = next((e for e in ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d") if word.startswith(e, at)), None)
+        end = at + 1
+        while not ending and kind(word[at]) in "LM" and end < len(word) and kind(word[end]) == kind(word[at]):
+            end += 1
+        out += [ending or word[at:end]] if ending or kind(word[at]) != "_" else []
+        at = at + len(ending) if ending else end
+    return out
+
+
+def test_texts_without_spaces_are_counted_whole(spark, tmp_path):
+    """Greedy matching by hand, part by part; the end mark costs nothing where no piece ends the part."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces, letters, r = set(tokencounts.vocabulary(path)), tokencounts.byte_letters(), random.Random(12)
+    longest = max(map(len, pieces))
+
+    def pieces_of(part):
+        left, n = "".join(map(letters.get, part.encode())) + tokencounts.STOP, 0
+        while left and left != tokencounts.STOP:
+            left = left[next(k for k in range(min(longest, len(left)), 0, -1) if left[:k] in pieces) :]
+            n += 1
+        return n
+
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    cases = [
+        "快速的棕色狐狸跳过了懒狗。" * 20, "いろはにほへとちりぬるを、わかよたれそつねならむ" * 20, "".join(r.choice(chars) for _ in range(3000)),
+        "function(a,b){return a.b[0]+b['x12']||it's.they're;}" * 30, "thre anan inhe", "a\u00a0b c²½e\u0301", None, "", "x" * 500, "don't \U0001f600!!",
+    ]
+    docs = [(i, t) for i, t in enumerate(cases)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t in docs:
+        words = (t or "").encode().lower().split()
+        want.append((i, len(words), sum(pieces_of(p) for w in words for p in parts_by_hand(w.decode()))))
+    assert rows(tokencounts.query(spark, str(tmp_path))) == want
+    assert all(n > 100 for _, _, n in want[:4]) and want[4][2] >= 3
+
+
 # --- language
 
 def test_filters_return_all_languages():
