@@ -165,3 +165,10 @@ def test_plans_avoid_single_task_shapes(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in profile.top_values(ds, CFG)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_histograms_are_hashed_not_sorted(spark):
+    """No reader of the histogram may sort its cells to count them."""
+    ds = Dataset("d", spark.range(50).selectExpr("id AS row_index", "id % 7 AS whole", "id / 3 AS fraction", "concat('t', id % 5) AS text"))
+    for frame_ in (profile.distinct_profile(ds), profile.top_values(ds, CFG), profile.numeric_stats(ds), profile.iqr_outliers(ds)):
+        assert "SortAggregate" not in frame_._jdf.queryExecution().executedPlan().toString()

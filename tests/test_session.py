@@ -227,7 +227,8 @@ def test_insights(session):
 def test_dashboard(session):
     row = pipeline.build_dashboard(session, CFG).first()
     assert row["dataset_count"] == row["total"] == 3
-    assert 0 < len(row["critical_alerts"]) <= 5 and len(row["join_opportunities"]) == 3
+    opportunities = row["join_opportunities"]
+    assert 0 < len(row["critical_alerts"]) <= 5 and opportunities["total"] == len(opportunities["shown"]) == 3
     assert row["critical_alerts"][0]["severity"] == "critical"
 
 
