@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from dataheal.llm import decontaminate, html, jaccard, language, licenses, packing, quality, secrets, shards, tokencounts
+from dataheal.llm import bpe, centroids, decontaminate, html, jaccard, language, licenses, packing, quality, resample, secrets, shards, tokencounts
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_license_scan": licenses.query,
         "op9_decontamination": decontaminate.query,
         "op10_language_id": language.query,
+        "op11_centroid_clustering": centroids.query,
+        "op12_importance_resampling": resample.query,
+        "op13_bpe_round_trip": bpe.query,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict:
         "op3_ngram_join": jaccard.sql(),
         "op8_license_scan": licenses.sql(),
         "op9_decontamination": decontaminate.sql(),
+        "op11_centroid_clustering": centroids.sql(),
+        "op12_importance_resampling": resample.sql(),
     }
