@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from checks import consistency as C
 from checks import proposals as P
 from checks import scoring as S
 from checks import views as V
 from checks.views import text, with_
 from dataheal.operators.insights import BY_ID
+from dataheal.plans.queries import GHOST_AGREEMENT
 
 CFG = V.CFG
 LINEITEM = {
@@ -588,4 +590,5 @@ def joins() -> dict[str, str]:
 def all_sql() -> dict[str, str]:
     return {
         **sources(), **profiling(), **scoring(), **filling(), **inference(), **rules(), **review(), **joins(),
+        **C.all_consistency(join_ctes(), list(LINEITEM), GHOST_AGREEMENT),
     }

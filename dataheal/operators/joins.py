@@ -29,6 +29,9 @@ def session_uniqueness(datasets: dict[str, Dataset]) -> DataFrame:
         shared = [c for c in ds.columns if names.count(c) > 1]
         if shared:
             parts.append(uniqueness_ratio(Dataset(ds.name, ds.df.select(*[ds.col(c) for c in (*ds.row_order, *shared)]), ds.row_order)))
+    if not parts:
+        spark = next(iter(datasets.values())).df.sparkSession
+        return local_frame(spark, [], "dataset string, name string, uniqueness double")
     return union_all(parts)
 
 

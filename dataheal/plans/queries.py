@@ -13,7 +13,7 @@ from dataheal.dataset import Dataset
 from dataheal.functions.numbers import round_even
 from dataheal.functions.text import parse_currency
 from dataheal.operators import apply as applying
-from dataheal.operators import context, dashboard, fill, infer, insights, joins, labels, profile
+from dataheal.operators import consistency, context, dashboard, fill, infer, insights, joins, labels, profile
 from dataheal.operators import proposals as record
 from dataheal.operators import review, rules, score
 from dataheal.plans import pipeline, views
@@ -370,6 +370,16 @@ def resolve_rules(spark: SparkSession, sf: str) -> DataFrame:
     return made.groupBy("proposed_value").agg(F.count("*").alias("n"))
 
 
+#: What policies and quotes say about one policy agrees in about half of the cells: one of two columns does.
+GHOST_AGREEMENT = 0.6
+
+
+def exact_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    session = views.session(spark, sf)
+    pairs = joins.detect_join_pairs(session, CFG).select(*consistency.PAIR)
+    return _rounded(consistency.exact_agreement(session, pairs))
+
+
 def all_queries() -> dict[str, Query]:
     on_policies = lambda op, *args: lambda spark, sf: op(views.policies(spark, sf), *args)
     on_profile = lambda op, *args: lambda spark, sf: op(_policy_profile(spark, sf), *args)
@@ -517,6 +527,16 @@ def all_queries() -> dict[str, Query]:
             "dataset_a", "dataset_b", "match_rate", joins.match_strength(F.col("match_rate"), CFG).alias("strength")
         ),
         "analyse_joins": lambda spark, sf: insights.analyse_joins(views.session(spark, sf), CFG),
+        # keys that contradict themselves
+        "entity_mismatch": lambda spark, sf: consistency.entity_mismatch(views.session(spark, sf), "policy_number"),
+        "mismatch_summary": lambda spark, sf: consistency.mismatch_summary(
+            consistency.entity_mismatch(views.session(spark, sf), "policy_number")
+        ),
+        "ghost_joins": lambda spark, sf: consistency.ghost_joins(views.session(spark, sf), CFG, most_agreement=GHOST_AGREEMENT),
+        "exact_agreement": exact_agreement,
+        "duplicate_keys": lambda spark, sf: consistency.duplicate_keys(views.claims(spark, sf), "policy_number"),
+        "duplicate_keys_entered": lambda spark, sf: consistency.duplicate_keys(views.policies_dup(spark, sf), "policy_number"),
+        "duplicate_keys_pair": lambda spark, sf: consistency.duplicate_keys(_lineitem(spark, sf), ["l_partkey", "l_suppkey"]),
         "insight_join": lambda spark, sf: insights.insight_join(
             views.policies(spark, sf), views.claims(spark, sf), "policy_number"
         ),
