@@ -591,4 +591,7 @@ def all_sql() -> dict[str, str]:
     return {
         **sources(), **profiling(), **scoring(), **filling(), **inference(), **rules(), **review(), **joins(),
         **C.all_consistency(join_ctes(), list(LINEITEM), GHOST_AGREEMENT),
+        # a stream ends with what the batch gives
+        "stream_corrections": rules()["find_correction_proposals"],
+        "stream_decisions": review()["apply_decision"],
     }

@@ -275,6 +275,12 @@ def _worded(found: DataFrame, rules: list[Rule], ds: Dataset, cfg: QualityConfig
     )
 
 
+def proposals_of(ds: Dataset, cfg: QualityConfig, rules: list[Rule], identifiers: Identifiers, session_id: str) -> DataFrame | None:
+    """Proposals of some rules; None if none of them fits the columns."""
+    found = candidates(ds, cfg, rules, identifiers.label_cell(ds))
+    return None if found is None else _worded(found, rules, ds, cfg, session_id)
+
+
 def find_correction_proposals(
     ds: Dataset,
     cfg: QualityConfig,
@@ -283,7 +289,6 @@ def find_correction_proposals(
     identifiers: Identifiers | None = None,
 ) -> DataFrame:
     """Proposals of the rules named in ``only`` for one dataset."""
-    label = (identifiers or count_identifiers(ds, cfg)).label_cell(ds)
     rules = [r for r in RULES if r.name in only]
-    found = candidates(ds, cfg, rules, label)
-    return no_proposals(ds.df.sparkSession) if found is None else _worded(found, rules, ds, cfg, session_id)
+    found = proposals_of(ds, cfg, rules, identifiers or count_identifiers(ds, cfg), session_id)
+    return no_proposals(ds.df.sparkSession) if found is None else found

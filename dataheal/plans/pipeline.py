@@ -23,7 +23,7 @@ from dataheal.operators.rules import find_correction_proposals
 from dataheal.operators.score import critical_field_issues, penalties, score_dataset
 from dataheal.session import local_frame, materialise
 from dataheal.sources.positions import with_sorted_positions
-from dataheal.sources.sinks import save_proposals, write_audit_manifest, write_cleaned
+from dataheal.sources.sinks import save_proposals, stored_proposals, write_audit_manifest, write_cleaned
 
 log = logging.getLogger(__name__)
 MAX_PARALLEL = 8
@@ -72,8 +72,10 @@ def profile_columns_of(datasets: dict[str, Dataset], cfg: QualityConfig) -> Data
         return union_all(list(pool.map(lambda ds: profile_columns(ds, cfg), datasets.values())))
 
 
-def profile_session(datasets: dict[str, Dataset], cfg: QualityConfig, skip_failed: bool = False) -> SessionProfile:
-    """Profile and score every dataset; a failure is fatal unless ``skip_failed``."""
+def profile_session(
+    datasets: dict[str, Dataset], cfg: QualityConfig, skip_failed: bool = False, left_out: list[tuple[str, str]] | None = None
+) -> SessionProfile:
+    """Profile and score every dataset; a failure is fatal unless ``skip_failed``, and noted in ``left_out`` then."""
     good, columns, rows = {}, [], []
     # The jobs of different datasets are independent, so they are submitted side by side.
     with ThreadPoolExecutor(MAX_PARALLEL) as pool:
@@ -85,6 +87,8 @@ def profile_session(datasets: dict[str, Dataset], cfg: QualityConfig, skip_faile
             if not skip_failed:
                 raise PipelineError(f"Failed to profile '{name}': {exc}") from exc
             log.warning("skipping '%s': %s", name, exc)
+            if left_out is not None:
+                left_out.append((name, _reason(exc)))
             continue
         good[name] = datasets[name]
         columns.append(profile)
@@ -109,11 +113,11 @@ def addressed(ds: Dataset) -> Dataset:
     return Dataset(ds.name, with_sorted_positions(ds.df, list(ds.row_order)).drop(*ds.row_order))
 
 
-def propose(session: SessionProfile, cfg: QualityConfig, session_id: str) -> DataFrame:
+def propose(session: SessionProfile, cfg: QualityConfig, session_id: str, left_out: list[tuple[str, str]] | None = None) -> DataFrame:
     """Every proposal for every dataset.
 
     Each generator's proposals are written when they are made, so one that fails, while it is
-    planned or while it runs, is left out and takes no other with it.
+    planned or while it runs, takes no other with it; ``left_out`` gets its name and the reason.
     """
     datasets = {n: addressed(d) for n, d in session.datasets.items()}
     batches = []
@@ -123,6 +127,8 @@ def propose(session: SessionProfile, cfg: QualityConfig, session_id: str) -> Dat
             batches.append(materialise(make()))
         except Exception as exc:
             log.warning("%s left out: %s", what, exc)
+            if left_out is not None:
+                left_out.append((what, _reason(exc)))
 
     if len(datasets) > 1:
         attempt("fills", lambda: find_cross_dataset_fills(datasets, session.columns, cfg, session_id))
@@ -139,11 +145,22 @@ def propose(session: SessionProfile, cfg: QualityConfig, session_id: str) -> Dat
     return union_all(batches) if batches else no_proposals(session.columns.sparkSession)
 
 
+LEFT_OUT = "what string, reason string"
+
+
+def _reason(exc: Exception) -> str:
+    """The first line that says something."""
+    return next((line for line in str(exc).splitlines() if line.strip()), type(exc).__name__)
+
+
 @dataclass(frozen=True)
 class PipelineResult:
+    """``left_out (what, reason)`` names the generators that failed; without rows the proposals are complete."""
+
     session: SessionProfile
     proposals: DataFrame
     summary: DataFrame
+    left_out: DataFrame
 
 
 def run_pipeline(
@@ -156,28 +173,33 @@ def run_pipeline(
     """Profile and score (fatal on failure), propose (not fatal), keep the proposals, sum up.
 
     The proposals are written once, to ``proposals_path`` or the checkpoint folder, so later
-    steps read them back and do not repeat the generators.
+    steps read them back and do not repeat the generators. A repeated run of a session replaces the
+    proposals that its former run stored.
     """
     cfg = cfg.with_rules(rules)
     session = profile_session(datasets, cfg)
-    made = propose(session, cfg, session_id)
+    left_out: list[tuple[str, str]] = []
+    made = propose(session, cfg, session_id, left_out)
     if proposals_path:
-        save_proposals(made, proposals_path)
-        spark = session.columns.sparkSession
-        kept = spark.read.schema(made.schema).parquet(proposals_path).filter(F.col("session_id") == session_id)
-        kept = kept.select(*made.columns)
+        save_proposals(made, proposals_path, run="pipeline", sessions=[session_id])
+        kept = stored_proposals(session.columns.sparkSession, proposals_path, session_id)
     else:
         kept = materialise(made)
-    return PipelineResult(session, kept, proposals_summary(kept))
+    return PipelineResult(session, kept, proposals_summary(kept), local_frame(session.columns.sparkSession, left_out, LEFT_OUT))
+
 
+def build_dashboard(datasets: dict[str, Dataset], cfg: QualityConfig, left_out: list[tuple[str, str]] | None = None) -> DataFrame:
+    """The executive roll-up; datasets that cannot be profiled are left out, joins are optional.
 
-def build_dashboard(datasets: dict[str, Dataset], cfg: QualityConfig) -> DataFrame:
-    """The executive roll-up; datasets that cannot be profiled are left out, joins are optional."""
-    session = profile_session(datasets, cfg, skip_failed=True)
+    ``left_out`` gets what is missing from it, with the reason.
+    """
+    session = profile_session(datasets, cfg, skip_failed=True, left_out=left_out)
     try:
         reports = materialise(join_reports(session.datasets, cfg))
     except Exception as exc:
         log.warning("join discovery left out: %s", exc)
+        if left_out is not None:
+            left_out.append(("join discovery", _reason(exc)))
         reports = None
     return board.dashboard(
         session.scores, session.penalties, session.critical_fields, reports, cfg, list(session.datasets)

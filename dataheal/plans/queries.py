@@ -20,6 +20,7 @@ from dataheal.plans import pipeline, views
 from dataheal.session import ensure_checkpoint_dir, materialise
 from dataheal.sources import csv, sinks
 from dataheal.sources.positions import with_sorted_positions
+from dataheal.streaming import corrections, decisions
 
 Query = Callable[[SparkSession, str], DataFrame]
 CFG = QualityConfig()
@@ -370,6 +371,29 @@ def resolve_rules(spark: SparkSession, sf: str) -> DataFrame:
     return made.groupBy("proposed_value").agg(F.count("*").alias("n"))
 
 
+def stream_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """The policies' rows as a stream of files, corrected as they arrive."""
+    learned = corrections.learn(views.policies(spark, sf), CFG)
+    # a pattern, as a table may be one file or a folder of them
+    arriving = corrections.row_stream(spark, f"{sf}/orders.parquet*", views.table(spark, sf, "orders").schema)
+    found = corrections.corrections(views.policies_of(arriving), "policies", CFG, learned, SESSION_ID)
+    folder = _shared_folder(spark, "stream-corrections")
+    corrections.write_corrections(found, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return corrections.written_corrections(spark, f"{folder}/rows").select(*SAID)
+
+
+def stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """The review of all proposals, its decisions arriving in several batches in no order of time."""
+    made = made_proposals(spark, sf)
+    folder = _shared_folder(spark, "stream-decisions")
+    by_chance = F.xxhash64("id", "decision", "decided_at")
+    approved_by_row(made).repartition(6, by_chance).write.parquet(f"{folder}/arriving")
+    arriving = decisions.decision_stream(spark, f"{folder}/arriving", files_per_batch=2)
+    decisions.write_decisions(arriving, f"{folder}/revisions", f"{folder}/checkpoint").awaitTermination()
+    reviewed = review.apply_decisions(made, decisions.current_decisions(spark, f"{folder}/revisions"))
+    return reviewed.select(*SAID, "status", "user_decision")
+
+
 #: What policies and quotes say about one policy agrees in about half of the cells: one of two columns does.
 GHOST_AGREEMENT = 0.6
 
@@ -527,6 +551,9 @@ def all_queries() -> dict[str, Query]:
             "dataset_a", "dataset_b", "match_rate", joins.match_strength(F.col("match_rate"), CFG).alias("strength")
         ),
         "analyse_joins": lambda spark, sf: insights.analyse_joins(views.session(spark, sf), CFG),
+        # streams
+        "stream_corrections": stream_corrections,
+        "stream_decisions": stream_decisions,
         # keys that contradict themselves
         "entity_mismatch": lambda spark, sf: consistency.entity_mismatch(views.session(spark, sf), "policy_number"),
         "mismatch_summary": lambda spark, sf: consistency.mismatch_summary(

@@ -84,8 +84,13 @@ def _derive(df: DataFrame, view: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{sql} AS {name}" for name, sql in view.items()])
 
 
+def policies_of(orders: DataFrame) -> DataFrame:
+    """The policies of a table or stream of orders."""
+    return _derive(orders, POLICIES)
+
+
 def policies(spark: SparkSession, sf_dir: str) -> Dataset:
-    return Dataset("policies", _derive(table(spark, sf_dir, "orders"), POLICIES))
+    return Dataset("policies", policies_of(table(spark, sf_dir, "orders")))
 
 
 def quotes(spark: SparkSession, sf_dir: str) -> Dataset:

@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Folders that :func:`write_once` has written in this process.
+_WRITTEN: list[str] = []
+
 
 def build_session(app: str = "dataheal", master: str | None = None, **conf: str) -> SparkSession:
     builder = (
@@ -28,12 +31,16 @@ def build_session(app: str = "dataheal", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in ``spark.checkpoint.dir``; without one, a folder in the warehouse,
-    which all executors share as well."""
+    """Use the folder named in ``spark.checkpoint.dir``. Without one, a folder in the warehouse: in local
+    mode any, on a cluster one that was named, since the default lies on the driver's own disk."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/_dataheal")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local") and not context.getConf().contains("spark.sql.warehouse.dir"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_dataheal"
+        context.setCheckpointDir(folder)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -50,10 +57,20 @@ def write_once(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and go on from there, column by column."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_written(spark: SparkSession) -> int:
+    """Delete the tables that :func:`write_once` wrote, once nothing reads them any more; returns how many."""
+    removed = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        removed += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return removed
+
+
 def local_frame(spark: SparkSession, rows: Iterable, ddl: str) -> DataFrame:
     """A few rows of metadata as a local relation, which plans know the size of.
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dataheal.config import Rules
 from dataheal.dataset import Dataset
 from dataheal.operators.apply import audit_manifest
-from dataheal.operators.proposals import PROPOSAL_SCHEMA, session_proposals
+from dataheal.operators.proposals import PROPOSAL_SCHEMA, no_proposals, session_proposals
 from dataheal.session import local_frame
 
 MANIFEST_SCHEMA = (
@@ -53,14 +56,46 @@ def write_audit_manifest(proposals: DataFrame, datasets: dict[str, Dataset], fol
     return path
 
 
-def save_proposals(proposals: DataFrame, path: str) -> None:
-    """Append to the proposals table, one folder per session."""
-    proposals.write.mode("append").partitionBy("session_id").parquet(path)
+# ── the proposal store ─────────────────────────────────────────────────────
+
+#: One row for each finished write: which attempt holds a session's run. Attempts sort by time.
+COMMIT_SCHEMA = "session_id string, run string, attempt string"
+STORED_SCHEMA = f"{PROPOSAL_SCHEMA}, attempt string"
+
+
+def save_proposals(proposals: DataFrame, path: str, run: str = "proposals", sessions: list[str] | None = None) -> None:
+    """Store proposals as the result of ``run`` of their sessions, in place of what that run stored before.
+
+    Rows go to a folder of their own by session and attempt; a commit row for each session, written last,
+    makes them the ones that count. A write that fails leaves the former result as it was, and a
+    repeated run changes no count. ``sessions`` are committed even without a proposal, so a run that no
+    longer finds any leaves none.
+    """
+    spark = proposals.sparkSession
+    attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+    proposals.withColumn("attempt", F.lit(attempt)).write.mode("append").partitionBy("session_id", "attempt").parquet(f"{path}/rows")
+    written = spark.read.schema(STORED_SCHEMA).parquet(f"{path}/rows").filter(F.col("attempt") == attempt)
+    found = {r["session_id"] for r in written.select("session_id").distinct().collect()}
+    commits = [(s, run, attempt) for s in sorted(found | set(sessions or []))]
+    local_frame(spark, commits, COMMIT_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+
+
+def committed_attempts(spark: SparkSession, path: str, session_id: str) -> list[str]:
+    """The attempts that hold a session's proposals, one for each of its runs."""
+    commits = spark.read.schema(COMMIT_SCHEMA).parquet(f"{path}/commits").filter(F.col("session_id") == session_id)
+    return [r["attempt"] for r in commits.groupBy("run").agg(F.max("attempt").alias("attempt")).collect()]
+
+
+def stored_proposals(spark: SparkSession, path: str, session_id: str) -> DataFrame:
+    """A session's proposals as stored; other sessions' and replaced attempts' folders are not read."""
+    kept = F.col("attempt").isin(*committed_attempts(spark, path, session_id))
+    rows = spark.read.schema(STORED_SCHEMA).parquet(f"{path}/rows")
+    return rows.filter((F.col("session_id") == session_id) & kept).select(*no_proposals(spark).columns)
 
 
 def get_proposals(spark: SparkSession, path: str, session_id: str) -> DataFrame:
-    """A session's proposals, most confident first; other sessions' folders are not read."""
-    return session_proposals(spark.read.schema(PROPOSAL_SCHEMA).parquet(path), session_id)
+    """A session's proposals, most confident first."""
+    return session_proposals(stored_proposals(spark, path, session_id), session_id)
 
 
 def register_session(

@@ -8,7 +8,7 @@ from dataheal.dataset import Dataset
 from dataheal.operators import apply as applying
 from dataheal.operators import context, insights, proposals, review, rules
 from dataheal.plans import pipeline
-from dataheal.session import local_frame
+from dataheal.session import local_frame, remove_written, write_once
 from dataheal.sources import csv, sinks
 
 CFG = QualityConfig()
@@ -199,6 +199,52 @@ def test_stored_proposals_come_back_by_confidence(spark, result, tmp_path):
     assert got == sorted(got, reverse=True) and len(got) == result.proposals.count()
 
 
+def test_a_repeated_run_replaces_its_proposals(spark, result, tmp_path):
+    path, count = str(tmp_path / "p"), result.proposals.count()
+    stored = lambda session: sinks.get_proposals(spark, path, session).count()
+    for _ in range(2):
+        sinks.save_proposals(result.proposals, path, "first", ["s1", "quiet"])
+    assert (stored("s1"), stored("quiet"), stored("unknown")) == (count, 0, 0)
+    sinks.save_proposals(result.proposals.limit(3), path, "second")
+    assert stored("s1") == count + 3
+    # an attempt that was never committed does not count
+    result.proposals.withColumn("attempt", F.lit("9" * 20)).write.mode("append").partitionBy("session_id", "attempt").parquet(f"{path}/rows")
+    assert stored("s1") == count + 3
+    # a run that finds nothing any more leaves nothing
+    sinks.save_proposals(result.proposals.limit(0), path, "first", ["s1"])
+    assert stored("s1") == 3
+
+
+def test_running_a_session_twice_leaves_counts_alone(spark, session, tmp_path):
+    path = str(tmp_path / "p")
+    one = {"policies.csv": session["policies.csv"]}
+    counts = [pipeline.run_pipeline(one, CFG, "s9", proposals_path=path).proposals.count() for _ in range(2)]
+    assert counts[0] == counts[1] == sinks.get_proposals(spark, path, "s9").count() > 0
+
+
+def test_what_a_run_left_out_is_told(spark, session, monkeypatch):
+    def fails(*_args, **_kwargs):
+        raise ValueError("no such luck\nand more")
+
+    monkeypatch.setattr(pipeline, "find_interpolation_proposals", fails)
+    done = pipeline.run_pipeline({"policies.csv": session["policies.csv"]}, CFG, "s8")
+    assert [tuple(r) for r in done.left_out.collect()] == [("inference on 'policies.csv'", "no such luck")]
+    assert done.proposals.count() > 0
+    missing: list = []
+    monkeypatch.setattr(pipeline, "join_reports", fails)
+    assert pipeline.build_dashboard(session, CFG, missing).first()["dataset_count"] == 3
+    assert missing == [("join discovery", "no such luck")]
+
+
+def test_written_tables_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr("dataheal.session._WRITTEN", [])
+    kept = write_once(spark.range(5))
+    assert kept.count() == 5 and remove_written(spark) == 1
+    with pytest.raises(Exception):
+        kept.count()
+    assert remove_written(spark) == 0
+
+
 def test_manifest(spark, tmp_path):
     path = str(tmp_path / "m")
     sinks.register_session(spark, path, "s1", [{"dataset_name": "a.csv", "file_path": "/x/a.csv"}], Rules())
