@@ -8,9 +8,9 @@ stale and skipped. Decoding concatenates the vocabulary's strings of the ids.
 
 The pattern's letter and number classes differ between Unicode versions. Characters that Unicode 3.2
 assigns are classed alike by all; a text with any other is cut by the tokenizer file's own pre-tokenizer.
-Parts of up to ``SHORT`` characters are looked up among at most ``HELD`` that a worker has encoded; the table
-is emptied when full. Parts of a text are drawn one block at a time, so memory is bounded by
-the text and its ids.
+Parts of up to ``SHORT`` characters are looked up among those that a worker has encoded: two tables of at most
+``HELD`` parts, of which the older one goes when the newer is full. A long text is cut one stretch at a time,
+so memory is bounded by the text and its ids.
 
 Defined results: null and empty texts have no ids (and digests of nothing); repeated rows are each
 encoded; a null id is returned; an empty table gives no rows; other columns are not read.
@@ -27,8 +27,6 @@ import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, islice
-from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -38,7 +36,7 @@ from pyspark.sql import functions as F
 from dataheal.llm import common
 from dataheal.llm.tokencounts import byte_letters
 
-HELD, SHORT, BLOCK, STRETCH = 300_000, 48, 1 << 16, 1 << 18
+HELD, SHORT, STRETCH = 250_000, 48, 1 << 18
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Fixed value: the pattern of parts that byte-level vocabularies of this kind are made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -48,9 +46,10 @@ EDGE = regex.compile(r"(?<=\S)(?=[ \t\n])")
 
 @dataclass
 class Vocabulary:
-    """``merges`` by pair of ids: (rank, id of the joined symbol); ``pieces`` by id: the bytes it stands for."""
+    """``ranks`` of merges by pair of ids, the ``joined`` id by rank; ``pieces`` by id: the bytes it stands for."""
 
-    merges: dict[tuple[int, int], tuple[int, int]]
+    ranks: dict[tuple[int, int], int]
+    joined: list[int]
     letters: list[int]
     pieces: dict[int, bytes]
     special: dict[str, int]
@@ -68,38 +67,36 @@ class Vocabulary:
         pieces = {i: bytes(map(to_byte.__getitem__, piece)) for piece, i in ids.items()}
         special = {t["content"]: t["id"] for t in file["added_tokens"]}
         pieces.update({i: name.encode() for name, i in special.items()})
-        merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        return cls(merges, [ids[to_letter[byte]] for byte in range(256)], pieces, special)
+        ranks = {(ids[a], ids[b]): rank for rank, (a, b) in enumerate(pairs)}
+        return cls(ranks, [ids[a + b] for a, b in pairs], [ids[to_letter[byte]] for byte in range(256)], pieces, special)
 
 
 def merged(part: bytes, vocabulary: Vocabulary) -> list[int]:
-    """Ids of one part."""
-    merges, symbols = vocabulary.merges, [vocabulary.letters[byte] for byte in part]
+    """Ids of one part. A queue entry is a rank above 32 bits of place; the rank says which pair it was made for."""
+    rank_of, joined = vocabulary.ranks.get, vocabulary.joined
+    symbols = list(map(vocabulary.letters.__getitem__, part))
     n = len(symbols)
+    queue = [rank << 32 | at for at, pair in enumerate(zip(symbols, symbols[1:])) if (rank := rank_of(pair)) is not None]
+    if not queue:
+        return symbols
     before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-    queue = []
-    for at in range(n - 1):
-        found = merges.get((symbols[at], symbols[at + 1]))
-        if found:
-            queue.append((found[0], at, symbols[at], symbols[at + 1], found[1]))
     heapq.heapify(queue)
+    push, pop = heapq.heappush, heapq.heappop
     while queue:
-        _, at, left, right, joined = heapq.heappop(queue)
+        entry = pop(queue)
+        at, rank = entry & 0xFFFFFFFF, entry >> 32
         follower = after[at]
-        if symbols[at] != left or follower >= n or symbols[follower] != right:
+        if follower >= n or rank_of((symbols[at], symbols[follower])) != rank:
             continue  # stale: one of the two is part of another symbol now
-        symbols[at], symbols[follower] = joined, -1
+        symbols[at], symbols[follower] = joined[rank], -1
         after[at] = beyond = after[follower]
         if beyond < n:
             before[beyond] = at
-            found = merges.get((joined, symbols[beyond]))
-            if found:
-                heapq.heappush(queue, (found[0], at, joined, symbols[beyond], found[1]))
+            if (found := rank_of((symbols[at], symbols[beyond]))) is not None:
+                push(queue, found << 32 | at)
         back = before[at]
-        if back >= 0:
-            found = merges.get((symbols[back], joined))
-            if found:
-                heapq.heappush(queue, (found[0], back, symbols[back], joined, found[1]))
+        if back >= 0 and (found := rank_of((symbols[back], symbols[at]))) is not None:
+            push(queue, found << 32 | back)
     return [s for s in symbols if s >= 0]
 
 
@@ -123,7 +120,8 @@ class Codec:
         self.own_parts = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         names = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.held: dict[str, tuple[int, ...]] = {}
+        self.held: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.settled: set[str] = set()
 
     def is_settled(self, text: str) -> bool:
@@ -132,30 +130,30 @@ class Codec:
         self.settled.update(c for c in new if unicodedata.ucd_3_2_0.category(c) != "Cn")
         return new <= self.settled
 
-    def cut(self, text: str) -> Iterator[str]:
+    def cut(self, text: str) -> list[str]:
         if self.is_settled(text):
-            return map(itemgetter(0), self.parts.finditer(text))
-        return (piece[a:b] for piece in stretches(text) for _, (a, b) in self.own_parts(piece))
+            return self.parts.findall(text)
+        return [text[a:b] for _, (a, b) in self.own_parts(text)]
 
-    def ids_of(self, part: str) -> tuple[int, ...]:
-        found = tuple(merged(part.encode("utf-8", "replace"), self.vocabulary))
+    def ids_of(self, part: str) -> bytes:
+        """Packed ids of a part that is not in ``held``."""
+        found = self.older.get(part) or array("I", merged(part.encode("utf-8", "replace"), self.vocabulary)).tobytes()
         if len(part) <= SHORT:
             if len(self.held) >= HELD:
+                self.older = dict(self.held)
                 self.held.clear()
             self.held[part] = found
         return found
 
     def encode(self, text: str) -> array:
         """Ids of a whole text, special tokens by their names."""
-        out = array("I")
-        for k, stretch in enumerate(self.special.split(text) if self.special else [text]):
+        out, get, make = array("I"), self.held.get, self.ids_of
+        for k, between in enumerate(self.special.split(text) if self.special else [text]):
             if k % 2:
-                out.append(self.vocabulary.special[stretch])
+                out.append(self.vocabulary.special[between])
                 continue
-            parts = self.cut(stretch)
-            while block := list(islice(parts, BLOCK)):
-                get, make = self.held.get, self.ids_of
-                out.extend(chain.from_iterable([get(p) or make(p) for p in block]))
+            for stretch in stretches(between):
+                out.frombytes(b"".join([get(p) or make(p) for p in self.cut(stretch)]))
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
