@@ -9,6 +9,7 @@ from dataheal.config import QualityConfig
 from dataheal.dataset import Dataset, quoted
 from dataheal.functions.text import PLAIN_NUMBER
 from dataheal.session import write_once
+from dataheal.sources import quoted as quoted_cells
 from dataheal.sources.positions import with_file_positions
 
 POSITION = "__position"
@@ -17,7 +18,7 @@ BOOLEAN = ("True", "False", "TRUE", "FALSE", "true", "false")
 
 
 def _read(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
-    """All columns as strings. Files stay splittable unless quoted cells may hold line breaks."""
+    """All columns as strings, by Spark's reader: line by line, or a whole file in one task."""
     return (
         spark.read.option("header", True)
         .option("inferSchema", False)
@@ -27,16 +28,26 @@ def _read(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
     )
 
 
-def _positioned(spark: SparkSession, path: str, multiline: bool) -> DataFrame:
-    """``row_index`` and the cells as text; a data column of that name becomes ``row_index_1``."""
-    texts = _read(spark, path, multiline)
-    return with_file_positions(texts, POSITION).select(
+def _positioned(spark: SparkSession, path: str, multiline: bool | None) -> DataFrame:
+    """``row_index`` and the cells as text; a data column of that name becomes ``row_index_1``.
+
+    ``multiline`` None looks whether any quoted cell holds a line break. Files without one are read line by
+    line, the others by records that are put together across splits; both stay split.
+    """
+    if multiline is None and quoted_cells.holds_breaks(spark, path):
+        names = quoted_cells.header(spark, path)
+        written = write_once(quoted_cells.parsed(quoted_cells.records(spark, path), [f"c{i}" for i in range(len(names))]))
+        placed = quoted_cells.positioned(written, POSITION).toDF(POSITION, *names)
+    else:
+        names = (texts := _read(spark, path, bool(multiline))).columns
+        placed = with_file_positions(texts, POSITION)
+    return placed.select(
         F.col(POSITION).alias("row_index"),
-        *[quoted(c).alias("row_index_1" if c.lower() == "row_index" else c) for c in texts.columns],
+        *[quoted(c).alias("row_index_1" if c.lower() == "row_index" else c) for c in names],
     )
 
 
-def scan_raw_strings(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+def scan_raw_strings(spark: SparkSession, path: str, multiline: bool | None = None) -> DataFrame:
     """Every cell as it stands; only an empty cell or the text ``nan`` is null."""
     positioned = _positioned(spark, path, multiline)
     cells = [F.when(~quoted(c).isin("", "nan"), quoted(c)).alias(c) for c in positioned.columns[1:]]
@@ -82,7 +93,7 @@ def _inferred_kinds(texts: DataFrame) -> dict[str, str]:
     return kinds
 
 
-def scan_csv(spark: SparkSession, path: str, cfg: QualityConfig, multiline: bool = False) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str, cfg: QualityConfig, multiline: bool | None = None) -> DataFrame:
     """``row_index`` and the typed columns of a CSV file or folder.
 
     The file is parsed once: its cells are written as text, typed when they are read back.
@@ -94,6 +105,6 @@ def scan_csv(spark: SparkSession, path: str, cfg: QualityConfig, multiline: bool
     return texts.select("row_index", *[quoted(c).try_cast(kinds[c]).alias(c) for c in names])
 
 
-def csv_dataset(spark: SparkSession, name: str, path: str, cfg: QualityConfig, multiline: bool = False) -> Dataset:
+def csv_dataset(spark: SparkSession, name: str, path: str, cfg: QualityConfig, multiline: bool | None = None) -> Dataset:
     """The file as a dataset: its typed rows are written once, so no later step reads the CSV."""
     return Dataset(name, write_once(scan_csv(spark, path, cfg, multiline)))

@@ -44,7 +44,7 @@ def with_sorted_positions(df: DataFrame, order_by: list[str], name: str = "row_i
     return fixed.join(F.broadcast(starts), BLOCK).withColumn(name, F.col(START) + offset).drop(ID, BLOCK, START)
 
 
-def _sums_before(df: DataFrame, order_by: list[str], value: str, name: str) -> DataFrame:
+def sums_before(df: DataFrame, order_by: list[str], value: str, name: str) -> DataFrame:
     """Add the sum of ``value`` over all rows before each row in the order of ``order_by``."""
     fixed = materialise(df.repartitionByRange(*order_by).withColumn(ID, F.spark_partition_id()))
     counted = [(r[ID], r["n"]) for r in fixed.groupBy(ID).agg(F.sum(value).alias("n")).collect()]
@@ -67,7 +67,7 @@ def with_file_positions(df: DataFrame, name: str = "row_index") -> DataFrame:
         F.monotonically_increasing_id().alias(ID),
     )
     blocks = tagged.groupBy(FILE, BLOCK).agg(F.count("*").alias(SIZE), F.min(ID).alias(FIRST))
-    starts = _sums_before(blocks, [FILE, BLOCK], SIZE, "__position_before").drop(SIZE)
+    starts = sums_before(blocks, [FILE, BLOCK], SIZE, "__position_before").drop(SIZE)
     return tagged.join(starts, [FILE, BLOCK]).select(
         (F.col("__position_before") + F.col(ID) - F.col(FIRST)).alias(name), *columns
     )
