@@ -2,7 +2,10 @@
 
 Documents with equal sets of n-grams form one class; the join runs over classes. The product is
 taken over the prefix of every class only: of ``n`` n-grams in one global order, two sets that are
-similar enough share one of the first ``n - ceil(t n) + 1``. The order puts n-grams that many
+similar enough share one of the first ``n - ceil(t n) + 1``. The place of an n-gram in that order also
+bounds the size of the partners it can matter for: sets of n and m must share ``ceil(t (n + m) / (1 + t))``,
+so of their first ``n`` less that, and ``m`` less that, one more is the same n-gram, and each
+n-gram carries the largest such ``m``. The order puts n-grams that many
 documents share last, by a table of counts of all n-grams of all documents (``SLOTS`` fixed slots,
 so a bounded broadcast), which only decides the order and never the result.
 
@@ -10,8 +13,9 @@ Each column block of the incidence matrix is one task's work: it sums overlap co
 classes whose sizes allow a link. Counts are added up over the blocks, pairs that cannot reach the
 threshold from their sizes and count are discarded, and the rest is verified on the whole sets.
 
-An n-gram that stays common in prefixes (near copies by the thousand) is not multiplied out. Its
-classes are linked to the most typical one first, then what is left to the most typical of that.
+An n-gram that stays common in prefixes (near copies by the thousand) is not multiplied out. Classes
+that no partner's size there allows are left out: most near copies that lie just beyond the threshold
+have enough n-grams of their own for that. The other classes are linked to the most typical one first, then what is left to the most typical of that.
 What stays in different components is compared by leaders: Jaccard distance is a metric, so members
 of two stars can only be linked if the distance of their leaders allows it, and only then members
 are compared. No link between different texts is lost, and a group of copies costs as many rows as
@@ -134,19 +138,32 @@ def unpacked(counts: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(counts), np.uint32)
 
 
-def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n-grams in the global order (level, hash), as many as a linked set must share one of; their levels."""
+def prefix(grams: np.ndarray, levels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first n-grams in the global order (level, hash), as many as a linked set must share one of; their levels; the most n-grams of a partner."""
     level = levels[(grams >> np.uint64(40)).astype(np.int64) % SLOTS]
     n = len(grams)
     order = np.argsort(level, kind="stable")[: n - int(least_overlap(n, percent)) + 1]
-    return grams[order], level[order]
+    return grams[order], level[order], (100 + percent) * (n - np.arange(len(order))) // percent - n
+
+
+def share_of_range(most: np.ndarray, n: int, percent: int) -> np.ndarray:
+    """The largest size of a partner in one byte: where it lies between the least and the greatest that a set of n links with, rounded up."""
+    low, high = percent / 100, 100 / percent
+    return np.ceil((most / n - low) / max(high - low, 1e-9) * 255 - 1e-9).clip(0, 255).astype(np.uint8)
+
+
+def most_of(byte: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """What :func:`share_of_range` put into a byte, never less."""
+    low, high = percent / 100, 100 / percent
+    return np.floor(n * (low + (high - low) * byte / 255) + 1e-6).astype(np.int64)
 
 
 def incidence(docs: DataFrame, levels: np.ndarray, n_blocks: int, width: int, percent: int) -> DataFrame:
     """Prefix n-grams by column block: packed runs of one class each (``cls``, ``n``, ``size`` of the run) and their ``grams``.
 
-    A block holds all classes of its n-grams, which 48 bits tell apart within it. Common n-grams come as
-    rows of ``common`` (gram, cls, n, share of common n-grams in millionths), dealt out evenly.
+    A block holds all classes of its n-grams, which 40 bits tell apart within it; a sixth byte has the largest
+    partner. Common n-grams come as rows of ``common`` (gram, cls, n, share of common n-grams in millionths,
+    largest partner), dealt out evenly.
     """
     sent = docs.sparkSession.sparkContext.broadcast(levels)
     schema = T.StructType.fromDDL("block int, cls binary, n binary, size binary, grams binary, common binary")
@@ -155,17 +172,17 @@ def incidence(docs: DataFrame, levels: np.ndarray, n_blocks: int, width: int, pe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a class is written once by each task
         for b in common.chunks(batches, "text"):
-            held, often = [np.empty((0, 3), np.int64)], [np.empty((0, 4), np.int64)]
+            held, often = [np.empty((0, 4), np.int64)], [np.empty((0, 5), np.int64)]
             for text in common.utf8(b.column("text")):
                 grams = shingles(text, width)
                 cls = class_of(grams)
                 if not len(grams) or cls in seen:
                     continue
                 seen.add(cls)
-                first, level = prefix(grams, sent.value, percent)
-                rows = np.empty((len(first), 4), np.int64)
-                rows[:, 0], rows[:, 1], rows[:, 2] = first.view(np.int64), cls, len(grams)
-                held.append(rows[level == 0, :3])
+                first, level, most = prefix(grams, sent.value, percent)
+                rows = np.empty((len(first), 5), np.int64)
+                rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4] = first.view(np.int64), cls, len(grams), share_of_range(most, len(grams), percent), most
+                held.append(rows[level == 0, :4])
                 if level.any():
                     rows[:, 3] = 1_000_000 * np.count_nonzero(sent.value[(grams >> np.uint64(40)).astype(np.int64) % SLOTS]) // len(grams)
                     often.append(rows[level > 0])
@@ -179,7 +196,8 @@ def incidence(docs: DataFrame, levels: np.ndarray, n_blocks: int, width: int, pe
                 a, z = np.searchsorted(block, [k, k + 1])
                 part = rows[a:z]
                 runs = np.flatnonzero(np.concatenate([[True], part[1:, 1] != part[:-1, 1]])) if len(part) else np.empty(0, np.int64)
-                six = np.ascontiguousarray((part[:, 0].view(np.uint64) >> np.uint64(16)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+                six = np.ascontiguousarray((part[:, 0].view(np.uint64) >> np.uint64(24)).astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :6]
+                six[:, 5] = part[:, 3]
                 for name, value in (
                     ("cls", part[runs, 1]), ("n", part[runs, 2].astype(np.int32)), ("size", np.diff(np.concatenate([runs, [len(part)]])).astype(np.int32)),
                     ("grams", np.ascontiguousarray(six)), ("common", rest[at == k])):
@@ -190,11 +208,11 @@ def incidence(docs: DataFrame, levels: np.ndarray, n_blocks: int, width: int, pe
     return needed(docs).mapInArrow(run, schema)
 
 
-PRODUCT = "a long, b long, na long, nb long, overlap long, gram long, share long"
+PRODUCT = "a long, b long, na long, nb long, overlap long, met long, gram long, share long, most long"
 
 
 def product(percent: int):
-    """Pairs of classes in one column block with their overlap there; common n-grams as (a, na, gram, share) with b null."""
+    """Pairs of classes in one column block with their overlap there, and how many of its n-grams matter for sets of their sizes; common n-grams as (a, na, gram, share, most) with b null."""
     arrow = common.to_arrow_schema(T.StructType.fromDDL(PRODUCT))
 
     def table(rows: np.ndarray, names: str) -> pa.Table:
@@ -205,10 +223,12 @@ def product(percent: int):
         read = lambda name, kind: np.concatenate([np.frombuffer(x, kind) for x in block.column(name).to_pylist()])
         sizes = read("size", np.int32)
         grams = np.zeros((int(sizes.sum()), 8), np.uint8)
-        grams[:, :6] = read("grams", np.uint8).reshape(-1, 6)
-        rows = np.stack([grams.view("<i8")[:, 0], np.repeat(read("cls", np.int64), sizes), np.repeat(read("n", np.int32).astype(np.int64), sizes)], 1)
-        hot = [read("common", np.int64).reshape(-1, 4)[:, [1, 2, 0, 3]]]
-        pairs = [np.empty((0, 5), np.int64)]
+        six = read("grams", np.uint8).reshape(-1, 6)
+        grams[:, :5] = six[:, :5]
+        n = np.repeat(read("n", np.int32).astype(np.int64), sizes)
+        rows = np.stack([grams.view("<i8")[:, 0], np.repeat(read("cls", np.int64), sizes), n, most_of(six[:, 5], n, percent)], 1)
+        hot = [read("common", np.int64).reshape(-1, 5)[:, [1, 2, 0, 3, 4]]]
+        pairs = [np.empty((0, 6), np.int64)]
         rows = rows[np.lexsort((rows[:, 1], rows[:, 2], rows[:, 0]))]
         if len(rows):
             rows = rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])]
@@ -219,27 +239,29 @@ def product(percent: int):
                 at = starts[sizes == size]
                 if size > COMMON:
                     many = rows[(at[:, None] + np.arange(size)).ravel()]
-                    name = (many[:, 0] << 16) ^ number
-                    hot.append(np.stack([many[:, 1], many[:, 2], name, np.zeros(len(many), np.int64)], 1))
+                    name = (many[:, 0] << 24) ^ number
+                    hot.append(np.stack([many[:, 1], many[:, 2], name, np.zeros(len(many), np.int64), many[:, 3]], 1))
                     continue
                 i, j = np.triu_indices(size, 1)
                 for part in np.array_split(at, -(-len(at) * len(i) // 250_000)):
                     a, b = rows[(part[:, None] + i).ravel()], rows[(part[:, None] + j).ravel()]
                     ok = 100 * a[:, 2] >= percent * b[:, 2]
-                    pairs.append(summed(np.stack([a[ok, 1], b[ok, 1], a[ok, 2], b[ok, 2], np.ones(int(ok.sum()), np.int64)], 1)))
-        return pa.concat_tables([table(summed(np.concatenate(pairs)), "a b na nb overlap"), table(np.concatenate(hot), "a na gram share")])
+                    a, b = a[ok], b[ok]
+                    met = (a[:, 2] <= b[:, 3]) & (b[:, 2] <= a[:, 3])
+                    pairs.append(summed(np.stack([a[:, 1], b[:, 1], a[:, 2], b[:, 2], np.ones(len(a), np.int64), met], 1)))
+        return pa.concat_tables([table(summed(np.concatenate(pairs)), "a b na nb overlap met"), table(np.concatenate(hot), "a na gram share most")])
 
     return run
 
 
 def summed(pairs: np.ndarray) -> np.ndarray:
-    """Equal pairs (a, b) as one, their last column added up."""
+    """Equal pairs (a, b) as one, their last two columns added up."""
     if not len(pairs):
         return pairs
     pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
     first = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(1)]))
     out = pairs[first].copy()
-    out[:, 4] = np.add.reduceat(pairs[:, 4], first)
+    out[:, 4:] = np.add.reduceat(pairs[:, 4:], first)
     return out
 
 
@@ -297,13 +319,13 @@ def screened(pairs: DataFrame, classes: DataFrame, percent: int, apart=0.0) -> D
 
 
 def hot_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that complete the components over the classes of common n-grams; ``hot`` is (gram, share, c) with c (cls, n, folded bits)."""
+    """Links (a, b) that complete the components over the classes of common n-grams; ``hot`` is (gram, share, most, c) with c (cls, n, folded bits)."""
     far = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
     found, spokes = links, None
 
     def placed_in(links: DataFrame) -> DataFrame:
         home = common.components(links)
-        return hot.join(home, hot["c.cls"] == home["node"], "left").select("gram", "share", "c", F.coalesce("component", "c.cls").alias("component"))
+        return hot.join(home, hot["c.cls"] == home["node"], "left").select("gram", "share", "most", "c", F.coalesce("component", "c.cls").alias("component"))
 
     def leaders(rows: DataFrame) -> DataFrame:
         return rows.groupBy("gram").agg(F.max(F.struct("share", "c", "component")).alias("l")).select("gram", F.col("l.c").alias("l"), F.col("l.component").alias("of"), F.col("l.share").alias("typical"))
@@ -311,7 +333,7 @@ def hot_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataFr
     for round_ in range(2):
         rows = placed_in(found)
         for _ in range(round_):  # what the first leaders have not won
-            rows = rows.join(leaders(rows), "gram").where("component <> of").select("gram", "share", "c", "component")
+            rows = rows.join(leaders(rows), "gram").where("component <> of").select("gram", "share", "most", "c", "component")
         rows = materialise(rows)
         stars = rows.join(leaders(rows), "gram").where((F.col("component") != F.col("of")) & may_link("c", "l", percent))
         stars = stars.groupBy(F.col("c.cls").alias("a"), F.col("l.cls").alias("b")).agg(F.max("typical").alias("typical"))
@@ -323,31 +345,37 @@ def hot_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataFr
     centre = spokes.groupBy(F.col("a").alias("member")).agg(F.max(F.struct("typical", F.col("b").alias("cls"), "far")).alias("s"))
     placed = placed_in(found)
     placed = placed.join(centre, placed["c.cls"] == centre["member"], "left").select(
-        "gram", "c", "component", F.coalesce("s.cls", "c.cls").alias("centre"), F.coalesce("s.far", F.lit(0.0)).alias("far"))
+        "gram", "most", "c", "component", F.coalesce("s.cls", "c.cls").alias("centre"), F.coalesce("s.far", F.lit(0.0)).alias("far"))
     apart = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
     placed = materialise(placed.join(apart, "gram", "left_semi"))
     known = classes.select(F.col("cls").alias("centre"), F.struct("cls", "n", folded(F.col("bits"), F.lit(BITMAP)).alias("bits")).alias("c"))
-    reach = placed.groupBy("centre").agg(F.max("far").alias("reach"), F.array_sort(F.collect_set("gram")).alias("grams"))
-    by_gram = placed.select("gram", "centre", "component").distinct().join(reach, "centre").join(known, "centre").drop("centre")
-    left, right = by_gram.select("gram", F.struct("c", "component", "reach", "grams").alias("x")), by_gram.select("gram", F.struct("c", "component", "reach", "grams").alias("y"))
-    # a pair is found at each n-gram that its leaders share, and kept at the first
-    first = F.array_min(F.array_intersect("x.grams", "y.grams")) == F.col("gram")
+    reach = placed.groupBy("centre").agg(F.max("far").alias("reach"))
+    by_gram = placed.groupBy("gram", "centre", "component").agg(F.min("c.n").alias("least"), F.max("most").alias("most")).join(reach, "centre").join(known, "centre").drop("centre")
+    left, right = (by_gram.select("gram", F.struct("c", "component", "reach", "least", "most").alias(s)) for s in ("x", "y"))
+    sizes = lambda a, b: (F.col(f"x.{a}") <= F.col("y.most")) & (F.col(f"y.{b}") <= F.col("x.most"))
     both = F.col("x.reach") + F.col("y.reach")
     centres = left.join(right, "gram").where(
-        (F.col("x.c.cls") < F.col("y.c.cls")) & (F.col("x.component") != F.col("y.component")) & may_link("x.c", "y.c", percent, both) & first)
-    centres = centres.select(F.col("x.c.cls").alias("a"), F.col("y.c.cls").alias("b"), both.alias("reach")).distinct()
+        (F.col("x.c.cls") < F.col("y.c.cls")) & (F.col("x.component") != F.col("y.component")) & sizes("least", "least") & may_link("x.c", "y.c", percent, both))
+    centres = centres.groupBy(F.col("x.c.cls").alias("a"), F.col("y.c.cls").alias("b")).agg(F.max(both).alias("reach"))
     centres = materialise(screened(centres, classes, percent, F.col("reach")))
     measured = verified(docs, classes, centres, width).select("a", "b", "na", "nb", "both", far.alias("apart"))
     close = materialise(centres.join(measured, ["a", "b"]).where(F.col("apart") <= 1 - percent / 100 + F.col("reach") + 1e-9))
-    x, y = (placed.select("gram", F.col("centre").alias(c), F.struct("c", "component", "far").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    x, y = (placed.select("gram", F.col("centre").alias(c), F.struct("c", "component", "far", "most").alias(s)) for c, s in (("a", "x"), ("b", "y")))
     members = close.where("reach > 0").select("a", "b", "apart").join(x, "a").join(y, ["gram", "b"]).where(
-        (F.col("x.component") != F.col("y.component")) & (F.col("apart") <= 1 - percent / 100 + F.col("x.far") + F.col("y.far") + 1e-9) & may_link("x.c", "y.c", percent))
+        (F.col("x.component") != F.col("y.component")) & sizes("c.n", "c.n") & (F.col("apart") <= 1 - percent / 100 + F.col("x.far") + F.col("y.far") + 1e-9) & may_link("x.c", "y.c", percent))
     pairs = members.select(F.col("x.c.cls").alias("a"), F.col("y.c.cls").alias("b")).distinct()
     pairs = materialise(screened(pairs, classes, percent))
     more = verified(docs, classes, pairs, width).where(similar(percent)).select("a", "b")
     return found.union(close.where(similar(percent)).select("a", "b")).union(more)
 
 
+def allowed(hot: DataFrame) -> DataFrame:
+    """The rows (gram, cls, n, most, ...) of common n-grams that some other class's size there allows a link."""
+    least = hot.groupBy("gram").agg(F.min("n").alias("least"), F.max("most").alias("largest"))
+    left = hot.join(least, "gram").where((F.col("least") <= F.col("most")) & (F.col("n") <= F.col("largest"))).drop("least", "largest")
+    return left.join(left.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "gram", "left_semi")
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, key, n, least_id, group): ``key`` hashes the text, ``group`` is a class of the component (null without n-grams), ``least_id`` its smallest id."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -356,11 +384,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     matrix = incidence(docs, levels, max(1, -(-int(total) // BLOCK)), width, percent)
     multiplied = materialise(matrix.groupBy("block").applyInArrow(product(percent), PRODUCT))
-    hot = multiplied.where("b is null").groupBy("gram", F.col("a").alias("cls")).agg(F.max("share").alias("share"))
-    hot = materialise(hot.join(hot.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "gram", "left_semi"))
+    common_rows = materialise(multiplied.where("b is null").groupBy("gram", F.col("a").alias("cls"), F.col("na").alias("n")).agg(
+        F.max("share").alias("share"), F.max("most").alias("most")))
+    hot = materialise(allowed(common_rows).select("gram", "cls", "share", "most"))
     # what a pair's common n-grams can add to its overlap at most
-    warm = hot.groupBy("cls").agg(F.count(F.lit(1)).alias("more"))
-    pairs = multiplied.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
+    warm = common_rows.groupBy("cls").agg(F.count(F.lit(1)).alias("more"))
+    pairs = multiplied.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"), F.sum("met").alias("met")).where("met > 0")
     of = classes.select("cls", "n", "bits").join(warm, "cls", "left").select("cls", F.struct("cls", "n", "bits", F.coalesce("more", F.lit(0)).alias("more")).alias("c"))
     ends = pairs.join(of.select(F.col("cls").alias("a"), F.col("c").alias("x")), "a").join(of.select(F.col("cls").alias("b"), F.col("c").alias("y")), "b")
     rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
@@ -369,7 +398,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     kept = materialise(ends.where(enough & may_link("x", "y", percent)).select("a", "b"))
     links = materialise(verified(docs, classes, kept, width).where(similar(percent)).select("a", "b"))
     slim = classes.select("cls", F.struct("cls", "n", folded(F.col("bits"), F.lit(BITMAP)).alias("bits")).alias("c"))
-    hot = materialise(hot.join(slim, "cls").select("gram", "share", "c"))
+    hot = materialise(hot.join(slim, "cls").select("gram", "share", "most", "c"))
     links = hot_links(docs, classes, hot, links, width, percent)
     home = materialise(common.components(links).join(classes.select(F.col("cls").alias("node"), "least_id"), "node"))
     least = home.groupBy("component").agg(F.min("least_id").alias("component_id"))
