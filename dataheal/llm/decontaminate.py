@@ -13,8 +13,12 @@ documents with those of the widths that the benchmark has.
 The benchmark is broadcast only if its seeds are few (``BROADCAST_SEEDS``), else both sides are
 shuffled. Only documents with a hit are read again for the comparison.
 
+Items are told apart by a hash of their words, so an item without an id, or one of several with the same id, is
+compared like any other.
+
 Defined results: null and empty texts and items match nothing; repeated rows and equal items are
-reported once each; an empty table gives no rows; other columns are not read.
+reported once each; a null id is returned; items of one id are one item, of which the best overlap counts;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,9 +32,8 @@ from pyspark.sql import functions as F
 from dataheal.llm import common, native
 from dataheal.session import materialise
 
-#: The seeds of ``sql``; places of a seed that count: 1; that may differ: 0.
-MASKS = ("11101011", "1101100111", "1110010111")
 #: Masks by width and agreeing words: each way of so many words to agree holds one of them at some place.
+#: Places of a mask that count: 1; that may differ: 0.
 COVERS = {
     (4, 3): ("111", "1011", "1101"),
     (5, 4): ("1111", "11101", "11011", "10111"),
@@ -81,32 +84,35 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     ``key`` is the hash of the document's text; ``first_word`` is where the best window starts in it.
     """
     docs = native.keyed(docs, doc_id, text)
-    bench = items.select(F.col(item_id).alias("item_id"), native.words(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
-    sized = bench.select("item_id", F.col("item_words").alias("words"), F.least(F.lit(window), F.size("item_words")).alias("width"))
+    named = items.select(F.col(item_id).alias("item_id"), native.words(F.col(item_text)).alias("item_words")).where(F.size("item_words") > 0)
+    named = named.withColumn("item", F.xxhash64("item_words"))
+    bench = named.select("item", "item_words").dropDuplicates(["item"])
+    sized = bench.select("item", F.col("item_words").alias("words"), F.least(F.lit(window), F.size("item_words")).alias("width"))
     by_width = {r["width"]: masks(r["width"], least) for r in sized.select("width").distinct().collect()}
     used = sorted({m for ms in by_width.values() for m in ms})
     if not used:
         used, by_width = ["1"], {1: ("1",)}
     own = reduce(Column.__or__, [(F.col("width") == w) & F.col("mask").isin([used.index(m) for m in ms]) for w, ms in by_width.items()])
-    item_seeds = seeds(sized, used, "item_id", "width").where(own).select("item_id", "mask", "hash", F.col("pos").alias("item_pos")).distinct()
+    item_seeds = seeds(sized, used, "item", "width").where(own).select("item", "mask", "hash", F.col("pos").alias("item_pos")).distinct()
     few = item_seeds.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS
     split = docs.select("doc_id", "key", native.words(F.col("text")).alias("words"))
     hits = seeds(split, used, "doc_id", "key").join(F.broadcast(item_seeds) if few else item_seeds, ["hash", "mask"])
     # written once: the long text scan must not run again for the comparison
-    aligned = materialise(hits.groupBy("doc_id", "key", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("hits")))
+    aligned = materialise(hits.groupBy("doc_id", "key", "item", (F.col("pos") - F.col("item_pos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("hits")))
     keys = aligned.select("key").distinct()
     hit_docs = common.among(docs, keys, "key").dropDuplicates(["doc_id", "key"]).select("doc_id", "key", native.words(F.col("text")).alias("words"))
     pairs = aligned.join(hit_docs, native.same(aligned, hit_docs, "doc_id", "key")).select(
-        aligned["doc_id"], aligned["key"], "item_id", "diagonal", "words")
-    # equal ids with other words are other items
-    both = pairs.join(F.broadcast(bench.distinct()) if few else bench.distinct(), "item_id")
+        aligned["doc_id"], aligned["key"], "item", "diagonal", "words")
+    both = pairs.join(F.broadcast(bench) if few else bench, "item")
     scored = both.select(
-        "doc_id", "key", "item_id", "diagonal", F.least(F.lit(window), F.size("item_words")).alias("width"),
+        "doc_id", "key", "item", "diagonal", F.least(F.lit(window), F.size("item_words")).alias("width"),
         compare("words", "item_words", "diagonal", window, least).alias("best"))
     ok = scored.where(F.col("best.agree") >= F.ceil(F.col("width") * least))
     first = F.greatest(F.lit(0), F.col("diagonal") - F.col("best.from"))
-    best = ok.groupBy("doc_id", "key", "item_id").agg(
-        F.max_by(F.struct("width", "best.agree", first.alias("first")), F.struct(F.col("best.agree") / F.col("width"), -first)).alias("b"))
+    found = ok.select("doc_id", "key", "item", "width", F.col("best.agree").alias("agree"), first.alias("first"))
+    ids = named.select("item", "item_id").distinct()
+    best = found.join(F.broadcast(ids) if few else ids, "item").groupBy("doc_id", "key", "item_id").agg(
+        F.max_by(F.struct("width", "agree", "first"), F.struct(F.col("agree") / F.col("width"), -F.col("first"))).alias("b"))
     return best.select(
         "doc_id", "key", "item_id", F.col("b.first").cast("long").alias("first_word"), F.col("b.agree").cast("long").alias("agree"),
         F.col("b.width").cast("long").alias("width"), (F.col("b.agree") / F.col("b.width")).alias("share"))
@@ -124,23 +130,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    pick = lambda m, w, at: " || ' ' || ".join(f"{w}[{at} + {i + 1}]" for i, c in enumerate(m) if c == "1")
-    part = lambda src, keep, w: " UNION ALL ".join(
-        f"SELECT {keep}, {k} AS mask, pos, {pick(m, w, 'pos')} AS g FROM (SELECT *, unnest(range(len({w}) - {len(m) - 1})) AS pos FROM {src})"
-        for k, m in enumerate(MASKS))
+    """The rule itself, without seeds: words that agree are counted for every alignment of a document and an item."""
     return f"""
     WITH d AS (SELECT DISTINCT doc_id, {native.words_sql('text')} AS w FROM documents),
-    dr AS (SELECT row_number() OVER () AS r, * FROM d),
-    b AS (SELECT DISTINCT item_id, {native.words_sql('text')} AS iw FROM benchmark),
-    ds AS ({part('dr', 'r', 'w')}),
-    bs AS ({part('b', 'item_id', 'iw')}),
-    a AS (SELECT DISTINCT r, item_id, ds.pos - bs.pos AS dg FROM ds JOIN bs USING (mask, g)),
-    x AS (SELECT r, doc_id, item_id, dg, least({WINDOW}, len(iw)) AS width, len(iw) AS m,
+    dr AS MATERIALIZED (SELECT row_number() OVER () AS r, * FROM d),
+    b AS MATERIALIZED (SELECT row_number() OVER () AS i, item_id, iw, least({WINDOW}, len(iw)) AS width
+          FROM (SELECT DISTINCT item_id, {native.words_sql('text')} AS iw FROM benchmark) WHERE len(iw) > 0),
+    dw AS (SELECT r, unnest(w) AS w, unnest(range(len(w))) AS pos FROM dr),
+    bw AS (SELECT i, width, unnest(iw) AS w, unnest(range(len(iw))) AS pos FROM b),
+    a AS (SELECT r, i, dw.pos - bw.pos AS dg FROM dw JOIN bw USING (w) GROUP BY ALL HAVING count(*) >= ceil(any_value(width) * {LEAST})),
+    x AS (SELECT r, doc_id, item_id, i, dg, width, len(iw) AS m,
                  list_transform(range(len(iw)), lambda i: CASE WHEN dg + i >= 0 AND dg + i < len(w) AND w[dg + i + 1] = iw[i + 1] THEN 1 ELSE 0 END) AS ag
-          FROM a JOIN dr USING (r) JOIN b USING (item_id)),
-    y AS (SELECT r, doc_id, item_id, dg, width, s, list_sum(ag[s + 1 : s + width]) AS agree
+          FROM a JOIN dr USING (r) JOIN b USING (i)),
+    y AS (SELECT r, doc_id, item_id, i, dg, width, s, list_sum(ag[s + 1 : s + width]) AS agree
           FROM (SELECT *, unnest(range(m - width + 1)) AS s FROM x)),
-    z AS (SELECT *, row_number() OVER (PARTITION BY r, item_id, dg ORDER BY agree DESC, s) AS k FROM y),
+    z AS (SELECT *, row_number() OVER (PARTITION BY r, i, dg ORDER BY agree DESC, s) AS k FROM y),
     o AS (SELECT r, doc_id, item_id, greatest(0, dg + s) AS first_word, agree, width, agree / width AS share FROM z
           WHERE k = 1 AND agree >= ceil(width * {LEAST})),
     p AS (SELECT *, row_number() OVER (PARTITION BY r, item_id ORDER BY share DESC, first_word) AS k FROM o)

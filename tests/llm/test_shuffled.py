@@ -81,10 +81,11 @@ def copies(seed: int, n: int) -> list[tuple]:
     return [(i, t) for i, t in enumerate(pool)]
 
 
-@pytest.mark.parametrize("usual", [64, 3], ids=["multiplied", "by leaders"])
-def test_join_against_brute_force(spark, monkeypatch, usual):
-    """With 3 as the limit nearly every n-gram of the copies is common, so all goes by leaders."""
-    monkeypatch.setattr(jaccard, "COMMON", usual)
+@pytest.mark.parametrize("usual,many", [(64, 64), (3, 3), (64, 1), (1, 3)], ids=["multiplied", "by leaders", "by leaders only", "by order"])
+def test_join_against_brute_force(spark, monkeypatch, usual, many):
+    """With small limits nearly every n-gram of the copies is common, so all goes by leaders."""
+    monkeypatch.setattr(jaccard, "USUAL", usual)
+    monkeypatch.setattr(jaccard, "COMMON", many)
     rows = copies(1, 90)
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
     assert sorted((tuple(r) for r in got.collect()), key=repr) == linked_by_hand(rows)
@@ -155,6 +156,16 @@ def test_substitutions_are_found(spark, benchmark):
     assert found == set(range(60))
 
 
+def test_items_without_an_id_are_found(spark):
+    """A null id, two ids of one text, and one id of two texts."""
+    a, b = ITEM, prose(77, 20)
+    items = spark.createDataFrame([(None, a), (None, a), (4, b), (5, b), (4, prose(78, 20))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"x {a} y"), (2, f"{b} z"), (3, f"q {prose(78, 20)}"), (None, a), (5, prose(79, 40))], "doc_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["first_word"]) for r in decontaminate.overlaps(docs, items).collect()), key=repr)
+    assert got == sorted([(1, None, 1), (2, 4, 0), (2, 5, 0), (3, 4, 1), (None, None, 0)], key=repr)
+    assert [r["doc_id"] for r in decontaminate.clean(docs, items).collect()] == [5]
+
+
 @pytest.mark.parametrize("width", range(1, 14))
 def test_masks_hit_every_overlap(width):
     agree = -(-3 * width // 4)
