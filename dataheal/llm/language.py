@@ -18,11 +18,11 @@ are each predicted; other columns are not read.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from dataheal.llm import common
 
 ORDERS = (3, 5)
 HASHES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: Everything in ASCII that is no letter becomes white space.
 TO_SPACE = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 UNKNOWN = "und"

@@ -316,6 +316,14 @@ def test_language_of_held_out_rows(spark):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def test_number_signs_are_no_letters(spark):
+    filters = language.Filters.build({"aa": np.unique(language.grams("some words to know")), "bb": np.unique(language.grams("andere dinge"))})
+    texts_ = ["½ ² Ⅷ", "①", "12 _ 3", "ª", "漢", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(docs, filters).collect()}
+    assert [got[i] == "und" for i in range(6)] == [True, True, True, False, False, False]
+
+
 def test_awkward_languages(documents, nothing):
     filters = language.learn(documents.select(F.col("doc_id").alias("id"), "text", "lang"))
     got = {r["doc_id"]: r for r in language.identify(documents, filters).collect()}
