@@ -40,41 +40,85 @@ CLOSED_BY = {"p": "p", "li": "li", "dt": "dd", "dd": "dd", "tr": "tr", "td": "td
 
 PATH_SLOTS, PATH_SIZE, WORD_SLOTS, WORD_SIZE, FIGURES, HIDDEN = 4096, 24, 2048, 12, 10, 32
 TRAINING_PAGES, LONGEST, EPOCHS, BATCH, RATE = 1600, 60, 14, 40, 0.01
+#: Most entries of each table that a worker keeps; blocks, padding included, that are read at once; steps computed ahead.
+HELD, AT_ONCE, AHEAD = 100_000, 1 << 14, 1 << 12
+
+
+class Place:
+    """An open element: its own names and the element around it. Blocks share the elements around them."""
+
+    __slots__ = ("parent", "tag", "names", "size")
+
+    def __init__(self, parent: Place | None, tag: str, names: tuple[str, ...]) -> None:
+        self.parent, self.tag, self.names = parent, tag, names
+        self.size = len(names) + (parent.size if parent else 0)
 
 
 class Block:
-    __slots__ = ("path", "tag", "text", "linked")
+    __slots__ = ("place", "text", "linked")
+
+    def __init__(self, place: Place | None, text: str, linked: int) -> None:
+        self.place, self.text, self.linked = place, text, linked
+
+    @property
+    def tag(self) -> str:
+        return self.place.tag if self.place else ""
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """All names from the root."""
+        parts, at = [], self.place
+        while at:
+            parts.append(at.names)
+            at = at.parent
+        return tuple(x for names in reversed(parts) for x in names)
 
-    def __init__(self, path: tuple[str, ...], tag: str, text: str, linked: int) -> None:
-        self.path, self.tag, self.text, self.linked = path, tag, text, linked
 
+class Places(dict):
+    """Elements by the one around them and their names, so that pages of one make share them."""
 
-def blocks(page: str) -> list[Block]:
+    def __missing__(self, key: tuple[Place | None, tuple[str, ...]]) -> Place:
+        if len(self) >= HELD:
+            self.clear()
+        self[key] = found = Place(key[0], key[1][0], key[1])
+        return found
+
+
+def blocks(page: str, places: Places | None = None) -> list[Block]:
     """The leaf blocks of a page in order, each with its tag path; tolerant of missing and stray tags."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    places = Places() if places is None else places
+    stack: list[Place] = []
+    opened: dict[str, int] = {}
     held: list[str] = []
-    linked, in_link, place = 0, False, ()
+    linked, in_link, place = 0, False, None
 
     def flush() -> None:
         nonlocal linked, place
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append(Block(tuple(x for _, names in place for x in names), place[-1][0] if place else "", text, linked))
+                out.append(Block(place, text, linked))
             held.clear()
         linked = 0
 
+    def close() -> None:
+        opened[stack.pop().tag] -= 1
+
     def add(raw: str) -> None:
         nonlocal linked, place
         text = entities.unescape(raw) if "&" in raw else raw
         if not any(held):
-            place = tuple(stack)
+            place = stack[-1] if stack else None
         held.append(text)
         linked += len(text) if in_link else 0
 
-    at = 0
+    at, last = 0, page.rfind(">")
     while at < len(page):
+        if at > last:  # no tag can end any more
+            rest = page[at:]
+            add(rest[: rest.find("<!--")] if "<!--" in rest else rest)
+            break
         m = TOKEN.match(page, at)
         at = m.end()
         tag = m[2] or m[5]
@@ -97,25 +141,25 @@ def blocks(page: str) -> list[Block]:
         flush()
         in_link = in_link and tag == "a"
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
+            if opened.get(tag):
+                while stack[-1].tag != tag:
+                    close()
+                close()
             continue
         group = CLOSED_BY.get(tag)
-        if stack and group and CLOSED_BY.get(stack[-1][0]) == group or stack and stack[-1][0] == "p":
-            stack.pop()
+        if stack and group and CLOSED_BY.get(stack[-1].tag) == group or stack and stack[-1].tag == "p":
+            close()
         if tag not in VOID:
             names = [tag]
             for a in ATTRIBUTE.finditer(attributes):
                 names += ["." + x.lower() for x in NAME.findall(a[2] or a[3] or a[4] or "")]
-            stack.append((tag, tuple(names)))
+            stack.append(places[stack[-1] if stack else None, tuple(names)])
+            opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
 
 DIGIT, STOP, BAR = re.compile(r"\d"), re.compile(r"[.,;:]"), re.compile(r"[|©·»›•]")
-#: Most entries of the two tables of slots that a worker keeps.
-HELD = 100_000
 
 
 def slot(word: str, n: int) -> int:
@@ -145,11 +189,12 @@ def word_slot(word: str) -> int:
 
 
 class Page:
-    """Slots of path parts and of words, and figures, of every block."""
+    """Slots of path parts and of words, and figures, of every block; without ``paths`` the blocks' places stand for their parts."""
 
-    def __init__(self, found: list[Block], paths: Slots, known: Slots) -> None:
+    def __init__(self, found: list[Block], paths: Slots | None, known: Slots) -> None:
         n = len(found)
-        self.path = [paths[b.path, b.tag] for b in found]
+        self.path = None if paths is None else [paths[b.path, b.tag] for b in found]
+        self.places = [b.place for b in found]
         self.words, figures = [], []
         for i, b in enumerate(found):
             text = b.text
@@ -159,7 +204,7 @@ class Page:
             figures.append((
                 min(1.0, np.log1p(len(words)) / 6), min(1.0, b.linked / size), len(STOP.findall(text)) / max(1, len(words)),
                 text[-1] in ".!?:…\"”»", BAR.search(text) is not None, len(DIGIT.findall(text)) / size,
-                i / n, len(b.path) / 12, min(1.0, n / 60), len(words) < 4))
+                i / n, (b.place.size if b.place else 0) / 12, min(1.0, n / 60), len(words) < 4))
         self.figures = np.array(figures, np.float32).reshape(n, FIGURES)
 
     def __len__(self) -> int:
@@ -196,18 +241,40 @@ class Labeller:
             "out": draw(2 * HIDDEN, 1), "out0": np.zeros(1, np.float32)}
         self.w["0"][:, :, HIDDEN : 2 * HIDDEN] = 1
 
-    def vectors(self, pages: list[Page]) -> np.ndarray:
-        path, words = ([x for p in pages for x in getattr(p, name)] for name in ("path", "words"))
-        return np.concatenate([mean_rows(self.w["path"], path), mean_rows(self.w["words"], words), np.concatenate([p.figures for p in pages])], 1)
+    def vectors(self, pages: list[Page], sums: dict | None = None) -> np.ndarray:
+        if sums is None:
+            path = mean_rows(self.w["path"], [x for p in pages for x in p.path])
+        else:
+            path = self.along([x for p in pages for x in p.places], sums)
+        words = mean_rows(self.w["words"], [x for p in pages for x in p.words])
+        return np.concatenate([path, words, np.concatenate([p.figures for p in pages])], 1)
+
+    def along(self, places: list[Place | None], sums: dict) -> np.ndarray:
+        """Means of the embeddings of path parts. ``sums`` holds the sum and number of parts by element: its own added to those around it."""
+        weights = self.w["path"]
+        sums.setdefault(None, (np.zeros(PATH_SIZE, np.float64), 0, weights[slot("leaf ", PATH_SLOTS)]))
+        for place in places:
+            new, at = [], place
+            while at not in sums:
+                new.append(at)
+                at = at.parent
+            for x in reversed(new):
+                total, n, _ = sums[x.parent]
+                line = (x.parent.names[-1], *x.names) if x.parent else x.names
+                own = [slot(p, PATH_SLOTS) for p in (*x.names, *(p + ">" + q for p, q in zip(line, line[1:])))]
+                sums[x] = (total + weights[own].sum(0), n + len(own), weights[slot("leaf " + x.tag, PATH_SLOTS)])
+        total, n, leaf = zip(*(sums[place] for place in places))
+        return ((np.array(total) + np.array(leaf)) / (np.array(n)[:, None] + 1)).astype(np.float32)
 
     def run(self, x: np.ndarray, keep: bool = False) -> tuple[np.ndarray, list]:
         """Hidden states [block, way, page, HIDDEN] of ``x`` [block, way, page, size]; both ways start at block 0."""
         length, _, n, _ = x.shape
-        pre = x @ self.w["x"] + self.w["0"]
         h, c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
         out, steps = np.zeros((length, 2, n, HIDDEN), np.float32), []
         for t in range(length):
-            g = pre[t] + h @ self.w["h"]
+            if t % AHEAD == 0:
+                pre = x[t : t + AHEAD] @ self.w["x"] + self.w["0"]
+            g = pre[t % AHEAD] + h @ self.w["h"]
             gates = sigmoid(g[..., : 3 * HIDDEN])
             u = np.tanh(g[..., 3 * HIDDEN :])
             i, f, o = (gates[..., k * HIDDEN : (k + 1) * HIDDEN] for k in range(3))
@@ -282,12 +349,12 @@ class Labeller:
             grads[name][seen] = np.add.reduceat(each[order], first, axis=0)
         return grads
 
-    def padded(self, pages: list[Page]) -> tuple[np.ndarray, np.ndarray]:
+    def padded(self, pages: list[Page], sums: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Vectors [block, way, page, size] from the first and from the last block on, and the pages' sizes."""
         sizes = np.array([len(p) for p in pages])
         length = int(sizes.max())
         x = np.zeros((length, 2, len(pages), PATH_SIZE + WORD_SIZE + FIGURES), np.float32)
-        vectors, at = self.vectors(pages), 0
+        vectors, at = self.vectors(pages, sums), 0
         for i, n in enumerate(sizes):
             x[:n, 0, i] = vectors[at : at + n]
             x[:n, 1, i] = vectors[at : at + n][::-1]
@@ -295,12 +362,15 @@ class Labeller:
         return x, sizes
 
     def label(self, pages: list[Page]) -> list[np.ndarray]:
-        """Probability of main text of every block; pages of like length are read together."""
+        """Probability of main text of every block; pages of like length are read together, as many as ``AT_ONCE`` blocks allow."""
         out: list[np.ndarray] = [np.empty(0)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), 128):
-            part = order[at : at + 128]
-            x, sizes = self.padded([pages[i] for i in part])
+        sums: dict = {}
+        while order:
+            # the longest of the next pages says how many fit; a page beyond the limit is read alone
+            n = next(n for n in range(min(128, len(order)), 0, -1) if n == 1 or n * len(pages[order[n - 1]]) <= AT_ONCE)
+            part, order = order[:n], order[n:]
+            x, sizes = self.padded([pages[i] for i in part], sums)
             p = sigmoid(self.logits(self.run(x)[0], sizes))
             for k, i in enumerate(part):
                 out[i] = p[: len(pages[i]), k]
@@ -372,7 +442,7 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
                 out.append(text)
                 labels.append(False)
             else:
-                leaf(r.choice(("p", "div", "small")) if r.random() < 0.9 else "p", text, False) if True else None
+                leaf(r.choice(("p", "div", "small")) if r.random() < 0.9 else "p", text, False)
             if r.random() < 0.3:
                 group("ul", ("links",), lambda: links(r.randint(2, 5)))
 
@@ -416,7 +486,7 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
         def one(holder: str) -> None:
             def parts() -> None:
                 if r.random() < 0.6:
-                    leaf(r.choice(("span", "div", "h4", "p")) if False else r.choice(("div", "h4", "p")), r.choice((word().capitalize() + " says:", words(1, 2), f"{word()} wrote on {r.randint(1, 28)}.{r.randint(1, 12)}.2020", "Anonymous")), False, "author", "meta", "comment-author")
+                    leaf(r.choice(("div", "h4", "p")), r.choice((word().capitalize() + " says:", words(1, 2), f"{word()} wrote on {r.randint(1, 28)}.{r.randint(1, 12)}.2020", "Anonymous")), False, "author", "meta", "comment-author")
                 for _ in range(r.randint(1, 2)):
                     leaf("p", prose(1, 4), False)
                 if r.random() < 0.3:
@@ -517,8 +587,9 @@ def trained() -> Labeller:
 
 
 def main_texts(pages: list[str], labeller: Labeller) -> list[str]:
-    found, paths, known = [blocks(p) for p in pages], Slots(path_slots), Slots(word_slot)
-    chosen = labeller.label([Page(f, paths, known) for f in found])
+    places, known = Places(), Slots(word_slot)
+    found = [blocks(p, places) for p in pages]
+    chosen = labeller.label([Page(f, None, known) for f in found])
     return ["\n".join(b.text for b, p in zip(f, c) if p >= 0.5) for f, c in zip(found, chosen)]
 
 
