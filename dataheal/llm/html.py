@@ -504,7 +504,8 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
             for _ in range(r.randint(1, 6)):
                 one(kind)
 
-        group(*r.choice((("section", ("comments", "comment-list", "discussion", "responses")), ("div", ("comments", "comment-list", "disqus", "discussion", "replies")), ("ol", ("comments", "commentlist")))), parts)
+        bare = r.random() < 0.15
+        group(*r.choice((("section", ()), ("div", ())) if bare else (("section", ("comments", "comment-list", "discussion", "responses")), ("div", ("comments", "comment-list", "disqus", "discussion", "replies")), ("ol", ("comments", "commentlist")))), parts)
 
     def article() -> None:
         holder, classes = r.choice((("article", ()), ("article", ()), ("article", ("post", "article", "entry", "story")), ("main", ()), ("main", ("content", "main")), ("div", ("content", "post", "entry-content", "article-body", "story", "main", "text", "body")), ("section", ("content", "article", "post"))))
@@ -518,13 +519,17 @@ def training_page(r: random.Random) -> tuple[str, list[bool]]:
                     leaf(r.choice(("h1", "h1", "h2")), title, True, *r.choice(((), ("title", "headline"))))
             plain = r.random() < 0.4
             for _ in range(r.choice((1, 2, 3, 5, 8, 14, 25))):
-                x = r.random() * (0.72 if plain else 1)
-                if x < 0.66:
+                x = r.random() * (0.66 if plain else 1)
+                if x < 0.60:
                     leaf("p", prose(1, r.choice((1, 2, 6, 14))), True)
-                elif x < 0.72:
+                elif x < 0.66:
                     leaf("p", r.choice((words(1, 3), word().capitalize() + ".", sentence(1, 4))), True)
-                elif x < 0.78:
+                elif x < 0.72:
                     leaf(r.choice(("h2", "h3")), words(1, 7), True)
+                elif x < 0.75:
+                    group("dl", (), lambda: [(leaf("dt", words(1, 4), True), leaf("dd", r.choice((prose(1, 2), words(2, 8))), True)) for _ in range(r.randint(1, 4))])
+                elif x < 0.78:
+                    group("figure", (), lambda: (out.append('<img src="x.png">'), leaf("figcaption", r.choice((sentence(), words(2, 6))), True)))
                 elif x < 0.83:
                     group(r.choice(("ul", "ol")), (), lambda: [leaf("li", r.choice((sentence(), words(1, 6))), True) for _ in range(r.randint(2, 6))])
                 elif x < 0.87:

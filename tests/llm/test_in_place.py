@@ -65,6 +65,41 @@ def test_held_out_pages_and_table(spark):
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 
+def test_long_and_deep_pages_stay_small():
+    """One page of 150,000 blocks among short ones, 100,000 nested elements, and tags that never end."""
+    import tracemalloc
+
+    net = html.trained()
+    short = [html.training_page(random.Random(k))[0] for k in range(40)]
+    long = "<body><article>" + "".join(f"<p>Sentence {i} of a long page.</p>" for i in range(150_000))
+    alone = html.main_texts(short, net)
+    tracemalloc.start()
+    together = html.main_texts([short[0], long, *short[1:]], net)
+    deep = html.main_texts(["<div>x" * 100_000, "<div>" * 50_000 + "</p>x" * 50_000, "<x " * 200_000, '<a href="' * 50_000], net)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [together[0], *together[2:]] == alone and len(deep) == 4
+    assert together[1].count("\n") > 140_000
+    assert peak < 1 << 30
+
+
+def test_elements_along_a_path_give_the_mean_of_its_parts():
+    net, paths, known = html.Labeller(), html.Slots(html.path_slots), html.Slots(html.word_slot)
+    found = [b for k in range(30) for b in html.blocks(html.training_page(random.Random(k))[0])] + html.blocks("text before <p>any")
+    listed, shared = html.Page(found, paths, known), html.Page(found, None, known)
+    assert np.allclose(net.vectors([listed]), net.vectors([shared], {}), atol=1e-5)
+
+
+def test_lists_figures_and_bare_comment_headings():
+    page = (
+        "<html><body><nav><a href=/>Home</a></nav><article class=post><h1>A title of words</h1><p>Some prose stands here, with a few words. And more.</p>"
+        "<dl><dt>Term</dt><dd>What the term means in some words.</dd></dl><figure><img src=x><figcaption>A caption of the picture.</figcaption></figure>"
+        "<p>More prose at the end of it.</p></article><section><h2>Comments</h2><div class=comment><h4>ann says:</h4><p>I liked this text a lot.</p></div>"
+        "<div class=comment><p>Me too, thanks.</p></div></section><footer><p>Copyright</p></footer></body></html>")
+    assert html.main_texts([page], html.trained()) == [
+        "A title of words\nSome prose stands here, with a few words. And more.\nTerm\nWhat the term means in some words.\nA caption of the picture.\nMore prose at the end of it."]
+
+
 def test_awkward_pages(spark):
     page = "<article><h1>Title</h1><p>" + prose(5, 40) + ".</p></article>"
     long = "<article>" + "".join(f"<p>{prose(i, 30)}.</p>" for i in range(3000)) + "</article>"
