@@ -591,7 +591,8 @@ def all_sql() -> dict[str, str]:
     return {
         **sources(), **profiling(), **scoring(), **filling(), **inference(), **rules(), **review(), **joins(),
         **C.all_consistency(join_ctes(), list(LINEITEM), GHOST_AGREEMENT),
-        # a stream ends with what the batch gives
+        # streams and rewritten files end with what the batch gives
+        "apply_to_files": review()["apply_proposals"],
         "stream_corrections": rules()["find_correction_proposals"],
         "stream_decisions": review()["apply_decision"],
     }

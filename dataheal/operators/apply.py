@@ -72,17 +72,18 @@ def cell_winners(proposals: DataFrame, ds: Dataset, winner: str = LOWEST) -> Dat
 
 
 def apply_proposals(ds: Dataset, proposals: DataFrame, winner: str = LOWEST) -> DataFrame:
-    """The dataset with its approved changes; rows without one pass through.
+    """The dataset with its approved changes; rows without one pass through."""
+    return write_cells(ds, cell_winners(proposals, ds, winner))
+
+
+def write_cells(ds: Dataset, winners: DataFrame) -> DataFrame:
+    """The dataset, or some of its rows, with the cells that :func:`cell_winners` names.
 
     Changes meet the data in one join on ``row_index``, at most one row per data row. Spark
     broadcasts the changes where they turn out small.
     """
     entry = F.struct("column_name", "proposed_value")
-    changes = (
-        cell_winners(proposals, ds, winner)
-        .groupBy("row_index")
-        .agg(F.map_from_entries(F.collect_list(entry)).alias("_changes"))
-    )
+    changes = winners.groupBy("row_index").agg(F.map_from_entries(F.collect_list(entry)).alias("_changes"))
 
     def cell(f: T.StructField) -> Column:
         proposed = cast_value(F.element_at(F.col("_changes"), F.lit(f.name)), f.dataType)

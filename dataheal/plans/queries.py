@@ -18,7 +18,7 @@ from dataheal.operators import proposals as record
 from dataheal.operators import review, rules, score
 from dataheal.plans import pipeline, views
 from dataheal.session import ensure_checkpoint_dir, materialise
-from dataheal.sources import csv, sinks
+from dataheal.sources import csv, sinks, versions
 from dataheal.sources.positions import with_sorted_positions
 from dataheal.streaming import corrections, decisions
 
@@ -371,6 +371,17 @@ def resolve_rules(spark: SparkSession, sf: str) -> DataFrame:
     return made.groupBy("proposed_value").agg(F.count("*").alias("n"))
 
 
+def apply_to_files(spark: SparkSession, sf: str) -> DataFrame:
+    """All proposals applied to the policies kept as sorted files, of which only the touched ones are written again."""
+    folder = _shared_folder(spark, "policy-files")
+    rows = views.policies(spark, sf).df.withColumn("created_at", F.col("created_at").cast("string"))
+    rows.repartitionByRange(8, "row_index").sortWithinPartitions("row_index").write.parquet(f"{folder}/data")
+    versions.register_files(spark, f"{folder}/data", f"{folder}/manifest")
+    approved = made_proposals(spark, sf).withColumn("status", F.lit(record.APPROVED))
+    versions.apply_to_files(spark, f"{folder}/manifest", "policies", approved, folder)
+    return versions.read_version(spark, f"{folder}/manifest", "policies").df
+
+
 def stream_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """The policies' rows as a stream of files, corrected as they arrive."""
     learned = corrections.learn(views.policies(spark, sf), CFG)
@@ -535,6 +546,7 @@ def all_queries() -> dict[str, Query]:
         "apply_proposals": lambda spark, sf: applying.apply_proposals(
             views.policies(spark, sf), made_proposals(spark, sf).withColumn("status", F.lit(record.APPROVED))
         ),
+        "apply_to_files": apply_to_files,
         "export_session": export_session,
         "row_context": row_context,
         "source_context": source_context,
