@@ -4,8 +4,11 @@ Documents are tokenized in place and only those longer than a sequence are cut.
 sequences of their own; all other pieces are dealt at random to lots of about ``LOT`` pieces, which
 several islands pack. An individual is a grouping of the lot into bins. Crossover injects well-filled
 bins of one parent whole into the other, removes the bins there that hold any of their pieces, and
-best-fits the displaced pieces. After every epoch each island's elite migrates to the next island of
-the lot. Pieces of badly filled bins are dealt again to lots of their own and packed a second time,
+best-fits the displaced pieces. Every island has founders of its own: best fit by sizes that are blurred at random, on
+the first island by plain falling size too, so no lot is packed worse than by that. Islands cross until ``PATIENCE`` children
+in a row were no progress; after every epoch each island's elite migrates to the next island of the lot, until an
+epoch saves no bin. A lot that has as few bins as its pieces' sum allows is solved: it can't be packed
+better, and its islands end. Pieces of badly filled bins are dealt again to lots of their own and packed a second time,
 so what lots waste at their ends meets.
 
 A lot is a few kilobytes of lengths; texts and token ids never move, only the lengths, places and
@@ -34,7 +37,9 @@ from dataheal.llm import common
 from dataheal.session import materialise
 
 LENGTH, LOT = 2048, 4096
-ISLANDS, EPOCHS, POPULATION, CROSSOVERS = 3, 2, 4, 6
+ISLANDS, EPOCHS, POPULATION = 3, 4, 6
+#: Children in a row without progress that end an island's epoch; children in an epoch at most.
+PATIENCE, CROSSOVERS = 40, 200
 #: Bins that are less full than this are dealt again.
 FULL = 0.98
 #: Most words whose ids a worker keeps; later words are tokenized when they come.
@@ -160,36 +165,53 @@ def crossover(sizes: np.ndarray, a: np.ndarray, b: np.ndarray, capacity: int, r:
     return best_fit(sizes.tolist(), displaced[np.argsort(-sizes[displaced], kind="stable")].tolist(), child, capacity)
 
 
-def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int) -> list[np.ndarray]:
-    """``CROSSOVERS`` children, each in the place of the worst individual that it beats; best first."""
-    r, least = random.Random(seed), -(-int(sizes.sum()) // capacity)
-    ranked = sorted(population, key=lambda g: -fitness(sizes, g, capacity))
-    for _ in range(CROSSOVERS):
-        if not len(sizes) or int(ranked[0].max()) + 1 <= least or len(ranked) < 2:
-            break
-        a, b = r.sample(ranked[: max(2, len(ranked) // 2 + 1)], 2)
-        child = crossover(sizes, a, b, capacity, r)
-        if fitness(sizes, child, capacity) > fitness(sizes, ranked[-1], capacity):
-            ranked = sorted([*ranked[:-1], child], key=lambda g: -fitness(sizes, g, capacity))
-    return ranked
+def bound(sizes: np.ndarray, capacity: int) -> int:
+    """Bins that the sizes' sum needs at least."""
+    return -(-int(sizes.sum()) // capacity)
+
+
+def bins_of(grouping: np.ndarray) -> int:
+    return int(grouping.max()) + 1 if len(grouping) else 0
+
 
+def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, seed: int) -> tuple[list[np.ndarray], int]:
+    """The population after crossovers, best first, and their number. A child takes the place of the worst individual if it is better and new."""
+    r, least = random.Random(seed), bound(sizes, capacity)
+    ranked = sorted(((fitness(sizes, g, capacity), -k, g) for k, g in enumerate(population)), key=lambda x: x[:2], reverse=True)
+    made = idle = 0
+    while len(ranked) > 1 and made < CROSSOVERS and idle < PATIENCE and bins_of(ranked[0][2]) > least:
+        a, b = r.sample(ranked, 2)
+        child = crossover(sizes, a[2], b[2], capacity, r)
+        made, idle = made + 1, idle + 1
+        value = fitness(sizes, child, capacity)
+        if value > ranked[-1][0] and all(abs(value - x[0]) > 1e-12 for x in ranked):
+            if value > ranked[0][0]:
+                idle = 0
+            ranked = sorted([*ranked[:-1], (value, -len(population) - made, child)], key=lambda x: x[:2], reverse=True)
+    return [g for _, _, g in ranked], made
 
-def founders(sizes: np.ndarray, capacity: int, seed: int) -> list[np.ndarray]:
-    """Best fit by falling size, and by falling sizes that are blurred at random."""
-    r, out = np.random.default_rng(seed), []
+
+def founders(sizes: np.ndarray, capacity: int, seed: int, island: int = 0) -> list[np.ndarray]:
+    """Best fit by falling sizes that are blurred at random, differently on each island; on the first one not blurred too."""
+    r, out = np.random.default_rng((seed, island)), []
     for k in range(POPULATION):
-        blurred = sizes * (1 + (0.0 if k == 0 else 0.15 * k) * r.random(len(sizes)))
-        out.append(best_fit(sizes.tolist(), np.argsort(-blurred, kind="stable").tolist(), np.full(len(sizes), -1), capacity))
+        blur = 0.0 if k == 0 and island == 0 else 0.1 + 0.25 * k
+        order = np.argsort(-sizes * (1 + blur * r.random(len(sizes))), kind="stable")
+        out.append(best_fit(sizes.tolist(), order.tolist(), np.full(len(sizes), -1), capacity))
+        if bins_of(out[-1]) <= bound(sizes, capacity):
+            return [out[-1]]
     return out
 
 
-ISLAND = "lot long, island int, sizes binary, elite binary, population binary, fitness double"
+ISLAND = "lot long, island int, sizes binary, elite binary, population binary, fitness double, bins long, crossed long, solved boolean"
 
 
-def island_row(lot: int, island: int, sizes: np.ndarray, population: list[np.ndarray], capacity: int) -> dict:
+def island_row(lot: int, island: int, sizes: np.ndarray, population: list[np.ndarray], crossed: int, capacity: int) -> dict:
+    bins = bins_of(population[0])
     return {
         "lot": lot, "island": island, "sizes": sizes.astype(np.int32).tobytes(), "elite": population[0].astype(np.int32).tobytes(),
-        "population": b"".join(g.astype(np.int32).tobytes() for g in population), "fitness": fitness(sizes, population[0], capacity)}
+        "population": b"".join(g.astype(np.int32).tobytes() for g in population), "fitness": fitness(sizes, population[0], capacity),
+        "bins": bins, "crossed": crossed, "solved": bins <= bound(sizes, capacity)}
 
 
 def pack(items: DataFrame, capacity: int) -> DataFrame:
@@ -204,13 +226,22 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
         lot = lot.sort_by("row")
         sizes = lot.column("length").to_numpy().astype(np.int64)
         key = lot.column("lot")[0].as_py()
-        first = founders(sizes, capacity, key)
-        return pa.Table.from_pylist(
-            [island_row(key, i, sizes, evolve(sizes, first, capacity, key * ISLANDS + i), capacity) for i in range(ISLANDS)], schema=arrow)
+        made = []
+        for i in range(ISLANDS):
+            made.append(island_row(key, i, sizes, *evolve(sizes, founders(sizes, capacity, key, i), capacity, key * ISLANDS + i), capacity))
+            if made[-1]["solved"]:
+                made = made[-1:]
+                break
+        return pa.Table.from_pylist(made, schema=arrow)
 
     islands = materialise(dealt.select("lot", "row", "length").groupBy("lot").applyInArrow(found, schema))
+    solved, open_lots = islands.where("solved"), islands.where("not solved")
+    bins = lambda lots: lots.groupBy("lot").agg(F.min("bins").alias("bins")).agg(F.sum("bins")).first()[0] or 0
+    before = bins(open_lots)
     for epoch in range(1, EPOCHS):
-        guests = islands.select("lot", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("guest"))
+        if not before:
+            break
+        guests = open_lots.select("lot", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("elite").alias("guest"))
 
         def settle(batches: Iterator[pa.RecordBatch], epoch=epoch) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -220,11 +251,16 @@ def pack(items: DataFrame, capacity: int) -> DataFrame:
                     natives = list(np.frombuffer(x["population"], np.int32).reshape(-1, len(sizes)))
                     guest = np.frombuffer(x["guest"], np.int32)
                     seed = (epoch << 40) + x["lot"] * ISLANDS + x["island"]
-                    rows.append(island_row(x["lot"], x["island"], sizes, evolve(sizes, [*natives[:-1], guest], capacity, seed), capacity))
+                    after, crossed = evolve(sizes, [*natives[:-1], guest], capacity, seed)
+                    rows.append(island_row(x["lot"], x["island"], sizes, after, x["crossed"] + crossed, capacity))
                 yield from pa.Table.from_pylist(rows, schema=arrow).to_batches()
 
-        islands = materialise(islands.join(guests, ["lot", "island"]).mapInArrow(settle, schema))
-    best = islands.groupBy("lot").agg(F.max_by("elite", F.struct("fitness", -F.col("island"))).alias("elite"))
+        open_lots = materialise(open_lots.join(guests, ["lot", "island"]).mapInArrow(settle, schema))
+        after = bins(open_lots)
+        if after == before:
+            break
+        before = after
+    best = solved.union(open_lots).groupBy("lot").agg(F.max_by("elite", F.struct("fitness", -F.col("island"))).alias("elite"))
     out = T.StructType([*items.schema.fields, T.StructField("bin", T.LongType()), T.StructField("offset", T.LongType()), T.StructField("fill", T.LongType())])
 
     def place(lot: pa.Table, chosen: pa.Table) -> pa.Table:

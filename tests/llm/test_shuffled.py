@@ -263,11 +263,40 @@ def test_best_fit_and_crossover():
     for _ in range(40):
         sizes = np.array([r.randint(1, 100) for _ in range(r.randint(1, 80))])
         first = packing.founders(sizes, 100, 1)
-        for g in [*first, packing.crossover(sizes, first[0], first[-1], 100, r), *packing.evolve(sizes, first, 100, 2)]:
+        for g in [*first, packing.crossover(sizes, first[0], first[-1], 100, r), *packing.evolve(sizes, first, 100, 2)[0]]:
             assert g.min() >= 0 and sorted(set(g.tolist())) == list(range(g.max() + 1))
             assert np.bincount(g, sizes).max() <= 100
 
 
+def triplets(n: int, seed: int) -> list[int]:
+    """Sizes that fill ``n`` bins of 1000 by threes; best fit by falling size needs many more."""
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        a = r.randint(380, 490)
+        b = r.randint(250, (1000 - a) // 2)
+        out += [a, b, 1000 - a - b]
+    r.shuffle(out)
+    return out
+
+
+def test_evolution_beats_best_fit(spark):
+    """Lots that best fit does not solve: crossovers take place, and the islands' packing has fewer bins."""
+    sizes = triplets(60, 3)
+    fit = packing.best_fit(sizes, np.argsort(-np.array(sizes), kind="stable").tolist(), np.full(len(sizes), -1), 1000)
+    whole = np.array(sizes)
+    first = packing.founders(whole, 1000, 1)
+    after, crossed = packing.evolve(whole, first, 1000, 2)
+    assert crossed > packing.PATIENCE and packing.bins_of(after[0]) < min(packing.bins_of(g) for g in first) <= packing.bins_of(fit)
+    assert len({packing.founders(whole, 1000, 1, i)[0].tobytes() for i in range(packing.ISLANDS)}) == packing.ISLANDS
+    items = spark.createDataFrame([(i, i, s) for i, s in enumerate(sizes)], "doc_id long, row long, length long").repartition(3)
+    packed = packing.pack(items, 1000).collect()
+    fills = {}
+    for r in packed:
+        fills[r["bin"]] = fills.get(r["bin"], 0) + r["length"]
+    assert len(packed) == len(sizes) and max(fills.values()) <= 1000
+    assert 60 <= len(fills) < packing.bins_of(fit) - 3
+
+
 def test_words_are_tokenized_as_texts():
     import public_tokenizers
 
