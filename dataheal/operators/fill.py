@@ -1,8 +1,8 @@
 """Filling nulls of one dataset from another that shares a key.
 
 Which key and which columns qualify is decided on column profiles, a few rows per dataset.
-The data work per ordered pair is one pre-aggregated lookup and one equi-join, for all of the
-pair's fillable columns together.
+The data work is one pre-aggregated lookup by dataset and key, and one equi-join that brings the
+lookups to the gaps of all pairs.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from dataheal.dataset import Dataset, quoted
 from dataheal.functions.text import render_compact
 from dataheal.operators.profile import union_all
 from dataheal.operators.proposals import CROSS_DATASET_FILL, build_proposal, no_proposals
+from dataheal.session import local_frame
 
 _SIDES = ("inferred_type", "uniqueness_ratio", "null_pct", "null_count", "row_count")
 
@@ -166,23 +167,77 @@ def cross_dataset_fill(
     )
 
 
+def _lookups(datasets: dict[str, Dataset], wanted: dict[tuple[str, str], set[str]]) -> DataFrame:
+    """``(source, join_key, key, known)``: what each dataset knows about each key, as a map from column to text."""
+    sides = []
+    for (name, key), columns in sorted(wanted.items()):
+        ds, chosen = datasets[name], sorted(columns)
+        lookup = dedup_lookup(ds, key, chosen).alias("lookup")
+        entries = [
+            F.when(F.col(f"lookup.`{c}`").isNotNull(), F.struct(F.lit(c).alias("column"), _proposed(ds, c).alias("value"))) for c in chosen
+        ]
+        sides.append(lookup.select(
+            F.lit(name).alias("source"), F.lit(key).alias("join_key"), F.col(f"lookup.`{key}`").cast("string").alias("key"),
+            F.map_from_entries(F.array_compact(F.array(*entries))).alias("known"),
+        ))
+    return union_all(sides)
+
+
+def _gaps(datasets: dict[str, Dataset], wanted: dict[tuple[str, str], set[str]]) -> DataFrame:
+    """``(target, join_key, key, row_index, gaps)``: the rows with null cells among the wanted columns, by key."""
+    sides = []
+    for (name, key), columns in sorted(wanted.items()):
+        ds = datasets[name]
+        empty = F.array_compact(F.array(*[F.when(ds.value(c).isNull(), F.lit(c)) for c in sorted(columns)]))
+        rows = ds.df.filter(ds.col(key).isNotNull()).select(
+            F.lit(name).alias("target"), F.lit(key).alias("join_key"), ds.value(key).cast("string").alias("key"), "row_index", empty.alias("gaps")
+        )
+        sides.append(rows.filter(F.size("gaps") > 0))
+    return union_all(sides)
+
+
 def find_cross_dataset_fills(
     datasets: dict[str, Dataset], profiles: DataFrame, cfg: QualityConfig, session_id: str = "session"
 ) -> DataFrame:
-    """Fills over all ordered pairs of a session; the loop runs over pairs, never over rows."""
+    """Fills over all ordered pairs of a session.
+
+    Every dataset is read once as a source and once as a target for each key it takes part with, whatever the
+    number of pairs: one join on (key name, key) brings all sources to all gaps, and a short list
+    says which pair may fill which columns. Keys are compared as text.
+    """
     spark = profiles.sparkSession
     plan: dict[tuple[str, str], list[Row]] = {}
     for row in find_fillable_columns(profiles, cfg).collect():
         plan.setdefault((row["dataset_a"], row["dataset_b"]), []).append(row)
-    batches = []
-    for seq, pair in enumerate(permutations(datasets, 2)):
-        rows = plan.get(pair)
-        if rows:
-            columns = sorted(r["column"] for r in rows)
-            batches.append(
-                cross_dataset_fill(
-                    datasets[pair[0]], datasets[pair[1]], rows[0]["join_key"], columns,
-                    rows[0]["confidence"], session_id, seq,
-                )
-            )
-    return union_all(batches) if batches else no_proposals(spark)
+    pairs, of_source, of_target = [], {}, {}
+    for seq, (target, source) in enumerate(permutations(datasets, 2)):
+        for row in plan.get((target, source), ()):
+            pairs.append((target, source, row["join_key"], row["column"], row["confidence"], seq))
+            of_source.setdefault((source, row["join_key"]), set()).add(row["column"])
+            of_target.setdefault((target, row["join_key"]), set()).add(row["column"])
+    if not pairs:
+        return no_proposals(spark)
+    allowed = local_frame(spark, pairs, "target string, source string, join_key string, column string, confidence double, seq int")
+    met = _gaps(datasets, of_target).join(_lookups(datasets, of_source), ["join_key", "key"]).filter("target <> source")
+    cells = met.select("target", "source", "join_key", "key", "row_index", "known", F.explode("gaps").alias("column"))
+    found = cells.join(F.broadcast(allowed), ["target", "source", "join_key", "column"]).withColumn("proposed", F.element_at("known", F.col("column")))
+    return build_proposal(
+        found.filter(F.col("proposed").isNotNull()),
+        session_id=session_id,
+        proposal_type=CROSS_DATASET_FILL,
+        source_method="cross_dataset_lookup",
+        dataset_name=F.col("target"),
+        column_name=F.col("column"),
+        original_value=None,
+        proposed_value=F.col("proposed"),
+        explanation=F.format_string(
+            "'%s' holds '%s' in its column '%s' where %s is '%s'.", "source", "proposed", "column", "join_key", "key"
+        ),
+        confidence=F.col("confidence"),
+        row_identifier=F.col("key"),
+        seq=F.col("seq"),
+        source_dataset=F.col("source"),
+        source_column=F.col("column"),
+        join_key=F.col("join_key"),
+        join_value=F.col("key"),
+    )

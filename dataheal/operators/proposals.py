@@ -31,7 +31,7 @@ def build_proposal(
     session_id: str,
     proposal_type: str,
     source_method: Column | str,
-    dataset_name: str,
+    dataset_name: Column | str,
     column_name: Column | str,
     original_value: Column | None,
     proposed_value: Column,
@@ -39,9 +39,9 @@ def build_proposal(
     confidence: Column | float,
     row_identifier: Column,
     seq: Column | int = 0,
-    source_dataset: str | None = None,
+    source_dataset: Column | str | None = None,
     source_column: Column | str | None = None,
-    join_key: str | None = None,
+    join_key: Column | str | None = None,
     join_value: Column | None = None,
 ) -> DataFrame:
     """Project ``rows``, which carry ``row_index``, onto the proposal record."""

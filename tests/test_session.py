@@ -284,3 +284,25 @@ def test_a_broken_dataset_is_fatal_for_the_pipeline_only(spark, session):
         pipeline.profile_session({"broken.csv": broken}, CFG)
     kept = pipeline.profile_session({"risks.csv": session["risks.csv"], "broken.csv": broken}, CFG, skip_failed=True)
     assert list(kept.datasets) == ["risks.csv"]
+
+
+def test_fills_of_many_datasets_read_each_twice(spark, tmp_path):
+    """Four datasets, twelve ordered pairs: each is read as a source and as a target, and a hot key fills all its rows."""
+    from dataheal.operators import fill
+
+    datasets = {}
+    for n in range(4):
+        rows = [(i, f"P{i}", f"v{n}" if (i + n) % 3 else None, float(i) if (i + n) % 4 else None) for i in range(300)]
+        df = spark.createDataFrame(rows, "row_index bigint, policy_id string, cover string, size double")
+        df.write.parquet(str(tmp_path / f"d{n}"))
+        datasets[f"d{n}"] = Dataset(f"d{n}", spark.read.parquet(str(tmp_path / f"d{n}")))
+    profiles = pipeline.profile_columns_of(datasets, CFG)
+    together = fill.find_cross_dataset_fills(datasets, profiles, CFG, "s")
+    seen = lambda df: sorted(tuple(r) for r in df.drop("id", "created_at", "reviewed_at", "user_decision").fillna("").collect())
+    one_by_one, order = [], [(a, b) for a in datasets for b in datasets if a != b]
+    for r in fill.find_fillable_columns(profiles, CFG).collect():
+        pair = (r["dataset_a"], r["dataset_b"])
+        one_by_one += seen(fill.cross_dataset_fill(datasets[pair[0]], datasets[pair[1]], r["join_key"], [r["column"]], r["confidence"], "s", order.index(pair)))
+    assert seen(together) == sorted(one_by_one) and len(one_by_one) > 1000
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 8
