@@ -13,8 +13,8 @@ Each column block of the incidence matrix is one task's work: it sums overlap co
 classes whose sizes allow a link. Counts are added up over the blocks, pairs that cannot reach the
 threshold from their sizes and count are discarded, and the rest is verified on the whole sets.
 
-An n-gram that stays common in prefixes (near copies by the thousand) is not multiplied out. Classes
-that no partner's size there allows are left out: most near copies that lie just beyond the threshold
+An n-gram that several classes have in their prefixes (near copies by the thousand) is not multiplied
+out: it gives one row a class, and pairs only where these rows say so. Classes that no partner's size there allows are left out: most near copies that lie just beyond the threshold
 have enough n-grams of their own for that. The other classes are linked to the most typical one first, then what is left to the most typical of that.
 What stays in different components is compared by leaders: Jaccard distance is a metric, so members
 of two stars can only be linked if the distance of their leaders allows it, and only then members
@@ -45,8 +45,9 @@ from dataheal.session import materialise
 
 WIDTH, PERCENT = 5, 75
 SLOTS, SLICE = 1 << 21, 1 << 13
-#: An n-gram in more classes than this is not multiplied out; prefix n-grams by block of the product.
-COMMON, BLOCK = 64, 400_000
+#: Documents of an n-gram up to which it is as good as a rare one in the order; classes of one beyond which it
+#: is not multiplied out; prefix n-grams by block of the product. They choose plans, never results.
+USUAL, COMMON, BLOCK = 64, 3, 400_000
 #: 64-bit words of the bitmap of a set, at least; long sets have more, always a power of two.
 BITMAP = 16
 #: Slices of the count table that one task adds up at most.
@@ -125,7 +126,7 @@ def measure(docs: DataFrame, width: int) -> tuple[DataFrame, np.ndarray]:
     counts = np.zeros(SLOTS, np.uint32)
     for r in slices.collect():
         counts[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = unpacked(r["counts"])
-    usual = COMMON + 2 * counts.mean()
+    usual = USUAL + 2 * counts.mean()
     levels = np.where(counts > usual, np.log2(np.maximum(1, counts / usual)) + 1, 0).astype(np.uint8)
     return both.where("counts is null").select("doc_id", "key", "cls", "n", "bits"), levels
 
@@ -318,55 +319,74 @@ def screened(pairs: DataFrame, classes: DataFrame, percent: int, apart=0.0) -> D
     return pairs.join(x, "a").join(y, "b").where(may_link("x", "y", percent, apart)).drop("x", "y")
 
 
-def hot_links(docs: DataFrame, classes: DataFrame, hot: DataFrame, links: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) that complete the components over the classes of common n-grams; ``hot`` is (gram, share, most, c) with c (cls, n, folded bits)."""
-    far = 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    found, spokes = links, None
+def far():
+    """Jaccard distance of a verified pair."""
+    return 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
 
-    def placed_in(links: DataFrame) -> DataFrame:
-        home = common.components(links)
-        return hot.join(home, hot["c.cls"] == home["node"], "left").select("gram", "share", "most", "c", F.coalesce("component", "c.cls").alias("component"))
 
-    def leaders(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("gram").agg(F.max(F.struct("share", "c", "component")).alias("l")).select("gram", F.col("l.c").alias("l"), F.col("l.component").alias("of"), F.col("l.share").alias("typical"))
+def placed_in(rows: DataFrame, home: DataFrame) -> DataFrame:
+    """``rows`` of classes ``cls`` with their ``component``; ``home`` is (node, component)."""
+    return rows.join(home, rows["cls"] == home["node"], "left").withColumn("component", F.coalesce("component", "cls")).drop("node")
 
+
+def apart(placed: DataFrame) -> DataFrame:
+    """The rows of n-grams whose classes are in several components."""
+    several = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
+    return placed.join(several, "gram", "left_semi")
+
+
+def leaders(rows: DataFrame) -> DataFrame:
+    """The most typical class of each n-gram: that with the largest share of common n-grams, then of the largest number."""
+    led = rows.groupBy("gram").agg(F.max(F.struct("share", "cls", "n", "most", "component")).alias("l"))
+    return led.select("gram", F.col("l.cls").alias("leader"), F.col("l.n").alias("leader_n"), F.col("l.most").alias("leader_most"), F.col("l.component").alias("of"), F.col("l.share").alias("typical"))
+
+
+def stars(docs: DataFrame, classes: DataFrame, hot: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b, typical, far) of classes ``a`` to leaders ``b`` of their common n-grams, in two rounds."""
+    found = None
     for round_ in range(2):
-        rows = placed_in(found)
+        home = common.components(found.select("a", "b")) if round_ else hot.select(F.col("cls").alias("node"), F.col("cls").alias("component")).limit(0)
+        rows = apart(placed_in(hot, home))
         for _ in range(round_):  # what the first leaders have not won
-            rows = rows.join(leaders(rows), "gram").where("component <> of").select("gram", "share", "most", "c", "component")
+            rows = rows.join(leaders(rows), "gram").where("component <> of").select("gram", "share", "most", "n", "cls", "component")
         rows = materialise(rows)
-        stars = rows.join(leaders(rows), "gram").where((F.col("component") != F.col("of")) & may_link("c", "l", percent))
-        stars = stars.groupBy(F.col("c.cls").alias("a"), F.col("l.cls").alias("b")).agg(F.max("typical").alias("typical"))
-        stars = materialise(screened(stars, classes, percent))
-        won = materialise(verified(docs, classes, stars, width).where(similar(percent)).join(stars, ["a", "b"]).select("a", "b", "typical", far.alias("far")))
-        spokes = won if spokes is None else spokes.union(won)
-        found = materialise(found.union(won.select("a", "b")))
+        near = rows.join(leaders(rows), "gram").where((F.col("component") != F.col("of")) & (F.col("n") <= F.col("leader_most")) & (F.col("leader_n") <= F.col("most")))
+        pairs = near.groupBy(F.col("cls").alias("a"), F.col("leader").alias("b")).agg(F.max("typical").alias("typical"))
+        pairs = materialise(screened(pairs, classes, percent))
+        won = materialise(verified(docs, classes, pairs, width).where(similar(percent)).join(pairs, ["a", "b"]).select("a", "b", "typical", far().alias("far")))
+        found = won if found is None else found.union(won)
+    return found
+
 
+def between_stars(docs: DataFrame, classes: DataFrame, hot: DataFrame, spokes: DataFrame, home: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between the components of ``home`` over common n-grams; ``spokes`` are the links of :func:`stars`."""
     centre = spokes.groupBy(F.col("a").alias("member")).agg(F.max(F.struct("typical", F.col("b").alias("cls"), "far")).alias("s"))
-    placed = placed_in(found)
-    placed = placed.join(centre, placed["c.cls"] == centre["member"], "left").select(
-        "gram", "most", "c", "component", F.coalesce("s.cls", "c.cls").alias("centre"), F.coalesce("s.far", F.lit(0.0)).alias("far"))
-    apart = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gram")
-    placed = materialise(placed.join(apart, "gram", "left_semi"))
-    known = classes.select(F.col("cls").alias("centre"), F.struct("cls", "n", folded(F.col("bits"), F.lit(BITMAP)).alias("bits")).alias("c"))
+    placed = apart(placed_in(hot, home))
+    placed = materialise(placed.join(centre, placed["cls"] == centre["member"], "left").select(
+        "gram", "most", "n", "cls", "component", F.coalesce("s.cls", "cls").alias("centre"), F.coalesce("s.far", F.lit(0.0)).alias("far")))
     reach = placed.groupBy("centre").agg(F.max("far").alias("reach"))
-    by_gram = placed.groupBy("gram", "centre", "component").agg(F.min("c.n").alias("least"), F.max("most").alias("most")).join(reach, "centre").join(known, "centre").drop("centre")
-    left, right = (by_gram.select("gram", F.struct("c", "component", "reach", "least", "most").alias(s)) for s in ("x", "y"))
-    sizes = lambda a, b: (F.col(f"x.{a}") <= F.col("y.most")) & (F.col(f"y.{b}") <= F.col("x.most"))
+    by_gram = placed.groupBy("gram", "centre", "component").agg(F.min("n").alias("n"), F.max("most").alias("most")).join(reach, "centre")
+    left, right = (by_gram.select("gram", F.struct("centre", "component", "reach", "n", "most").alias(s)) for s in ("x", "y"))
+    sizes = (F.col("x.n") <= F.col("y.most")) & (F.col("y.n") <= F.col("x.most")) & (F.col("x.component") != F.col("y.component"))
     both = F.col("x.reach") + F.col("y.reach")
-    centres = left.join(right, "gram").where(
-        (F.col("x.c.cls") < F.col("y.c.cls")) & (F.col("x.component") != F.col("y.component")) & sizes("least", "least") & may_link("x.c", "y.c", percent, both))
-    centres = centres.groupBy(F.col("x.c.cls").alias("a"), F.col("y.c.cls").alias("b")).agg(F.max(both).alias("reach"))
+    centres = left.join(right, "gram").where((F.col("x.centre") < F.col("y.centre")) & sizes)
+    centres = centres.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(F.max(both).alias("reach"))
     centres = materialise(screened(centres, classes, percent, F.col("reach")))
-    measured = verified(docs, classes, centres, width).select("a", "b", "na", "nb", "both", far.alias("apart"))
+    measured = verified(docs, classes, centres, width).select("a", "b", "na", "nb", "both", far().alias("apart"))
     close = materialise(centres.join(measured, ["a", "b"]).where(F.col("apart") <= 1 - percent / 100 + F.col("reach") + 1e-9))
-    x, y = (placed.select("gram", F.col("centre").alias(c), F.struct("c", "component", "far", "most").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    members = close.where("reach > 0").select("a", "b", "apart").join(x, "a").join(y, ["gram", "b"]).where(
-        (F.col("x.component") != F.col("y.component")) & sizes("c.n", "c.n") & (F.col("apart") <= 1 - percent / 100 + F.col("x.far") + F.col("y.far") + 1e-9) & may_link("x.c", "y.c", percent))
-    pairs = members.select(F.col("x.c.cls").alias("a"), F.col("y.c.cls").alias("b")).distinct()
+    # of two centres the one with fewer rows comes first, so a large star's rows are met by n-gram only, not once by each pair
+    size = placed.groupBy("centre").agg(F.count(F.lit(1)).alias("rows"))
+    a, b = (size.select(F.col("centre").alias(c), F.col("rows").alias(f"rows_{c}")) for c in "ab")
+    first = F.col("rows_a") <= F.col("rows_b")
+    ordered = close.where("reach > 0").join(a, "a").join(b, "b").select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("few"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("many"), "apart")
+    x, y = (placed.select("gram", F.col("centre").alias(c), F.struct("cls", "component", "far", "n", "most").alias(s)) for c, s in (("few", "x"), ("many", "y")))
+    members = ordered.join(x, "few").join(y, ["gram", "many"]).where(
+        sizes & (F.col("apart") <= 1 - percent / 100 + F.col("x.far") + F.col("y.far") + 1e-9))
+    pairs = members.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     pairs = materialise(screened(pairs, classes, percent))
     more = verified(docs, classes, pairs, width).where(similar(percent)).select("a", "b")
-    return found.union(close.where(similar(percent)).select("a", "b")).union(more)
+    return close.where(similar(percent)).select("a", "b").union(more)
 
 
 def allowed(hot: DataFrame) -> DataFrame:
@@ -386,20 +406,23 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     multiplied = materialise(matrix.groupBy("block").applyInArrow(product(percent), PRODUCT))
     common_rows = materialise(multiplied.where("b is null").groupBy("gram", F.col("a").alias("cls"), F.col("na").alias("n")).agg(
         F.max("share").alias("share"), F.max("most").alias("most")))
-    hot = materialise(allowed(common_rows).select("gram", "cls", "share", "most"))
-    # what a pair's common n-grams can add to its overlap at most
-    warm = common_rows.groupBy("cls").agg(F.count(F.lit(1)).alias("more"))
+    hot = materialise(allowed(common_rows))
+    spokes = stars(docs, classes, hot, width, percent)
+    home = common.components(spokes.select("a", "b"))
+    # pairs of the product, unless stars join them already; what their common n-grams can add to an overlap at most
+    warm = common_rows.groupBy("cls").agg(F.count(F.lit(1)).alias("more")).join(home, F.col("cls") == home["node"], "full").select(
+        F.coalesce("cls", "node").alias("cls"), F.coalesce("more", F.lit(0)).alias("more"), "component")
     pairs = multiplied.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"), F.sum("met").alias("met")).where("met > 0")
-    of = classes.select("cls", "n", "bits").join(warm, "cls", "left").select("cls", F.struct("cls", "n", "bits", F.coalesce("more", F.lit(0)).alias("more")).alias("c"))
-    ends = pairs.join(of.select(F.col("cls").alias("a"), F.col("c").alias("x")), "a").join(of.select(F.col("cls").alias("b"), F.col("c").alias("y")), "b")
+    x, y = (warm.select(F.col("cls").alias(c), F.struct("more", "component").alias(s)) for c, s in (("a", "x"), ("b", "y")))
+    ends = pairs.join(x, "a", "left").join(y, "b", "left")
     rest = lambda n: F.ceil(F.col(n) * percent / 100) - 1
-    most = F.col("overlap") + F.least("x.more", "y.more") + F.greatest(rest("na"), rest("nb"))
+    most = F.col("overlap") + F.least(F.coalesce("x.more", F.lit(0)), F.coalesce("y.more", F.lit(0))) + F.greatest(rest("na"), rest("nb"))
     enough = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
-    kept = materialise(ends.where(enough & may_link("x", "y", percent)).select("a", "b"))
-    links = materialise(verified(docs, classes, kept, width).where(similar(percent)).select("a", "b"))
-    slim = classes.select("cls", F.struct("cls", "n", folded(F.col("bits"), F.lit(BITMAP)).alias("bits")).alias("c"))
-    hot = materialise(hot.join(slim, "cls").select("gram", "share", "most", "c"))
-    links = hot_links(docs, classes, hot, links, width, percent)
+    parted = F.coalesce("x.component", "a") != F.coalesce("y.component", "b")
+    kept = materialise(screened(ends.where(enough & parted).select("a", "b"), classes, percent))
+    links = verified(docs, classes, kept, width).where(similar(percent)).select("a", "b")
+    links = materialise(spokes.select("a", "b").union(links))
+    links = links.union(between_stars(docs, classes, hot, spokes, common.components(links), width, percent))
     home = materialise(common.components(links).join(classes.select(F.col("cls").alias("node"), "least_id"), "node"))
     least = home.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = classes.select("cls", "least_id").join(
