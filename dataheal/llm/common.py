@@ -18,6 +18,8 @@ from dataheal.session import materialise
 CHUNK_BYTES = 1 << 20
 #: Most rows of a broadcast list of identifiers; longer lists are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Rows in a partition of an intermediate table of slim rows.
+SETTLED_ROWS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +79,12 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, in as many partitions as its rows ask for: few rows do not go through a shuffle of many tiny files."""
+    out = materialise(df)
+    return out.coalesce(max(1, -(-out.count() // SETTLED_ROWS)))
+
+
 def among(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows of ``df`` whose ``key`` is in ``ids``: a broadcast if the list is short, else a shuffle."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -96,7 +104,7 @@ def components(edges: DataFrame) -> DataFrame:
     carry one aggregate, so a node with many neighbours is summed before the shuffle and no
     neighbour list is ever built. Each round is cut from its lineage in the shared folder.
     """
-    edges = materialise(edges.select("a", "b").where("a <> b").distinct())
+    edges = settled(edges.select("a", "b").where("a <> b").distinct())
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(
@@ -110,7 +118,7 @@ def components(edges: DataFrame) -> DataFrame:
         return out.where("a <> b").distinct()
 
     while True:
-        after = materialise(star(star(edges, True), False))
+        after = settled(star(star(edges, True), False))
         total = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         ordered = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         same = total(ordered) == total(after)

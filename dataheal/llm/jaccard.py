@@ -270,7 +270,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
     """``pairs`` (a, b) with ``both``, ``na`` and ``nb``: sizes of the intersection and of the whole sets."""
     ends = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
     keys = classes.join(ends, "cls", "left_semi").select("key")
-    chosen = common.among(needed(docs), materialise(keys), "key")
+    chosen = common.among(needed(docs), common.settled(keys), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of a text are left out before the shuffle
@@ -349,11 +349,11 @@ def stars(docs: DataFrame, classes: DataFrame, hot: DataFrame, width: int, perce
         rows = apart(placed_in(hot, home))
         for _ in range(round_):  # what the first leaders have not won
             rows = rows.join(leaders(rows), "gram").where("component <> of").select("gram", "share", "most", "n", "cls", "component")
-        rows = materialise(rows)
+        rows = common.settled(rows)
         near = rows.join(leaders(rows), "gram").where((F.col("component") != F.col("of")) & (F.col("n") <= F.col("leader_most")) & (F.col("leader_n") <= F.col("most")))
         pairs = near.groupBy(F.col("cls").alias("a"), F.col("leader").alias("b")).agg(F.max("typical").alias("typical"))
-        pairs = materialise(screened(pairs, classes, percent))
-        won = materialise(verified(docs, classes, pairs, width).where(similar(percent)).join(pairs, ["a", "b"]).select("a", "b", "typical", far().alias("far")))
+        pairs = common.settled(screened(pairs, classes, percent))
+        won = common.settled(verified(docs, classes, pairs, width).where(similar(percent)).join(pairs, ["a", "b"]).select("a", "b", "typical", far().alias("far")))
         found = won if found is None else found.union(won)
     return found
 
@@ -362,7 +362,7 @@ def between_stars(docs: DataFrame, classes: DataFrame, hot: DataFrame, spokes: D
     """Links (a, b) between the components of ``home`` over common n-grams; ``spokes`` are the links of :func:`stars`."""
     centre = spokes.groupBy(F.col("a").alias("member")).agg(F.max(F.struct("typical", F.col("b").alias("cls"), "far")).alias("s"))
     placed = apart(placed_in(hot, home))
-    placed = materialise(placed.join(centre, placed["cls"] == centre["member"], "left").select(
+    placed = common.settled(placed.join(centre, placed["cls"] == centre["member"], "left").select(
         "gram", "most", "n", "cls", "component", F.coalesce("s.cls", "cls").alias("centre"), F.coalesce("s.far", F.lit(0.0)).alias("far")))
     reach = placed.groupBy("centre").agg(F.max("far").alias("reach"))
     by_gram = placed.groupBy("gram", "centre", "component").agg(F.min("n").alias("n"), F.max("most").alias("most")).join(reach, "centre")
@@ -371,9 +371,9 @@ def between_stars(docs: DataFrame, classes: DataFrame, hot: DataFrame, spokes: D
     both = F.col("x.reach") + F.col("y.reach")
     centres = left.join(right, "gram").where((F.col("x.centre") < F.col("y.centre")) & sizes)
     centres = centres.groupBy(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).agg(F.max(both).alias("reach"))
-    centres = materialise(screened(centres, classes, percent, F.col("reach")))
+    centres = common.settled(screened(centres, classes, percent, F.col("reach")))
     measured = verified(docs, classes, centres, width).select("a", "b", "na", "nb", "both", far().alias("apart"))
-    close = materialise(centres.join(measured, ["a", "b"]).where(F.col("apart") <= 1 - percent / 100 + F.col("reach") + 1e-9))
+    close = common.settled(centres.join(measured, ["a", "b"]).where(F.col("apart") <= 1 - percent / 100 + F.col("reach") + 1e-9))
     # of two centres the one with fewer rows comes first, so a large star's rows are met by n-gram only, not once by each pair
     size = placed.groupBy("centre").agg(F.count(F.lit(1)).alias("rows"))
     a, b = (size.select(F.col("centre").alias(c), F.col("rows").alias(f"rows_{c}")) for c in "ab")
@@ -384,7 +384,7 @@ def between_stars(docs: DataFrame, classes: DataFrame, hot: DataFrame, spokes: D
     members = ordered.join(x, "few").join(y, ["gram", "many"]).where(
         sizes & (F.col("apart") <= 1 - percent / 100 + F.col("x.far") + F.col("y.far") + 1e-9))
     pairs = members.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
-    pairs = materialise(screened(pairs, classes, percent))
+    pairs = common.settled(screened(pairs, classes, percent))
     more = verified(docs, classes, pairs, width).where(similar(percent)).select("a", "b")
     return close.where(similar(percent)).select("a", "b").union(more)
 
@@ -400,13 +400,13 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     """(doc_id, key, n, least_id, group): ``key`` hashes the text, ``group`` is a class of the component (null without n-grams), ``least_id`` its smallest id."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     by_doc, levels = measure(docs, width)
-    classes = materialise(by_doc.where("n > 0").groupBy("cls", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least_id"), F.first("bits").alias("bits")))
+    classes = common.settled(by_doc.where("n > 0").groupBy("cls", "n").agg(F.min("key").alias("key"), F.min("doc_id").alias("least_id"), F.first("bits").alias("bits")))
     total = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     matrix = incidence(docs, levels, max(1, -(-int(total) // BLOCK)), width, percent)
     multiplied = materialise(matrix.groupBy("block").applyInArrow(product(percent), PRODUCT))
-    common_rows = materialise(multiplied.where("b is null").groupBy("gram", F.col("a").alias("cls"), F.col("na").alias("n")).agg(
+    common_rows = common.settled(multiplied.where("b is null").groupBy("gram", F.col("a").alias("cls"), F.col("na").alias("n")).agg(
         F.max("share").alias("share"), F.max("most").alias("most")))
-    hot = materialise(allowed(common_rows))
+    hot = common.settled(allowed(common_rows))
     spokes = stars(docs, classes, hot, width, percent)
     home = common.components(spokes.select("a", "b"))
     # pairs of the product, unless stars join them already; what their common n-grams can add to an overlap at most
@@ -419,11 +419,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: i
     most = F.col("overlap") + F.least(F.coalesce("x.more", F.lit(0)), F.coalesce("y.more", F.lit(0))) + F.greatest(rest("na"), rest("nb"))
     enough = (100 + percent) * most >= percent * (F.col("na") + F.col("nb"))
     parted = F.coalesce("x.component", "a") != F.coalesce("y.component", "b")
-    kept = materialise(screened(ends.where(enough & parted).select("a", "b"), classes, percent))
+    kept = common.settled(screened(ends.where(enough & parted).select("a", "b"), classes, percent))
     links = verified(docs, classes, kept, width).where(similar(percent)).select("a", "b")
-    links = materialise(spokes.select("a", "b").union(links))
+    links = common.settled(spokes.select("a", "b").union(links))
     links = links.union(between_stars(docs, classes, hot, spokes, common.components(links), width, percent))
-    home = materialise(common.components(links).join(classes.select(F.col("cls").alias("node"), "least_id"), "node"))
+    home = common.settled(common.components(links).join(classes.select(F.col("cls").alias("node"), "least_id"), "node"))
     least = home.groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = classes.select("cls", "least_id").join(
         home.select(F.col("node").alias("cls"), "component").join(least, "component"), "cls", "left").select(
@@ -443,8 +443,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     first = found.where("group is not null").groupBy("group").agg(F.min(order).alias("first"))
     marked = found.join(first, "group").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")))
-    gone = materialise(marked.where(~F.col("stays")).select("doc_id", "key").distinct())
-    repeated = materialise(marked.where("stays").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"))
+    gone = common.settled(marked.where(~F.col("stays")).select("doc_id", "key").distinct())
+    repeated = common.settled(marked.where("stays").groupBy("doc_id", "key").count().where("count > 1").select("doc_id", "key"))
     left = common.without(docs, gone, native.holds(docs, gone, doc_id, text))
     again = docs.join(repeated, native.holds(docs, repeated, doc_id, text), "left_semi").dropDuplicates([doc_id, text])
     return common.without(left, repeated, native.holds(left, repeated, doc_id, text)).union(again)
