@@ -39,7 +39,7 @@ from dataheal.session import materialise
 LENGTH, LOT = 2048, 4096
 ISLANDS, EPOCHS, POPULATION = 3, 4, 6
 #: Children in a row without progress that end an island's epoch; children in an epoch at most.
-PATIENCE, CROSSOVERS = 40, 200
+PATIENCE, CROSSOVERS = 12, 60
 #: Bins that are less full than this are dealt again.
 FULL = 0.98
 #: Most words whose ids a worker keeps; later words are tokenized when they come.
