@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import sys
 import types
 import zlib
@@ -43,7 +44,15 @@ PATIENCE, CROSSOVERS = 12, 60
 #: Bins that are less full than this are dealt again.
 FULL = 0.98
 #: Most words whose ids a worker keeps; later words are tokenized when they come.
-HELD = 600_000
+HELD = 400_000
+#: Words of letters that are tokenized in one call.
+SPELLED = 20_000
+#: Precomposed Latin letters: normal forms of themselves, with one lower-case letter each.
+LATIN = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+LETTERS = re.compile("[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+")
+#: Marks that join neither the letter or digit before them nor, at a word's end, anything after them.
+MARKS = b".,;:!?"
+ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -51,25 +60,56 @@ class Encoder:
     """Token ids of texts as packed little-endian 32-bit numbers, by way of their words.
 
     The tokenizer's own rules never join characters across white space, so a text's ids are those
-    of its words in turn; words repeat, so each is tokenized once by each worker.
+    of its words in turn; nor do they join a letter or digit and the marks after it, so such a word is its
+    core and its marks. Words repeat, so each is tokenized once by each worker. A word of Latin letters
+    alone is one part and its own normal form, so the vocabulary is applied to it without the rules before it.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # only sound for rules that take letter runs whole and lower-case them; others get no short way
+        rules = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.letters = None
+        if rules[0] is not None and rules[1] is not None and all(self.one_part(w, *rules) for w in (LATIN, LATIN.upper().replace("SS", ""))):
+            self.letters = Tokenizer(self.tokenizer.model)  # the same vocabulary in memory
+            self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.ids: dict[bytes, bytes] = {}
 
+    @staticmethod
+    def one_part(word: str, normalizer, pre_tokenizer) -> bool:
+        return normalizer.normalize_str(word) == word.lower() and len(pre_tokenizer.pre_tokenize_str(word.lower())) == 1
+
+    def tokenize(self, words: list[bytes]) -> dict[bytes, bytes]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [k for k, t in enumerate(texts) if LETTERS.fullmatch(t)] if self.letters else []
+        out = {}
+        for at in range(0, len(plain), SPELLED):
+            part = plain[at : at + SPELLED]
+            found = self.letters.encode([texts[k].lower() for k in part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))).tolist()
+            out.update((words[k], ids[a:b]) for k, a, b in zip(part, [0, *ends], ends))
+        rest = [k for k, w in enumerate(words) if w not in out]
+        found = self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)
+        out.update((words[k], np.array(e.ids, "<u4").tobytes()) for k, e in zip(rest, found))
+        return out
+
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids by word, of ``words`` at least."""
-        new = [w for w in words if w not in self.ids]
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)
-        known = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in found)))
-        if len(self.ids) + len(new) > HELD:
-            return {w: known[w] if w in known else self.ids[w] for w in words}
-        self.ids.update(known)
-        return self.ids
+        """Ids by word of ``words``. Words are kept without the marks after them."""
+        held = self.ids
+        known = {w: held[w] for w in words if w in held}
+        new = words.difference(known)
+        cut = {w: core for w in new if (core := w.rstrip(MARKS)) != w and core and core[-1] in ENDS} if self.letters else {}
+        asked = new.difference(cut).union(cut.values(), [w[len(core) :] for w, core in cut.items()])
+        found = self.tokenize([w for w in asked if w not in held])
+        if len(held) + len(found) <= HELD:
+            held.update(found)
+        known.update((w, found[w] if w in found else held[w]) for w in asked)
+        known.update((w, known[core] + known[w[len(core) :]]) for w, core in cut.items())
+        return known
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # letters differ in case only, except in the names of special tokens
