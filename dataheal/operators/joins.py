@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from dataheal.config import QualityConfig
 from dataheal.dataset import Dataset
 from dataheal.functions.numbers import round_even
-from dataheal.operators.profile import distinct_counts, histograms, union_all
+from dataheal.operators.profile import distinct_cells, union_all
 from dataheal.operators.rules import shown
 from dataheal.session import local_frame
 
 
 def uniqueness_ratio(ds: Dataset) -> DataFrame:
     """``(dataset, name, uniqueness)``: distinct non-null values over rows, not rounded."""
-    counted = union_all([distinct_counts(h) for h in histograms(ds)])
+    counted = distinct_cells(ds)
     rows = ds.df.agg(F.count("*").alias("n"))
     ratio = F.col("unique_count") / F.greatest(rows.scalar(), F.lit(1))
     return counted.select(F.lit(ds.name).alias("dataset"), "name", ratio.alias("uniqueness"))

@@ -3,8 +3,8 @@
 Whatever the number of columns, the table is read three times: for one wide aggregate with
 quantile sketches, for one histogram ``(column, value, count)``, and for duplicate rows. Distinct counts,
 top values, casing variants, date formats, exact quantiles and outlier counts are all read off the
-histogram, whose shuffle the plans share; a value that fills a third of the table is counted before it is
-shuffled.
+histogram; a value that fills a third of the table is counted before it is shuffled. The whole profile writes the
+counted histogram to the shared folder and reads that, so its cells are merged once, not by each reader.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataheal.dataset import Dataset
 from dataheal.functions.numbers import round_even
 from dataheal.functions.text import percent, render_double, strip
 from dataheal.operators.quantiles import BRACKETS, exact_quantiles, search_frame, sketched_brackets
-from dataheal.session import local_frame
+from dataheal.session import local_frame, written
 
 
 def _long(aggregated: DataFrame, shared: list[str], per_column: list[Column]) -> DataFrame:
@@ -135,11 +135,11 @@ def cell_histogram(ds: Dataset, columns: list[str]) -> DataFrame:
     )
 
 
-def by_kind(ds: Dataset, columns: list[str]) -> dict[str, DataFrame]:
-    """``(name, value, n)`` over the columns, one frame per kind of value that occurs; all read one histogram."""
+def by_kind(ds: Dataset, columns: list[str], hist: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``(name, value, n)`` over the columns, one frame per kind of value that occurs; all read one histogram, or ``hist``."""
     if not columns:
         return {}
-    hist = cell_histogram(ds, columns)
+    hist = cell_histogram(ds, columns) if hist is None else hist
     present = {_kind(ds, c) for c in columns}
     return {
         kind: hist.filter(F.col("kind") == _KIND_NUMBER[kind]).select("name", F.col(slot).alias("value"), "n")
@@ -182,9 +182,14 @@ def distinct_counts(hist: DataFrame) -> DataFrame:
     return hist.groupBy("name").agg(F.count_if(F.col("n") > 0).alias("unique_count"))
 
 
+def distinct_cells(ds: Dataset) -> DataFrame:
+    """``(name, unique_count)`` of every column with a value; the cells of all kinds are merged and counted in one go."""
+    return cell_histogram(ds, ds.columns).groupBy("name").agg(F.count("*").alias("unique_count"))
+
+
 def distinct_profile(ds: Dataset) -> DataFrame:
     rows = ds.df.agg(F.count("*").alias("n"))
-    counts = union_all([distinct_counts(h) for h in histograms(ds)])
+    counts = distinct_cells(ds)
     counted = _names(ds).join(F.broadcast(counts), "name", "left")
     unique = F.coalesce("unique_count", F.lit(0))
     return counted.select(
@@ -235,13 +240,17 @@ def casing_groups(hist: DataFrame) -> DataFrame:
     )
 
 
+def _has_letters(text: Column) -> Column:
+    """What a value needs to have other spellings: no other text has a lower-case form of ASCII digits and marks alone."""
+    return (F.lower(text) != F.upper(text)) | (F.octet_length(text) != F.length(text))
+
+
 def _casing_counts(hist: DataFrame) -> DataFrame:
+    """Distinct values per column, and rows of the forms with several spellings; only values with letters are shuffled."""
     mixed = F.sum(F.when(F.col("spellings") > 1, F.col("rows")))
-    return (
-        casing_groups(hist)
-        .groupBy("name")
-        .agg(F.sum("spellings").alias("unique_count"), F.coalesce(mixed, F.lit(0)).alias("mixed"))
-    )
+    by_column = casing_groups(hist.filter(_has_letters(F.col("value")))).groupBy("name").agg(F.coalesce(mixed, F.lit(0)).alias("mixed"))
+    counted = hist.groupBy("name").agg(F.count("*").alias("unique_count"), F.sum("n").alias("non_null"))
+    return counted.join(F.broadcast(by_column), "name", "left").fillna(0, ["mixed"])
 
 
 def casing_inconsistency(ds: Dataset) -> DataFrame:
@@ -399,8 +408,7 @@ def date_columns(ds: Dataset, cfg: QualityConfig) -> list[str]:
 def date_formats(hist: DataFrame, columns: list[str]) -> DataFrame:
     """Per date column of a text histogram: the formats of all its values, and how many rows match none.
 
-    The other columns of the histogram are passed over here, not by a filter, which would sink
-    below the histogram and read the table once more for it.
+    Other columns of the histogram are passed over.
     """
     text = F.when(F.col("name").isin(*columns), strip(F.col("value")))
     label = reduce(
@@ -541,15 +549,15 @@ _MEASURED = (
 )
 
 
-def _summaries(ds: Dataset, cfg: QualityConfig, measured: list[Row]) -> DataFrame:
-    """Everything read off the histograms and date samples, one row per column."""
-    found = by_kind(ds, ds.columns)
+def _summaries(ds: Dataset, cfg: QualityConfig, measured: list[Row], hist: DataFrame) -> DataFrame:
+    """Everything read off the histogram, one row per column."""
+    found = by_kind(ds, ds.columns, hist)
     texts = [h for kind, h in found.items() if kind == "text"]
     numeric = [h for kind, h in found.items() if kind != "text"]
     counts = [_casing_counts(h) for h in texts]
     if numeric:
         numbers = as_numbers(numeric)
-        counts.append(distinct_counts(numbers).withColumn("mixed", F.lit(None).cast("bigint")))
+        counts.append(distinct_counts(numbers).withColumns({"non_null": F.lit(None).cast("bigint"), "mixed": F.lit(None).cast("bigint")}))
     top = top_values(ds, cfg, numeric + texts).groupBy("name").agg(
         F.sort_array(F.collect_list(F.struct("rank", "value", "count"))).alias("ranked")
     )
@@ -559,7 +567,7 @@ def _summaries(ds: Dataset, cfg: QualityConfig, measured: list[Row]) -> DataFram
         found = found.join(F.broadcast(_outlier_counts(numbers, bounds)), "name", "left")
     dates = date_columns(ds, cfg)
     if dates:
-        found = found.join(F.broadcast(date_formats(texts[0], dates)), "name", "left")
+        found = found.join(F.broadcast(date_formats(texts[0].filter(F.col("name").isin(*dates)), dates)), "name", "left")
     return found
 
 
@@ -567,12 +575,23 @@ def profile_columns(ds: Dataset, cfg: QualityConfig) -> DataFrame:
     """One row per column with every profile field.
 
     Reads the table three times and holds the results, a few numbers per column, as a local frame, so that
-    everything built on a profile costs no further scan.
+    everything built on a profile costs no further scan. The histogram is written for the time it is read.
     """
-    measured = measure_columns(ds)
+    # the wide aggregate is for numbers; what it says of other columns, their cells, is read off the histogram
+    numbers = Dataset(ds.name, ds.df.select(*[ds.col(c) for c in (*ds.row_order, *ds.numeric)]), ds.row_order)
+    measured = measure_columns(numbers) if ds.numeric else []
     as_dict = lambda r: r.asDict(recursive=True)
-    summaries = {r["name"]: as_dict(r) for r in _summaries(ds, cfg, measured).collect()}
-    rows = [{**as_dict(r), **summaries.get(r["name"], {})} for r in measured]
+    summaries, known = {}, {r["name"]: as_dict(r) for r in measured}
+    row_count = measured[0]["row_count"] if measured else ds.df.count()
+    if ds.columns:
+        with written(cell_histogram(ds, ds.columns)) as hist:
+            summaries = {r["name"]: as_dict(r) for r in _summaries(ds, cfg, measured, hist).collect()}
+    none = {k: None for k in ("min", "max", "mean", "std")}
+    rows = [
+        {"is_numeric": f.name in known, "row_count": row_count, "non_null": 0, **none, **summaries.get(f.name, {}), **known.get(f.name, {}),
+         "ordinal": i, "name": f.name, "dtype_raw": f.dataType.simpleString()}
+        for i, f in enumerate(ds.fields)
+    ]
     return describe_columns(local_frame(ds.df.sparkSession, rows, _MEASURED), ds, cfg)
 
 
