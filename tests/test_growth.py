@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from dataheal.config import QualityConfig
 from dataheal.dataset import Dataset
-from dataheal.operators import joins, profile
+from dataheal.operators import consistency, joins, profile
 
 CFG = QualityConfig()
 
@@ -48,3 +48,13 @@ def test_distinct_cells_are_merged_once_for_all_kinds(spark):
     found = joins.uniqueness_ratio(Dataset("d", df))
     assert "Union" not in plan(found)
     assert {r["name"]: r["uniqueness"] for r in found.collect()} == {"a": 3 / 40, "b": 4 / 40, "c": 5 / 40}
+
+
+def test_duplicate_keys_write_no_number_as_text(spark):
+    nan = float("nan")
+    rows = [(0, 1, 0.0, "x", None), (1, 1, -0.0, "x", None), (2, 1, None, "x", "y"), (3, 2, nan, None, "x"), (4, 2, None, "x", None), (5, None, 1.0, "x", "x"), (6, 3, 1.0, "x", "x")]
+    ds = Dataset("d", spark.createDataFrame(rows, "row_index bigint, k int, v double, a string, b string"))
+    found = consistency.duplicate_keys(ds, "k")
+    assert "format_string" not in plan(found)
+    assert {(r["k"], r["rows"], r["versions"]) for r in found.collect()} == {("1", 3, 2), ("2", 2, 2)}
+    assert {(r["v"], r["rows"]) for r in consistency.duplicate_keys(ds, "v").collect()} == {("0.0", 2), ("1.0", 2)}
