@@ -393,13 +393,24 @@ def stream_corrections(spark: SparkSession, sf: str) -> DataFrame:
     return corrections.written_corrections(spark, f"{folder}/rows").select(*SAID)
 
 
+#: Most decisions in one arriving file.
+ARRIVING_ROWS = 1_000_000
+
+
+def _arriving_files(rows: int) -> int:
+    """Files for so many decisions: six at least, for several batches, and as many more as keep each file small."""
+    return max(6, -(-rows // ARRIVING_ROWS))
+
+
 def stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """The review of all proposals, its decisions arriving in several batches in no order of time."""
     made = made_proposals(spark, sf)
     folder = _shared_folder(spark, "stream-decisions")
     by_chance = F.xxhash64("id", "decision", "decided_at")
-    approved_by_row(made).repartition(6, by_chance).write.parquet(f"{folder}/arriving")
-    arriving = decisions.decision_stream(spark, f"{folder}/arriving", files_per_batch=2)
+    decided = approved_by_row(made)
+    files = _arriving_files(decided.count())
+    decided.repartition(files, by_chance).write.parquet(f"{folder}/arriving")
+    arriving = decisions.decision_stream(spark, f"{folder}/arriving", files_per_batch=-(-files // 3))
     decisions.write_decisions(arriving, f"{folder}/revisions", f"{folder}/checkpoint").awaitTermination()
     reviewed = review.apply_decisions(made, decisions.current_decisions(spark, f"{folder}/revisions"))
     return reviewed.select(*SAID, "status", "user_decision")

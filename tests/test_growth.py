@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dataheal.config import QualityConfig
 from dataheal.dataset import Dataset
 from dataheal.operators import consistency, joins, profile
+from dataheal.plans import queries
 
 CFG = QualityConfig()
 
@@ -58,3 +59,7 @@ def test_duplicate_keys_write_no_number_as_text(spark):
     assert "format_string" not in plan(found)
     assert {(r["k"], r["rows"], r["versions"]) for r in found.collect()} == {("1", 3, 2), ("2", 2, 2)}
     assert {(r["v"], r["rows"]) for r in consistency.duplicate_keys(ds, "v").collect()} == {("0.0", 2), ("1.0", 2)}
+
+
+def test_arriving_files_grow_with_the_decisions():
+    assert [queries._arriving_files(n) for n in (0, 5, 6_000_000, 6_000_001, 240_000_000)] == [6, 6, 6, 7, 240]
