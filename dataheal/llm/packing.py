@@ -20,6 +20,7 @@ an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import os
 import random
 import re
@@ -44,78 +45,114 @@ PATIENCE, CROSSOVERS = 12, 60
 #: Bins that are less full than this are dealt again.
 FULL = 0.98
 #: Most words whose ids a worker keeps; later words are tokenized when they come.
-HELD = 400_000
+HELD = 200_000
 #: Words of letters that are tokenized in one call.
 SPELLED = 20_000
 #: Precomposed Latin letters: normal forms of themselves, with one lower-case letter each.
 LATIN = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
-LETTERS = re.compile("[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+")
-#: Marks that join neither the letter or digit before them nor, at a word's end, anything after them.
-MARKS = b".,;:!?"
-ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Marks that join neither the letter or digit before them nor, at a word's end, anything after them; none of a special token's.
+MARKS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
+MARKED = frozenset(MARKS)
+ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def byte_chars() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies; the space, which splits words, is left out."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest) if b != 32}
+
+
+class Ids(dict):
+    """Ids by word; those of words that are not held are looked up in ``now``."""
+
+    def __init__(self) -> None:
+        self.now: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        return self.now[word]
+
+
 class Encoder:
     """Token ids of texts as packed little-endian 32-bit numbers, by way of their words.
 
     The tokenizer's own rules never join characters across white space, so a text's ids are those
     of its words in turn; nor do they join a letter or digit and the marks after it, so such a word is its
     core and its marks. Words repeat, so each is tokenized once by each worker. A word of Latin letters
-    alone is one part and its own normal form, so the vocabulary is applied to it without the rules before it.
+    alone is one part and its own normal form, so the vocabulary is applied to it without the rules before it,
+    many words in one call.
     """
 
+    CHARS = byte_chars()
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # only sound for rules that take letter runs whole and lower-case them; others get no short way
+        # only sound for rules that take letter runs whole, lower-case them and spell them by bytes; others get no short way
         rules = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.letters = None
-        if rules[0] is not None and rules[1] is not None and all(self.one_part(w, *rules) for w in (LATIN, LATIN.upper().replace("SS", ""))):
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if suffix and rules[0] is not None and rules[1] is not None and all(self.one_part(w, *rules) for w in (LATIN, LATIN.upper().replace("SS", ""))):
             self.letters = Tokenizer(self.tokenizer.model)  # the same vocabulary in memory
-            self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.ids: dict[bytes, bytes] = {}
+            self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            vocabulary = self.letters.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id ends its word
+            self.last[[k for t, k in vocabulary.items() if t.endswith(suffix)]] = True
+        self.ids = Ids()
+
+    @classmethod
+    def spelled(cls, text: str) -> str:
+        return text.lower().encode().decode("latin-1").translate(cls.CHARS)
 
-    @staticmethod
-    def one_part(word: str, normalizer, pre_tokenizer) -> bool:
-        return normalizer.normalize_str(word) == word.lower() and len(pre_tokenizer.pre_tokenize_str(word.lower())) == 1
+    @classmethod
+    def one_part(cls, word: str, normalizer, pre_tokenizer) -> bool:
+        parts = [p for p, _ in pre_tokenizer.pre_tokenize_str(word.lower())]
+        return normalizer.normalize_str(word) == word.lower() and parts == [cls.spelled(word)]
 
     def tokenize(self, words: list[bytes]) -> dict[bytes, bytes]:
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [k for k, t in enumerate(texts) if LETTERS.fullmatch(t)] if self.letters else []
+        plain = [w for w in words if LETTERS.fullmatch(w)] if self.letters else []
         out = {}
         for at in range(0, len(plain), SPELLED):
             part = plain[at : at + SPELLED]
-            found = self.letters.encode([texts[k].lower() for k in part], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))).tolist()
-            out.update((words[k], ids[a:b]) for k, a, b in zip(part, [0, *ends], ends))
-        rest = [k for k, w in enumerate(words) if w not in out]
-        found = self.tokenizer.encode_batch_fast([texts[k] for k in rest], add_special_tokens=False)
-        out.update((words[k], np.array(e.ids, "<u4").tobytes()) for k, e in zip(rest, found))
+            found = self.letters.encode_batch_fast([self.spelled(b" ".join(part).decode())], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            ids = ids.tobytes()
+            if len(ends) == len(part):  # else the vocabulary lacks a byte at a word's end
+                out.update((w, ids[a:b]) for w, a, b in zip(part, [0, *ends], ends))
+        rest = list(set(words).difference(out))
+        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in rest], add_special_tokens=False)
+        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, found))
         return out
 
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids by word of ``words``. Words are kept without the marks after them."""
-        held = self.ids
-        known = {w: held[w] for w in words if w in held}
-        new = words.difference(known)
-        cut = {w: core for w in new if (core := w.rstrip(MARKS)) != w and core and core[-1] in ENDS} if self.letters else {}
-        asked = new.difference(cut).union(cut.values(), [w[len(core) :] for w, core in cut.items()])
-        found = self.tokenize([w for w in asked if w not in held])
+    def learn(self, new: set[bytes]) -> None:
+        """Looks up the words ``new``, which are not held. Words are kept without the marks after them."""
+        held, cut = self.ids, {}
+        if self.letters:
+            for w in new:
+                if w[-1] in MARKED:
+                    core = w.rstrip(MARKS)
+                    if core and (core[-1] in ENDS or LETTERS.fullmatch(core)):
+                        cut[w] = core, w[len(core) :]
+        asked = new.difference(cut)
+        asked.update(itertools.chain.from_iterable(cut.values()))
+        found = self.tokenize(list(asked.difference(held)))
+        held.now = {}
         if len(held) + len(found) <= HELD:
             held.update(found)
-        known.update((w, found[w] if w in found else held[w]) for w in asked)
-        known.update((w, known[core] + known[w[len(core) :]]) for w, core in cut.items())
-        return known
+        else:
+            held.now = found
+        held.now = held.now | {w: held[core] + held[marks] for w, (core, marks) in cut.items()}
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         # letters differ in case only, except in the names of special tokens
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        ids = self.learn({w for words in split for w in words})
-        return [b"".join(map(ids.__getitem__, words)) for words in split]
+        self.learn(set().union(*split).difference(self.ids))
+        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 
 def encoder(path: str) -> Encoder:

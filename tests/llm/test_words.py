@@ -35,3 +35,23 @@ def test_a_full_cache_still_gives_ids(path, monkeypatch):
     monkeypatch.setattr(packing, "HELD", 3)
     small = packing.Encoder(path)
     assert [small.encode([t])[0] for t in texts] == whole and len(small.ids) <= 3
+
+
+def test_marks_of_all_kinds_after_letters_of_all_kinds_are_not_new_words(path):
+    encoder = packing.Encoder(path)
+    encoder.encode(["café, café. CAFÉ! maison%%% maison### 12) maison&&&, ü* <|endoftext|> <|endoftext|>, a|>".encode()])
+    held = {w.decode().lower() for w in encoder.ids}
+    assert {"café", "maison", "12", "ü", "%%%"} <= held and not any(w[0].isalnum() and w.rstrip(",.!%#)&*") != w for w in held)
+
+
+def test_letter_words_are_spelled_many_in_a_call(path, monkeypatch):
+    from tokenizers import Tokenizer
+
+    r, letters, calls = random.Random(6), "abcéÉßxyzÿAZ0<|>#*%&$\"'()[]{}@/\\^`~!?.,;:-_ ̸", []
+    words = ["".join(r.choice(letters) for _ in range(r.randrange(1, 9))) for _ in range(5000)] + ["<|endoftext|>", "<|endoftext|>)", "a'", "'s", "Ÿ"]
+    plain = Tokenizer.from_file(path).encode_batch_fast(words, add_special_tokens=False)
+    encoder = packing.Encoder(path)
+    inner = encoder.tokenizer
+    encoder.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, texts, **k: (calls.extend(texts), inner.encode_batch_fast(texts, **k))[1]})()
+    assert encoder.encode([w.encode() for w in words]) == [np.array(e.ids, "<u4").tobytes() for e in plain]
+    assert not any(packing.LETTERS.fullmatch(w.encode()) for w in calls)
