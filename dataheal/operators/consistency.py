@@ -94,6 +94,8 @@ def mismatch_summary(mismatches: DataFrame) -> DataFrame:
 # ── ghost joins ────────────────────────────────────────────────────────────
 
 PAIR = ["dataset_a", "dataset_b", "join_key"]
+#: Pairs that one pass counts; their sides have one bit each of a 64-bit number.
+PAIRS_AT_ONCE = 30
 
 
 def _pair_places(pairs: DataFrame, order: list[str]) -> DataFrame:
@@ -139,26 +141,52 @@ def exact_agreement(datasets: dict[str, Dataset], pairs: DataFrame) -> DataFrame
     ``cells`` counts the key and column combinations that both sides hold.
     """
     wanted = _pair_places(pairs, list(datasets))
-    chosen = wanted.collect()
-    columns = {r["join_key"]: supporting_columns(datasets, r["join_key"]) for r in chosen}
-    used = {p for r in chosen for p in (r["a"], r["b"])}
-    if not any(columns.values()):
+    chosen = sorted({tuple(r) for r in wanted.collect()})
+    parts = [_measured(datasets, chosen[k : k + PAIRS_AT_ONCE]) for k in range(0, len(chosen), PAIRS_AT_ONCE)]
+    parts = [p for p in parts if p is not None]
+    if not parts:
         return wanted.select(*PAIR, F.lit(0).cast("bigint").alias("cells"), F.lit(None).cast("double").alias("agreement"))
-    sides = {i: F.max((F.col("place") == i).cast("int")).alias(f"in_{i}") for i in sorted(used)}
-    held = _cells(datasets, columns).filter(F.col("place").isin(*used)).groupBy("join_key", "key", "column", "value").agg(*sides.values())
-    by_pair = F.array(*[
-        F.struct(F.lit(r["dataset_a"]).alias("dataset_a"), F.lit(r["dataset_b"]).alias("dataset_b"), F.lit(r["join_key"]).alias("of"),
-                 F.col(f"in_{r['a']}").alias("a"), F.col(f"in_{r['b']}").alias("b"))
-        for r in chosen
-    ])
-    cells = (
-        held.select("join_key", "key", "column", F.inline(by_pair)).filter((F.col("of") == F.col("join_key")) & (F.col("a") + F.col("b") > 0))
-        .groupBy(*PAIR, "key", "column")
-        .agg(F.sum(F.col("a") * F.col("b")).alias("both"), F.count("*").alias("either"), F.max("a").alias("in_a"), F.max("b").alias("in_b"))
-        .filter(F.col("in_a") + F.col("in_b") == 2)
-    )
-    measured = cells.groupBy(*PAIR).agg(F.count("*").alias("cells"), F.avg(F.col("both") / F.col("either")).alias("agreement"))
-    return wanted.select(*PAIR).join(F.broadcast(measured), PAIR, "left").fillna(0, ["cells"])
+    return wanted.select(*PAIR).join(F.broadcast(union_all(parts)), PAIR, "left").fillna(0, ["cells"])
+
+
+def _measured(datasets: dict[str, Dataset], chosen: list[tuple]) -> DataFrame | None:
+    """Cells and agreement of the pairs ``chosen`` (dataset_a, dataset_b, join_key, a, b), from one pass; None if no pair has a cell.
+
+    Only cells that both sides of a pair have are read. A cell goes by its number, its datasets by one bit each, so what is moved
+    and held for each value is little more than the key's and the value's text, and all pairs are counted in the same rows.
+    """
+    sides = list(datasets.values())
+    numbers: dict[tuple[str, str], int] = {}
+    of_pair, at_place = [], {}
+    for name_a, name_b, k, a, b in chosen:
+        shared = [(k, c) for c in supporting_columns(datasets, k) if all(k in sides[p].columns and c in sides[p].columns for p in (a, b))]
+        of_pair.append([numbers.setdefault(cell, len(numbers)) for cell in shared])
+        for p in (a, b):
+            at_place.setdefault(p, {}).update(dict.fromkeys(shared))
+    places = {p: i for i, p in enumerate(sorted(at_place))}  # bit of each place, as few as pairs have sides
+    read = []
+    for p, cells in at_place.items():
+        if not cells:
+            continue
+        structs = [F.struct(F.lit(numbers[k, c]).alias("cell"), shown(sides[p], k).alias("key"), shown(sides[p], c).alias("value")) for k, c in cells]
+        one = sides[p].df.select(F.lit(1 << places[p]).cast("bigint").alias("held"), F.inline(F.array(*structs)))
+        read.append(one.filter(F.col("key").isNotNull()))
+    if not read:
+        return None
+    has = lambda p: F.col("held").bitwiseAND(F.lit(1 << places[p]).cast("bigint")) != 0
+    values = union_all(read).groupBy("cell", "key", "value").agg(F.bit_or("held").alias("held"))
+    counted = values.groupBy("cell", "key").agg(
+        *[F.count_if(has(p)).alias(f"in_{p}") for p in places], *[F.count_if(has(r[3]) & has(r[4])).alias(f"both_{i}") for i, r in enumerate(chosen)])
+    totals = []
+    for i, (_, _, _, a, b) in enumerate(chosen):
+        in_a, in_b, both = F.col(f"in_{a}"), F.col(f"in_{b}"), F.col(f"both_{i}")
+        shares = F.col("cell").isin(of_pair[i]) & (in_a > 0) & (in_b > 0)
+        totals += [F.count_if(shares).alias(f"cells_{i}"), F.avg(F.when(shares, both / (in_a + in_b - both))).alias(f"agreement_{i}")]
+    rows = [
+        F.struct(*[F.lit(x).alias(name) for name, x in zip(PAIR, r)], F.col(f"cells_{i}").alias("cells"), F.col(f"agreement_{i}").alias("agreement"))
+        for i, r in enumerate(chosen)
+    ]
+    return counted.agg(*totals).select(F.inline(F.array(*rows)))
 
 
 def ghost_joins(

@@ -63,3 +63,30 @@ def test_duplicate_keys_write_no_number_as_text(spark):
 
 def test_arriving_files_grow_with_the_decisions():
     assert [queries._arriving_files(n) for n in (0, 5, 6_000_000, 6_000_001, 240_000_000)] == [6, 6, 6, 7, 240]
+
+
+def test_agreement_moves_each_cell_once_without_its_names(spark, monkeypatch):
+    a = Dataset("a", spark.createDataFrame([(i, f"k{i % 5}" if i else None, "x" if i % 2 else None, i % 3, 1.0) for i in range(12)], "row_index bigint, k string, v string, n int, w double"))
+    b = Dataset("b", spark.createDataFrame([(i, f"k{i}", "x", "1") for i in range(4)], "row_index bigint, k string, v string, n string"))
+    c = Dataset("c", spark.createDataFrame([(i, f"k{i}", 1.0, None) for i in range(9)], "row_index bigint, k string, w double, v string"))
+    pairs = spark.createDataFrame([("a", "b", "k"), ("a", "c", "k"), ("b", "c", "k"), ("a", "b", "k")], "dataset_a string, dataset_b string, join_key string")
+    sets = {}
+    for ds in (a, b, c):
+        for r in ds.df.collect():
+            for col in set(ds.columns) - {"k"}:
+                if r["k"] is not None:
+                    sets.setdefault((ds.name, r["k"], col), set()).add(None if r[col] is None else str(r[col]))
+    expected = {}
+    for x, y in (("a", "b"), ("a", "c"), ("b", "c")):
+        both = [(s, sets[y, *rest]) for (name, *rest), s in sets.items() if name == x and (y, *rest) in sets]
+        expected[x, y, "k"] = (len(both), sum(len(s & t) / len(s | t) for s, t in both) / len(both))
+    for at_once in (30, 2):
+        monkeypatch.setattr(consistency, "PAIRS_AT_ONCE", at_once, raising=False)
+        found = consistency.exact_agreement({"a": a, "b": b, "c": c}, pairs)
+        moved = [line for line in plan(found).split("\n") if "Exchange hashpartitioning(" in line]
+        assert moved and not any("column#" in line or "dataset_a#" in line for line in moved)
+        rows = found.collect()
+        assert len(rows) == 4
+        for r in rows:
+            cells, agreement = expected[r["dataset_a"], r["dataset_b"], r["join_key"]]
+            assert r["cells"] == cells and abs(r["agreement"] - agreement) < 1e-12
