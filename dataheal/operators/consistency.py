@@ -21,7 +21,7 @@ from dataheal.operators.profile import union_all
 from dataheal.operators.rules import shown
 from dataheal.session import local_frame, materialise
 
-#: Hash functions of a signature; each is one more 64-bit number a key and column.
+#: Hash functions of a signature; each is one more 32-bit number a key and column.
 SEEDS = 8
 #: What the estimate may be off by before a pair counts as beyond suspicion.
 MARGIN = 0.15
@@ -37,11 +37,26 @@ def supporting_columns(datasets: dict[str, Dataset], key: str) -> list[str]:
     return [c for c in names if sum(c in ds.columns for ds in holders) > 1]
 
 
-def _cells(datasets: dict[str, Dataset], columns: dict[str, list[str]]) -> DataFrame:
-    """``(place, join_key, key, column, value)``: the cells of the named columns under each key, every dataset read once."""
+def _shared_cells(datasets: dict[str, Dataset], chosen: list[tuple]) -> dict[int, dict[tuple[str, str], None]]:
+    """By place, the (join_key, column) that both sides of one of the pairs ``chosen`` (dataset_a, dataset_b, join_key, a, b) have."""
+    sides, out = list(datasets.values()), {}
+    for _, _, k, a, b in chosen:
+        shared = [(k, c) for c in supporting_columns(datasets, k) if all(k in sides[p].columns and c in sides[p].columns for p in (a, b))]
+        for p in (a, b):
+            out.setdefault(p, {}).update(dict.fromkeys(shared))
+    return out
+
+
+def _cells(datasets: dict[str, Dataset], columns: dict[str, list[str]], at_place: dict[int, dict] | None = None) -> DataFrame:
+    """``(place, join_key, key, column, value)``: the cells of the named columns under each key, every dataset read once.
+
+    With ``at_place`` only those that it has (see :func:`_shared_cells`).
+    """
     sides = []
     for place, ds in enumerate(datasets.values()):
         pairs = [(k, c) for k, names in columns.items() if k in ds.columns for c in names if c in ds.columns]
+        if at_place is not None:
+            pairs = [x for x in pairs if x in at_place.get(place, ())]
         if not pairs:
             continue
         structs = [
@@ -94,6 +109,8 @@ def mismatch_summary(mismatches: DataFrame) -> DataFrame:
 # ── ghost joins ────────────────────────────────────────────────────────────
 
 PAIR = ["dataset_a", "dataset_b", "join_key"]
+#: Datasets whose signatures one pass holds side by side, in ``SEEDS`` columns each.
+SIDES_AT_ONCE = 8
 #: Pairs that one pass counts; their sides have one bit each of a 64-bit number.
 PAIRS_AT_ONCE = 30
 
@@ -112,27 +129,39 @@ def estimated_agreement(datasets: dict[str, Dataset], pairs: DataFrame, seeds: i
     Jaccard similarity says, and always if both are the same single value. Only numbers are shuffled.
     """
     wanted = _pair_places(pairs, list(datasets))
-    columns = {r["join_key"]: supporting_columns(datasets, r["join_key"]) for r in wanted.collect()}
-    if not any(columns.values()):
+    parts, batch = [], []
+    for pair in sorted({tuple(r) for r in wanted.collect()}):
+        if len({p for r in [*batch, pair] for p in r[3:]}) > SIDES_AT_ONCE:
+            parts, batch = [*parts, batch], []
+        batch.append(pair)
+    measured = [m for m in (_estimated(datasets, x, seeds) for x in [*parts, batch]) if m is not None]
+    if not measured:
         return wanted.select(*PAIR, F.lit(None).cast("double").alias("estimate"))
+    return wanted.select(*PAIR).join(F.broadcast(union_all(measured)), PAIR, "left")
+
+
+def _estimated(datasets: dict[str, Dataset], chosen: list[tuple], seeds: int) -> DataFrame | None:
+    """The estimates of the pairs ``chosen`` (dataset_a, dataset_b, join_key, a, b), from one pass and one shuffle; None if no pair has a cell."""
+    columns = {k: supporting_columns(datasets, k) for _, _, k, _, _ in chosen}
+    at_place = _shared_cells(datasets, chosen)
+    if not any(at_place.values()):
+        return None
     # with the key in the hash its functions differ from key to key, so chance evens out over the keys
-    marks = [F.xxhash64(F.lit(s), "key", F.coalesce(F.concat(F.lit("="), "value"), F.lit("-"))).alias(f"h{s}") for s in range(seeds)]
+    # the upper half of a hash keeps its order, and does not compress
+    text = F.coalesce(F.concat(F.lit("="), "value"), F.lit("-"))
+    marks = [F.shiftright(F.xxhash64(F.lit(s), "key", text), 32).cast("int").alias(f"h{s}") for s in range(seeds)]
     # the key goes by two hashes: a pair of keys that share both would weigh as one
     name = [F.xxhash64("join_key", "key", "column").alias("name"), F.xxhash64("column", "key", F.lit(1)).alias("check")]
-    signed = (
-        _cells(datasets, columns).select("join_key", "place", *name, *marks)
-        .groupBy("join_key", "name", "check", "place").agg(*[F.min(f"h{s}").alias(f"h{s}") for s in range(seeds)])
-        .select("join_key", "name", "check", F.struct("place", F.array(*[f"h{s}" for s in range(seeds)]).alias("mins")).alias("side"))
-        .groupBy("join_key", "name", "check").agg(F.collect_list("side").alias("sides"))  # one for each dataset at most
-        .filter(F.size("sides") > 1)
-    )
-    at = lambda c: F.element_at(F.filter("sides", lambda s: s["place"] == F.col(c)), 1)["mins"]
-    same = F.aggregate(F.zip_with("mins_a", "mins_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, e: n + e)
-    sides = signed.join(F.broadcast(wanted), "join_key").filter(
-        F.exists("sides", lambda s: s["place"] == F.col("a")) & F.exists("sides", lambda s: s["place"] == F.col("b"))
-    )
-    measured = sides.withColumns({"mins_a": at("a"), "mins_b": at("b")}).groupBy(*PAIR).agg((F.sum(same) / (F.count("*") * seeds)).alias("estimate"))
-    return wanted.select(*PAIR).join(F.broadcast(measured), PAIR, "left")
+    # a side's marks have columns of their own, null in the rows of other sides, so all sides of a cell meet in one shuffle
+    mins = [F.min(F.when(F.col("place") == p, F.col(f"h{s}"))).alias(f"m{p}_{s}") for p in at_place for s in range(seeds)]
+    signed = _cells(datasets, columns, at_place).select("join_key", "place", *name, *marks).groupBy("join_key", "name", "check").agg(*mins)
+    totals, rows = [], []
+    for i, (name_a, name_b, k, a, b) in enumerate(chosen):
+        shares = (F.col("join_key") == k) & F.col(f"m{a}_0").isNotNull() & F.col(f"m{b}_0").isNotNull()
+        same = sum(((F.col(f"m{a}_{s}") == F.col(f"m{b}_{s}")).cast("int") for s in range(seeds)), F.lit(0))
+        totals.append(F.try_divide(F.sum(F.when(shares, same)), F.count_if(shares) * seeds).alias(f"estimate_{i}"))
+        rows.append(F.struct(*[F.lit(x).alias(c) for c, x in zip(PAIR, (name_a, name_b, k))], F.col(f"estimate_{i}").alias("estimate")))
+    return signed.agg(*totals).select(F.inline(F.array(*rows)))
 
 
 def exact_agreement(datasets: dict[str, Dataset], pairs: DataFrame) -> DataFrame:
@@ -155,14 +184,9 @@ def _measured(datasets: dict[str, Dataset], chosen: list[tuple]) -> DataFrame |
     Only cells that both sides of a pair have are read. A cell goes by its number, its datasets by one bit each, so what is moved
     and held for each value is little more than the key's and the value's text, and all pairs are counted in the same rows.
     """
-    sides = list(datasets.values())
-    numbers: dict[tuple[str, str], int] = {}
-    of_pair, at_place = [], {}
-    for name_a, name_b, k, a, b in chosen:
-        shared = [(k, c) for c in supporting_columns(datasets, k) if all(k in sides[p].columns and c in sides[p].columns for p in (a, b))]
-        of_pair.append([numbers.setdefault(cell, len(numbers)) for cell in shared])
-        for p in (a, b):
-            at_place.setdefault(p, {}).update(dict.fromkeys(shared))
+    sides, at_place = list(datasets.values()), _shared_cells(datasets, chosen)
+    numbers = {cell: i for i, cell in enumerate(dict.fromkeys(x for cells in at_place.values() for x in cells))}
+    of_pair = [[n for (of, c), n in numbers.items() if of == k and c in sides[a].columns and c in sides[b].columns] for _, _, k, a, b in chosen]
     places = {p: i for i, p in enumerate(sorted(at_place))}  # bit of each place, as few as pairs have sides
     read = []
     for p, cells in at_place.items():
@@ -195,7 +219,7 @@ def ghost_joins(
     """``(dataset_a, dataset_b, join_key, match_rate, cells, agreement, is_ghost)`` of every pair that could be joined.
 
     A ghost join matches at least ``least_match`` of the keys and agrees on at most ``most_agreement`` of what the
-    keys stand for. All pairs are estimated in one pass over the datasets; those that match and come within
+    keys stand for. All pairs are estimated, those of eight datasets in one pass; those that match and come within
     ``margin`` of the threshold are counted exactly, so ``cells`` and ``agreement`` are exact, and null for the others.
     """
     quality = detect_join_pairs(datasets, cfg)

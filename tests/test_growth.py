@@ -90,3 +90,17 @@ def test_agreement_moves_each_cell_once_without_its_names(spark, monkeypatch):
         for r in rows:
             cells, agreement = expected[r["dataset_a"], r["dataset_b"], r["join_key"]]
             assert r["cells"] == cells and abs(r["agreement"] - agreement) < 1e-12
+
+
+def test_estimate_reads_only_cells_of_both_sides_and_moves_small_numbers(spark):
+    a = Dataset("a", spark.createDataFrame([(i, f"k{i}", f"v{i % 3}", "s") for i in range(200)], "row_index bigint, k string, v string, only_ac string"))
+    b = Dataset("b", spark.createDataFrame([(i, f"k{i}", f"v{i % 2}") for i in range(150)], "row_index bigint, k string, v string"))
+    c = Dataset("c", spark.createDataFrame([(i, f"k{i}", "t") for i in range(50)], "row_index bigint, k string, only_ac string"))
+    pairs = spark.createDataFrame([("a", "b", "k")], "dataset_a string, dataset_b string, join_key string")
+    found = consistency.estimated_agreement({"a": a, "b": b, "c": c}, pairs)
+    assert "column, only_ac," not in plan(found) and "column, v," in plan(found)
+    assert plan(found).split("== Physical Plan ==")[-1].count("Exchange hashpartitioning(") == 1
+    # k0, k1 of each six agree; the rest of a value set of one value never does
+    assert abs(found.first()["estimate"] - 1 / 3) < 0.01
+    alone = spark.createDataFrame([("b", "c", "k")], "dataset_a string, dataset_b string, join_key string")
+    assert consistency.estimated_agreement({"a": a, "b": b, "c": c}, alone).first()["estimate"] is None
