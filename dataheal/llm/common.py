@@ -16,6 +16,8 @@ from dataheal.session import materialise
 
 #: Most bytes of text that one step of a Python operator holds as Python objects.
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts, where the session has Spark's default.
+BATCH_ROWS, DEFAULT_ROWS = 1000, "10000"
 #: Most rows of a broadcast list of identifiers; longer lists are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Rows in a partition of an intermediate table of slim rows.
@@ -26,6 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches that hold few texts; a size that the user chose stays.
+
+    An executor holds a batch of each task twice over, in the JVM and in Python, so thousands of long texts take most of its room.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == DEFAULT_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def chunks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches with about ``CHUNK_BYTES`` of ``text`` each, one row at least."""
     for batch in batches:
@@ -40,6 +52,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
 
 def map_rows(df: DataFrame, schema: str, text: str, make: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """``make`` turns a slice of rows into columns by name; rows stay in their partitions."""
+    small_batches(df.sparkSession)
     struct = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 

@@ -192,6 +192,7 @@ def keep(docs: DataFrame, filters: Filters, text: str = "text", least: float = 0
     """
     sent = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.slots, filters.wrong))
     bounds = by_language or {}
+    common.small_batches(docs.sparkSession)
 
     @F.pandas_udf("boolean")
     def known(column):
