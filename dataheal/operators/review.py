@@ -11,9 +11,29 @@ DECISION_SCHEMA = "id string, decision string, decided_at timestamp"
 
 
 def _first_decisions(decisions: DataFrame) -> DataFrame:
-    """The earliest decision per proposal; equally early ones by name."""
-    first = F.min(F.struct("decided_at", "decision")).alias("first")
-    return decisions.groupBy("id").agg(first).select("id", "first.*")
+    """The earliest valid decision per proposal, one without a time before all others; equally early ones by name.
+
+    Times and flags are kept by decision, since the least pair of a time and a text would be found by sorting.
+    """
+    made = lambda d: F.col("decision") == d
+    at = lambda d: F.min(F.when(made(d), F.col("decided_at")))
+    # null where no such decision was made
+    undated = lambda d: F.max(F.when(made(d), F.col("decided_at").isNull()))
+    found = decisions.groupBy("id").agg(
+        at(APPROVED).alias("approved_at"), undated(APPROVED).alias("approved_undated"),
+        at(REJECTED).alias("rejected_at"), undated(REJECTED).alias("rejected_undated"),
+    )
+    approved = (
+        F.when(F.col("approved_undated").isNull(), False)
+        .when(F.col("rejected_undated").isNull() | F.col("approved_undated"), True)
+        .otherwise(~F.col("rejected_undated") & (F.col("approved_at") <= F.col("rejected_at")))
+    )
+    dated = lambda d: F.when(~F.col(f"{d}_undated"), F.col(f"{d}_at"))
+    return found.select(
+        "id",
+        F.when(approved, dated(APPROVED)).otherwise(dated(REJECTED)).alias("decided_at"),
+        F.when(approved, APPROVED).otherwise(REJECTED).alias("decision"),
+    )
 
 
 def apply_decisions(proposals: DataFrame, decisions: DataFrame) -> DataFrame:

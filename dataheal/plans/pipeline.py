@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dataheal.config import QualityConfig
 from dataheal.dataset import Dataset
 from dataheal.operators import dashboard as board
-from dataheal.operators.apply import LOWEST, apply_proposals
+from dataheal.operators.apply import LOWEST, MANIFEST_COLUMNS, apply_proposals
 from dataheal.operators.fill import find_cross_dataset_fills
 from dataheal.operators.infer import find_interpolation_proposals
 from dataheal.operators.insights import join_reports
@@ -21,12 +21,14 @@ from dataheal.operators.profile import duplicate_rows, profile_columns, profile_
 from dataheal.operators.proposals import APPROVED, no_proposals, proposals_summary
 from dataheal.operators.rules import find_correction_proposals
 from dataheal.operators.score import critical_field_issues, penalties, score_dataset
-from dataheal.session import local_frame, materialise
+from dataheal.session import local_frame, materialise, written
 from dataheal.sources.positions import with_sorted_positions
 from dataheal.sources.sinks import save_proposals, stored_proposals, write_audit_manifest, write_cleaned
 
 log = logging.getLogger(__name__)
 MAX_PARALLEL = 8
+#: What an export reads of the proposals.
+EXPORTED = ("id", "seq", *MANIFEST_COLUMNS)
 DUPLICATES = "dataset string, duplicate_row_count bigint, duplicate_row_pct double"
 DATASET_ROW = (
     "dataset string, row_count bigint, column_count bigint, duplicate_row_count bigint, duplicate_row_pct double"
@@ -214,21 +216,26 @@ def export_session(
     winner: str = LOWEST,
     fmt: str = "csv",
 ) -> dict[str, str]:
-    """Write each dataset with approved proposals, cleaned, and the manifest of all proposals."""
+    """Write each dataset with approved proposals, cleaned, and the manifest of all proposals.
+
+    What the files need of the proposals is kept for the time of the export, so a review is worked out once.
+    """
     if not datasets:
         raise ExportError("No dataset was given to export.")
-    counted = proposals.groupBy("dataset_name").agg(
-        F.count_if(F.col("status") == APPROVED).alias("approved")
-    ).collect()
-    if not counted:
-        raise ExportError("There are no proposals to export.")
-    touched = {r["dataset_name"] for r in counted if r["approved"]}
-    if not touched:
-        raise ExportError("None of the proposals is approved, so nothing would change.")
-    written = {
-        name: write_cleaned(apply_proposals(ds, proposals, winner), folder, name, fmt)
-        for name, ds in datasets.items()
-        if name in touched
-    }
-    written["audit_manifest"] = write_audit_manifest(proposals, datasets, folder)
-    return written
+    needed = [c for c in proposals.columns if c in EXPORTED]
+    with written(proposals.select(*needed)) as kept:
+        counted = kept.groupBy("dataset_name").agg(
+            F.count_if(F.col("status") == APPROVED).alias("approved")
+        ).collect()
+        if not counted:
+            raise ExportError("There are no proposals to export.")
+        touched = {r["dataset_name"] for r in counted if r["approved"]}
+        if not touched:
+            raise ExportError("None of the proposals is approved, so nothing would change.")
+        made = {
+            name: write_cleaned(apply_proposals(ds, kept, winner), folder, name, fmt)
+            for name, ds in datasets.items()
+            if name in touched
+        }
+        made["audit_manifest"] = write_audit_manifest(kept, datasets, folder)
+    return made

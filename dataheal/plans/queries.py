@@ -17,7 +17,7 @@ from dataheal.operators import consistency, context, dashboard, fill, infer, ins
 from dataheal.operators import proposals as record
 from dataheal.operators import review, rules, score
 from dataheal.plans import pipeline, views
-from dataheal.session import ensure_checkpoint_dir, materialise
+from dataheal.session import ensure_checkpoint_dir, write_once
 from dataheal.sources import csv, sinks, versions
 from dataheal.sources.positions import with_sorted_positions
 from dataheal.streaming import corrections, decisions
@@ -129,13 +129,13 @@ def _decision(id_, decision: str, hour: int):
 
 
 def made_proposals(spark: SparkSession, sf: str) -> DataFrame:
-    """Fills, inference and corrections for the policies, written once as a proposals table."""
+    """Fills, inference and corrections for the policies, written once as a proposals table, of which readers take the columns they need."""
     policies, quotes = views.policies(spark, sf), views.quotes(spark, sf)
     identifiers = labels.count_identifiers(policies, CFG)
     fills = fill.cross_dataset_fill(
         policies, quotes, "policy_number", ["ncd", "product_type"], CFG.fill_confidence_primary, SESSION_ID
     )
-    return materialise(
+    return write_once(
         profile.union_all(
             [
                 fills,

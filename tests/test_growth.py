@@ -104,3 +104,43 @@ def test_estimate_reads_only_cells_of_both_sides_and_moves_small_numbers(spark):
     assert abs(found.first()["estimate"] - 1 / 3) < 0.01
     alone = spark.createDataFrame([("b", "c", "k")], "dataset_a string, dataset_b string, join_key string")
     assert consistency.estimated_agreement({"a": a, "b": b, "c": c}, alone).first()["estimate"] is None
+
+
+def test_first_decisions_are_counted_in_hash_tables(spark):
+    from dataheal.operators import review
+
+    times = [None, "2024-01-01 00:00:00", "2024-01-02 00:00:00"]
+    rows = [(f"{i}-{j}-{k}-{m}", d, times[t]) for i in range(3) for j in range(3) for k in (0, 1) for m in (0, 1)
+            for d, t, there in (("approved", i, k), ("rejected", j, m), ("approved", 2, k)) if there] + [(None, "rejected", times[1])]
+    df = spark.createDataFrame(rows, "id string, decision string, decided_at string").withColumn("decided_at", F.col("decided_at").cast("timestamp"))
+    first = review._first_decisions(df)
+    assert "SortAggregate" not in first._jdf.queryExecution().executedPlan().toString()
+    expected = {}
+    for name, d, at in rows:
+        key = (at is not None, at or "", d)
+        expected[name] = min(expected.get(name, key), key)
+    got = {r["id"]: (r["decision"], r["decided_at"] and str(r["decided_at"])) for r in first.collect()}
+    assert got == {name: (d, at if dated else None) for name, (dated, at, d) in expected.items()} and len(got) == 28
+
+
+def test_an_export_works_its_proposals_out_once(spark, tmp_path):
+    from dataheal.operators.proposals import APPROVED, PENDING, PROPOSAL_SCHEMA
+    from dataheal.plans import pipeline
+    from dataheal.session import local_frame
+
+    worked = spark.sparkContext.accumulator(0)
+    rows = [{"id": str(i), "dataset_name": "d", "row_index": i, "column_name": "v", "proposed_value": f"new{i}", "confidence": 0.5, "status": APPROVED if i else PENDING, "seq": 0} for i in range(6)]
+    base = local_frame(spark, rows, PROPOSAL_SCHEMA)
+
+    def counted(batches):
+        for b in batches:
+            worked.add(b.num_rows)
+            yield b
+
+    ds = Dataset("d", spark.createDataFrame([(i, f"old{i}") for i in range(6)], "row_index bigint, v string"))
+    made = pipeline.export_session(spark, {"d": ds}, base.mapInArrow(counted, base.schema), str(tmp_path))
+    assert worked.value == 6
+    assert [r["v"] for r in spark.read.option("header", True).csv(made["d"]).collect()] == ["old0", *[f"new{i}" for i in range(1, 6)]]
+    assert spark.read.option("header", True).csv(made["audit_manifest"]).where("applied = 'true'").count() == 5
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    assert not [f for f in os.listdir(folder) if f.startswith("table-") and {"applied", "id"} & set(spark.read.parquet(f"{folder}/{f}").columns)]
