@@ -63,9 +63,14 @@ def _order(winner: str) -> Column:
 
 
 def cell_winners(proposals: DataFrame, ds: Dataset, winner: str = LOWEST) -> DataFrame:
-    """``(row_index, column_name, proposed_value)``: the proposal each cell ends up with."""
+    """``(row_index, column_name, proposed_value)``: the proposal each cell ends up with.
+
+    Dealt by row, as they are also gathered and joined by row: one shuffle serves all three.
+    """
     return (
         _applicable(proposals, ds)
+        .select("row_index", "column_name", "proposed_value", "confidence", "seq", "id")
+        .repartition("row_index")
         .groupBy("row_index", "column_name")
         .agg(F.max_by("proposed_value", _order(winner)).alias("proposed_value"))
     )
@@ -80,13 +85,16 @@ def write_cells(ds: Dataset, winners: DataFrame) -> DataFrame:
     """The dataset, or some of its rows, with the cells that :func:`cell_winners` names.
 
     Changes meet the data in one join on ``row_index``, at most one row per data row. Spark
-    broadcasts the changes where they turn out small.
+    broadcasts the changes where they turn out small. A row's cells are picked by column, in the order by
+    row that the winners and the join have anyway.
     """
-    entry = F.struct("column_name", "proposed_value")
-    changes = winners.groupBy("row_index").agg(F.map_from_entries(F.collect_list(entry)).alias("_changes"))
+    named = {f.name: f"_changed_{k}" for k, f in enumerate(ds.fields)}
+    # a cell has one winner at most
+    picked = [F.max(F.when(F.col("column_name") == c, F.col("proposed_value"))).alias(new) for c, new in named.items()]
+    changes = winners.groupBy("row_index").agg(*picked)
 
     def cell(f: T.StructField) -> Column:
-        proposed = cast_value(F.element_at(F.col("_changes"), F.lit(f.name)), f.dataType)
+        proposed = cast_value(F.col(named[f.name]), f.dataType)
         kept = ds.text(f.name) if isinstance(f.dataType, DATE_TYPES) else F.col(f.name)
         return F.coalesce(proposed, kept).alias(f.name)
 

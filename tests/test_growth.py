@@ -123,6 +123,23 @@ def test_first_decisions_are_counted_in_hash_tables(spark):
     assert got == {name: (d, at if dated else None) for name, (dated, at, d) in expected.items()} and len(got) == 28
 
 
+def test_changes_are_dealt_by_row_once(spark):
+    from dataheal.operators import apply as applying
+    from dataheal.operators.proposals import APPROVED
+
+    ds = Dataset("d", spark.createDataFrame([(0, "a", 1, 1.5), (1, None, 2, None), (1, "twin", None, 2.5), (2, "c", 3, 3.5), (None, "n", 4, 4.5)], "row_index bigint, s string, n int, w double"))
+    made = [("1", 0, "s", "x", 0.9), ("2", 0, "s", "y", 0.8), ("3", 0, "n", "7.0", 0.9), ("4", 1, "w", "9", 0.5), ("5", 1, "s", "both", 0.5), ("6", 2, "n", "no number", 0.5), ("7", 2, "other", "z", 0.5), ("8", 9, "s", "z", 0.5)]
+    proposals = spark.createDataFrame([(i, "d", r, c, p, conf, APPROVED, 0) for i, r, c, p, conf in made],
+                                      "id string, dataset_name string, row_index bigint, column_name string, proposed_value string, confidence double, status string, seq int")
+    winners = applying.cell_winners(proposals, ds)
+    changed = applying.write_cells(ds, winners)
+    assert plan(winners).split("== Physical Plan ==")[-1].count("Exchange hashpartitioning(") == 1
+    physical = plan(changed).split("== Physical Plan ==")[-1]
+    assert physical.count("Exchange hashpartitioning(") <= 2 and "ObjectHashAggregate" not in physical
+    assert sorted(map(str, (tuple(r) for r in changed.collect()))) == sorted(map(str, [
+        (0, "y", 7, 1.5), (1, "both", 2, 9.0), (1, "both", None, 9.0), (2, "c", 3, 3.5), (None, "n", 4, 4.5)]))
+
+
 def test_an_export_works_its_proposals_out_once(spark, tmp_path):
     from dataheal.operators.proposals import APPROVED, PENDING, PROPOSAL_SCHEMA
     from dataheal.plans import pipeline
