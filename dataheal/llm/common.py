@@ -38,26 +38,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def chunks(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Slices of Arrow batches with about ``CHUNK_BYTES`` of ``text`` each, one row at least."""
+def chunks(batches: Iterable[pa.RecordBatch], text: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches with about ``most`` (``CHUNK_BYTES``) bytes of ``text`` each, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), np.int64)
-        part = np.cumsum(size) // CHUNK_BYTES
+        part = np.cumsum(size) // (most or CHUNK_BYTES)
         starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(starts, starts[1:]):
             yield batch.slice(a, b - a)
 
 
-def map_rows(df: DataFrame, schema: str, text: str, make: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+def map_rows(df: DataFrame, schema: str, text: str, make: Callable[[pa.RecordBatch], dict], most: int | None = None) -> DataFrame:
     """``make`` turns a slice of rows into columns by name; rows stay in their partitions."""
     small_batches(df.sparkSession)
     struct = T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, text):
+        for part in chunks(batches, text, most):
             made = make(part)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in arrow], schema=arrow)
 

@@ -44,17 +44,20 @@ ISLANDS, EPOCHS, POPULATION = 3, 4, 6
 PATIENCE, CROSSOVERS = 12, 60
 #: Bins that are less full than this are dealt again.
 FULL = 0.98
-#: Most words whose ids a worker keeps; later words are tokenized when they come.
-HELD = 200_000
-#: Words of letters that are tokenized in one call.
+#: Most parts of texts whose ids a worker keeps, and their most bytes; other parts are tokenized when they come.
+HELD, SHORT = 200_000, 64
+#: Parts of letters that are tokenized in one call.
 SPELLED = 20_000
+#: Bytes of text that are cut and looked up at once.
+AT_ONCE = 4 << 20
 #: Precomposed Latin letters: normal forms of themselves, with one lower-case letter each.
 LATIN = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-#: Marks that join neither the letter or digit before them nor, at a word's end, anything after them; none of a special token's.
-MARKS = b"!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
-MARKED = frozenset(MARKS)
-ENDS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+#: White space that splits words, and marks that join no letter or digit beside them; none of a special token's.
+SPACES, MARKS = b" \t\n\r\x0b\x0c", b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+WHITE = re.compile(b"[" + SPACES + b"]")
+#: Kinds of bytes. What is of no other kind may join its neighbours, so it is cut from white space only.
+OTHER, SPACE, LETTER, DIGIT, MARK, QUOTE = range(6)
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -65,26 +68,44 @@ def byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest) if b != 32}
 
 
-class Ids(dict):
-    """Ids by word; those of words that are not held are looked up in ``now``."""
+def kinds() -> np.ndarray:
+    out = np.zeros(256, np.uint8)
+    for kind, members in ((SPACE, SPACES), (DIGIT, b"0123456789"), (MARK, MARKS), (QUOTE, b"'")):
+        out[list(members)] = kind
+    out[[b for b in range(128) if chr(b).isalpha()]] = LETTER
+    return out
+
+
+def cuts() -> np.ndarray:
+    """Whether a part ends between bytes of two kinds, at 8 * the first kind + the second."""
+    out = np.zeros(64, bool)
+    for a, b in itertools.permutations(range(6), 2):
+        # a quote takes letters after it ('s) and is a mark among marks
+        out[8 * a + b] = SPACE in (a, b) or (OTHER not in (a, b) and {a, b} != {MARK, QUOTE} and (a, b) != (QUOTE, LETTER))
+    return out
 
-    def __init__(self) -> None:
-        self.now: dict[bytes, bytes] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        return self.now[word]
+def slices(text: bytes) -> Iterator[bytes]:
+    """A long text in slices of about ``AT_ONCE`` bytes, cut before white space."""
+    at = 0
+    while len(text) - at > AT_ONCE and (found := WHITE.search(text, at + AT_ONCE)):
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:]
 
 
 class Encoder:
-    """Token ids of texts as packed little-endian 32-bit numbers, by way of their words.
+    """Token ids of texts as packed little-endian 32-bit numbers, by way of their parts.
 
-    The tokenizer's own rules never join characters across white space, so a text's ids are those
-    of its words in turn; nor do they join a letter or digit and the marks after it, so such a word is its
-    core and its marks. Words repeat, so each is tokenized once by each worker. A word of Latin letters
-    alone is one part and its own normal form, so the vocabulary is applied to it without the rules before it,
-    many words in one call.
+    The tokenizer's own rules never join characters across white space, nor a letter, a digit and a mark
+    with one another, so a text's ids are those of such parts in turn. All texts of a call are cut at once. Parts
+    repeat, so each is looked up once in a call and most are tokenized once by each worker. A part of Latin letters
+    is its own normal form, so the vocabulary is applied to it without the rules before it, many parts in one call.
     """
 
+    KINDS, CUTS = kinds(), cuts()
+    #: Second bytes of the two-byte letters.
+    SECOND = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
     CHARS = byte_chars()
 
     def __init__(self, path: str) -> None:
@@ -96,13 +117,26 @@ class Encoder:
         rules = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
         self.letters = None
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
-        if suffix and rules[0] is not None and rules[1] is not None and all(self.one_part(w, *rules) for w in (LATIN, LATIN.upper().replace("SS", ""))):
+        if suffix and None not in rules and self.cut_so(rules[1]) and all(self.one_part(w, *rules) for w in (LATIN, LATIN.upper().replace("SS", ""))):
             self.letters = Tokenizer(self.tokenizer.model)  # the same vocabulary in memory
             self.letters.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             vocabulary = self.letters.get_vocab()
             self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # whether an id ends its word
             self.last[[k for t, k in vocabulary.items() if t.endswith(suffix)]] = True
-        self.ids = Ids()
+        self.held, self.known, self.sizes = pa.array([], pa.binary()), np.empty(0, "<u4"), np.empty(0, np.int32)
+
+    @property
+    def ids(self) -> dict[bytes, bytes]:
+        """The ids of the parts that are held."""
+        ends = np.cumsum(self.sizes).tolist()
+        return {p: self.known[a:b].tobytes() for p, a, b in zip(self.held.to_pylist(), [0, *ends], ends)}
+
+    @staticmethod
+    def cut_so(pre_tokenizer) -> bool:
+        """Whether the rules cut letters, digits and marks from one another."""
+        parts = [f"{a}{b}" for a, b in zip("abcdefghijklmnopqrstuvwxyzabc", MARKS.decode())]
+        found = [p for p, _ in pre_tokenizer.pre_tokenize_str("1".join(parts))]
+        return found == list("1".join(parts))
 
     @classmethod
     def spelled(cls, text: str) -> str:
@@ -129,30 +163,57 @@ class Encoder:
         out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(rest, found))
         return out
 
-    def learn(self, new: set[bytes]) -> None:
-        """Looks up the words ``new``, which are not held. Words are kept without the marks after them."""
-        held, cut = self.ids, {}
+    def parts(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Where the parts of ``data`` start, and their lengths; white space is in no part."""
+        b = np.frombuffer(data, np.uint8)
+        kind = self.KINDS[b]
         if self.letters:
-            for w in new:
-                if w[-1] in MARKED:
-                    core = w.rstrip(MARKS)
-                    if core and (core[-1] in ENDS or LETTERS.fullmatch(core)):
-                        cut[w] = core, w[len(core) :]
-        asked = new.difference(cut)
-        asked.update(itertools.chain.from_iterable(cut.values()))
-        found = self.tokenize(list(asked.difference(held)))
-        held.now = {}
-        if len(held) + len(found) <= HELD:
-            held.update(found)
+            two = np.flatnonzero(b[:-1] == 0xC3)
+            two = two[self.SECOND[b[two + 1]]]
+            kind[two] = kind[two + 1] = LETTER
         else:
-            held.now = found
-        held.now = held.now | {w: held[core] + held[marks] for w, (core, marks) in cut.items()}
+            kind[kind != SPACE] = OTHER
+        starts = np.flatnonzero(self.CUTS[8 * kind[:-1] + kind[1:]]) + 1
+        starts = np.concatenate([[0], starts]) if len(b) else starts
+        lengths = np.diff(starts, append=len(b))
+        kept = kind[starts] != SPACE
+        return starts[kept], lengths[kept]
+
+    def numbered(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A number for each part, and by these numbers: all ids in turn and how many. New parts are held while there is room."""
+        n = len(self.held)
+        distinct = pa.concat_arrays([self.held, parts]).dictionary_encode()  # those held keep their places
+        asked = distinct.dictionary[n:].to_pylist()
+        found = self.tokenize(asked)
+        new = [found[p] for p in asked]
+        known = np.concatenate([self.known, np.frombuffer(b"".join(new), "<u4")])
+        sizes = np.concatenate([self.sizes, np.fromiter(map(len, new), np.int32, len(new)) // 4])
+        kept = [k for k, p in enumerate(asked) if len(p) <= SHORT][: HELD - n] if n < HELD else []
+        if kept:
+            self.held = pa.concat_arrays([self.held, pa.array([asked[k] for k in kept], pa.binary())])
+            self.known = np.concatenate([self.known, np.frombuffer(b"".join([new[k] for k in kept]), "<u4")])
+            self.sizes = np.concatenate([self.sizes, sizes[n:][kept]])
+        return distinct.indices.to_numpy()[n:], known, sizes
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        short = iter(self.together([t for t in texts if len(t) <= AT_ONCE]))
+        return [next(short) if len(t) <= AT_ONCE else b"".join(self.together([s])[0] for s in slices(t)) for t in texts]
+
+    def together(self, texts: list[bytes]) -> list[bytes]:
         # letters differ in case only, except in the names of special tokens
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self.learn(set().union(*split).difference(self.ids))
-        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
+        texts = [t.lower() if self.letters and b"<|" not in t else t for t in texts]
+        data = b"\n".join(texts)
+        starts, lengths = self.parts(data)
+        offsets = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(lengths, out=offsets[1:])
+        packed = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data.translate(None, SPACES))])
+        number, known, sizes = self.numbered(packed)
+        firsts, counts = (np.cumsum(sizes) - sizes)[number], sizes[number]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = known[np.repeat(firsts - ends[:-1], counts) + np.arange(ends[-1])]
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        at = ends[np.searchsorted(starts, bounds)].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(at, at[1:])]
 
 
 def encoder(path: str) -> Encoder:
@@ -176,7 +237,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = 0, doc_i
                 rows.append((doc, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
         return dict(zip(("doc_id", "piece", "start", "length", "ids_crc32"), zip(*rows)))
 
-    return common.map_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), PIECE, "text", make)
+    return common.map_rows(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), PIECE, "text", make, AT_ONCE)
 
 
 class Bins:

@@ -55,3 +55,42 @@ def test_letter_words_are_spelled_many_in_a_call(path, monkeypatch):
     encoder.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, texts, **k: (calls.extend(texts), inner.encode_batch_fast(texts, **k))[1]})()
     assert encoder.encode([w.encode() for w in words]) == [np.array(e.ids, "<u4").tobytes() for e in plain]
     assert not any(packing.LETTERS.fullmatch(w.encode()) for w in calls)
+
+
+def plain_ids(path, texts):
+    from tokenizers import Tokenizer
+
+    return [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_marks_and_digits_beside_letters_are_not_new_words(path):
+    encoder = packing.Encoder(path)
+    texts = ["house (house house-house house,house 12house house348 [house]", "ÉTÉ/été (ÉTÉ)"]
+    assert encoder.encode([t.encode() for t in texts]) == plain_ids(path, texts)
+    assert {w.decode() for w in encoder.ids if any(map(str.isalpha, w.decode()))} == {"house", "ÉtÉ", "été"}
+
+
+def test_parts_of_a_text_give_the_plain_tokenizers_ids(path):
+    r = random.Random(7)
+    atoms = ["'s", "'T", "'re", "'", "''", "!'s", "a's", "1's", "ab", "É", "e\u0301", "<\u0338", "=\u0338", ".", "\u0338", "(", ")", "-", "12", "3\u20e3", "½", "×", "÷", "\u00c3",
+             "漢", "İ", "Å", "K", "ſ", "_", "|", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "\u2019s", "\x00", "\x1c", "\x85", "\xa0", "\u2028", " ", "\n", "\t", "\x0b", "  ", "Ω\u0345", "e", "🙂"]
+    texts = ["".join(r.choices(atoms, k=r.randrange(12))) for _ in range(20000)] + ["", " ", "\n\n"]
+    assert packing.Encoder(path).encode([t.encode() for t in texts]) == plain_ids(path, texts)
+    assert packing.Encoder(path).encode([]) == [] and packing.Encoder(path).encode([b""]) == [b""]
+
+
+def test_long_words_are_not_held(path):
+    encoder, texts = packing.Encoder(path), ["漢" * 500 + " a " + "b" * 500, "a " + "漢" * 500]
+    assert [encoder.encode([t.encode()])[0] for t in texts + texts] == plain_ids(path, texts + texts)
+    assert set(encoder.ids) == {b"a"}
+
+
+def test_long_texts_are_cut_at_white_space(path, monkeypatch):
+    monkeypatch.setattr(packing, "AT_ONCE", 40)
+    r, seen = random.Random(8), []
+    texts = ["", "don't " * 200, "a" * 300, " " * 100, "one. two", "".join(r.choices("ab'st.1é \n\u0338", k=3000))]
+    encoder = packing.Encoder(path)
+    together = encoder.together
+    encoder.together = lambda some: (seen.extend(some), together(some))[1]
+    assert encoder.encode([t.encode() for t in texts]) == plain_ids(path, texts)
+    assert b"".join(packing.slices(texts[-1].encode())) == texts[-1].encode() and max(len(t) for t in seen if b" " in t) < 120
