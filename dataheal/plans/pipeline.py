@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from dataheal.config import QualityConfig
 from dataheal.dataset import Dataset
 from dataheal.operators import dashboard as board
-from dataheal.operators.apply import LOWEST, MANIFEST_COLUMNS, apply_proposals
+from dataheal.operators.apply import LOWEST, MANIFEST_COLUMNS, apply_proposals, with_applied
 from dataheal.operators.fill import find_cross_dataset_fills
 from dataheal.operators.infer import find_interpolation_proposals
 from dataheal.operators.insights import join_reports
@@ -21,7 +22,7 @@ from dataheal.operators.profile import duplicate_rows, profile_columns, profile_
 from dataheal.operators.proposals import APPROVED, no_proposals, proposals_summary
 from dataheal.operators.rules import find_correction_proposals
 from dataheal.operators.score import critical_field_issues, penalties, score_dataset
-from dataheal.session import local_frame, materialise, written
+from dataheal.session import local_frame, materialise, shuffles_freed, written
 from dataheal.sources.positions import with_sorted_positions
 from dataheal.sources.sinks import save_proposals, stored_proposals, write_audit_manifest, write_cleaned
 
@@ -215,15 +216,22 @@ def export_session(
     folder: str,
     winner: str = LOWEST,
     fmt: str = "csv",
+    when_kept: Callable[[], None] | None = None,
 ) -> dict[str, str]:
     """Write each dataset with approved proposals, cleaned, and the manifest of all proposals.
 
-    What the files need of the proposals is kept for the time of the export, so a review is worked out once.
+    What the files need of the proposals is kept for the time of the export, so a review is worked out once; then
+    ``when_kept`` is called, as ``proposals`` is not read again. Shuffle files go with each step.
     """
     if not datasets:
         raise ExportError("No dataset was given to export.")
     needed = [c for c in proposals.columns if c in EXPORTED]
-    with written(proposals.select(*needed)) as kept:
+    marked = with_applied(proposals.select(*needed), datasets)
+    # only changes that are applied are told apart by their ids
+    marked = marked.withColumn("id", F.when(F.col("_fits") > 0, F.col("id"))).drop("_fits")
+    with shuffles_freed(spark), written(marked) as kept:
+        if when_kept:
+            when_kept()
         counted = kept.groupBy("dataset_name").agg(
             F.count_if(F.col("status") == APPROVED).alias("approved")
         ).collect()

@@ -17,7 +17,7 @@ from dataheal.operators import consistency, context, dashboard, fill, infer, ins
 from dataheal.operators import proposals as record
 from dataheal.operators import review, rules, score
 from dataheal.plans import pipeline, views
-from dataheal.session import ensure_checkpoint_dir, write_once
+from dataheal.session import ensure_checkpoint_dir, remove_table, shuffles_freed, write_once
 from dataheal.sources import csv, sinks, versions
 from dataheal.sources.positions import with_sorted_positions
 from dataheal.streaming import corrections, decisions
@@ -146,14 +146,13 @@ def made_proposals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _reviewed(spark: SparkSession, sf: str) -> DataFrame:
-    made = made_proposals(spark, sf)
+def _reviewed(made: DataFrame) -> DataFrame:
     return review.apply_decisions(made, approved_by_row(made))
 
 
 def write_audit_manifest(spark: SparkSession, sf: str) -> DataFrame:
     folder = _shared_folder(spark, "audit")
-    path = sinks.write_audit_manifest(_reviewed(spark, sf), {"policies": views.policies(spark, sf)}, folder)
+    path = sinks.write_audit_manifest(_reviewed(made_proposals(spark, sf)), {"policies": views.policies(spark, sf)}, folder)
     # Only the row number is read back as a number.
     table = spark.read.option("header", True).csv(path).drop("reviewed_at")
     return table.withColumn("row_index", F.col("row_index").cast("bigint"))
@@ -176,8 +175,10 @@ def get_proposals(spark: SparkSession, sf: str) -> DataFrame:
 
 def export_session(spark: SparkSession, sf: str) -> DataFrame:
     policies = views.policies(spark, sf)
+    with shuffles_freed(spark):
+        made = made_proposals(spark, sf)
     written = pipeline.export_session(
-        spark, {"policies": policies}, _reviewed(spark, sf), _shared_folder(spark, "export")
+        spark, {"policies": policies}, _reviewed(made), _shared_folder(spark, "export"), when_kept=lambda: remove_table(made)
     )
     counted = [
         spark.read.option("header", True).csv(path).agg(F.count("*").alias("row_count")).withColumn("part", F.lit(name))
@@ -540,12 +541,12 @@ def all_queries() -> dict[str, Query]:
         "proposals_summary": on_made(record.proposals_summary),
         "session_proposals": on_made(lambda p: record.session_proposals(p, SESSION_ID).select(*SAID)),
         "filter_proposals": lambda spark, sf: record.filter_proposals(
-            _reviewed(spark, sf), "policies", record.DATA_CORRECTION, record.APPROVED
+            _reviewed(made_proposals(spark, sf)), "policies", record.DATA_CORRECTION, record.APPROVED
         ).select(*SAID),
-        "status_counts": lambda spark, sf: record.status_counts(_reviewed(spark, sf)),
+        "status_counts": lambda spark, sf: record.status_counts(_reviewed(made_proposals(spark, sf))),
         "filter_options": on_made(record.filter_options),
-        "standard_cleaning_breakdown": lambda spark, sf: record.standard_cleaning_breakdown(_reviewed(spark, sf)),
-        "apply_decision": lambda spark, sf: _reviewed(spark, sf).select(*SAID, "status", "user_decision"),
+        "standard_cleaning_breakdown": lambda spark, sf: record.standard_cleaning_breakdown(_reviewed(made_proposals(spark, sf))),
+        "apply_decision": lambda spark, sf: _reviewed(made_proposals(spark, sf)).select(*SAID, "status", "user_decision"),
         "decision_errors": decision_errors,
         "bulk_review_cleaning": on_made(
             lambda p: review.bulk_review_cleaning(p, record.APPROVED, SESSION_ID).select(*SAID, "status")

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+#: A setting of Spark 4.1 and later: an action's shuffle files are deleted when it ends.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Folders that :func:`write_once` has written in this process.
 _WRITTEN: list[str] = []
 
@@ -54,12 +57,28 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Parquet packed by zstd, which halves hashes and other texts that snappy leaves as they are."""
+    df.write.option("compression", "zstd").parquet(path)
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """In a ``with`` block, which must run no frame twice, shuffle files go as each action ends, not when the driver collects garbage."""
+    before = spark.conf.get(FREE_SHUFFLES, "false")
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 def write_once(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and go on from there, column by column."""
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
+    _write(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,7 +89,7 @@ def written(df: DataFrame) -> Iterator[DataFrame]:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     try:
-        df.write.parquet(path)
+        _write(df, path)
         yield spark.read.schema(df.schema).parquet(path)
     finally:
         _delete(spark, path)
@@ -81,6 +100,14 @@ def _delete(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def remove_table(df: DataFrame) -> None:
+    """Delete the table that :func:`write_once` returned as ``df``, once nothing reads it any more."""
+    folders = {file.rsplit("/", 2)[-2] for file in df.inputFiles()}
+    for path in [p for p in _WRITTEN if p.rsplit("/", 1)[-1] in folders]:
+        _delete(df.sparkSession, path)
+        _WRITTEN.remove(path)
+
+
 def remove_written(spark: SparkSession) -> int:
     """Delete the tables that :func:`write_once` wrote, once nothing reads them any more; returns how many."""
     removed = 0
