@@ -36,13 +36,14 @@ def _first_decisions(decisions: DataFrame) -> DataFrame:
     )
 
 
-def apply_decisions(proposals: DataFrame, decisions: DataFrame) -> DataFrame:
+def apply_decisions(proposals: DataFrame, decisions: DataFrame, one_each: bool = False) -> DataFrame:
     """Proposals after ``decisions (id, decision, decided_at)``.
 
-    Only a pending proposal changes, and only by its first decision.
+    Only a pending proposal changes, and only by its first decision. ``one_each`` says that the decisions are first
+    ones already, so that they are not searched again.
     """
     valid = decisions.filter(F.col("decision").isin(APPROVED, REJECTED))
-    joined = proposals.join(_first_decisions(valid), "id", "left")
+    joined = proposals.join(valid if one_each else _first_decisions(valid), "id", "left")
     takes = (F.col("status") == PENDING) & F.col("decision").isNotNull()
     return joined.withColumns(
         {

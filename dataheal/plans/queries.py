@@ -107,14 +107,12 @@ def row_index(spark: SparkSession, sf: str) -> DataFrame:
 def approved_by_row(proposals: DataFrame) -> DataFrame:
     """A review of every proposal that depends on its row: approve, reject or leave."""
     by_row = F.col("row_index") % 3
-    decisions = F.array(
-        F.when(by_row == 0, _decision("id", "approved", 1)),
-        F.when(by_row == 0, _decision("id", "rejected", 2)),
-        F.when(by_row == 1, _decision("id", "rejected", 1)),
-        F.when(by_row == 2, _decision("id", "maybe", 1)),
-        F.when(by_row == 2, _decision(F.concat("id", F.lit("-unknown")), "approved", 1)),
+    decisions = (
+        F.when(by_row == 0, F.array(_decision("id", "approved", 1), _decision("id", "rejected", 2)))
+        .when(by_row == 1, F.array(_decision("id", "rejected", 1)))
+        .when(by_row == 2, F.array(_decision("id", "maybe", 1), _decision(F.concat("id", F.lit("-unknown")), "approved", 1)))
     )
-    return proposals.select(F.inline(F.array_compact(decisions)))
+    return proposals.select(F.inline(decisions))
 
 
 def _decision(id_, decision: str, hour: int):
@@ -409,11 +407,12 @@ def stream_decisions(spark: SparkSession, sf: str) -> DataFrame:
     folder = _shared_folder(spark, "stream-decisions")
     by_chance = F.xxhash64("id", "decision", "decided_at")
     decided = approved_by_row(made)
-    files = _arriving_files(decided.count())
+    # a proposal gets two decisions at most; its table knows its rows
+    files = _arriving_files(2 * made.count())
     decided.repartition(files, by_chance).write.parquet(f"{folder}/arriving")
     arriving = decisions.decision_stream(spark, f"{folder}/arriving", files_per_batch=-(-files // 3))
     decisions.write_decisions(arriving, f"{folder}/revisions", f"{folder}/checkpoint").awaitTermination()
-    reviewed = review.apply_decisions(made, decisions.current_decisions(spark, f"{folder}/revisions"))
+    reviewed = review.apply_decisions(made, decisions.current_decisions(spark, f"{folder}/revisions"), one_each=True)
     return reviewed.select(*SAID, "status", "user_decision")
 
 

@@ -1,10 +1,9 @@
 """Review decisions on a stream: the first decision of a proposal wins, whenever it arrives.
 
-The state holds one entry for each proposal, its earliest valid decision. A decision that arrives late but was made
-earlier replaces it, a repeated one changes nothing. Every batch writes the entries it changed as
-*revisions*; the latest revision of a proposal is its first decision among all that have arrived, so
-the order of arrival does not matter in the end. Reviewing proposals with the current decisions is the batch
-operator's work.
+Every batch writes a *revision* of each proposal that it decides, the earliest valid decision in that batch. The earliest
+of a proposal's revisions is its first decision among all that have arrived, so neither the order of arrival nor a repeated
+decision or batch matters in the end. The revisions are all that is kept between batches: no state grows
+in memory with the proposals. Reviewing proposals with the current decisions is the batch operator's work.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from dataheal.operators.proposals import APPROVED, REJECTED
-from dataheal.operators.review import DECISION_SCHEMA
+from dataheal.operators.review import DECISION_SCHEMA, _first_decisions
 
 REVISION_SCHEMA = f"{DECISION_SCHEMA}, revision bigint"
 
@@ -28,23 +27,19 @@ def decision_stream(spark: SparkSession, folder: str, files_per_batch: int | Non
 def first_decisions(decisions: DataFrame) -> DataFrame:
     """The earliest valid decision of each proposal among those that have arrived; equally early ones by name."""
     valid = decisions.filter(F.col("decision").isin(APPROVED, REJECTED) & F.col("id").isNotNull())
-    first = F.min(F.struct("decided_at", "decision")).alias("first")
-    return valid.groupBy("id").agg(first).select("id", "first.decision", "first.decided_at")
+    return _first_decisions(valid).select("id", "decision", "decided_at")
 
 
 def write_decisions(decisions: DataFrame, sink: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Write the revisions of each batch to a folder of its own, which a repeated batch replaces."""
 
-    def write(changed: DataFrame, batch: int) -> None:
-        revised = changed.select("id", "decision", "decided_at")
-        revised.write.mode("overwrite").parquet(f"{sink}/revision={batch}")
+    def write(arrived: DataFrame, batch: int) -> None:
+        first_decisions(arrived).write.mode("overwrite").parquet(f"{sink}/revision={batch}")
 
-    writer = first_decisions(decisions).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+    writer = decisions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def current_decisions(spark: SparkSession, sink: str) -> DataFrame:
-    """``(id, decision, decided_at)``: the latest revision of each proposal."""
-    revisions = spark.read.schema(REVISION_SCHEMA).parquet(sink)
-    latest = F.max_by(F.struct("decision", "decided_at"), "revision").alias("latest")
-    return revisions.groupBy("id").agg(latest).select("id", "latest.decision", "latest.decided_at")
+    """``(id, decision, decided_at)``: the earliest revision of each proposal."""
+    return first_decisions(spark.read.schema(REVISION_SCHEMA).parquet(sink))
