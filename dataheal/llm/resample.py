@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from zlib import crc32
 
 from dataheal.llm import common
-from dataheal.session import local_frame, write_once
+from dataheal.session import local_frame, remove_table, write_once
 
 WIDTH, BUCKETS, SCALE, SEED, LEAST, PERCENT = 2, 10_000, 1000, 7, 20, 25
 #: Bytes of a text that are cut into words at a time.
@@ -163,6 +163,7 @@ def resample(
     uniform = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") + F.lit(0.5)) / F.lit(4294967296.0)
     noise = F.floor(F.lit(-float(scale)) * F.log(-F.log(uniform)))
     scored = write_once(weighed(written, gain).withColumn("score", F.col("weight") + noise))
+    remove_table(written)
     return drawn(scored, least, percent).select("doc_id", "n_features", "weight", "score", "rank")
 
 
